@@ -1,0 +1,190 @@
+"""A small, tolerant element tree built on the standard library's ``html.parser``.
+
+Tree rules (they decide the extracted text, so they are part of the contract):
+- void elements never get children; ``<x/>`` opens and closes at once;
+- an end tag closes the nearest open element with that name (and everything
+  opened inside it); an end tag with no open match is ignored;
+- no implied end tags: an unclosed ``<p>`` swallows what follows until an
+  ancestor closes, so nested paragraphs repeat their inner text;
+- script/style bodies are raw text, kept for JSON-LD but never part of text;
+- comments, doctype and processing instructions are dropped;
+- character references are decoded in text and attribute values;
+- consecutive text pieces are merged into one string.
+"""
+
+from __future__ import annotations
+
+import re
+from html.parser import HTMLParser
+
+VOID_TAGS = frozenset(
+    "area base basefont bgsound br col command embed frame hr image img input "
+    "isindex keygen link menuitem meta nextid param source spacer track wbr".split())
+RAW_TEXT_TAGS = frozenset(("script", "style"))
+
+
+class Node:
+    __slots__ = ("tag", "attrs", "children", "parent")
+
+    def __init__(self, tag: str | None, attrs: dict | None = None, parent: Node | None = None):
+        self.tag = tag
+        self.attrs = attrs or {}
+        self.children: list = []
+        self.parent = parent
+
+    # -- navigation -------------------------------------------------------
+    def iter_elements(self):
+        """Descendant elements in document order (self excluded)."""
+        stack = list(reversed(self.children))
+        while stack:
+            item = stack.pop()
+            if isinstance(item, Node):
+                yield item
+                stack.extend(reversed(item.children))
+
+    def find(self, tag: str | None = None, predicate=None) -> Node | None:
+        for el in self.iter_elements():
+            if (tag is None or el.tag == tag) and (predicate is None or predicate(el)):
+                return el
+        return None
+
+    def find_all(self, tags=None, predicate=None) -> list[Node]:
+        if isinstance(tags, str):
+            tags = (tags,)
+        wanted = frozenset(tags) if tags else None
+        return [el for el in self.iter_elements()
+                if (wanted is None or el.tag in wanted) and (predicate is None or predicate(el))]
+
+    def remove(self) -> None:
+        if self.parent is not None:
+            siblings = self.parent.children
+            for i, child in enumerate(siblings):
+                if child is self:
+                    del siblings[i]
+                    break
+            self.parent = None
+
+    # -- text ---------------------------------------------------------------
+    def strings(self):
+        """Text pieces below this node in document order; raw script/style text skipped."""
+        stack = list(reversed(self.children))
+        while stack:
+            item = stack.pop()
+            if isinstance(item, Node):
+                stack.extend(reversed(item.children))
+            elif isinstance(item, str):
+                yield item
+
+    def get_text(self, separator: str = "", strip: bool = False) -> str:
+        pieces = self.strings()
+        if strip:
+            pieces = (p.strip() for p in pieces)
+            pieces = (p for p in pieces if p)
+        return separator.join(pieces)
+
+    def raw_string(self) -> str | None:
+        """The single text child of an element (raw or plain), else None."""
+        if len(self.children) != 1:
+            return None
+        only = self.children[0]
+        if isinstance(only, RawText):
+            return str(only.value)
+        if isinstance(only, str):
+            return only
+        return None
+
+
+class RawText:
+    """Body of a script/style element: reachable as a string, never part of text."""
+
+    __slots__ = ("value",)
+
+    def __init__(self, value: str):
+        self.value = value
+
+
+class _TreeBuilder(HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.root = Node(None)
+        self.current = self.root
+        self._pending: list[str] = []
+
+    def _flush(self):
+        if self._pending:
+            text = "".join(self._pending)
+            self._pending = []
+            if self.current.tag in RAW_TEXT_TAGS:
+                self.current.children.append(RawText(text))
+            else:
+                self.current.children.append(text)
+
+    def handle_starttag(self, tag, attrs):
+        self._flush()
+        node = Node(tag, {k: (v if v is not None else "") for k, v in attrs}, self.current)
+        self.current.children.append(node)
+        if tag not in VOID_TAGS:
+            self.current = node
+
+    def handle_startendtag(self, tag, attrs):
+        self._flush()
+        node = Node(tag, {k: (v if v is not None else "") for k, v in attrs}, self.current)
+        self.current.children.append(node)
+
+    def handle_endtag(self, tag):
+        self._flush()  # any end tag, matched or not, ends the current string
+        node = self.current
+        while node is not None and node.tag != tag:
+            node = node.parent
+        if node is None or node.tag is None:
+            return  # stray end tag
+        self.current = node.parent
+
+    def handle_data(self, data):
+        self._pending.append(data)
+
+    def handle_comment(self, data):
+        self._flush()
+
+    def handle_decl(self, decl):
+        self._flush()
+
+    def handle_pi(self, data):
+        self._flush()
+
+    def unknown_decl(self, data):
+        self._flush()
+
+    def close(self):
+        super().close()
+        self._flush()
+
+
+def parse_html(html: str) -> Node:
+    builder = _TreeBuilder()
+    builder.feed(html)
+    builder.close()
+    return builder.root
+
+
+def class_matches(pattern: re.Pattern):
+    """Predicate: the element's class list (or any single class) contains a match."""
+
+    def test(el: Node) -> bool:
+        value = el.attrs.get("class")
+        if value is None:
+            return False
+        classes = value.split()
+        if any(pattern.search(c) for c in classes):
+            return True
+        return bool(classes) and pattern.search(" ".join(classes)) is not None
+
+    return test
+
+
+def id_matches(pattern: re.Pattern):
+    def test(el: Node) -> bool:
+        value = el.attrs.get("id")
+        return value is not None and pattern.search(value) is not None
+
+    return test
