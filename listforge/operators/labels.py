@@ -267,8 +267,8 @@ def classify(df: DataFrame, scorer: Scorer, profile: str, run_id: str,
     """Label ``df`` (ref_id, text, ...) in batches; nothing is cut or dropped.
 
     Raises ``OversizeTextError`` before any scoring when a text is over
-    ``max_chars``.  Answers are written to ``response_dir`` (or checkpointed)
-    before they are validated, so a retried task never re-asks the scorer for a
+    ``max_chars``.  Answers are written to ``response_dir`` (a folder for this
+    attempt only) or checkpointed before they are validated, so a retried task never re-asks the scorer for a
     batch that already has an answer in this run.
     """
     if not profile or not profile.strip():
@@ -285,9 +285,9 @@ def classify(df: DataFrame, scorer: Scorer, profile: str, run_id: str,
     responses = run_scorer(prompts, scorer, run_id)
     spark = df.sparkSession
     if response_dir:
-        responses.write.mode("append").partitionBy("run_id").parquet(response_dir)
-        responses = spark.read.schema(S.RESPONSE).parquet(response_dir).where(
-            F.col("run_id") == run_id)
+        # one folder per attempt: answers of an earlier attempt never mix in
+        responses.write.mode("overwrite").parquet(response_dir)
+        responses = spark.read.schema(S.RESPONSE).parquet(response_dir)
     else:
         ensure_checkpoint_dir(spark)
         responses = responses.checkpoint(eager=True)

@@ -2,7 +2,7 @@
 
 Layout under a run root (a folder in the shared file system):
     partials/run_id=<id>/batch_no=<n>/   labelled rows of finished batches (append)
-    responses/run_id=<id>/               raw answers, written before validation
+    responses/run_id=<id>/attempt=<t>/   raw answers of one attempt, written before validation
     runs/                                one row per run event (started / complete)
 Every finished batch is recorded (K11: also for single-batch runs) and the run
 is marked complete at the end instead of deleting its state.
@@ -130,8 +130,10 @@ def resume_classify(df: DataFrame, scorer: L.Scorer, profile: str, run_id: str,
         clear_run(spark, root, run_id)
     done = read_partial(spark, root, run_id)
     todo = remaining(df, done.select("ref_id"))
+    attempt = datetime.now(timezone.utc).strftime("%Y%m%d%H%M%S%f")
+    answers_dir = f"{_path(root, 'responses')}/run_id={run_id}/attempt={attempt}"
     result = L.classify(todo, scorer, profile, run_id, batch_size=batch_size,
-                        order_cols=order_cols, response_dir=_path(root, "responses"), **kwargs)
+                        order_cols=order_cols, response_dir=answers_dir, **kwargs)
     keep = [c for c in PARTIAL_SCHEMA.fieldNames() if c in result.labelled.columns]
     labelled = result.labelled.select(*keep)
     # a run id is re-used on resume, so batches get fresh numbers after the finished ones
