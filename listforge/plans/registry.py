@@ -29,7 +29,7 @@ def load_all() -> None:
     """Import the modules that register queries."""
     from listforge.plans import q_extract, q_stats  # noqa: F401
     for mod in ("q_filters", "q_store", "q_labels", "q_runs", "q_pages", "q_reasoning",
-                "q_report", "q_stream"):
+                "q_report", "q_gather", "q_stream"):
         try:
             __import__(f"listforge.plans.{mod}")
         except ModuleNotFoundError as exc:
