@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from listforge import schemas as S
+from listforge.session import ensure_checkpoint_dir
 
 NEW, UPDATED, UNCHANGED = "new", "updated", "unchanged"
 DEFAULT_CHUNK = 1 << 20
@@ -85,24 +86,26 @@ def prior_stamps(seq: DataFrame, chunk_size: int = DEFAULT_CHUNK) -> DataFrame:
     """F1 on (ref_id, ord, stamp[, is_store]): adds ``prior_stamp`` and ``seen_before``.
 
     ``stamp`` must already be null for empty stamps.  Exact for any chunk size.
+    Level 1 windows rows per (ref, chunk); level 2 carries each chunk's last
+    stamp forward over a table with one row per (ref, chunk), built by a plain
+    aggregation of the keys.
     """
     chunk = F.floor(F.col("ord") / F.lit(chunk_size)).cast("long")
     s = seq.withColumn("_chunk", chunk)
     w_local = Window.partitionBy("ref_id", "_chunk").orderBy("ord")
     before = w_local.rowsBetween(Window.unboundedPreceding, -1)
-    whole = w_local.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    s = (s.withColumn("_local_prior", F.last("stamp", ignorenulls=True).over(before))
-         .withColumn("_local_rn", F.row_number().over(w_local))
-         .withColumn("_chunk_last", F.last("stamp", ignorenulls=True).over(whole)))
+    local = (s.withColumn("_local_prior", F.last("stamp", ignorenulls=True).over(before))
+             .withColumn("_local_rn", F.row_number().over(w_local)))
     # one row per (ref, chunk): bounded by rows / chunk_size for a hot ref
-    chunks = s.groupBy("ref_id", "_chunk").agg(F.first("_chunk_last").alias("_chunk_last"))
+    chunks = s.groupBy("ref_id", "_chunk").agg(
+        F.max_by("stamp", F.when(F.col("stamp").isNotNull(), F.col("ord"))).alias("_chunk_last"))
     w_ref = Window.partitionBy("ref_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carry = chunks.select(
         "ref_id", "_chunk",
         F.last("_chunk_last", ignorenulls=True).over(w_ref).alias("_carry"),
         (F.count(F.lit(1)).over(w_ref) > 0).alias("_prev_chunk"),
     )
-    out = s.drop("_chunk_last").join(carry, ["ref_id", "_chunk"], "left")
+    out = local.join(carry, ["ref_id", "_chunk"], "left")
     return out.select(
         *[c for c in seq.columns],
         F.coalesce("_local_prior", "_carry").alias("prior_stamp"),
@@ -134,6 +137,10 @@ def classify_batch(store: DataFrame, incoming: DataFrame,
     seq = prior_stamps(keys.unionByName(stored), chunk_size)
     status = status_of(F.col("stamp"), F.col("prior_stamp"), F.col("seen_before"))
     seq = seq.withColumn("status", F.when(~F.col("is_store"), status))
+    # the narrow classified sequence feeds two consumers: materialise it once in
+    # the shared checkpoint folder (also cuts lineage for retries)
+    ensure_checkpoint_dir(seq.sparkSession)
+    seq = seq.checkpoint(eager=True)
     per_ref = seq.groupBy("ref_id").agg(
         F.max(F.when(F.col("status").isin(NEW, UPDATED), F.col("ord"))).alias("eff_ord"),
         F.max(F.col("is_store").cast("int")).cast("boolean").alias("in_store"),

@@ -14,6 +14,8 @@ from listforge.operators import store as ST
 from listforge.plans import bindings as B
 from listforge.plans.oracle import DOC_LISTINGS, with_ctes
 from listforge.plans.registry import register
+from listforge.session import scratch_path
+from listforge.sources import store_io as IO
 
 CUT = B.STORE_CUTOFF
 AS_OF_1 = CUT
@@ -40,11 +42,22 @@ def event_listings(spark, sf):
 
 
 def two_merges(spark, sf):
+    """Merge the early events into an empty store, save it, merge the late events.
+
+    As in a real run, the second merge reads the first store from its Parquet
+    snapshot, so the plans stay one merge deep.
+    """
     ev = event_listings(spark, sf)
     early = ev.where(F.col("ts") < F.lit(CUT).cast("timestamp"))
     late = ev.where(F.col("ts") >= F.lit(CUT).cast("timestamp"))
+    root = scratch_path(spark, "store")
     m1 = ST.merge_listings(ST.empty_store(spark), early, Q1, PLACE, AS_OF_1)
-    m2 = ST.merge_listings(m1.store, late, Q2, PLACE, AS_OF_2)
+    meta1 = {"created": None, "place": PLACE, "radius_km": B.RADIUS_KM}
+    IO.save_store(spark, root, m1.store, ST.store_metadata(m1.store, meta1, AS_OF_1, PLACE,
+                                                           B.RADIUS_KM))
+    store1 = IO.load_store(spark, root)
+    m1.store = store1
+    m2 = ST.merge_listings(store1, late, Q2, PLACE, AS_OF_2)
     return m1, m2, late
 
 
