@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from listforge import schemas as S
 from listforge.functions import columns as C
@@ -51,7 +52,10 @@ def published_within(df: DataFrame, as_of: str, days: int | None,
     if days is None:
         return df
     cutoff = F.date_sub(F.to_date(F.lit(as_of)), int(days))
-    return df.where(F.col(date_col).cast("date") >= cutoff)
+    if isinstance(df.schema[date_col].dataType, (T.TimestampType, T.TimestampNTZType)):
+        # date(ts) >= d  <=>  ts >= d 00:00, and the column stays bare (pushable)
+        return df.where(F.col(date_col) >= cutoff.cast(df.schema[date_col].dataType))
+    return df.where(F.col(date_col) >= cutoff)
 
 
 def incremental_window(explicit_days: int | None, store_exists: bool, has_history: bool,

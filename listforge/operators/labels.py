@@ -157,6 +157,17 @@ class TermOverlapScorer:
                 for b in batches]
 
 
+@dataclass
+class ReplayScorer:
+    """Replays recorded answers by batch number (e.g. from a RESPONSE table)."""
+
+    answers: dict
+    default: str = ""
+
+    def __call__(self, batches: list[BatchPrompt]) -> list[str]:
+        return [self.answers.get(b.batch_no, self.default) for b in batches]
+
+
 def run_scorer(prompts: DataFrame, scorer: Scorer, run_id: str) -> DataFrame:
     """Call the scorer once per batch inside Arrow batches -> RESPONSE rows."""
     ship_package(prompts.sparkSession)
