@@ -90,6 +90,18 @@ def _text_tier(pages: DataFrame, fn, col_name: str, options: P.ExtractOptions) -
     return inp.mapInPandas(run, out_schema)
 
 
+def tier_text(pages: DataFrame, tier: str,
+              options: P.ExtractOptions = P.DEFAULT_OPTIONS) -> DataFrame:
+    """One tier on its own for every page: 'json_ld' (X4), 'heavy_div' (X7), 'paragraphs' (X8)."""
+    fn = {"json_ld": P.json_ld_text, "heavy_div": P.heavy_div_text,
+          "paragraphs": P.paragraphs_text}[tier]
+    t = _text_tier(pages, fn, "tier_text", options)
+    return t.select("page_id", "tier_text",
+                    F.length("tier_text").cast("long").alias("tier_length"),
+                    (F.coalesce(F.length("tier_text"), F.lit(0)) >= options.min_valid_length)
+                    .alias("tier_ok"))
+
+
 def main_content(pages: DataFrame, options: P.ExtractOptions = P.DEFAULT_OPTIONS) -> DataFrame:
     """X5+X6 for every page: text of the main-content element after boilerplate removal."""
     t = _text_tier(pages, P.main_content_text, "main_text", options)

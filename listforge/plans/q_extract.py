@@ -127,3 +127,47 @@ def q_extract_listings(spark, sf):
     out = X.extract_listings(listings, pages, B.INTERNAL_BASE_URL)
     return out.select("ref_id", "batch_ord", "external_url", "details.success", "details.source",
                       "details.method", "details.warning", "details.text_length")
+
+
+@register("extract_json_ld")
+def q_extract_json_ld(spark, sf):
+    """X4 for every page (the corpus has no structured data: every row fails the tier)."""
+    return X.tier_text(B.table(spark, sf, "pages"), "json_ld")
+
+
+@register("heaviest_div")
+def q_heaviest_div(spark, sf):
+    """X7 for every page (rows-only check + unit tests)."""
+    return X.tier_text(B.table(spark, sf, "pages"), "heavy_div")
+
+
+@register("paragraphs")
+def q_paragraphs(spark, sf):
+    """X8 for every page, nested paragraphs counted as the tree has them (unit tests)."""
+    return X.tier_text(B.table(spark, sf, "pages"), "paragraphs")
+
+
+_INTERNAL_TEXT = Q.clean(Q.decode_entities(Q.tags_to_space(_ARTICLE)))
+
+
+@register("extract_internal", f"""
+SELECT page_id,
+       CASE WHEN strpos(html, '<article') > 0 THEN true ELSE false END AS success,
+       CASE WHEN strpos(html, '<article') > 0 THEN {_INTERNAL_TEXT} END AS text,
+       CASE WHEN strpos(html, '<article') > 0 THEN NULL ELSE 'NO_CONTENT' END AS warning
+FROM pages""")
+def q_extract_internal(spark, sf):
+    """X10 with the content element as a parameter ('article'): no length threshold."""
+    from listforge.functions.page_text import ExtractOptions
+
+    pages = B.table(spark, sf, "pages").withColumn("route", F.lit(S.SOURCE_INTERNAL))
+    out = X.extract_corpus(pages, ExtractOptions(internal_selector="article"))
+    return out.select("page_id", "details.success", "details.text", "details.warning")
+
+
+@register("load_html_corpus", """
+SELECT page_id, url, CAST(length(html) AS BIGINT) AS html_length FROM pages""")
+def q_load_html_corpus(spark, sf):
+    """A5: the landed HTML corpus as the extraction input."""
+    p = B.table(spark, sf, "pages")
+    return p.select("page_id", "url", F.length("html").cast("long").alias("html_length"))

@@ -172,3 +172,15 @@ def q_index_with_category(spark, sf):
     idx = RS.index_jobs(meta, RS.extract_reasoning(responses(spark, sf)))
     out = RS.index_with_category(idx.select("batch_no", "ref_id"), meta)
     return out.select("batch_no", "ref_id", "category")
+
+
+@register("token_totals", _CONV + """
+SELECT CAST(sum(CASE WHEN conv_id % 4 = 3 THEN 0 ELSE pt END) AS BIGINT) AS prompt_tokens,
+       CAST(sum(CASE WHEN conv_id % 4 = 3 THEN 0 ELSE ct END) AS BIGINT) AS completion_tokens,
+       CAST(sum(CASE WHEN conv_id % 4 = 3 THEN 0 ELSE pt + ct END) AS BIGINT) AS total_tokens,
+       CAST(sum(CASE WHEN conv_id % 4 = 3 THEN 0 ELSE na * 10 END) AS BIGINT) AS reasoning_tokens,
+       CAST(count(*) AS BIGINT) AS batches
+FROM resp""")
+def q_token_totals(spark, sf):
+    """Totals per run."""
+    return RS.token_totals(responses(spark, sf)).drop("run_id")

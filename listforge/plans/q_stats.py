@@ -137,3 +137,11 @@ UNION ALL
 SELECT 'problem_domain', domain, total, success_rate FROM prob""")
 def q_extraction_report(spark, sf):
     return ST.extraction_report(B.doc_listings(spark, sf))
+
+
+@register("primary_value", _DOMAIN_CORE + """
+SELECT domain, primary_warning, primary_method FROM core""")
+def q_primary_value(spark, sf):
+    """most frequent warning and method per domain, first seen wins ties."""
+    return ST.stats_by_domain(B.doc_listings(spark, sf)).select(
+        "domain", "primary_warning", "primary_method")

@@ -338,3 +338,30 @@ SELECT ref_id, title, employer, city FROM doc_listings""")
 def q_all_listings(spark, sf):
     s = doc_store(spark, sf)
     return s.select("ref_id", "title", "employer", F.col("location.city").alias("city"))
+
+
+@register("save_store", _DOC + f"""
+SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(*) AS BIGINT) AS active,
+       '{PLACE}' AS place, {B.RADIUS_KM} AS radius_km, '{AS_OF_1}' AS created
+FROM doc_listings""")
+def q_save_store(spark, sf):
+    """A4: the document store written as a snapshot; its metadata row read back."""
+    store = doc_store(spark, sf)
+    root = scratch_path(spark, "store")
+    IO.save_store(spark, root, store, ST.store_metadata(store, None, AS_OF_1, PLACE, B.RADIUS_KM))
+    meta = spark.read.parquet(f"{root}/{IO.current_snapshot(spark, root)}/meta")
+    return meta.select("total", "active", "place", "radius_km",
+                       F.date_format("created", TS_FMT).alias("created"))
+
+
+@register("load_store", _DOC + """
+SELECT ref_id, title, employer, city, d_text_length AS text_length FROM doc_listings""")
+def q_load_store(spark, sf):
+    """A3: a missing store loads empty; a saved one loads whole."""
+    root = scratch_path(spark, "store")
+    empty = IO.load_store(spark, root)
+    store = doc_store(spark, sf)
+    IO.save_store(spark, root, store, ST.store_metadata(store, None, AS_OF_1, PLACE, B.RADIUS_KM))
+    loaded = empty.unionByName(IO.load_store(spark, root))
+    return loaded.select("ref_id", "title", "employer", F.col("location.city").alias("city"),
+                         F.col("details.text_length").alias("text_length"))
