@@ -4,8 +4,9 @@ A plain ``row_number().over(Window.orderBy(...))`` moves every row into one
 task.  Here rows are range-partitioned on the order, sorted inside each
 partition and numbered locally; per-partition counts (one row per partition,
 so their size is bounded by the partition count) give each partition its
-offset.  The ranged input is checkpointed to the shared checkpoint folder first
-so partition ids and in-partition positions stay fixed if a task is retried.
+offset.  The ranged input (with its partition id and position columns) is written
+once to the shared checkpoint folder first, so those values stay fixed if a task
+is retried.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from listforge.session import ensure_checkpoint_dir
+from listforge.session import materialize
 
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row position in the low 33 bits
 
@@ -32,8 +33,8 @@ def global_index(df: DataFrame, order_cols: list, name: str = "row_idx",
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_mono", F.monotonically_increasing_id()))
     if checkpoint:
-        ensure_checkpoint_dir(spark)
-        ranged = ranged.checkpoint(eager=True)
+        # fixes partition ids and in-partition positions as written columns
+        ranged = materialize(ranged, "ranged-index")
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     # one row per partition: a bounded, tiny table
     offsets = counts.select(

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from listforge import schemas as S
-from listforge.session import ensure_checkpoint_dir
+from listforge.session import materialize
 
 NEW, UPDATED, UNCHANGED = "new", "updated", "unchanged"
 DEFAULT_CHUNK = 1 << 20
@@ -96,7 +96,8 @@ def prior_stamps(seq: DataFrame, chunk_size: int = DEFAULT_CHUNK) -> DataFrame:
     before = w_local.rowsBetween(Window.unboundedPreceding, -1)
     local = (s.withColumn("_local_prior", F.last("stamp", ignorenulls=True).over(before))
              .withColumn("_local_rn", F.row_number().over(w_local)))
-    # one row per (ref, chunk): bounded by rows / chunk_size for a hot ref
+    # one row per (ref, chunk): bounded by rows / chunk_size for a hot ref; partial
+    # aggregation keeps this shuffle at about one row per (ref, chunk, map task)
     chunks = s.groupBy("ref_id", "_chunk").agg(
         F.max_by("stamp", F.when(F.col("stamp").isNotNull(), F.col("ord"))).alias("_chunk_last"))
     w_ref = Window.partitionBy("ref_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -139,8 +140,7 @@ def classify_batch(store: DataFrame, incoming: DataFrame,
     seq = seq.withColumn("status", F.when(~F.col("is_store"), status))
     # the narrow classified sequence feeds two consumers: materialise it once in
     # the shared checkpoint folder (also cuts lineage for retries)
-    ensure_checkpoint_dir(seq.sparkSession)
-    seq = seq.checkpoint(eager=True)
+    seq = materialize(seq, "merge-seq")
     per_ref = seq.groupBy("ref_id").agg(
         F.max(F.when(F.col("status").isin(NEW, UPDATED), F.col("ord"))).alias("eff_ord"),
         F.max(F.col("is_store").cast("int")).cast("boolean").alias("in_store"),

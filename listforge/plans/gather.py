@@ -87,7 +87,7 @@ def gather(spark: SparkSession, landing: str, store_root: str, pages: DataFrame
         snap = None
         if use_store:
             snap = IO.save_store(spark, store_root, new_store,
-                                 ST.store_metadata(new_store, meta, as_of, place, radius_km))
+                                 lambda w: ST.store_metadata(w, meta, as_of, place, radius_km))
             new_store = IO.load_store(spark, store_root)
         flat = FL.flatten_listing(processed) if enable_extraction is False else None
         summary = gather_summary(found, processed, processed if not enable_extraction else None,
@@ -101,7 +101,7 @@ def gather(spark: SparkSession, landing: str, store_root: str, pages: DataFrame
         with_details = ST.attach_details(new_store, detailed.select("ref_id", "batch_ord",
                                                                      "details"))
         snap = IO.save_store(spark, store_root, with_details,
-                             ST.store_metadata(with_details, meta, as_of, place, radius_km))
+                             lambda w: ST.store_metadata(w, meta, as_of, place, radius_km))
         new_store = IO.load_store(spark, store_root)
     summary = gather_summary(found, detailed, ok, failed, classified, new_store)
     return GatherResult(ok, failed, summary, processed, snap)

@@ -53,8 +53,8 @@ def two_merges(spark, sf):
     root = scratch_path(spark, "store")
     m1 = ST.merge_listings(ST.empty_store(spark), early, Q1, PLACE, AS_OF_1)
     meta1 = {"created": None, "place": PLACE, "radius_km": B.RADIUS_KM}
-    IO.save_store(spark, root, m1.store, ST.store_metadata(m1.store, meta1, AS_OF_1, PLACE,
-                                                           B.RADIUS_KM))
+    IO.save_store(spark, root, m1.store,
+                  lambda written: ST.store_metadata(written, meta1, AS_OF_1, PLACE, B.RADIUS_KM))
     store1 = IO.load_store(spark, root)
     m1.store = store1
     m2 = ST.merge_listings(store1, late, Q2, PLACE, AS_OF_2)
@@ -348,7 +348,8 @@ def q_save_store(spark, sf):
     """A4: the document store written as a snapshot; its metadata row read back."""
     store = doc_store(spark, sf)
     root = scratch_path(spark, "store")
-    IO.save_store(spark, root, store, ST.store_metadata(store, None, AS_OF_1, PLACE, B.RADIUS_KM))
+    IO.save_store(spark, root, store,
+                  lambda written: ST.store_metadata(written, None, AS_OF_1, PLACE, B.RADIUS_KM))
     meta = spark.read.parquet(f"{root}/{IO.current_snapshot(spark, root)}/meta")
     return meta.select("total", "active", "place", "radius_km",
                        F.date_format("created", TS_FMT).alias("created"))
@@ -361,7 +362,8 @@ def q_load_store(spark, sf):
     root = scratch_path(spark, "store")
     empty = IO.load_store(spark, root)
     store = doc_store(spark, sf)
-    IO.save_store(spark, root, store, ST.store_metadata(store, None, AS_OF_1, PLACE, B.RADIUS_KM))
+    IO.save_store(spark, root, store,
+                  lambda written: ST.store_metadata(written, None, AS_OF_1, PLACE, B.RADIUS_KM))
     loaded = empty.unionByName(IO.load_store(spark, root))
     return loaded.select("ref_id", "title", "employer", F.col("location.city").alias("city"),
                          F.col("details.text_length").alias("text_length"))

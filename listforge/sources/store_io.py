@@ -77,14 +77,21 @@ def load_metadata(spark: SparkSession, root: str) -> dict | None:
     return rows[0].asDict() if rows else None
 
 
-def save_store(spark: SparkSession, root: str, store: DataFrame, metadata: DataFrame,
+def save_store(spark: SparkSession, root: str, store: DataFrame, metadata,
                snapshot_id: str | None = None, keep: int = 2) -> str:
-    """A4: write a new snapshot, then publish it.  Idempotent for a given snapshot id."""
+    """A4: write a new snapshot, then publish it.  Idempotent for a given snapshot id.
+
+    ``metadata`` is the one-row STORE_META frame, or a function that builds it
+    from the written store.
+    """
     root = root.rstrip("/")
     snap = snapshot_id or "snap-" + datetime.now(timezone.utc).strftime("%Y%m%d%H%M%S") + \
         "-" + uuid.uuid4().hex[:6]
     store.select(*[f.name for f in S.STORE.fields]).write.mode("overwrite").parquet(
         f"{root}/{snap}/data")
+    if callable(metadata):
+        # metadata from the written snapshot: the store plan is not run a second time
+        metadata = metadata(spark.read.schema(S.STORE).parquet(f"{root}/{snap}/data"))
     metadata.select(*[f.name for f in S.STORE_META.fields]).coalesce(1).write.mode(
         "overwrite").parquet(f"{root}/{snap}/meta")
     _write_text_atomic(spark, f"{root}/{POINTER}", snap)

@@ -37,7 +37,7 @@ def merge_batch(spark: SparkSession, batch: DataFrame, batch_id: int, store_root
         batch = _drop_older(batch, store)
     merged = ST.merge_listings(store, batch, query, place, as_of)
     IO.save_store(spark, store_root, merged.store,
-                  ST.store_metadata(merged.store, meta, as_of, place, radius_km),
+                  lambda written: ST.store_metadata(written, meta, as_of, place, radius_km),
                   snapshot_id=snap_id)
 
 
