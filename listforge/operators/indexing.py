@@ -48,3 +48,28 @@ def global_index(df: DataFrame, order_cols: list, name: str = "row_idx",
     return (ranged.join(F.broadcast(offsets), "_pid")
             .withColumn(name, (F.col("_off") + local).cast("long"))
             .drop("_pid", "_mono", "_off"))
+
+
+def running_sum(df: DataFrame, part_cols: list[str], order_col: str, value_col: str,
+                name: str = "running", chunk_size: int = 1 << 16) -> DataFrame:
+    """Exact inclusive running sum of ``value_col`` per ``part_cols`` ordered by ``order_col``.
+
+    Two levels, so one huge partition key is still spread over many tasks:
+    a window inside (key, order chunk) and the chunk totals carried forward
+    over a table with one row per (key, chunk).  ``order_col`` must be an
+    integer column that is unique within a key.
+    """
+    keys = list(part_cols)
+    chunk = F.floor(F.col(order_col) / F.lit(chunk_size)).cast("long")
+    s = df.withColumn("_rs_chunk", chunk)
+    w_local = Window.partitionBy(*keys, "_rs_chunk").orderBy(order_col).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    local = s.withColumn("_rs_local", F.sum(value_col).over(w_local))
+    totals = s.groupBy(*keys, "_rs_chunk").agg(F.sum(value_col).alias("_rs_total"))
+    w_chunks = Window.partitionBy(*keys).orderBy("_rs_chunk").rowsBetween(
+        Window.unboundedPreceding, -1)
+    carry = totals.select(*keys, "_rs_chunk",
+                          F.coalesce(F.sum("_rs_total").over(w_chunks), F.lit(0)).alias("_rs_carry"))
+    return (local.join(carry, keys + ["_rs_chunk"], "left")
+            .withColumn(name, F.col("_rs_local") + F.coalesce("_rs_carry", F.lit(0)))
+            .drop("_rs_chunk", "_rs_local", "_rs_carry"))

@@ -8,17 +8,17 @@ order and the position inside the page as ``batch_ord``.
 when ``search_col`` is given): pages are taken from 1 upward; reading stops
 *before* the first missing, failed or empty page, *after* ``max_pages``, and
 *after* the first page where the running count of kept (keyword-filtered)
-listings reaches that page's total (a missing total counts as 0).  The windows
-run per search over at most ``max_pages`` rows.
+listings reaches that page's total (a missing total counts as 0).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from listforge import schemas as S
 from listforge.operators.filters import keyword_hit
+from listforge.operators.indexing import running_sum
 
 POS_BITS = 32
 
@@ -47,22 +47,38 @@ def page_listings(pages: DataFrame, search_col: str | None = None) -> DataFrame:
 
 def page_totals(pages: DataFrame, keywords: list[str] | None = None,
                 search_col: str | None = None, title_col: str = "title") -> DataFrame:
-    """per page the kept listing count and the running kept count."""
+    """per page the kept listing count and the running kept count of its search.
+
+    The running count is an exact two-level prefix sum, and a missing earlier
+    page is found by an anti join with each page's successor, so one search with
+    very many pages is still spread over many tasks.
+    """
     kws = S.DEFAULT_EXCLUDE_KEYWORDS if keywords is None else keywords
-    keys = [search_col] if search_col else []
+    single = search_col is None
+    if single:
+        pages = pages.withColumn("_search", F.lit(0))
+        search_col = "_search"
     lst = F.coalesce(F.col("listings"), F.array().cast(S.SEARCH_PAGE["listings"].dataType))
     if kws:
         kept = F.size(F.filter(lst, lambda x: ~keyword_hit(x[title_col], kws)))
     else:
         kept = F.size(lst)
     per_page = pages.select(
-        *keys, "page", F.coalesce(F.col("status"), F.lit(200)).alias("status"),
+        search_col, "page", F.coalesce(F.col("status"), F.lit(200)).alias("status"),
         F.size(lst).alias("n_listings"), kept.cast("long").alias("kept"),
         F.coalesce(F.col("total").cast("long"), F.lit(0)).alias("total"))
-    w = Window.partitionBy(*[F.col(k) for k in keys]) if keys else Window.partitionBy(F.lit(1))
-    run = w.orderBy("page").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return per_page.withColumn("running", F.sum("kept").over(run).cast("long")) \
-        .withColumn("_seq", F.row_number().over(w.orderBy("page")))
+    out = running_sum(per_page, [search_col], "page", "kept")
+    # first missing page: 1 when page 1 is absent, else the smallest p + 1 not landed
+    present = per_page.select(search_col, "page")
+    succ = present.select(search_col, (F.col("page") - 1).alias("page"))
+    last_run = present.join(succ, [search_col, "page"], "left_anti")
+    first_gap = last_run.groupBy(search_col).agg((F.min("page") + 1).alias("_gap"))
+    has_first = present.where(F.col("page") == 1).select(search_col, F.lit(True).alias("_has1"))
+    out = (out.join(first_gap, search_col, "left").join(has_first, search_col, "left")
+           .withColumn("first_missing",
+                       F.when(F.col("_has1").isNull(), F.lit(1)).otherwise(F.col("_gap")))
+           .drop("_gap", "_has1"))
+    return out.drop("_search") if single else out
 
 
 def page_prefix(pages: DataFrame, max_pages: int, keywords: list[str] | None = None,
@@ -74,10 +90,11 @@ def page_prefix(pages: DataFrame, max_pages: int, keywords: list[str] | None = N
         search_col = "_search"
     t = page_totals(pages, keywords, search_col, title_col).where(F.col("page") <= max_pages)
     stop_before = F.when((F.col("status") != 200) | (F.col("n_listings") == 0)
-                         | (F.col("_seq") != F.col("page")), F.col("page"))
+                         | (F.col("page") > F.col("first_missing")), F.col("page"))
     stop_after = F.when(F.col("running") >= F.col("total"), F.col("page"))
     limits = t.groupBy(search_col).agg(
-        F.min(stop_before).alias("_before"), F.min(stop_after).alias("_after"))
+        F.least(F.min(stop_before), F.min("first_missing")).alias("_before"),
+        F.min(stop_after).alias("_after"))
     last = F.least(F.coalesce(F.col("_before") - 1, F.lit(max_pages)),
                    F.coalesce(F.col("_after"), F.lit(max_pages)), F.lit(max_pages))
     # one row per search
