@@ -1,15 +1,16 @@
 """Queries for responses and reasoning.
 
-Binding: each conversation is one scored batch (batch_no = conv_id).  Its user
-turns are the batch's listings (ref 'JOB_<turn>', title 'turn <turn>', city
-'c<conv_id>', employer = role).  Assistant turns are the reasoning, each
-prefixed with a mention of the turn before it ('[JOB_<turn-1>]') and with a
-numeric reference '[<conv_id>-<turn>-A]'.  The response JSON carries the
-reasoning as text when conv_id % 3 = 0, only as reasoning details when
-conv_id % 3 = 1, and none otherwise; conversations with conv_id % 5 = 4 have
-no choices; usage is missing when conv_id % 4 = 3.  Content = last user turn.
-Listing labels for C5: Good Match when the user text is over 200 characters,
-else Poor Match.
+Binding: every assistant turn of `conversations` is one scored batch
+(batch_no = conv_id * 1000000 + turn); its listing is the user turn just before
+it, if there is one (ref 'JOB_<turn>', title 'turn <turn>', city 'c<conv_id>',
+employer 'user').  The reasoning is the assistant text prefixed with a mention
+of that listing ('[JOB_<turn-1>]') and a numeric reference '[<conv_id>-<turn>-A]'.
+The response JSON carries the reasoning as text when conv_id % 3 = 0, as
+reasoning details (a summary item, then one item per line) when conv_id % 3 = 1,
+and none otherwise; there are no choices when conv_id % 5 = 4 and no usage when
+conv_id % 4 = 3.  Content = the preceding user text.  Listing labels for C5:
+Good Match when the user text is over 200 characters, else Poor Match.
+Every row is built from at most two turns: no conversation is collected.
 """
 
 from pyspark.sql import functions as F
@@ -20,131 +21,142 @@ from listforge.plans.registry import register
 
 BASE = B.INTERNAL_BASE_URL
 RUN = "reasoning-q"
+SPAN = 1000000
 
 
-def responses(spark, sf):
+def _turns(spark, sf):
     c = B.table(spark, sf, "conversations")
-    asst = F.col("role") == "assistant"
-    user = F.col("role") == "user"
+    a = c.where(F.col("role") == "assistant").select("conv_id", "turn", F.col("text").alias("a_text"))
+    u = c.where(F.col("role") == "user").select(
+        "conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("u_text"))
+    # (conv_id, turn) is unique: a one-to-one join
+    return a.join(u, ["conv_id", "turn"], "left").withColumn(
+        "batch_no", F.col("conv_id") * SPAN + F.col("turn"))
+
+
+def responses(spark, sf):
+    t = _turns(spark, sf)
     piece = F.concat(F.lit("[JOB_"), (F.col("turn") - 1).cast("string"), F.lit("] ["),
                      F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"),
-                     F.lit("-A] "), F.col("text"))
-    # one conversation is a bounded group (its turns)
-    g = c.groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.when(asst, F.struct("turn", piece.alias("t"))))).alias("a"),
-        F.max_by(F.when(user, F.col("text")), F.when(user, F.col("turn"))).alias("last_user"),
-        F.sum(F.when(user, F.length("text")).otherwise(0)).alias("pt"),
-        F.sum(F.when(asst, F.length("text")).otherwise(0)).alias("ct"),
-        F.count_if(asst).alias("na"),
-    )
-    texts = F.transform("a", lambda x: x["t"])
-    reasoning = F.when(F.col("conv_id") % 3 == 0, F.array_join(texts, "\n"))
-    details = F.when(F.col("conv_id") % 3 == 1, F.transform(
-        texts, lambda t: F.struct(F.lit("reasoning.text").alias("type"), t.alias("text"))))
-    message = F.struct(F.col("last_user").alias("content"), reasoning.alias("reasoning"),
-                       details.alias("reasoning_details"))
+                     F.lit("-A] "), F.col("a_text"))
+    details = F.concat(
+        F.array(F.struct(F.lit("reasoning.summary").alias("type"), F.lit("summary").alias("text"))),
+        F.transform(F.split(piece, "\n"),
+                    lambda x: F.struct(F.lit("reasoning.text").alias("type"), x.alias("text"))))
+    message = F.struct(F.col("u_text").alias("content"),
+                       F.when(F.col("conv_id") % 3 == 0, piece).alias("reasoning"),
+                       F.when(F.col("conv_id") % 3 == 1, details).alias("reasoning_details"))
     choices = F.when(F.col("conv_id") % 5 == 4, F.array()).otherwise(
         F.array(F.struct(message.alias("message"))))
+    pt = F.coalesce(F.length("u_text"), F.lit(0))
+    ct = F.length("a_text")
     usage = F.when(F.col("conv_id") % 4 != 3, F.struct(
-        F.col("pt").alias("prompt_tokens"), F.col("ct").alias("completion_tokens"),
-        (F.col("pt") + F.col("ct")).alias("total_tokens"),
-        F.struct((F.col("na") * 10).alias("reasoning_tokens")).alias("completion_tokens_details")))
-    body = F.struct(F.concat(F.lit("resp-"), F.col("conv_id").cast("string")).alias("id"),
+        pt.alias("prompt_tokens"), ct.alias("completion_tokens"), (pt + ct).alias("total_tokens"),
+        F.struct(F.lit(10).alias("reasoning_tokens")).alias("completion_tokens_details")))
+    body = F.struct(F.concat(F.lit("resp-"), F.col("batch_no").cast("string")).alias("id"),
                     F.lit("stand-in-model").alias("model"), choices.alias("choices"),
                     usage.alias("usage"))
-    return g.select(F.lit(RUN).alias("run_id"), F.col("conv_id").cast("int").alias("batch_no"),
-                    F.col("last_user").alias("content"), F.to_json(body).alias("raw_json"))
+    return t.select(F.lit(RUN).alias("run_id"), "batch_no", F.col("u_text").alias("content"),
+                    F.to_json(body).alias("raw_json"))
 
 
 def batch_meta(spark, sf):
-    c = B.table(spark, sf, "conversations").where(F.col("role") == "user")
-    return c.select(F.col("conv_id").cast("int").alias("batch_no"),
-                    F.concat(F.lit("JOB_"), F.col("turn").cast("string")).alias("ref_id"),
-                    F.concat(F.lit("turn "), F.col("turn").cast("string")).alias("title"),
-                    F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("city"),
-                    F.col("role").alias("employer"),
-                    F.when(F.length("text") > 200, F.array(F.lit("Good Match")))
-                    .otherwise(F.array(F.lit("Poor Match"))).alias("categories"),
-                    F.col("conv_id").alias("ord"))
+    t = _turns(spark, sf).where(F.col("u_text").isNotNull())
+    return t.select(
+        "batch_no",
+        F.concat(F.lit("JOB_"), (F.col("turn") - 1).cast("string")).alias("ref_id"),
+        F.concat(F.lit("turn "), (F.col("turn") - 1).cast("string")).alias("title"),
+        F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("city"),
+        F.lit("user").alias("employer"),
+        F.when(F.length("u_text") > 200, F.array(F.lit("Good Match")))
+        .otherwise(F.array(F.lit("Poor Match"))).alias("categories"),
+        (F.col("batch_no") - 1).alias("ord"))
 
 
 _WS = RS._WS
+_STRIP = f"'^{_WS}+|{_WS}+$'"
 _CONV = f"""
-WITH c AS (SELECT * FROM conversations),
-a AS (SELECT conv_id, string_agg('[JOB_' || CAST(turn - 1 AS VARCHAR) || '] ['
-                                 || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR)
-                                 || '-A] ' || text, chr(10) ORDER BY turn) AS r,
-             list(regexp_replace('[JOB_' || CAST(turn - 1 AS VARCHAR) || '] ['
-                                 || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR)
-                                 || '-A] ' || text, '^{_WS}+|{_WS}+$', '', 'g') ORDER BY turn) AS dl,
-             count(*) AS na, sum(length(text)) AS ct
-      FROM c WHERE role = 'assistant' GROUP BY conv_id),
-u AS (SELECT conv_id, arg_max(text, turn) AS last_user, sum(length(text)) AS pt
-      FROM c WHERE role = 'user' GROUP BY conv_id),
-conv AS (SELECT DISTINCT conv_id FROM c),
-resp AS (SELECT conv.conv_id, u.last_user, coalesce(u.pt, 0) AS pt, coalesce(a.ct, 0) AS ct,
-                coalesce(a.na, 0) AS na, a.r, a.dl
-         FROM conv LEFT JOIN u USING (conv_id) LEFT JOIN a USING (conv_id)),
+WITH a AS (SELECT conv_id, turn, text AS a_text FROM conversations WHERE role = 'assistant'),
+u AS (SELECT conv_id, turn + 1 AS turn, text AS u_text FROM conversations WHERE role = 'user'),
+t AS (SELECT a.conv_id, a.turn, a.a_text, u.u_text, a.conv_id * {SPAN} + a.turn AS batch_no,
+             '[JOB_' || CAST(a.turn - 1 AS VARCHAR) || '] [' || CAST(a.conv_id AS VARCHAR) || '-'
+               || CAST(a.turn AS VARCHAR) || '-A] ' || a.a_text AS piece
+      FROM a LEFT JOIN u ON a.conv_id = u.conv_id AND a.turn = u.turn),
 reason AS (
-  SELECT conv_id,
-         CASE WHEN conv_id % 3 = 0 THEN regexp_replace(r, '^{_WS}+|{_WS}+$', '', 'g')
-              ELSE array_to_string(list_filter(dl, lambda t: t <> ''), chr(10)) END AS reasoning,
-         CASE WHEN conv_id % 4 = 3 THEN 0 ELSE pt + ct END AS total_tokens,
-         CASE WHEN conv_id % 4 = 3 THEN 0 ELSE na * 10 END AS reasoning_tokens
-  FROM resp
+  SELECT conv_id, batch_no,
+         CASE WHEN conv_id % 3 = 0 THEN regexp_replace(piece, {_STRIP}, '', 'g')
+              ELSE array_to_string(list_filter(list_transform(string_split(piece, chr(10)),
+                     lambda x: regexp_replace(x, {_STRIP}, '', 'g')), lambda x: x <> ''), chr(10))
+         END AS reasoning,
+         CASE WHEN conv_id % 4 = 3 THEN 0 ELSE coalesce(length(u_text), 0) + length(a_text) END
+           AS total_tokens,
+         CASE WHEN conv_id % 4 = 3 THEN 0 ELSE 10 END AS reasoning_tokens
+  FROM t
   WHERE conv_id % 5 <> 4
-    AND ((conv_id % 3 = 0 AND coalesce(r, '') <> '') OR (conv_id % 3 = 1 AND len(dl) > 0))),
-meta AS (SELECT CAST(conv_id AS INTEGER) AS batch_no, 'JOB_' || CAST(turn AS VARCHAR) AS ref_id,
-                'turn ' || CAST(turn AS VARCHAR) AS title, 'c' || CAST(conv_id AS VARCHAR) AS city,
-                role AS employer,
-                CASE WHEN length(text) > 200 THEN 'Good Match' ELSE 'Poor Match' END AS category,
-                conv_id AS ord
-         FROM c WHERE role = 'user')
+    AND ((conv_id % 3 = 0 AND coalesce(piece, '') <> '') OR conv_id % 3 = 1)),
+meta AS (SELECT batch_no, 'JOB_' || CAST(turn - 1 AS VARCHAR) AS ref_id,
+                'turn ' || CAST(turn - 1 AS VARCHAR) AS title, 'c' || CAST(conv_id AS VARCHAR) AS city,
+                'user' AS employer,
+                CASE WHEN length(u_text) > 200 THEN 'Good Match' ELSE 'Poor Match' END AS category,
+                batch_no - 1 AS ord
+         FROM t WHERE u_text IS NOT NULL)
 """
 
 
 @register("response_content", _CONV + """
-SELECT CAST(conv_id AS INTEGER) AS batch_no,
-       CASE WHEN conv_id % 5 = 4 THEN '' ELSE coalesce(last_user, '') END AS content
-FROM resp""")
+SELECT batch_no, CASE WHEN conv_id % 5 = 4 THEN '' ELSE coalesce(u_text, '') END AS content FROM t""")
 def q_response_content(spark, sf):
     return RS.response_content(responses(spark, sf)).select("batch_no", "content")
 
 
 @register("extract_reasoning", _CONV + """
-SELECT CAST(conv_id AS INTEGER) AS batch_no, 'stand-in-model' AS model,
-       'resp-' || CAST(conv_id AS VARCHAR) AS response_id, CAST(total_tokens AS BIGINT) AS total_tokens,
-       CAST(reasoning_tokens AS BIGINT) AS reasoning_tokens, reasoning
+SELECT batch_no, 'stand-in-model' AS model, 'resp-' || CAST(batch_no AS VARCHAR) AS response_id,
+       CAST(total_tokens AS BIGINT) AS total_tokens, CAST(reasoning_tokens AS BIGINT) AS reasoning_tokens,
+       reasoning
 FROM reason""")
 def q_extract_reasoning(spark, sf):
     return RS.extract_reasoning(responses(spark, sf)).drop("run_id")
 
 
-@register("token_usage", _CONV + """
-SELECT CAST(conv_id AS INTEGER) AS batch_no,
-       CAST(CASE WHEN conv_id % 4 = 3 THEN 0 ELSE pt END AS BIGINT) AS prompt_tokens,
-       CAST(CASE WHEN conv_id % 4 = 3 THEN 0 ELSE ct END AS BIGINT) AS completion_tokens,
-       CAST(CASE WHEN conv_id % 4 = 3 THEN 0 ELSE pt + ct END AS BIGINT) AS total_tokens,
-       CAST(CASE WHEN conv_id % 4 = 3 THEN 0 ELSE na * 10 END AS BIGINT) AS reasoning_tokens
-FROM resp""")
+_USAGE = """
+SELECT batch_no,
+       CAST(CASE WHEN conv_id % 4 = 3 THEN 0 ELSE coalesce(length(u_text), 0) END AS BIGINT)
+         AS prompt_tokens,
+       CAST(CASE WHEN conv_id % 4 = 3 THEN 0 ELSE length(a_text) END AS BIGINT) AS completion_tokens,
+       CAST(CASE WHEN conv_id % 4 = 3 THEN 0 ELSE coalesce(length(u_text), 0) + length(a_text) END
+            AS BIGINT) AS total_tokens,
+       CAST(CASE WHEN conv_id % 4 = 3 THEN 0 ELSE 10 END AS BIGINT) AS reasoning_tokens
+FROM t"""
+
+
+@register("token_usage", _CONV + _USAGE)
 def q_token_usage(spark, sf):
     return RS.token_usage(responses(spark, sf)).drop("run_id")
 
 
+@register("token_totals", _CONV + f""",
+usage AS ({_USAGE})
+SELECT CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens,
+       CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens,
+       CAST(sum(total_tokens) AS BIGINT) AS total_tokens,
+       CAST(sum(reasoning_tokens) AS BIGINT) AS reasoning_tokens, CAST(count(*) AS BIGINT) AS batches
+FROM usage""")
+def q_token_totals(spark, sf):
+    """Totals per run."""
+    return RS.token_totals(responses(spark, sf)).drop("run_id")
+
+
 @register("resolve_mentions", _CONV + f""",
-m AS (SELECT conv_id, unnest(regexp_extract_all(reasoning, '{RS.MENTION_PATTERN}', 1)) AS ref_id
-      FROM reason),
-mn AS (SELECT CAST(conv_id AS INTEGER) AS batch_no, ref_id,
-              CAST(row_number() OVER (PARTITION BY conv_id ORDER BY ref_id) AS BIGINT) AS k
-       FROM m)
-SELECT mn.batch_no, mn.ref_id,
+m AS (SELECT batch_no, unnest(regexp_extract_all(reasoning, '{RS.MENTION_PATTERN}', 1)) AS ref_id
+      FROM reason)
+SELECT m.batch_no, m.ref_id,
        CASE WHEN meta.ref_id IS NOT NULL THEN 'known'
-            WHEN starts_with(mn.ref_id, 'JOB_') THEN 'unresolved' ELSE 'link' END AS status,
-       CASE WHEN meta.ref_id IS NOT NULL OR NOT starts_with(mn.ref_id, 'JOB_')
-            THEN '{BASE}/' || mn.ref_id END AS link,
+            WHEN starts_with(m.ref_id, 'JOB_') THEN 'unresolved' ELSE 'link' END AS status,
+       CASE WHEN meta.ref_id IS NOT NULL OR NOT starts_with(m.ref_id, 'JOB_')
+            THEN '{BASE}/' || m.ref_id END AS link,
        CASE WHEN meta.ref_id IS NOT NULL
             THEN meta.title || ' | ' || meta.city || ' | ' || meta.employer END AS tooltip
-FROM mn LEFT JOIN meta ON meta.batch_no = mn.batch_no AND meta.ref_id = mn.ref_id""")
+FROM m LEFT JOIN meta ON meta.batch_no = m.batch_no AND meta.ref_id = m.ref_id""")
 def q_resolve_mentions(spark, sf):
     out = RS.resolve_mentions(RS.extract_reasoning(responses(spark, sf)), batch_meta(spark, sf), BASE)
     return out.select("batch_no", "ref_id", "status", "link", "tooltip")
@@ -154,16 +166,14 @@ def q_resolve_mentions(spark, sf):
 sizes AS (SELECT batch_no, CAST(count(*) AS BIGINT) AS batch_size FROM meta GROUP BY batch_no)
 SELECT meta.batch_no, ref_id, title, city, employer, batch_size
 FROM meta JOIN sizes USING (batch_no)
-WHERE batch_no IN (SELECT CAST(conv_id AS INTEGER) FROM reason)""")
+WHERE batch_no IN (SELECT batch_no FROM reason)""")
 def q_index_jobs(spark, sf):
     idx = RS.index_jobs(batch_meta(spark, sf), RS.extract_reasoning(responses(spark, sf)))
     return idx.select("batch_no", "ref_id", "title", "city", "employer", "batch_size")
 
 
 @register("index_with_category", _CONV + """,
-sizes AS (SELECT batch_no, count(*) AS batch_size FROM meta GROUP BY batch_no),
-idx AS (SELECT batch_no, ref_id FROM meta
-        WHERE batch_no IN (SELECT CAST(conv_id AS INTEGER) FROM reason)),
+idx AS (SELECT batch_no, ref_id FROM meta WHERE batch_no IN (SELECT batch_no FROM reason)),
 cat AS (SELECT ref_id, arg_max(category, ord) AS category FROM meta GROUP BY ref_id)
 SELECT idx.batch_no, idx.ref_id, coalesce(cat.category, '') AS category
 FROM idx LEFT JOIN cat USING (ref_id)""")
@@ -172,15 +182,3 @@ def q_index_with_category(spark, sf):
     idx = RS.index_jobs(meta, RS.extract_reasoning(responses(spark, sf)))
     out = RS.index_with_category(idx.select("batch_no", "ref_id"), meta)
     return out.select("batch_no", "ref_id", "category")
-
-
-@register("token_totals", _CONV + """
-SELECT CAST(sum(CASE WHEN conv_id % 4 = 3 THEN 0 ELSE pt END) AS BIGINT) AS prompt_tokens,
-       CAST(sum(CASE WHEN conv_id % 4 = 3 THEN 0 ELSE ct END) AS BIGINT) AS completion_tokens,
-       CAST(sum(CASE WHEN conv_id % 4 = 3 THEN 0 ELSE pt + ct END) AS BIGINT) AS total_tokens,
-       CAST(sum(CASE WHEN conv_id % 4 = 3 THEN 0 ELSE na * 10 END) AS BIGINT) AS reasoning_tokens,
-       CAST(count(*) AS BIGINT) AS batches
-FROM resp""")
-def q_token_totals(spark, sf):
-    """Totals per run."""
-    return RS.token_totals(responses(spark, sf)).drop("run_id")
