@@ -144,7 +144,10 @@ def extract_listings(listings: DataFrame, pages: DataFrame, internal_base_url: s
     wanted = routed.select(F.col("_fetch_url").alias("url"), F.col("_route").alias("route")).where(
         F.col("route") != S.SOURCE_NONE).distinct()
     page_cols = ["url", "html"] + (["http_status"] if "http_status" in pages.columns else [])
-    landed = pages.select(*page_cols).dropDuplicates(["url"])
+    # narrow semi join first (AQE broadcasts the wanted URLs when they are few), so only
+    # the pages that are needed reach the de-duplicating shuffle
+    landed = pages.select(*page_cols).join(wanted.select("url").distinct(), "url", "left_semi") \
+        .dropDuplicates(["url"])
     todo = wanted.join(landed, "url", "left").withColumn("page_key", F.xxhash64("url", "route"))
     details = extract_corpus(todo.select("page_key", "url", "html", "route",
                                          *(["http_status"] if "http_status" in page_cols else [])),

@@ -72,27 +72,43 @@ def ship_package(spark: SparkSession) -> None:
     """Make ``listforge`` importable in Python workers (once per SparkContext).
 
     Python-backed operators (``mapInPandas``) unpickle functions that reference
-    this package; on a cluster the executors only see it through ``addPyFile``.
+    this package.  The package is zipped in memory, written under the shared
+    checkpoint folder and added with ``addPyFile``, so every executor fetches the
+    same file.
     """
     sc = spark.sparkContext
     key = id(sc._jsc)
     if key in _SHIPPED:
         return
+    import hashlib
+    import io
     import zipfile
 
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg_dir)
-    out_dir = tempfile.mkdtemp(prefix="listforge-code-")
-    zip_path = os.path.join(out_dir, "listforge.zip")
-    with zipfile.ZipFile(zip_path, "w", zipfile.ZIP_DEFLATED) as zf:
-        for dirpath, _dirs, files in os.walk(pkg_dir):
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
+        for dirpath, dirs, files in sorted(os.walk(pkg_dir)):
+            dirs.sort()
             if "__pycache__" in dirpath:
                 continue
-            for name in files:
+            for name in sorted(files):
                 if name.endswith(".py"):
                     full = os.path.join(dirpath, name)
                     zf.write(full, os.path.relpath(full, root))
-    sc.addPyFile(zip_path)
+    data = buf.getvalue()
+    digest = hashlib.sha1(data).hexdigest()[:16]
+    target = f"{ensure_checkpoint_dir(spark).rstrip('/')}/code/{digest}/listforge.zip"
+    jvm = sc._jvm
+    jpath = jvm.org.apache.hadoop.fs.Path(target)
+    fs = jpath.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(jpath):
+        out = fs.create(jpath, True)
+        try:
+            out.write(bytearray(data))
+        finally:
+            out.close()
+    sc.addPyFile(target)
     _SHIPPED.add(key)
 
 
