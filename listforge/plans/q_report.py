@@ -160,8 +160,52 @@ def q_top_k(spark, sf):
     return RP.top_categories(B.labelled_listings(spark, sf), 3).select("category", "n")
 
 
-@register("market_report", None)
+def _market_sql() -> str:
+    from listforge.plans.q_stats import _DOMAIN_CORE
+
+    return _DOMAIN_CORE + "," + LABELLED.strip() + """,
+matches AS (SELECT * FROM labelled WHERE category IN ('Excellent Match', 'Good Match')),
+c AS (SELECT (SELECT count(*) FROM doc_listings) AS t,
+             (SELECT count(*) FROM doc_listings WHERE d_success) AS e,
+             (SELECT count(*) FROM labelled) AS l, (SELECT count(*) FROM matches) AS r),
+totals AS (
+  SELECT 0 AS ord, 'total_found' AS key, CAST(t AS DOUBLE) AS value FROM c UNION ALL
+  SELECT 1, 'extracted', CAST(e AS DOUBLE) FROM c UNION ALL
+  SELECT 2, 'labelled', CAST(l AS DOUBLE) FROM c UNION ALL
+  SELECT 3, 'returned', CAST(r AS DOUBLE) FROM c UNION ALL
+  SELECT 4, 'match_rate', CASE WHEN l > r THEN CAST(r AS DOUBLE) / l * 100.0 END FROM c),
+src AS (SELECT source, count(*) AS total, count_if(success) AS successful FROM dv GROUP BY source),
+meth AS (SELECT method, count(*) AS n FROM dv
+         WHERE method IS NOT NULL AND method <> '' AND method <> 'unknown' GROUP BY method),
+warn AS (SELECT warning, count(*) AS n FROM dv WHERE coalesce(warning, '') <> '' GROUP BY warning),
+prob AS (SELECT domain, total FROM core WHERE rate_raw < 50 AND total >= 3
+         ORDER BY total DESC, first_ord LIMIT 5),
+extraction AS (
+  SELECT 'source:' || source AS key, CAST(successful AS DOUBLE) AS value FROM src UNION ALL
+  SELECT 'method:' || method, CAST(n AS DOUBLE) FROM meth UNION ALL
+  SELECT 'warning:' || warning, CAST(n AS DOUBLE) FROM warn UNION ALL
+  SELECT 'problem_domain:' || domain, CAST(total AS DOUBLE) FROM prob),
+mcounts AS (SELECT category, count(*) AS n, min(ord) AS first_ord FROM matches GROUP BY category),
+top AS (SELECT category FROM mcounts ORDER BY n DESC, first_ord LIMIT 3),
+ex AS (SELECT category, title, city,
+              row_number() OVER (PARTITION BY category ORDER BY ord) AS example_no
+       FROM matches WHERE category IN (SELECT category FROM top))
+SELECT 'totals' AS section, ord, key, value FROM totals
+UNION ALL
+SELECT 'extraction', 0, key, value FROM extraction
+UNION ALL
+SELECT 'categories', CAST(first_ord AS INTEGER),  category,
+       CASE WHEN t > 0 THEN CAST(n AS DOUBLE) / t * 100.0 ELSE 0.0 END
+FROM mcounts, (SELECT count(*) AS t FROM doc_listings)
+UNION ALL
+SELECT 'examples', CAST(example_no AS INTEGER),
+       category || ': ' || coalesce(title, 'N/A') || ' (' || coalesce(city, 'N/A') || ')',
+       CAST(NULL AS DOUBLE)
+FROM ex WHERE example_no <= 3"""
+
+
+@register("market_report", _market_sql())
 def q_market_report(spark, sf):
-    """Report rows; checked row by row against the S queries it is made of."""
+    """Report rows (totals, extraction, categories, examples)."""
     docs, _e, labelled, returned = _frames(spark, sf)
     return RP.market_report(docs, docs, labelled, returned)
