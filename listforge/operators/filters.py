@@ -158,3 +158,15 @@ def disable_listing(store: DataFrame, disable: DataFrame,
 def get_listing(store: DataFrame, ref_id: str) -> DataFrame:
     """Point lookup (an equality predicate the Parquet scan can skip row groups with)."""
     return store.where(F.col("ref_id") == F.lit(ref_id))
+
+
+def search_index(index: DataFrame, query: str | None, cols: list[str],
+                 batch_col: str = "batch_no") -> DataFrame:
+    """B11 on the reasoning index: matching rows with their batch's visible-row count.
+
+    Batches without a hit are absent; the per-batch count is re-aggregated from
+    the visible rows only.
+    """
+    hits = text_search(index, query, cols)
+    visible = hits.groupBy(batch_col).agg(F.count(F.lit(1)).alias("visible_in_batch"))
+    return hits.join(visible, batch_col)

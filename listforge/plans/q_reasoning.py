@@ -182,3 +182,25 @@ def q_index_with_category(spark, sf):
     idx = RS.index_jobs(meta, RS.extract_reasoning(responses(spark, sf)))
     out = RS.index_with_category(idx.select("batch_no", "ref_id"), meta)
     return out.select("batch_no", "ref_id", "category")
+
+
+@register("search_index", _CONV + """,
+idx AS (SELECT meta.batch_no, meta.ref_id, meta.title, meta.city, meta.employer, meta.category
+        FROM meta WHERE batch_no IN (SELECT batch_no FROM reason)),
+hits AS (SELECT * FROM idx
+         WHERE contains(lower(ref_id), 'job_1') OR contains(lower(title), 'job_1')
+            OR contains(lower(city), 'job_1') OR contains(lower(employer), 'job_1')
+            OR contains(lower(category), 'job_1'))
+SELECT batch_no, ref_id, title, city, employer, category,
+       CAST(count(*) OVER (PARTITION BY batch_no) AS BIGINT) AS visible_in_batch
+FROM hits""")
+def q_search_index(spark, sf):
+    """B11 over the reasoning index (query 'JOB_1', trimmed and case-folded)."""
+    from listforge.operators import filters as FL
+
+    meta = batch_meta(spark, sf)
+    idx = RS.index_jobs(meta, RS.extract_reasoning(responses(spark, sf))).withColumn(
+        "category", F.array_join("categories", ", "))
+    out = FL.search_index(idx, " JOB_1 ", ["ref_id", "title", "city", "employer", "category"])
+    return out.select("batch_no", "ref_id", "title", "city", "employer", "category",
+                      "visible_in_batch")

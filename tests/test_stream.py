@@ -51,3 +51,19 @@ def test_stream_extract(spark, scratch):
     out = spark.read.parquet(scratch + "/out")
     assert out.count() == pages.count()
     assert out.where(F.col("details.method").isNull()).count() == 0
+
+
+def test_only_newer_drops_late_older_versions(spark, scratch):
+    g1 = [("a", "t1", None, None, None, "2024-01-05", None, 1)]
+    g2 = [("a", "late", None, None, None, "2024-01-01", None, 2),
+          ("b", "t2", None, None, None, "2024-01-01", None, 3)]
+    landing, root = scratch + "/in", scratch + "/store"
+    group(spark, g1).coalesce(1).write.mode("append").parquet(landing)
+    stream_merge(spark, landing, root, scratch + "/ckpt", "q", "p", 25, "2024-02-01 00:00:00",
+                 only_newer=True)
+    time.sleep(1.1)
+    group(spark, g2).coalesce(1).write.mode("append").parquet(landing)
+    stream_merge(spark, landing, root, scratch + "/ckpt", "q", "p", 25, "2024-02-02 00:00:00",
+                 only_newer=True)
+    got = {r["ref_id"]: r["title"] for r in IO.load_store(spark, root).collect()}
+    assert got == {"a": "t1", "b": "t2"}
