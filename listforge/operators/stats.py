@@ -60,20 +60,43 @@ def _primary(v: DataFrame, value_col, name: str) -> DataFrame:
 
 
 def _domain_core(df: DataFrame) -> DataFrame:
-    v = details_view(df).where(F.col("source") == S.SOURCE_EXTERNAL)
-    agg = v.groupBy("domain").agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if("success").alias("successful"),
-        F.count_if(~F.col("success")).alias("failed"),
-        F.floor(F.sum("length_or_zero") / F.count(F.lit(1))).cast("long").alias("avg_text_length"),
-        F.min("length_or_zero").alias("min_text_length"),
-        F.max("length_or_zero").alias("max_text_length"),
-        F.min("ord").alias("first_ord"),
-    ).withColumn("rate_raw", F.col("successful").cast("double") / F.col("total") * 100.0)
-    warn = _primary(v.where(F.coalesce(F.col("warning"), F.lit("")) != ""), F.col("warning"),
-                    "primary_warning")
-    meth = _primary(v, F.coalesce(F.col("method"), F.lit("unknown")), "primary_method")
-    return agg.join(warn, "domain", "left").join(meth, "domain", "left")
+    """Per external domain: counts, length range, first appearance and F5 primaries.
+
+    One scan: GROUPING SETS ((domain, warning), (domain, method)) aggregates the
+    narrow rows once (partial aggregation before the shuffle), and a second,
+    small aggregation per domain folds the two sets together.  Every row is in
+    exactly one (domain, method) group, so domain totals come from that set.
+    """
+    v = details_view(df).where(F.col("source") == S.SOURCE_EXTERNAL).select(
+        "domain", "ord", "success", "length_or_zero",
+        F.when(F.coalesce(F.col("warning"), F.lit("")) != "", F.col("warning")).alias("w_key"),
+        F.coalesce(F.col("method"), F.lit("unknown")).alias("m_key"))
+    sets = v.groupingSets([["domain", "w_key"], ["domain", "m_key"]], "domain", "w_key", "m_key") \
+        .agg(F.grouping_id().alias("_gid"), F.count(F.lit(1)).alias("_n"),
+             F.min("ord").alias("_first"), F.count_if("success").alias("_ok"),
+             F.sum("length_or_zero").alias("_len"), F.min("length_or_zero").alias("_min"),
+             F.max("length_or_zero").alias("_max"))
+    by_method = F.col("m_key").isNotNull() & F.col("w_key").isNull() & (F.col("_gid") == 2)
+    by_warning = (F.col("_gid") == 1) & F.col("w_key").isNotNull()
+    rank = F.struct(F.col("_n"), -F.col("_first"))
+    agg = sets.groupBy("domain").agg(
+        F.sum(F.when(by_method, F.col("_n"))).alias("total"),
+        F.sum(F.when(by_method, F.col("_ok"))).alias("successful"),
+        F.sum(F.when(by_method, F.col("_len"))).alias("_len_sum"),
+        F.min(F.when(by_method, F.col("_min"))).alias("min_text_length"),
+        F.max(F.when(by_method, F.col("_max"))).alias("max_text_length"),
+        F.min(F.when(by_method, F.col("_first"))).alias("first_ord"),
+        F.max_by(F.when(by_warning, F.col("w_key")), F.when(by_warning, rank)).alias("primary_warning"),
+        F.max_by(F.when(by_method, F.col("m_key")), F.when(by_method, rank)).alias("primary_method"),
+    )
+    return agg.select(
+        "domain", F.col("total").cast("long").alias("total"),
+        F.col("successful").cast("long").alias("successful"),
+        (F.col("total") - F.col("successful")).cast("long").alias("failed"),
+        F.floor(F.col("_len_sum") / F.col("total")).cast("long").alias("avg_text_length"),
+        "min_text_length", "max_text_length", "first_ord",
+        (F.col("successful").cast("double") / F.col("total") * 100.0).alias("rate_raw"),
+        "primary_warning", "primary_method")
 
 
 def stats_by_domain(df: DataFrame) -> DataFrame:
