@@ -29,6 +29,8 @@ class GatherResult:
     summary: DataFrame
     to_process: DataFrame | None = None
     snapshot: str | None = None
+    found: DataFrame | None = None
+    window_days: int | None = None
 
 
 def gather_summary(found: DataFrame, processed: DataFrame | None, ok: DataFrame | None,
@@ -72,7 +74,8 @@ def gather(spark: SparkSession, landing: str, store_root: str, pages: DataFrame
     listings = FL.published_within(listings, as_of, window)
     found = listings
     if found.isEmpty():  # K19: nothing found, store untouched
-        return GatherResult(None, None, gather_summary(found, None, None, None, None, None))
+        return GatherResult(None, None, gather_summary(found, None, None, None, None, None),
+                            found=found, window_days=window)
 
     if not use_store:
         processed = found
@@ -92,7 +95,7 @@ def gather(spark: SparkSession, landing: str, store_root: str, pages: DataFrame
         flat = FL.flatten_listing(processed) if enable_extraction is False else None
         summary = gather_summary(found, processed, processed if not enable_extraction else None,
                                  None, classified, new_store)
-        return GatherResult(flat, None, summary, processed, snap)
+        return GatherResult(flat, None, summary, processed, snap, found, window)
 
     detailed = X.extract_listings(processed, pages, internal_base_url)
     ok, failed = X.split_outcomes(detailed, internal_base_url)
@@ -104,7 +107,7 @@ def gather(spark: SparkSession, landing: str, store_root: str, pages: DataFrame
                              lambda w: ST.store_metadata(w, meta, as_of, place, radius_km))
         new_store = IO.load_store(spark, store_root)
     summary = gather_summary(found, detailed, ok, failed, classified, new_store)
-    return GatherResult(ok, failed, summary, processed, snap)
+    return GatherResult(ok, failed, summary, processed, snap, found, window)
 
 
 def full_run(spark: SparkSession, landing: str, store_root: str, run_root: str,
@@ -128,8 +131,7 @@ def full_run(spark: SparkSession, landing: str, store_root: str, run_root: str,
         from listforge.functions.columns import is_match
 
         returned = labelled.where(is_match("categories"))
-    found = g.to_process if g.to_process is not None else g.ok
-    dash = RP.run_dashboard(found, g.ok, labelled, returned)
+    dash = RP.run_dashboard(g.found, g.ok, labelled, returned)
     return returned, dash
 
 
