@@ -19,6 +19,7 @@ from listforge.operators import extract as X
 from listforge.operators import filters as FL
 from listforge.operators import store as ST
 from listforge.sources import search_pages as SP
+from listforge.session import materialize
 from listforge.sources import store_io as IO
 
 
@@ -72,7 +73,8 @@ def gather(spark: SparkSession, landing: str, store_root: str, pages: DataFrame
 
     listings = SP.page_prefix(SP.read_search_pages(spark, landing), max_pages, keywords)
     listings = FL.published_within(listings, as_of, window)
-    found = listings
+    # the paged listings feed the emptiness check, the merge and the summary: write once
+    found = materialize(listings, "found")
     if found.isEmpty():  # K19: nothing found, store untouched
         return GatherResult(None, None, gather_summary(found, None, None, None, None, None),
                             found=found, window_days=window)
