@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from listforge import schemas as S
 from listforge.operators.filters import OversizeTextError, size_guard
 from listforge.operators.indexing import global_index
-from listforge.session import ensure_checkpoint_dir, ship_package
+from listforge.session import materialize, ship_package
 
 
 class LabelIntegrityError(RuntimeError):
@@ -300,8 +300,8 @@ def classify(df: DataFrame, scorer: Scorer, profile: str, run_id: str,
         responses.write.mode("overwrite").parquet(response_dir)
         responses = spark.read.schema(S.RESPONSE).parquet(response_dir)
     else:
-        ensure_checkpoint_dir(spark)
-        responses = responses.checkpoint(eager=True)
+        # one job: the scorer is called once per batch (a checkpoint would call it twice)
+        responses = materialize(responses, "responses")
     labelled, violations = check_batches(plan, responses, categories)
     return ClassifyResult(labelled=labelled, violations=violations, responses=responses, plan=plan)
 

@@ -127,3 +127,36 @@ def q_reclassify_store(spark, sf):
                              scratch_path(spark, "runs"), B.INTERNAL_BASE_URL,
                              batch_size=QL.BATCH, order_cols=["ref_id"])
     return out.select("ref_id", F.array_join("categories", ", ").alias("category"))
+
+
+def _labelled_plan(spark, sf):
+    profile = QL.profile_text(spark, sf)
+    res = L.classify(QL.ok_listings(spark, sf), L.TermOverlapScorer(profile), profile, RUN,
+                     batch_size=QL.BATCH, order_cols=["ref_id"])
+    return res.labelled
+
+
+@register("append_partial", _CLS.replace("SELECT ref_id, batch_no, short_id,",
+                                         "SELECT ref_id, batch_no,", 1))
+def q_append_partial(spark, sf):
+    """Finished batches appended in two steps (odd, then even batches), read back."""
+    lab = _labelled_plan(spark, sf)
+    root = scratch_path(spark, "runs")
+    R.append_partial(root, RUN, lab.where(F.col("batch_no") % 2 == 1))
+    R.append_partial(root, RUN, lab.where(F.col("batch_no") % 2 == 0))
+    return R.read_partial(spark, root, RUN).select(
+        "ref_id", "batch_no", F.array_join("categories", ", ").alias("category"))
+
+
+@register("clear_run", _CLS.replace(
+    "SELECT ref_id, batch_no, short_id,", "SELECT * FROM (SELECT ref_id, batch_no,", 1
+) + ") WHERE batch_no > 3")
+def q_clear_run(spark, sf):
+    """Batches 1-3 saved, the run cleared, the later batches saved: only those remain."""
+    lab = _labelled_plan(spark, sf)
+    root = scratch_path(spark, "runs")
+    R.append_partial(root, RUN, lab.where(F.col("batch_no") <= 3))
+    R.clear_run(spark, root, RUN)
+    R.append_partial(root, RUN, lab.where(F.col("batch_no") > 3))
+    return R.read_partial(spark, root, RUN).select(
+        "ref_id", "batch_no", F.array_join("categories", ", ").alias("category"))
