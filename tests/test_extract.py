@@ -138,3 +138,38 @@ def test_clean_text_expression_matches_python(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r[0] for r in df.select(C.clean_text("t")).collect()]
     assert got == [P.clean_text(t) for t in texts]
+
+
+def test_extract_listings_routes_and_failures(spark):
+    from listforge import schemas as S2
+
+    base = "https://jobs.example.org/detail"
+    sel = S2.INTERNAL_CONTENT_SELECTOR
+    pages = spark.createDataFrame([
+        ("https://a.example.org/ok", f"<html><body><main>{LONG}</main></body></html>", 200),
+        ("https://a.example.org/gone", None, 404),
+        (f"{base}/r2", f"<html><body><{sel}>inner text</{sel}></body></html>", 200),
+    ], "url string, html string, http_status int")
+    listings = spark.createDataFrame([
+        ("r1", "t1", None, None, "https://a.example.org/ok", None, None, 1),
+        ("r2", "t2", None, None, "   ", None, None, 2),            # blank URL -> internal
+        ("r3", "t3", None, None, "https://a.example.org/gone", None, None, 3),
+        ("r4", "t4", None, None, "https://a.example.org/never", None, None, 4),
+        (None, "t5", None, None, None, None, None, 5),               # no address at all
+        ("r1", "t1b", None, None, "https://a.example.org/ok", None, None, 6),  # same page twice
+    ], S2.LISTING)
+    out = {r["batch_ord"]: r["details"] for r in X.extract_listings(listings, pages, base).collect()}
+    assert out[1]["success"] and out[1]["method"] == S2.METHOD_CSS
+    assert out[6] == out[1]
+    assert out[2]["success"] and out[2]["source"] == S2.SOURCE_INTERNAL and out[2]["text"] == "inner text"
+    assert out[3]["error"] == "HTTP 404" and out[3]["warning"] is None
+    assert out[4]["warning"] == S2.WARN_EXCEPTION
+    assert out[5]["source"] == S2.SOURCE_NONE and out[5]["warning"] is None
+
+    detailed = X.extract_listings(listings, pages, base)
+    ok, failed = X.split_outcomes(detailed, base)
+    assert sorted(r["ref_id"] for r in ok.collect()) == ["r1", "r1", "r2"]
+    f = {r["batch_ord"]: r for r in failed.collect()}
+    assert f[3]["url"] == "https://a.example.org/gone" and f[3]["error_type"] == "ERROR"
+    assert f[4]["error_type"] == "EXCEPTION"
+    assert f[5]["url"] == "" and f[5]["error_type"] == "ERROR" and f[5]["title"] == "t5"
