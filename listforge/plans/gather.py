@@ -76,8 +76,15 @@ def gather(spark: SparkSession, landing: str, store_root: str, pages: DataFrame
     # the paged listings feed the emptiness check, the merge and the summary: write once
     found = materialize(listings, "found")
     if found.isEmpty():  # K19: nothing found, store untouched
-        return GatherResult(None, None, gather_summary(found, None, None, None, None, None),
-                            found=found, window_days=window)
+        summary = gather_summary(found, None, None, None, None, None)
+        if store_exists:
+            from listforge.operators.report import fold_rows
+
+            zero = F.lit(0).cast("long")
+            summary = fold_rows(summary, store.agg(
+                zero.alias("new"), zero.alias("updated"), zero.alias("unchanged"),
+                F.count(F.lit(1)).alias("database_total")))
+        return GatherResult(None, None, summary, found=found, window_days=window)
 
     if not use_store:
         processed = found

@@ -63,6 +63,16 @@ def test_gather_cycle(spark, scratch, corpus):
     assert last_seen["r1"] == dt.datetime(2024, 3, 11)
     assert IO.load_store(spark, root).where(F.col("details").isNotNull()).count() == 3
 
+    # nothing landed for a repeat search: store untouched, totals reported
+    empty = scratch + "/empty"
+    land(spark, empty, [{"page": 1, "status": 200, "total": "0", "listings": []}])
+    before = IO.current_snapshot(spark, root)
+    g3 = G.gather(spark, empty, root, corpus, "data", "Berlin", 25, AS_OF,
+                  "https://jobs.example.org/detail")
+    s3 = g3.summary.collect()[0]
+    assert (s3["total_found"], s3["new"], s3["database_total"]) == (0, 0, 3)
+    assert IO.current_snapshot(spark, root) == before
+
     # another place: refused
     with pytest.raises(ST.ContextMismatchError):
         G.gather(spark, landing, root, corpus, "data", "Hamburg", 25, AS_OF,
