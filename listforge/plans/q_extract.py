@@ -45,8 +45,8 @@ def q_url_domain(spark, sf):
     return p.select("page_id", "url", C.url_domain("url").alias("domain"))
 
 
-_JS_TEXT_SQL = ("CASE WHEN doc_id % 3 = 0 THEN left(text, 600) || ' JavaScript' "
-                "ELSE left(text, 600) END")
+_JS_TEXT_SQL = ("CASE WHEN doc_id % 3 = 0 THEN coalesce(text, '') || ' JavaScript' "
+                "ELSE coalesce(text, '') END")
 
 
 @register("needs_javascript", f"""
@@ -56,9 +56,10 @@ SELECT doc_id,
         AND contains(lower({_JS_TEXT_SQL}), 'javascript')) AS needs_js
 FROM documents""")
 def q_needs_javascript(spark, sf):
+    """X3 on whole document texts; every third document mentions JavaScript at its end."""
     d = B.table(spark, sf, "documents")
-    cut = F.substring("text", 1, 600)
-    probe = F.when(F.col("doc_id") % 3 == 0, F.concat(cut, F.lit(" JavaScript"))).otherwise(cut)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    probe = F.when(F.col("doc_id") % 3 == 0, F.concat(text, F.lit(" JavaScript"))).otherwise(text)
     return d.select("doc_id", F.length(probe).cast("long").alias("probe_length"),
                     C.needs_javascript(probe).alias("needs_js"))
 
