@@ -2,8 +2,10 @@
 
 Parquet has no in-place update, and a job must not overwrite the path it
 reads.  Each save writes a new snapshot folder ``snap-<id>`` under the store
-root and then publishes the id in ``_CURRENT`` (written to a temporary name and
-renamed).  The last ``keep`` snapshots are kept.  The one-row metadata table is
+root and then publishes it by adding pointer file ``_CURRENT-<seq>`` with the next
+sequence number (written to a temporary name, renamed to a name that did not
+exist); readers take the highest pointer.  No step removes the previous pointer
+before the new one exists.  The newest ``keep`` pointers and their snapshots stay.  The one-row metadata table is
 written next to each snapshot.
 """
 
@@ -16,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from listforge import schemas as S
 
-POINTER = "_CURRENT"
+POINTER = "_CURRENT-"  # pointer files _CURRENT-<seq>, the highest sequence wins
 
 
 def _fs(spark: SparkSession, path: str):
@@ -39,21 +41,41 @@ def _read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
-def _write_text_atomic(spark: SparkSession, path: str, text: str) -> None:
-    fs, jpath, jvm = _fs(spark, path)
-    tmp = jvm.org.apache.hadoop.fs.Path(path + "." + uuid.uuid4().hex[:8] + ".tmp")
+def _pointers(spark: SparkSession, root: str) -> list[tuple[int, str]]:
+    fs, jroot, _ = _fs(spark, root)
+    if not fs.exists(jroot):
+        return []
+    out = []
+    for st in fs.listStatus(jroot):
+        name = st.getPath().getName()
+        if name.startswith(POINTER) and name[len(POINTER):].isdigit():
+            out.append((int(name[len(POINTER):]), name))
+    return sorted(out)
+
+
+def _publish(spark: SparkSession, root: str, snap: str) -> None:
+    """Add pointer seq+1 (written under a temporary name, renamed to a fresh name).
+
+    The earlier pointer stays until pruning, so a crash at any point leaves a
+    readable store.
+    """
+    seq = (_pointers(spark, root) or [(0, "")])[-1][0] + 1
+    fs, jpath, jvm = _fs(spark, f"{root}/{POINTER}{seq:012d}")
+    tmp = jvm.org.apache.hadoop.fs.Path(f"{root}/.{POINTER}{seq:012d}.{uuid.uuid4().hex[:8]}.tmp")
     out = fs.create(tmp, True)
     try:
-        out.write(bytearray(text.encode("utf-8")))
+        out.write(bytearray(snap.encode("utf-8")))
     finally:
         out.close()
-    if fs.exists(jpath):
-        fs.delete(jpath, False)
-    fs.rename(tmp, jpath)
+    if not fs.rename(tmp, jpath):
+        raise RuntimeError(f"could not publish snapshot {snap} (pointer {seq} exists)")
 
 
 def current_snapshot(spark: SparkSession, root: str) -> str | None:
-    return _read_text(spark, f"{root.rstrip('/')}/{POINTER}")
+    ptrs = _pointers(spark, root.rstrip("/"))
+    if not ptrs:
+        return None
+    return _read_text(spark, f"{root.rstrip('/')}/{ptrs[-1][1]}")
 
 
 def store_exists(spark: SparkSession, root: str) -> bool:
@@ -94,21 +116,20 @@ def save_store(spark: SparkSession, root: str, store: DataFrame, metadata,
         metadata = metadata(spark.read.schema(S.STORE).parquet(f"{root}/{snap}/data"))
     metadata.select(*[f.name for f in S.STORE_META.fields]).coalesce(1).write.mode(
         "overwrite").parquet(f"{root}/{snap}/meta")
-    _write_text_atomic(spark, f"{root}/{POINTER}", snap)
-    _prune(spark, root, snap, keep)
+    _publish(spark, root, snap)
+    _prune(spark, root, keep)
     return snap
 
 
-def _prune(spark: SparkSession, root: str, current: str, keep: int) -> None:
+def _prune(spark: SparkSession, root: str, keep: int) -> None:
+    """Keep the newest ``keep`` pointers and the snapshots they name."""
+    ptrs = _pointers(spark, root)
+    kept = ptrs[-keep:] if keep > 0 else ptrs[-1:]
+    live = {_read_text(spark, f"{root}/{name}") for _, name in kept}
     fs, jroot, _ = _fs(spark, root)
-    if not fs.exists(jroot):
-        return
-    snaps = sorted(
-        (st.getPath().getName(), st.getModificationTime())
-        for st in fs.listStatus(jroot)
-        if st.isDirectory() and st.getPath().getName().startswith("snap-")
-    )
-    snaps.sort(key=lambda x: x[1])
-    old = [name for name, _ in snaps if name != current][: max(0, len(snaps) - keep)]
-    for name in old:
-        fs.delete(_fs(spark, f"{root}/{name}")[1], True)
+    for _, name in ptrs[: len(ptrs) - len(kept)]:
+        fs.delete(_fs(spark, f"{root}/{name}")[1], False)
+    for st in fs.listStatus(jroot):
+        name = st.getPath().getName()
+        if st.isDirectory() and name.startswith("snap-") and name not in live:
+            fs.delete(st.getPath(), True)

@@ -145,3 +145,19 @@ def test_attach_details_and_history(spark):
     assert not ST.has_search_history(res.store, "q", "elsewhere")
     assert out.where(F.col("ref_id") == "r0").where(F.col("details.text") == "t").count() == \
         res.store.where(F.col("ref_id") == "r0").count()
+
+
+def test_snapshot_publish_and_prune(spark, scratch):
+    import os
+
+    from listforge.sources import store_io as IO
+
+    root = scratch + "/s"
+    store = ST.empty_store(spark)
+    snaps = [IO.save_store(spark, root, store,
+                           lambda w: ST.store_metadata(w, None, AS_OF, "p", 25)) for _ in range(3)]
+    assert IO.current_snapshot(spark, root) == snaps[-1]
+    names = sorted(os.listdir(root))
+    assert [n for n in names if n.startswith("_CURRENT-")] == ["_CURRENT-000000000002",
+                                                              "_CURRENT-000000000003"]
+    assert sorted(n for n in names if n.startswith("snap-")) == sorted(snaps[1:])
