@@ -19,7 +19,6 @@ from typing import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from listforge import schemas as S
 from listforge.operators.filters import OversizeTextError, size_guard

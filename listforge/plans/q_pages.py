@@ -9,7 +9,6 @@ filter drops titles containing 'src1'.
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from listforge import schemas as S
 from listforge.plans import bindings as B
 from listforge.plans.registry import register
 from listforge.session import scratch_path

@@ -1,6 +1,5 @@
 """Queries for extraction statistics (E5-E12, E22) on the documents binding."""
 
-from pyspark.sql import functions as F
 
 from listforge.operators import stats as ST
 from listforge.plans import bindings as B
