@@ -4,7 +4,7 @@ A plain ``row_number().over(Window.orderBy(...))`` moves every row into one
 task.  Here rows are range-partitioned on the order, sorted inside each
 partition and numbered locally; per-partition counts (one row per partition,
 so their size is bounded by the partition count) give each partition its
-offset.  The ranged input (with its partition id and position columns) is written
+offset, which is broadcast back.  The ranged input (with its partition id and position columns) is written
 once to the shared checkpoint folder first, so those values stay fixed if a task
 is retried.
 """
@@ -35,15 +35,14 @@ def global_index(df: DataFrame, order_cols: list, name: str = "row_idx",
     if checkpoint:
         # fixes partition ids and in-partition positions as written columns
         ranged = materialize(ranged, "ranged-index")
-    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    # one row per partition: a bounded, tiny table
-    offsets = counts.select(
-        "_pid",
-        F.coalesce(
-            F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
-            F.lit(0),
-        ).alias("_off"),
-    )
+    # per-partition sizes: one small row per partition (what zipWithIndex collects too)
+    sizes = sorted((r["_pid"], r["_n"]) for r in
+                   ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n")).collect())
+    offsets_rows, running = [], 0
+    for pid, n in sizes:
+        offsets_rows.append((pid, running))
+        running += n
+    offsets = spark.createDataFrame(offsets_rows, "_pid int, _off long")
     local = F.col("_mono") - F.shiftleft(F.col("_pid").cast("long"), _LOCAL_BITS)
     return (ranged.join(F.broadcast(offsets), "_pid")
             .withColumn(name, (F.col("_off") + local).cast("long"))
