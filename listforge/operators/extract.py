@@ -148,12 +148,13 @@ def extract_listings(listings: DataFrame, pages: DataFrame, internal_base_url: s
     # the pages that are needed reach the de-duplicating shuffle
     landed = pages.select(*page_cols).join(wanted.select("url").distinct(), "url", "left_semi") \
         .dropDuplicates(["url"])
-    todo = wanted.join(landed, "url", "left").withColumn("page_key", F.xxhash64("url", "route"))
-    details = extract_corpus(todo.select("page_key", "url", "html", "route",
+    todo = wanted.join(landed, "url", "left")
+    details = extract_corpus(todo.select("url", "html", "route",
                                          *(["http_status"] if "http_status" in page_cols else [])),
-                             options, key_cols=("page_key",))
-    details = details.join(todo.select("page_key", "route"), "page_key").select(
-        F.col("url").alias("_fetch_url"), F.col("route").alias("_route"), "details")
+                             options, key_cols=())
+    # (url, route) is the exact key: the route comes back as details.source
+    details = details.select(F.col("url").alias("_fetch_url"),
+                             F.col("details.source").alias("_route"), "details")
     none_details = F.struct(
         F.lit(False).alias("success"), F.lit(None).cast("string").alias("text"),
         F.lit(None).cast("string").alias("url"), F.lit(S.SOURCE_NONE).alias("source"),
