@@ -283,6 +283,9 @@ def classify(df: DataFrame, scorer: Scorer, profile: str, run_id: str,
     """
     if not profile or not profile.strip():
         raise ValueError("a profile text is required")
+    if "text" not in df.columns or "ref_id" not in df.columns:
+        # K21 (changed): rows that never went through extraction are refused
+        raise ValueError("labelling needs ref_id and text columns; extract the listings first")
     if check_size:
         over = size_guard(df, max_chars).limit(1).collect()
         if over:

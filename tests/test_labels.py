@@ -108,3 +108,11 @@ def test_resume_equals_uninterrupted(spark, scratch):
         sorted((r["ref_id"], tuple(r["categories"])) for r in whole.collect())
     fresh = R.resume_classify(df, good, PROFILE, "r1", scratch, batch_size=3, resume=False)
     assert fresh.count() == 20
+
+
+def test_labelling_refuses_rows_without_text(spark):
+    raw = spark.createDataFrame([("r1", "title")], "ref_id string, title string")
+    with pytest.raises(ValueError, match="extract"):
+        L.classify(raw, L.ReplayScorer({}), PROFILE, "t")
+    with pytest.raises(ValueError, match="profile"):
+        L.classify(listings(spark), L.ReplayScorer({}), "  ", "t")
