@@ -23,6 +23,11 @@ _LISTING_COLS = ["ref_id", "title", "employer", "location", "external_url", "mod
                  "published_on", "batch_ord"]
 
 
+def _data_files(spark, path):
+    fs, jpath, _ = IO._fs(spark, path)
+    return sum(1 for st in fs.listStatus(jpath) if st.getPath().getName().endswith(".parquet"))
+
+
 @register("stream_merge", ORACLE["merge_listings"])
 def q_stream_merge(spark, sf):
     ev = QS.event_listings(spark, sf)
@@ -30,15 +35,18 @@ def q_stream_merge(spark, sf):
     landing = scratch_path(spark, "stream-in")
     ev.where(F.col("ts") < cut).select(*_LISTING_COLS).repartition(FILES_PER_GROUP) \
         .write.mode("append").parquet(landing)
+    n_first = _data_files(spark, landing)
     time.sleep(1.1)  # the later group gets strictly later file times
-    ev.where(F.col("ts") >= cut).select(*_LISTING_COLS).repartition(FILES_PER_GROUP) \
+    ev.where(F.col("ts") >= cut).select(*_LISTING_COLS).repartition(n_first) \
         .write.mode("append").parquet(landing)
+    if _data_files(spark, landing) != 2 * n_first:
+        raise RuntimeError("each landed group must be one micro-batch of equal file count")
     store_root = scratch_path(spark, "stream-store")
     queries = {0: QS.Q1, 1: QS.Q2}
     dates = {0: QS.AS_OF_1, 1: QS.AS_OF_2}
     stream_merge(spark, landing, store_root, scratch_path(spark, "stream-ckpt"),
                  lambda b: queries[b], B.PLACE, B.RADIUS_KM, lambda b: dates[b],
-                 max_files_per_trigger=FILES_PER_GROUP)
+                 max_files_per_trigger=n_first)
     return QS.store_view(IO.load_store(spark, store_root))
 
 
