@@ -184,25 +184,41 @@ def good_domains(df: DataFrame) -> DataFrame:
 
 
 def extraction_report(df: DataFrame, top_problems: int = 5) -> DataFrame:
-    """Report rows (section, item, n, pct) for sources, methods, warnings, problem domains."""
-    src = stats_by_source(df).select(
-        F.lit("source").alias("section"), F.col("source").alias("item"),
-        F.col("successful").alias("n"),
-        F.when(F.col("total") > 0, F.col("successful").cast("double") / F.col("total") * 100.0)
-        .otherwise(F.lit(0.0)).alias("pct"))
-    # the method table has one row per method: a global window over it is tiny
-    meth = stats_by_method(df)
-    meth = meth.select(
-        F.lit("method").alias("section"), F.col("method").alias("item"), "n",
-        (F.col("n").cast("double") / F.sum("n").over(Window.partitionBy(F.lit(1))) * 100.0)
+    """Report rows (section, item, n, pct) for sources, methods, warnings, problem domains.
+
+    Sources, methods and warnings come from one GROUPING SETS pass that is read by
+    a single projection; problem domains come from the domain pass.
+    """
+    v = details_view(df).select(
+        "source", "success", "length_or_text",
+        F.when(F.col("method").isNotNull() & (F.col("method") != "")
+               & (F.col("method") != "unknown"), F.col("method")).alias("m_key"),
+        F.when(F.coalesce(F.col("warning"), F.lit("")) != "", F.col("warning")).alias("w_key"))
+    facets = v.groupingSets([["source"], ["m_key"], ["w_key"]], "source", "m_key", "w_key").agg(
+        F.grouping_id().alias("_gid"), F.count(F.lit(1)).alias("_n"),
+        F.count_if("success").alias("_ok"))
+    # grouping ids: (source) -> 3, (m_key) -> 5, (w_key) -> 6
+    section = (F.when(F.col("_gid") == 3, F.lit("source"))
+               .when((F.col("_gid") == 5) & F.col("m_key").isNotNull(), F.lit("method"))
+               .when((F.col("_gid") == 6) & F.col("w_key").isNotNull(), F.lit("warning")))
+    rows = facets.select(section.alias("section"),
+                         F.coalesce("source", "m_key", "w_key").alias("item"), "_n", "_ok") \
+        .where(F.col("section").isNotNull())
+    # the facet table has one row per source, method and warning value: windows on it are tiny
+    method_total = F.sum(F.when(F.col("section") == "method", F.col("_n"))).over(
+        Window.partitionBy(F.lit(1)))
+    facet_rows = rows.select(
+        "section", "item",
+        F.when(F.col("section") == "source", F.col("_ok")).otherwise(F.col("_n")).alias("n"),
+        F.when(F.col("section") == "source",
+               F.when(F.col("_n") > 0, F.col("_ok").cast("double") / F.col("_n") * 100.0)
+               .otherwise(F.lit(0.0)))
+        .when(F.col("section") == "method", F.col("_n").cast("double") / method_total * 100.0)
         .alias("pct"))
-    warn = stats_by_warning(df).select(F.lit("warning").alias("section"),
-                                       F.col("warning").alias("item"), "n",
-                                       F.lit(None).cast("double").alias("pct"))
     prob = problem_domains(df, limit=top_problems).select(
         F.lit("problem_domain").alias("section"), F.col("domain").alias("item"),
         F.col("total").alias("n"), F.col("success_rate").alias("pct"))
-    return src.unionByName(meth).unionByName(warn).unionByName(prob)
+    return facet_rows.unionByName(prob)
 
 
 # ---------------------------------------------------------------------------

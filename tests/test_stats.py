@@ -54,3 +54,11 @@ def test_domain_stats_scan_once(spark):
         "'domain', source, 'warning', CAST(NULL AS STRING), 'error', CAST(NULL AS STRING)) AS details")
     plan = ST.stats_by_domain(docs)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Scan parquet") == 1
+
+
+def test_extraction_report_scans_twice(spark):
+    from listforge.plans import bindings as B
+
+    docs = B.doc_listings(spark, "/root/testdata/sf0.001")
+    plan = ST.extraction_report(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 2
