@@ -51,9 +51,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not sc.master.startswith("local"):
         raise RuntimeError(
             "spark.checkpoint.dir is not set; a cluster run needs a shared checkpoint folder")
-    local_dir = tempfile.mkdtemp(prefix="listforge-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local_dir)
-    sc.setCheckpointDir(local_dir)
+    # local only (tests, local bench); the core setting itself cannot change at runtime
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="listforge-ckpt-"))
     return sc.getCheckpointDir()
 
 
