@@ -106,7 +106,9 @@ def gather(spark: SparkSession, landing: str, store_root: str, pages: DataFrame
                                  None, classified, new_store)
         return GatherResult(flat, None, summary, processed, snap, found, window)
 
-    detailed = X.extract_listings(processed, pages, internal_base_url)
+    # the Python extraction is the costly step: run it once, persist its output (A10's
+    # scraped table) and derive the split, the store update and the summary from it
+    detailed = materialize(X.extract_listings(processed, pages, internal_base_url), "scraped")
     ok, failed = X.split_outcomes(detailed, internal_base_url)
     snap = None
     if use_store:
