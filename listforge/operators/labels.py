@@ -286,14 +286,15 @@ def classify(df: DataFrame, scorer: Scorer, profile: str, run_id: str,
     if "text" not in df.columns or "ref_id" not in df.columns:
         # K21 (changed): rows that never went through extraction are refused
         raise ValueError("labelling needs ref_id and text columns; extract the listings first")
+    # the plan is written once; the size guard reads it, so the input is evaluated once
+    plan = assign_batches(df, batch_size, order_cols)
     if check_size:
-        over = size_guard(df, max_chars).limit(1).collect()
+        over = size_guard(plan, max_chars).limit(1).collect()
         if over:
             r = over[0]
             raise OversizeTextError(
                 f"listing {r['ref_id']} has {r['length']} characters, over {max_chars} "
                 f"({r['loss']} would be lost)")
-    plan = assign_batches(df, batch_size, order_cols)
     prompts = build_batch_prompts(plan, profile, categories, guidance)
     responses = run_scorer(prompts, scorer, run_id)
     spark = df.sparkSession
