@@ -166,9 +166,29 @@ def append_search(found_in: Column, query: str | None, place: str | None, as_of:
     return F.when(present, current).otherwise(F.concat(current, entry))
 
 
+def drop_older(incoming: DataFrame, store: DataFrame) -> DataFrame:
+    """[ours] late data: drop incoming rows whose stamp is older than the stored one.
+
+    By default a late older version counts as a change (only inequality is
+    tested); with this filter it is ignored instead.  Stamps compare as text.
+    """
+    stored = store.select("ref_id", F.col("modified_at").alias("_stored_stamp"))
+    j = incoming.join(stored, "ref_id", "left")
+    keep = (F.col("_stored_stamp").isNull() | F.col("modified_at").isNull()
+            | (F.col("modified_at") >= F.col("_stored_stamp")))
+    return j.where(keep).drop("_stored_stamp")
+
+
 def merge_listings(store: DataFrame, incoming: DataFrame, query: str | None, place: str | None,
-                   as_of: str, chunk_size: int = DEFAULT_CHUNK) -> MergeResult:
-    """Classify ``incoming`` against ``store`` and build the next store snapshot."""
+                   as_of: str, chunk_size: int = DEFAULT_CHUNK,
+                   only_newer: bool = False) -> MergeResult:
+    """Classify ``incoming`` against ``store`` and build the next store snapshot.
+
+    ``incoming`` should be a table scan or a written table: its key columns are
+    read by both levels of the ordered step.
+    """
+    if only_newer:
+        incoming = drop_older(incoming, store)
     ts = F.to_timestamp(F.lit(as_of))
     classified, per_ref = classify_batch(store, incoming, chunk_size)
     payload_cols = ["ref_id", "batch_ord"] + S.PAYLOAD_FIELDS

@@ -33,25 +33,12 @@ def merge_batch(spark: SparkSession, batch: DataFrame, batch_id: int, store_root
     ST.check_context(meta, place, radius_km)
     if meta is None:
         meta = {"created": None, "place": place, "radius_km": radius_km}
-    if only_newer:
-        batch = _drop_older(batch, store)
-    merged = ST.merge_listings(store, batch, query, place, as_of)
+    merged = ST.merge_listings(store, batch, query, place, as_of, only_newer=only_newer)
     IO.save_store(spark, store_root, merged.store,
                   lambda written: ST.store_metadata(written, meta, as_of, place, radius_km),
                   snapshot_id=snap_id)
 
 
-def _drop_older(batch: DataFrame, store: DataFrame) -> DataFrame:
-    """[ours] option: ignore late rows whose stamp is older than the stored one."""
-    from pyspark.sql import functions as F
-
-    stored = store.select("ref_id", F.col("modified_at").alias("_stored_stamp"))
-    j = batch.join(stored, "ref_id", "left")
-    keep = (F.col("_stored_stamp").isNull() | F.col("modified_at").isNull()
-            | (F.col("modified_at") >= F.col("_stored_stamp")))
-    return j.where(keep).drop("_stored_stamp")
-
-
 def stream_merge(spark: SparkSession, in_dir: str, store_root: str, checkpoint: str,
                  query: str | None | Callable, place: str | None, radius_km: int | None,
                  as_of: str | Callable, max_files_per_trigger: int | None = None,

@@ -161,3 +161,17 @@ def test_snapshot_publish_and_prune(spark, scratch):
     assert [n for n in names if n.startswith("_CURRENT-")] == ["_CURRENT-000000000002",
                                                               "_CURRENT-000000000003"]
     assert sorted(n for n in names if n.startswith("snap-")) == sorted(snaps[1:])
+
+
+def test_only_newer_option_in_batch_merge(spark):
+    store = {"a": {"stamp": "2024-01-05", "title": "kept", "first": "2023-12-01 00:00:00",
+                   "last": "2023-12-01 00:00:00", "found": [("q", "p")], "details": True}}
+    batch = [{"ref_id": "a", "modified_at": "2024-01-01", "title": "late", "batch_ord": 1},
+             {"ref_id": "b", "modified_at": "2024-01-01", "title": "new", "batch_ord": 2}]
+    sdf, bdf = to_frames(spark, store, batch)
+    default = {r["ref_id"]: r["title"] for r in
+               ST.merge_listings(sdf, bdf, "q", "p", AS_OF).store.collect()}
+    newer = {r["ref_id"]: r["title"] for r in
+             ST.merge_listings(sdf, bdf, "q", "p", AS_OF, only_newer=True).store.collect()}
+    assert default == {"a": "late", "b": "new"}
+    assert newer == {"a": "kept", "b": "new"}
