@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listforge.llm import exact_dedup, langid, mixing, rank_bpe, token_files
+from listforge.llm import exact_dedup, langid, mixing, partenum, rank_bpe, token_files
 from listforge.llm.common import fold_of, table
 
 
@@ -18,6 +18,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "_lang.lang_pred", "_lang.score", "_lang.rejected")
 
 
+def op6_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"),
                                    public_tokenizers.path("byte_bpe_50k.json"))
@@ -39,7 +43,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op7_token_files, op8_mixing, op9_rank_bpe, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (
+    op3_language_id, op6_partenum_join, op7_token_files, op8_mixing, op9_rank_bpe, op10_exact_dedup)}
 
 ORACLE = {
     "op8_mixing": """
