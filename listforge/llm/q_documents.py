@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listforge.llm import exact_dedup, langid, mixing, partenum, rank_bpe, token_files
+from listforge.llm import exact_dedup, langid, mixing, partenum, rank_bpe, token_files, toxicity
 from listforge.llm.common import fold_of, table
 
 
@@ -18,6 +18,15 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "_lang.lang_pred", "_lang.score", "_lang.rejected")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = fold_of(F.col("doc_id"), 5) == 0
+    model = toxicity.train(docs, labels, ~held_out)
+    score = F.col("_toxicity")
+    return toxicity.score_documents(docs, model).select(
+        "doc_id", held_out.alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -44,7 +53,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_language_id, op6_partenum_join, op7_token_files, op8_mixing, op9_rank_bpe, op10_exact_dedup)}
+    op3_language_id, op5_toxicity, op6_partenum_join, op7_token_files, op8_mixing, op9_rank_bpe, op10_exact_dedup)}
 
 ORACLE = {
     "op8_mixing": """
