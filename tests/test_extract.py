@@ -173,3 +173,28 @@ def test_extract_listings_routes_and_failures(spark):
     assert f[3]["url"] == "https://a.example.org/gone" and f[3]["error_type"] == "ERROR"
     assert f[4]["error_type"] == "EXCEPTION"
     assert f[5]["url"] == "" and f[5]["error_type"] == "ERROR" and f[5]["title"] == "t5"
+
+
+def test_json_ld_description_that_is_no_string():
+    long_list = ["x"] * 1500
+    d = P.extract_external(page(f"<main>{LONG}</main>", ld({"@type": "JobPosting", "description": long_list})), "u")
+    assert d["method"] == S.METHOD_CSS  # ends the tier, not the page
+    d = P.extract_external(page(f"<main>{LONG}</main>", ld({"@type": "JobPosting", "description": 7})), "u")
+    assert d["warning"] == S.WARN_EXCEPTION
+    two = ld([{"@type": "JobPosting", "description": ["x"]}, {"@type": "JobPosting", "description": LONG}])
+    assert P.extract_external(page("", two), "u")["method"] == S.METHOD_JSON_LD
+
+
+def test_template_and_ruby_text_is_no_page_text():
+    d = P.extract_external(page("<main>a<template>hid<b>den</b></template><ruby>b<rp>(</rp><rt>c</rt></ruby> "
+                                + exact(1000) + "</main>"), "u")
+    assert d["text"].startswith("a b abcdefghi")
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    html = page("<div>" * 20_000 + "x " * 2000 + "</div>" * 20_000)
+    t = time.perf_counter()
+    assert P.heavy_div_text(html) == ("x " * 2000).strip()
+    assert time.perf_counter() - t < 5
