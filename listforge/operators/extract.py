@@ -132,9 +132,10 @@ def extract_listings(listings: DataFrame, pages: DataFrame, internal_base_url: s
                      options: P.ExtractOptions = P.DEFAULT_OPTIONS) -> DataFrame:
     """Route each listing, extract each distinct landed page once, attach DETAILS.
 
-    ``pages`` holds landed fetches (url, html[, http_status]).  A listing whose
-    page has not landed gets an EXCEPTION failure.  Listings keep every column
-    and gain ``details``.
+    ``pages`` holds landed fetches (url, html[, http_status]); of several for one URL the
+    newest counts, by ``landed_at`` or else ``page_id`` (ties, and tables with neither: the
+    largest row hash).  A listing whose page has not landed gets an EXCEPTION failure.
+    Listings keep every column and gain ``details``.
     """
     routed = listings.withColumn("_route", C.route_source("external_url", "ref_id")).withColumn(
         "_fetch_url",
@@ -146,8 +147,11 @@ def extract_listings(listings: DataFrame, pages: DataFrame, internal_base_url: s
     page_cols = ["url", "html"] + (["http_status"] if "http_status" in pages.columns else [])
     # narrow semi join first (AQE broadcasts the wanted URLs when they are few), so only
     # the pages that are needed reach the de-duplicating shuffle
-    landed = pages.select(*page_cols).join(wanted.select("url").distinct(), "url", "left_semi") \
-        .dropDuplicates(["url"])
+    order = next((c for c in ("landed_at", "page_id") if c in pages.columns), None)
+    age = F.struct(F.col(order) if order else F.lit(0), F.xxhash64(*page_cols))
+    fetched = pages.select(*page_cols, age.alias("_age")).join(wanted.select("url").distinct(), "url", "left_semi")
+    newest = fetched.groupBy("url").agg(F.max("_age").alias("_age"))  # narrow
+    landed = fetched.join(newest, ["url", "_age"]).drop("_age").dropDuplicates(["url"])  # equal rows only
     todo = wanted.join(landed, "url", "left")
     details = extract_corpus(todo.select("url", "html", "route",
                                          *(["http_status"] if "http_status" in page_cols else [])),
@@ -162,10 +166,10 @@ def extract_listings(listings: DataFrame, pages: DataFrame, internal_base_url: s
         F.lit(None).cast("string").alias("domain"), F.lit(None).cast("string").alias("warning"),
         F.lit("No refnr or external URL available").alias("error"),
     )
-    joined = routed.join(details, ["_fetch_url", "_route"], "left")
-    return joined.withColumn(
-        "details", F.when(F.col("_route") == S.SOURCE_NONE, none_details).otherwise(F.col("details"))
-    ).drop("_route", "_fetch_url")
+    # rows without any address have no key to join on: they don't meet in one task
+    addressed = routed.where(F.col("_route") != S.SOURCE_NONE).join(details, ["_fetch_url", "_route"], "left")
+    nowhere = routed.where(F.col("_route") == S.SOURCE_NONE).withColumn("details", none_details)
+    return addressed.unionByName(nowhere).drop("_route", "_fetch_url")
 
 
 def split_outcomes(listings: DataFrame, internal_base_url: str) -> tuple[DataFrame, DataFrame]:
@@ -179,7 +183,7 @@ def split_outcomes(listings: DataFrame, internal_base_url: str) -> tuple[DataFra
         title.alias("title"), city.alias("city"), employer.alias("employer"),
         F.col("details.text").alias("text"),
         F.coalesce(F.col("details.url"), F.lit("")).alias("url"),
-        *([c for c in ("batch_ord",) if c in listings.columns]),
+        *([c for c in ("process_ord", "batch_ord") if c in listings.columns]),
     )
     failed = listings.where(~ok_flag).select(
         title.alias("title"), city.alias("city"), employer.alias("employer"),

@@ -117,16 +117,6 @@ class OversizeTextError(RuntimeError):
     """A text longer than the limit: the run fails instead of cutting it."""
 
 
-def assert_no_oversize(df: DataFrame, limit: int = S.MAX_TEXT_CHARS, ref_col: str = "ref_id",
-                       text_col: str = "text") -> None:
-    offenders = size_guard(df, limit, ref_col, text_col).limit(1).collect()
-    if offenders:
-        r = offenders[0]
-        raise OversizeTextError(
-            f"listing {r['ref_id']} has {r['length']} characters, over the limit of {limit} "
-            f"({r['loss']} would be lost)")
-
-
 def disable_listing(store: DataFrame, disable: DataFrame,
                     default_reason: str = S.DEFAULT_DISABLE_REASON) -> tuple[DataFrame, DataFrame]:
     """Mark listings as failed with a reason; returns (new store, report).

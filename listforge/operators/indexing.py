@@ -20,7 +20,7 @@ _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row position in the lo
 
 
 def global_index(df: DataFrame, order_cols: list, name: str = "row_idx",
-                 num_partitions: int | None = None, checkpoint: bool = True) -> DataFrame:
+                 num_partitions: int | None = None) -> DataFrame:
     """Add ``name`` = 0-based position of each row in the total order ``order_cols``.
 
     ``order_cols`` must make the order total (end with a unique key).
@@ -32,9 +32,8 @@ def global_index(df: DataFrame, order_cols: list, name: str = "row_idx",
     ranged = (ranged.sortWithinPartitions(*cols)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_mono", F.monotonically_increasing_id()))
-    if checkpoint:
-        # fixes partition ids and in-partition positions as written columns
-        ranged = materialize(ranged, "ranged-index")
+    # fixes partition ids and in-partition positions as written columns
+    ranged = materialize(ranged, "ranged-index")
     # per-partition sizes: one small row per partition (what zipWithIndex collects too)
     sizes = sorted((r["_pid"], r["_n"]) for r in
                    ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n")).collect())
@@ -49,6 +48,37 @@ def global_index(df: DataFrame, order_cols: list, name: str = "row_idx",
             .drop("_pid", "_mono", "_off"))
 
 
+def row_positions(df: DataFrame, order_cols: list[str], name: str = "row_idx") -> DataFrame:
+    """``global_index`` for wide rows: only the order columns are sorted and written.
+
+    Distinct keys are numbered with room for their rows, and the rows are joined to their
+    key; rows of equal keys follow a hash of the row.
+    """
+    spark = df.sparkSession
+    keys = list(order_cols)
+    ranged = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).repartitionByRange(*keys)
+              .sortWithinPartitions(*keys).withColumn("_pid", F.spark_partition_id())
+              .withColumn("_mono", F.monotonically_increasing_id()))
+    ranged = materialize(ranged, "ranged-keys")
+    sizes = sorted((r["_pid"], r["_n"]) for r in ranged.groupBy("_pid").agg(F.sum("_n").alias("_n")).collect())
+    rows, total = [], 0
+    for pid, n in sizes:  # one row per partition
+        rows.append((pid, total))
+        total += n
+    offsets = spark.createDataFrame(rows, "_pid int, _off long")
+    before = Window.partitionBy("_pid").orderBy("_mono").rowsBetween(Window.unboundedPreceding, -1)
+    start = ranged.withColumn("_at", F.coalesce(F.sum("_n").over(before), F.lit(0))).join(
+        F.broadcast(offsets), "_pid").select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], (F.col("_at") + F.col("_off")).alias("_at"))
+    same = None
+    for i, k in enumerate(keys):
+        c = df[k].eqNullSafe(start[f"_k{i}"])
+        same = c if same is None else same & c
+    inside = Window.partitionBy(*keys).orderBy(F.xxhash64(*df.columns))
+    return (df.join(start, same).withColumn(name, (F.col("_at") + F.row_number().over(inside) - 1).cast("long"))
+            .drop("_at", *[f"_k{i}" for i in range(len(keys))]))
+
+
 def running_sum(df: DataFrame, part_cols: list[str], order_col: str, value_col: str,
                 name: str = "running", chunk_size: int = 1 << 16) -> DataFrame:
     """Exact inclusive running sum of ``value_col`` per ``part_cols`` ordered by ``order_col``.

@@ -1,9 +1,8 @@
 """Batched labelling with strict integrity checks.
 
-Flow of ``classify``: size guard (B13) -> batch plan (F2, dense positions via
-partition offsets, no single-task window) -> one prompt per batch (J2, a bounded
-group: at most 999 rows) -> the scorer runs in ``mapInPandas`` (one answer per
-batch) -> answers are made durable (P5) -> parse (J3), label check (J4),
+Flow of ``classify``: size guard (B13, if a limit is given) -> batch plan (F2, dense
+positions via partition offsets, no single-task window) -> the scorer answers each batch
+(J2, a bounded group: at most 999 rows) on the JVM or in ``mapInPandas`` -> answers are made durable (P5) -> parse (J3), label check (J4),
 missing-position check (H3) -> labels join back to the plan (C4).  A batch is
 all or nothing: any violation fails the whole batch.
 """
@@ -17,13 +16,13 @@ from dataclasses import dataclass, field
 from typing import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from listforge import schemas as S
 from listforge.operators.filters import OversizeTextError, size_guard
-from listforge.operators.indexing import global_index
-from listforge.session import materialize, ship_package
+from listforge.operators.indexing import row_positions
+from listforge.session import materialize, scratch_path, ship_package
 
 
 class LabelIntegrityError(RuntimeError):
@@ -42,12 +41,13 @@ def assign_batches(df: DataFrame, batch_size: int = S.DEFAULT_BATCH_SIZE,
     """consecutive batches of ``batch_size`` in the given order.
 
     Adds ``plan_idx`` (0-based global position), ``batch_no`` (1-based),
-    ``batch_pos`` (0-based inside the batch) and ``short_id`` ('001'...).
+    ``batch_pos`` (0-based inside the batch) and ``short_id`` ('001'...).  Only the order
+    columns are sorted and written; the texts are joined to their positions.
     """
     if not 1 <= batch_size <= S.MAX_SHORT_ID_BATCH:
         raise ValueError(f"batch size must be within 1..{S.MAX_SHORT_ID_BATCH} (three-digit ids)")
     order = order_cols or ["ref_id"]
-    indexed = global_index(df, order, name="plan_idx")
+    indexed = row_positions(df, order, name="plan_idx")
     return (indexed
             .withColumn("batch_no", (F.floor(F.col("plan_idx") / batch_size) + 1).cast("int"))
             .withColumn("batch_pos", F.pmod(F.col("plan_idx"), F.lit(batch_size)).cast("int"))
@@ -62,49 +62,39 @@ def batch_plan_summary(plan: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # prompts
 # ---------------------------------------------------------------------------
-def fallback_label(categories: list[str]) -> str:
-    """The label asked for when nothing else applies: Poor if offered, else the last one."""
-    if not categories:
-        return S.CATEGORY_POOR
-    return S.CATEGORY_POOR if S.CATEGORY_POOR in categories else categories[-1]
-
-
-def prompt_header(categories: list[str], profile: str, guidance: dict | None = None) -> str:
-    fb = fallback_label(categories)
-    allowed = ", ".join(f'"{c}"' for c in categories)
-    lines = [
-        "Rate how well each listing below fits the profile.",
-        "",
-        "Answer with exactly one line per listing, in this form:",
-        f"[001] - {categories[0] if categories else fb}",
-        "",
-        f"Allowed labels: {allowed}.",
-        f'When unsure, answer "{fb}".',
-    ]
-    for cat in categories:
-        if guidance and cat in guidance:
-            lines.append(f"{cat}: {guidance[cat]}")
-    lines += ["", "PROFILE", profile.strip(), "", "LISTINGS"]
-    return "\n".join(lines) + "\n"
-
-
-PROMPT_FOOTER = "\nEND OF LISTINGS\nReturn only the labelled lines.\n"
+def last_resort(categories: list[str]) -> str:
+    """The label for a listing that fits none better: Poor if it is offered, else the last one."""
+    return max(categories or [S.CATEGORY_POOR], key=lambda c: (c == S.CATEGORY_POOR, categories.index(c) if categories else 0))
+
+
+def prompt_head(categories: list[str], profile: str, guidance: dict | None = None) -> str:
+    """What stands before the listings: the profile, then the label list with its hints."""
+    hints = guidance or {}
+    labels = "".join(f"- {c}{': ' + hints[c] if c in hints else ''}\n" for c in categories)
+    return (f"# Profile\n{profile.strip()}\n\n# Labels, best first\n{labels}"
+            f"If none fits: {last_resort(categories)}\n\n# Listings\n")
+
+
+PROMPT_TAIL = ("\n# Task\nLabel every listing above against the profile. "
+               "One line each, nothing else: [id] - label\n")
+
+
+def _items(plan: DataFrame, text) -> DataFrame:
+    """One row per batch: its (pos, short_id, text) in order (at most 999)."""
+    return plan.groupBy("batch_no").agg(F.array_sort(F.collect_list(F.struct(
+        F.col("batch_pos").alias("pos"), F.col("short_id").alias("short_id"),
+        text.alias("text")))).alias("items"))
 
 
 def build_batch_prompts(plan: DataFrame, profile: str, categories: list[str] | None = None,
                         guidance: dict | None = None) -> DataFrame:
-    """One prompt per batch: header, then ``[id]`` and text of each row in order."""
-    cats = categories or S.CATEGORIES
-    header = prompt_header(cats, profile, guidance)
-    items = F.array_sort(F.collect_list(F.struct(
-        F.col("batch_pos").alias("pos"), F.col("short_id").alias("short_id"),
-        F.coalesce(F.col("text"), F.lit("")).alias("text"))))
-    grouped = plan.groupBy("batch_no").agg(items.alias("items"))
+    """One prompt per batch: head, then ``[id]`` and text of each row in order, then tail."""
+    head = prompt_head(categories or S.CATEGORIES, profile, guidance)
     body = F.array_join(F.transform("items", lambda x: F.concat(
         F.lit("\n["), x["short_id"], F.lit("]\n"), x["text"], F.lit("\n"))), "")
-    return grouped.select(
+    return _items(plan, F.coalesce(F.col("text"), F.lit(""))).select(
         "batch_no", F.size("items").alias("n_items"),
-        F.concat(F.lit(header), body, F.lit(PROMPT_FOOTER)).alias("prompt"), "items")
+        F.concat(F.lit(head), body, F.lit(PROMPT_TAIL)).alias("prompt"))
 
 
 # ---------------------------------------------------------------------------
@@ -117,21 +107,23 @@ class BatchPrompt:
     items: list  # [(short_id, text)] in batch order
 
 
+# a user's scorer gets batches in a Python worker; one with ``row_label`` stays on the JVM
 Scorer = Callable[[list[BatchPrompt]], list[str]]
-_WORD = re.compile(r"[A-Za-z]+")
 
 
-def terms(text: str | None, min_len: int = 4) -> set[str]:
-    return {w.lower() for w in _WORD.findall(text or "") if len(w) >= min_len}
+def terms(text: Column, min_len: int = 4) -> Column:
+    """Distinct lower-cased ASCII words of at least ``min_len`` letters."""
+    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"([A-Za-z]{{{min_len},}})"), 1)
+    return F.array_distinct(F.transform(words, F.lower))
 
 
 @dataclass
 class TermOverlapScorer:
     """Deterministic stand-in scorer: share of distinct profile terms found in a text.
 
-    Terms are ASCII words of at least ``min_len`` letters, lower-cased.  A share
-    >= ``excellent`` gives the first label, >= ``good`` the second, else the
-    fallback.  It only exists so that the whole path runs offline.
+    A share >= ``excellent`` gives the first label, >= ``good`` the second, else the label
+    of last resort.  It only exists so that the whole path runs offline; it is a column
+    expression, so no text leaves the JVM.
     """
 
     profile: str
@@ -140,20 +132,15 @@ class TermOverlapScorer:
     min_len: int = 4
     categories: list = field(default_factory=lambda: list(S.CATEGORIES))
 
-    def label(self, text: str | None) -> str:
-        prof = terms(self.profile, self.min_len)
-        if not prof:
-            return fallback_label(self.categories)
-        share = len(prof & terms(text, self.min_len)) / len(prof)
-        if share >= self.excellent:
-            return self.categories[0]
-        if share >= self.good:
-            return self.categories[1]
-        return fallback_label(self.categories)
-
-    def __call__(self, batches: list[BatchPrompt]) -> list[str]:
-        return ["\n".join(f"[{sid}] - {self.label(text)}" for sid, text in b.items)
-                for b in batches]
+    def row_label(self, text: Column, batch_no: Column) -> Column:
+        wanted = sorted({w.lower() for w in re.findall(f"[A-Za-z]{{{self.min_len},}}", self.profile)})
+        worst = F.lit(last_resort(self.categories))
+        if not wanted:
+            return worst
+        found = F.array_intersect(F.array(*[F.lit(w) for w in wanted]), terms(text, self.min_len))
+        share = F.size(found) / len(wanted)
+        return F.when(share >= self.excellent, self.categories[0]).when(
+            share >= self.good, self.categories[1]).otherwise(worst)
 
 
 @dataclass
@@ -167,15 +154,29 @@ class ReplayScorer:
         return [self.answers.get(b.batch_no, self.default) for b in batches]
 
 
-def run_scorer(prompts: DataFrame, scorer: Scorer, run_id: str) -> DataFrame:
-    """Call the scorer once per batch inside Arrow batches -> RESPONSE rows."""
-    ship_package(prompts.sparkSession)
-    inp = prompts.select("batch_no", "prompt", "items")
+def run_scorer(plan: DataFrame, scorer: Scorer, run_id: str, head: str) -> DataFrame:
+    """One answer per batch -> RESPONSE rows.
+
+    A scorer with ``row_label(text, batch_no)`` is applied as columns.  Any other is called
+    in ``mapInPandas`` with its batches; a text is sent to Python once, inside its batch,
+    and the prompt is put together there.
+    """
+    if hasattr(scorer, "row_label"):
+        lines = _items(plan, scorer.row_label(F.col("text"), F.col("batch_no")))
+        answer = F.array_join(F.transform("items", lambda x: F.concat(
+            F.lit("["), x["short_id"], F.lit("] - "), x["text"])), "\n")
+        return lines.select(F.lit(run_id).alias("run_id"), "batch_no", answer.alias("content"),
+                            F.to_json(F.struct(F.array(F.struct(F.struct(answer.alias("content")).alias(
+                                "message"))).alias("choices"))).alias("raw_json"))
+    ship_package(plan.sparkSession)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            batch = [BatchPrompt(int(b), p, [(x["short_id"], x["text"]) for x in items])
-                     for b, p, items in zip(pdf["batch_no"], pdf["prompt"], pdf["items"])]
+            batch = []
+            for b, items in zip(pdf["batch_no"], pdf["items"], strict=True):
+                own = [(x["short_id"], x["text"]) for x in items]
+                body = "".join(f"\n[{sid}]\n{text}\n" for sid, text in own)
+                batch.append(BatchPrompt(int(b), head + body + PROMPT_TAIL, own))
             answers = scorer(batch) if batch else []
             if len(answers) != len(batch):
                 raise RuntimeError("the scorer must return one answer per batch")
@@ -186,7 +187,7 @@ def run_scorer(prompts: DataFrame, scorer: Scorer, run_id: str) -> DataFrame:
                 "raw_json": [json.dumps({"choices": [{"message": {"content": a}}]}) for a in answers],
             })
 
-    return inp.mapInPandas(run, S.RESPONSE)
+    return _items(plan, F.coalesce(F.col("text"), F.lit(""))).mapInPandas(run, S.RESPONSE)
 
 
 # ---------------------------------------------------------------------------
@@ -272,12 +273,11 @@ class ClassifyResult:
 def classify(df: DataFrame, scorer: Scorer, profile: str, run_id: str,
              batch_size: int = S.DEFAULT_BATCH_SIZE, order_cols: list | None = None,
              categories: list[str] | None = None, guidance: dict | None = None,
-             max_chars: int = S.MAX_TEXT_CHARS, response_dir: str | None = None,
-             check_size: bool = True) -> ClassifyResult:
+             max_chars: int | None = None, response_dir: str | None = None) -> ClassifyResult:
     """Label ``df`` (ref_id, text, ...) in batches; nothing is cut or dropped.
 
-    Raises ``OversizeTextError`` before any scoring when a text is over
-    ``max_chars``.  Answers are written to ``response_dir`` (a folder for this
+    With ``max_chars`` given, ``OversizeTextError`` is raised before any scoring when a text
+    is longer (B13).  Answers are written to ``response_dir`` (a folder for this
     attempt only) or checkpointed before they are validated, so a retried task never re-asks the scorer for a
     batch that already has an answer in this run.
     """
@@ -286,17 +286,15 @@ def classify(df: DataFrame, scorer: Scorer, profile: str, run_id: str,
     if "text" not in df.columns or "ref_id" not in df.columns:
         # K21 (changed): rows that never went through extraction are refused
         raise ValueError("labelling needs ref_id and text columns; extract the listings first")
-    # the plan is written once; the size guard reads it, so the input is evaluated once
     plan = assign_batches(df, batch_size, order_cols)
-    if check_size:
+    if max_chars is not None:
         over = size_guard(plan, max_chars).limit(1).collect()
         if over:
             r = over[0]
             raise OversizeTextError(
                 f"listing {r['ref_id']} has {r['length']} characters, over {max_chars} "
                 f"({r['loss']} would be lost)")
-    prompts = build_batch_prompts(plan, profile, categories, guidance)
-    responses = run_scorer(prompts, scorer, run_id)
+    responses = run_scorer(plan, scorer, run_id, prompt_head(categories or S.CATEGORIES, profile, guidance))
     spark = df.sparkSession
     if response_dir:
         # one folder per attempt: answers of an earlier attempt never mix in
@@ -309,9 +307,15 @@ def classify(df: DataFrame, scorer: Scorer, profile: str, run_id: str,
     return ClassifyResult(labelled=labelled, violations=violations, responses=responses, plan=plan)
 
 
-def raise_on_violations(result: ClassifyResult, sample: int = 20) -> None:
-    rows = result.violations.orderBy("batch_no", "short_id").limit(sample).collect()
-    if rows:
-        msg = "; ".join(f"batch {r['batch_no']} {r['kind']} [{r['short_id']}] {r['detail']}"
-                        for r in rows[:5])
-        raise LabelIntegrityError(f"labelling failed: {msg}", [r.asDict() for r in rows])
+def raise_on_violations(result: ClassifyResult, shown: int = 5) -> None:
+    """Fail the run if any check failed; the message has the count and the folder of the full table."""
+    spark = result.violations.sparkSession
+    path = scratch_path(spark, "violations")
+    result.violations.write.parquet(path)
+    written = spark.read.schema(result.violations.schema).parquet(path)
+    n = written.count()
+    if n:
+        rows = written.orderBy("batch_no", "short_id").limit(shown).collect()
+        some = "; ".join(f"batch {r['batch_no']} {r['kind']} [{r['short_id']}] {r['detail']}" for r in rows)
+        raise LabelIntegrityError(f"labelling failed: {n} violations, all in {path}; first: {some}",
+                                  [r.asDict() for r in rows])

@@ -91,10 +91,14 @@ def resolve_mentions(reasoning: DataFrame, batch_meta: DataFrame, base_url: str)
     found = reasoning.select("batch_no", F.posexplode(
         F.regexp_extract_all(F.col("reasoning"), F.lit(MENTION_PATTERN), 1)).alias("mention_no",
                                                                                  "ref_id"))
-    meta = batch_meta.select("batch_no", "ref_id", "title", "city", "employer") \
-        .dropDuplicates(["batch_no", "ref_id"])
+    # the last listing of a repeated ref counts (by position in the batch, if there is one)
+    order = F.struct(F.col("batch_pos") if "batch_pos" in batch_meta.columns else F.lit(0),
+                     F.xxhash64("title", "city", "employer"))
+    meta = batch_meta.groupBy("batch_no", "ref_id").agg(
+        F.max_by(F.struct("title", "city", "employer"), order).alias("m")).select(
+        "batch_no", "ref_id", "m.*", F.lit(True).alias("_known"))
     j = found.join(meta, ["batch_no", "ref_id"], "left")
-    known = F.col("title").isNotNull() | F.col("city").isNotNull() | F.col("employer").isNotNull()
+    known = F.coalesce(F.col("_known"), F.lit(False))
     is_job = F.col("ref_id").startswith("JOB_")
     status = F.when(known, F.lit("known")).when(is_job, F.lit("unresolved")).otherwise(F.lit("link"))
     link = F.when(known | ~is_job, F.concat(F.lit(base_url + "/"), F.col("ref_id")))

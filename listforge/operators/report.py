@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from listforge import schemas as S
 from listforge.functions import columns as C
 from listforge.operators import stats as ST
-from listforge.operators.indexing import global_index
+from listforge.operators.indexing import row_positions
 
 
 def pct(n: Column, total: Column) -> Column:
@@ -53,7 +53,7 @@ def rank_listings(df: DataFrame) -> DataFrame:
     """G1: best category priority, then lower-cased title, then arrival; adds dense ``rank``."""
     keyed = df.withColumn("_prio", C.category_priority("categories")).withColumn(
         "_title", F.lower(F.coalesce(F.col("title"), F.lit(""))))
-    ranked = global_index(keyed, ["_prio", "_title", "ord"], name="rank")
+    ranked = row_positions(keyed, ["_prio", "_title", "ord"], name="rank")
     return ranked.withColumn("rank", F.col("rank") + 1).drop("_prio", "_title")
 
 
@@ -85,7 +85,8 @@ def top_examples(df: DataFrame, k: int = 3, per_category: int = 3) -> DataFrame:
     top = top_categories(df, k).select("category", F.col("n").alias("category_n"),
                                        "first_ord")
     cats = F.coalesce(F.col("categories"), F.array().cast("array<string>"))
-    exploded = df.select("ord", "title", F.col("location.city").alias("city"), "employer",
+    url = F.col("url") if "url" in df.columns else F.col("details.url")
+    exploded = df.select("ord", "title", F.col("location.city").alias("city"), "employer", url.alias("url"),
                          F.explode(F.array_distinct(cats)).alias("category"))
     # k rows: a size-bounded broadcast
     picked = exploded.join(F.broadcast(top.select("category")), "category", "left_semi")
@@ -100,14 +101,16 @@ def top_examples(df: DataFrame, k: int = 3, per_category: int = 3) -> DataFrame:
 # ---------------------------------------------------------------------------
 def run_dashboard(total_found: DataFrame, extracted: DataFrame, labelled: DataFrame,
                   returned: DataFrame) -> DataFrame:
-    """Totals and rates of one run (one row).
+    """Totals and rates of one run, and the returned rows of each label (one row).
 
     ``match_rate`` is only given when filtering removed rows (labelled > returned).
     """
     a = total_found.agg(F.count(F.lit(1)).alias("total_found"))
     b = extracted.agg(F.count(F.lit(1)).alias("extracted"))
     c = labelled.agg(F.count(F.lit(1)).alias("labelled"))
-    d = returned.agg(F.count(F.lit(1)).alias("returned"))
+    cats = F.coalesce(F.col("categories"), F.array().cast("array<string>"))
+    d = returned.agg(F.count(F.lit(1)).alias("returned"), *[
+        F.count_if(F.array_contains(cats, cat)).alias(f"n_{_slug(cat)}") for cat in S.CATEGORIES])
     row = fold_rows(a, b, c, d)
     t = F.col("total_found")
     return row.select(
@@ -118,6 +121,7 @@ def run_dashboard(total_found: DataFrame, extracted: DataFrame, labelled: DataFr
         .alias("match_rate"),
         (t - F.col("extracted")).alias("failures"),
         pct(t - F.col("extracted"), t).alias("failure_rate"),
+        *[f"n_{_slug(cat)}" for cat in S.CATEGORIES],
     )
 
 
@@ -152,35 +156,37 @@ def _slug(cat: str) -> str:
 
 def market_report(found: DataFrame, extracted_details: DataFrame, labelled: DataFrame,
                   returned: DataFrame, examples_per_category: int = 3) -> DataFrame:
-    """The report as rows (section, ord, key, value).
+    """The report as rows (section, ord, key, n, value, detail).
 
-    Sections: totals, extraction (E22), categories (count and % of all found),
-    examples (top 3 categories, first listings of each).
+    Sections: totals (counts, and coverage rates in ``value``), extraction (E22), categories
+    (count and % of all found) and examples (top 3 categories, the first listings of each
+    with employer and URL).
     """
-    dash = run_dashboard(found, extracted_details.where(F.col("details.success")), labelled,
-                         returned)
-    totals = dash.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("ord"), F.lit(k).alias("key"), F.col(k).cast("double").alias("value"))
-        for i, k in enumerate(["total_found", "extracted", "labelled", "returned", "match_rate"])
-    ])).alias("r")).select(F.lit("totals").alias("section"), "r.ord", "r.key", "r.value")
-    extraction = ST.extraction_report(extracted_details).select(
-        F.lit("extraction").alias("section"),
-        F.lit(0).alias("ord"),
-        F.concat_ws(":", "section", "item").alias("key"),
-        F.col("n").cast("double").alias("value"))
-    # the found total rides along as one extra row; the window spans the label set + 1 rows
-    found_n = found.agg(F.count(F.lit(1)).cast("long").alias("t")).select(
-        F.lit(None).cast("string").alias("category"), F.lit(None).cast("long").alias("n"),
-        F.lit(None).cast("long").alias("first_ord"), "t")
-    stacked = ST.category_counts(returned).withColumn("t", F.lit(None).cast("long")) \
-        .unionByName(found_n)
-    cat_rows = stacked.withColumn("t", F.max("t").over(Window.partitionBy(F.lit(1)))).where(
-        F.col("category").isNotNull()).select(
-        F.lit("categories").alias("section"), F.col("first_ord").cast("int").alias("ord"),
-        F.col("category").alias("key"), pct(F.col("n"), F.col("t")).alias("value"))
-    ex = top_examples(returned, 3, examples_per_category).select(
-        F.lit("examples").alias("section"), F.col("example_no").cast("int").alias("ord"),
-        F.concat(F.col("category"), F.lit(": "), F.coalesce("title", F.lit("N/A")), F.lit(" ("),
-                 F.coalesce("city", F.lit("N/A")), F.lit(")")).alias("key"),
-        F.lit(None).cast("double").alias("value"))
-    return totals.unionByName(extraction).unionByName(cat_rows).unionByName(ex)
+    nothing = {"n": F.lit(None).cast("long"), "value": F.lit(None).cast("double"), "detail": F.lit(None).cast("string")}
+
+    def section(df, name, order, key, **given):
+        cols = {k: given.get(k, v) for k, v in nothing.items()}
+        return df.select(F.lit(name).alias("section"), order.cast("long").alias("ord"), key.alias("key"),
+                         *[c.alias(k) for k, c in cols.items()])
+
+    dash = run_dashboard(found, extracted_details.where(F.col("details.success")), labelled, returned)
+    counts = [("total_found", None), ("extracted", "extract_rate"), ("labelled", "label_rate"),
+              ("returned", "match_rate"), ("failures", "failure_rate")]
+    flat = dash.select(F.posexplode(F.array(*[
+        F.struct(F.lit(k).alias("key"), F.col(k).cast("long").alias("n"),
+                 (F.col(rate) if rate else F.lit(None)).cast("double").alias("value"))
+        for k, rate in counts])).alias("ord", "r"))
+    totals = section(flat, "totals", F.col("ord"), F.col("r.key"), n=F.col("r.n"), value=F.col("r.value"))
+    e22 = ST.extraction_report(extracted_details)
+    extraction = section(e22, "extraction", F.lit(0), F.concat_ws(":", "section", "item"), n=F.col("n"),
+                         value=F.col("pct"), detail=F.col("primary_warning"))
+    total = found.agg(F.count(F.lit(1))).scalar()
+    per_label = ST.category_counts(returned).withColumn("t", total)
+    categories = section(per_label, "categories", F.col("first_ord"), F.col("category"), n=F.col("n"),
+                         value=pct(F.col("n"), F.col("t")))
+    named = [F.coalesce(c, F.lit("N/A")) for c in (F.col("title"), F.col("city"), F.col("employer"), F.col("url"))]
+    ex = top_examples(returned, 3, examples_per_category)
+    examples = section(ex, "examples", F.col("example_no"),
+                       F.concat(F.col("category"), F.lit(": "), named[0], F.lit(" ("), named[1], F.lit(")")),
+                       detail=F.concat_ws(" | ", *named[2:]))
+    return totals.unionByName(extraction).unionByName(categories).unionByName(examples)

@@ -1,7 +1,7 @@
 """Run state: partial results, progress, resume.
 
 Layout under a run root (a folder in the shared file system):
-    partials/run_id=<id>/batch_no=<n>/   labelled rows of finished batches (append)
+    partials/run_id=<id>/attempt=<t>/    labelled rows of finished batches, a folder per append
     responses/run_id=<id>/attempt=<t>/   raw answers of one attempt, written before validation
     runs/                                one row per run event (started / complete)
 Every finished batch is recorded (K11: also for single-batch runs) and the run
@@ -10,6 +10,7 @@ is marked complete at the end instead of deleting its state.
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,26 +46,22 @@ def _path(root: str, part: str) -> str:
 
 
 def append_partial(root: str, run_id: str, labelled: DataFrame) -> None:
-    """Append finished batches (one folder per batch, re-runs overwrite only their batch)."""
+    """Append finished batches, one folder per append (``batch_no`` is a column)."""
     cols = [f.name for f in PARTIAL_SCHEMA.fields if f.name not in ("run_id",)]
     out = labelled.select(*[F.col(c) if c in labelled.columns else F.lit(None).cast(
-        PARTIAL_SCHEMA[c].dataType).alias(c) for c in cols]).withColumn("run_id", F.lit(run_id))
-    spark = labelled.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        out.write.mode("overwrite").partitionBy("run_id", "batch_no").parquet(_path(root, "partials"))
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+        PARTIAL_SCHEMA[c].dataType).alias(c) for c in cols])
+    attempt = f"{datetime.now(timezone.utc):%Y%m%d%H%M%S%f}-{uuid.uuid4().hex[:6]}"
+    out.write.mode("overwrite").parquet(f"{_path(root, 'partials')}/run_id={run_id}/attempt={attempt}")
 
 
 def read_partial(spark: SparkSession, root: str, run_id: str) -> DataFrame:
-    """Everything labelled so far in this run (partition-pruned by run_id)."""
-    path = _path(root, "partials")
-    fs, jpath, _ = _fs(spark, path)
+    """Everything labelled so far in this run."""
+    fs, jpath, _ = _fs(spark, f"{_path(root, 'partials')}/run_id={run_id}")
     if not fs.exists(jpath):
         return spark.createDataFrame([], PARTIAL_SCHEMA)
-    return spark.read.schema(PARTIAL_SCHEMA).parquet(path).where(F.col("run_id") == run_id)
+    own = T.StructType([f for f in PARTIAL_SCHEMA.fields if f.name != "run_id"])
+    rows = spark.read.schema(own).option("recursiveFileLookup", "true").parquet(jpath.toString())
+    return rows.withColumn("run_id", F.lit(run_id)).select(*PARTIAL_SCHEMA.fieldNames())
 
 
 def clear_run(spark: SparkSession, root: str, run_id: str) -> None:

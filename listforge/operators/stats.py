@@ -51,14 +51,6 @@ def stats_by_source(df: DataFrame) -> DataFrame:
     )
 
 
-def _primary(v: DataFrame, value_col, name: str) -> DataFrame:
-    """most frequent value per domain; the first-seen value wins ties."""
-    counted = v.groupBy("domain", value_col.alias("_v")).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("ord").alias("_first"))
-    return counted.groupBy("domain").agg(
-        F.max_by("_v", F.struct(F.col("_n"), -F.col("_first"))).alias(name))
-
-
 def _domain_core(df: DataFrame) -> DataFrame:
     """Per external domain: counts, length range, first appearance and F5 primaries.
 
@@ -184,9 +176,11 @@ def good_domains(df: DataFrame) -> DataFrame:
 
 
 def extraction_report(df: DataFrame, top_problems: int = 5) -> DataFrame:
-    """Report rows (section, item, n, pct) for sources, methods, warnings, problem domains.
+    """Report rows (section, item, n, total, pct, avg_text_length, primary_warning).
 
-    Sources, methods and warnings come from one GROUPING SETS pass that is read by
+    A source has its successes, its total, the rate and the floor-average text length; a
+    method its count, that of all methods and the share; a warning its count; a problem
+    domain its total, rate and primary warning.  Sources, methods and warnings come from one GROUPING SETS pass that is read by
     a single projection; problem domains come from the domain pass.
     """
     v = details_view(df).select(
@@ -196,13 +190,13 @@ def extraction_report(df: DataFrame, top_problems: int = 5) -> DataFrame:
         F.when(F.coalesce(F.col("warning"), F.lit("")) != "", F.col("warning")).alias("w_key"))
     facets = v.groupingSets([["source"], ["m_key"], ["w_key"]], "source", "m_key", "w_key").agg(
         F.grouping_id().alias("_gid"), F.count(F.lit(1)).alias("_n"),
-        F.count_if("success").alias("_ok"))
+        F.count_if("success").alias("_ok"), F.sum("length_or_text").alias("_chars"))
     # grouping ids: (source) -> 3, (m_key) -> 5, (w_key) -> 6
     section = (F.when(F.col("_gid") == 3, F.lit("source"))
                .when((F.col("_gid") == 5) & F.col("m_key").isNotNull(), F.lit("method"))
                .when((F.col("_gid") == 6) & F.col("w_key").isNotNull(), F.lit("warning")))
     rows = facets.select(section.alias("section"),
-                         F.coalesce("source", "m_key", "w_key").alias("item"), "_n", "_ok") \
+                         F.coalesce("source", "m_key", "w_key").alias("item"), "_n", "_ok", "_chars") \
         .where(F.col("section").isNotNull())
     # the facet table has one row per source, method and warning value: windows on it are tiny
     method_total = F.sum(F.when(F.col("section") == "method", F.col("_n"))).over(
@@ -210,14 +204,19 @@ def extraction_report(df: DataFrame, top_problems: int = 5) -> DataFrame:
     facet_rows = rows.select(
         "section", "item",
         F.when(F.col("section") == "source", F.col("_ok")).otherwise(F.col("_n")).alias("n"),
+        F.when(F.col("section") == "source", F.col("_n")).when(F.col("section") == "method", method_total)
+        .alias("total"),
         F.when(F.col("section") == "source",
                F.when(F.col("_n") > 0, F.col("_ok").cast("double") / F.col("_n") * 100.0)
                .otherwise(F.lit(0.0)))
         .when(F.col("section") == "method", F.col("_n").cast("double") / method_total * 100.0)
-        .alias("pct"))
+        .alias("pct"),
+        F.when(F.col("section") == "source", F.floor(F.col("_chars") / F.col("_n")).cast("long"))
+        .alias("avg_text_length"), F.lit(None).cast("string").alias("primary_warning"))
     prob = problem_domains(df, limit=top_problems).select(
         F.lit("problem_domain").alias("section"), F.col("domain").alias("item"),
-        F.col("total").alias("n"), F.col("success_rate").alias("pct"))
+        F.col("total").alias("n"), "total", F.col("success_rate").alias("pct"),
+        F.lit(None).cast("long").alias("avg_text_length"), "primary_warning")
     return facet_rows.unionByName(prob)
 
 

@@ -11,12 +11,12 @@ Merge semantics (one incoming batch, arrival order ``batch_ord``):
   dropped with it) or, without one, its stored payload; every ref seen gets
   ``last_seen`` = as_of and the (query, place) pair appended once.
 
-Scale plan: only (ref, ord, stamp) take part in the ordered step.  The stamp in
-force is computed with a two-level window: rows are windowed per (ref, ord
-chunk), chunks carry their last stamp forward through a small per-(ref, chunk)
-table, so a ref holding a third of all rows is still split over many tasks.
-Winning payloads join back on the unique (ref, ord) key, and the stored rows
-are not shuffled when the batch side is small (AQE turns the left join into a
+Scale plan: only (ref, ord, stamp) take part in the ordered step, written once and cut into
+ranges of (ref, ord) of about equal size.  The stamp in force is computed in two levels:
+windows per (ref, range), and each range's last stamp carried forward over a table with one
+row per (ref, range), so a ref with a third of all rows is spread over many ranges however
+its orders are numbered.  Winning payloads join back on the unique (ref, ord) key, and the
+stored rows are not shuffled when the batch side is small (AQE turns the left join into a
 broadcast after measuring it).
 """
 
@@ -31,7 +31,6 @@ from listforge import schemas as S
 from listforge.session import materialize
 
 NEW, UPDATED, UNCHANGED = "new", "updated", "unchanged"
-DEFAULT_CHUNK = 1 << 20
 
 
 class ContextMismatchError(ValueError):
@@ -42,7 +41,7 @@ class ContextMismatchError(ValueError):
 class MergeResult:
     classified: DataFrame  # incoming rows with a ref, plus ``status`` and ``prior_stamp``
     store: DataFrame       # the new store snapshot (STORE columns)
-    per_ref: DataFrame     # one row per incoming ref: eff_ord, in_store
+    per_ref: DataFrame     # one row per incoming ref: eff_ord, in_store, has_new/updated/unchanged
 
     def rows(self, status: str) -> DataFrame:
         return self.classified.where(F.col("status") == status)
@@ -82,73 +81,72 @@ def check_context(meta: dict | None, place: str | None, radius_km: int | None) -
             f"search asks for {where(place, radius_km)}")
 
 
-def prior_stamps(seq: DataFrame, chunk_size: int = DEFAULT_CHUNK) -> DataFrame:
+def prior_stamps(seq: DataFrame, parts: int | None = None, only_newer: bool = False) -> DataFrame:
     """F1 on (ref_id, ord, stamp[, is_store]): adds ``prior_stamp`` and ``seen_before``.
 
-    ``stamp`` must already be null for empty stamps.  Exact for any chunk size.
-    Level 1 windows rows per (ref, chunk); level 2 carries each chunk's last
-    stamp forward over a table with one row per (ref, chunk), built by a plain
-    aggregation of the keys.
+    ``stamp`` must already be null for empty stamps.  ``prior_stamp`` is the last stamp
+    before the row, or the largest one with ``only_newer``.  Exact for any number of ranges.
     """
-    chunk = F.floor(F.col("ord") / F.lit(chunk_size)).cast("long")
-    s = seq.withColumn("_chunk", chunk)
-    w_local = Window.partitionBy("ref_id", "_chunk").orderBy("ord")
-    before = w_local.rowsBetween(Window.unboundedPreceding, -1)
-    local = (s.withColumn("_local_prior", F.last("stamp", ignorenulls=True).over(before))
+    ranged = seq.repartitionByRange(parts, "ref_id", "ord") if parts else seq.repartitionByRange("ref_id", "ord")
+    # the range numbers become a written column, so they stay fixed if a task is retried
+    s = materialize(ranged.withColumn("_range", F.spark_partition_id()), "merge-ranges")
+    w_local = Window.partitionBy("ref_id", "_range").orderBy("ord")
+    w_ref = Window.partitionBy("ref_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    if only_newer:
+        in_force, of_range = F.max, F.max("stamp")
+    else:
+        def in_force(c):
+            return F.last(c, ignorenulls=True)
+
+        of_range = F.max_by("stamp", F.when(F.col("stamp").isNotNull(), F.col("ord")))
+    local = (s.withColumn("_local_prior", in_force("stamp").over(w_local.rowsBetween(Window.unboundedPreceding, -1)))
              .withColumn("_local_rn", F.row_number().over(w_local)))
-    # one row per (ref, chunk): bounded by rows / chunk_size for a hot ref; partial
-    # aggregation keeps this shuffle at about one row per (ref, chunk, map task)
-    chunks = s.groupBy("ref_id", "_chunk").agg(
-        F.max_by("stamp", F.when(F.col("stamp").isNotNull(), F.col("ord"))).alias("_chunk_last"))
-    w_ref = Window.partitionBy("ref_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = chunks.select(
-        "ref_id", "_chunk",
-        F.last("_chunk_last", ignorenulls=True).over(w_ref).alias("_carry"),
-        (F.count(F.lit(1)).over(w_ref) > 0).alias("_prev_chunk"),
-    )
-    out = local.join(carry, ["ref_id", "_chunk"], "left")
+    carry = s.groupBy("ref_id", "_range").agg(of_range.alias("_of_range")).select(
+        "ref_id", "_range", in_force("_of_range").over(w_ref).alias("_carry"),
+        (F.count(F.lit(1)).over(w_ref) > 0).alias("_prev_range"))
+    out = local.join(carry, ["ref_id", "_range"], "left")
+    prior = F.greatest("_local_prior", "_carry") if only_newer else F.coalesce("_local_prior", "_carry")
     return out.select(
-        *[c for c in seq.columns],
-        F.coalesce("_local_prior", "_carry").alias("prior_stamp"),
-        ((F.col("_local_rn") > 1) | F.coalesce("_prev_chunk", F.lit(False))).alias("seen_before"),
-    )
+        *seq.columns, prior.alias("prior_stamp"),
+        ((F.col("_local_rn") > 1) | F.coalesce("_prev_range", F.lit(False))).alias("seen_before"))
 
 
-def status_of(stamp: Column, prior: Column, seen_before: Column) -> Column:
+def status_of(stamp: Column, prior: Column, seen_before: Column, only_newer: bool = False) -> Column:
+    changed = (prior.isNull() | (stamp > prior)) if only_newer else ~stamp.eqNullSafe(prior)
     return (F.when(~seen_before, F.lit(NEW))
-            .when(stamp.isNotNull() & ~stamp.eqNullSafe(prior), F.lit(UPDATED))
+            .when(stamp.isNotNull() & changed, F.lit(UPDATED))
             .otherwise(F.lit(UNCHANGED)))
 
 
-def classify_batch(store: DataFrame, incoming: DataFrame,
-                   chunk_size: int = DEFAULT_CHUNK) -> tuple[DataFrame, DataFrame]:
-    """C1 classification: (classified incoming rows, per-ref summary).
+def classify_batch(store: DataFrame, incoming: DataFrame, parts: int | None = None,
+                   only_newer: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """C1 classification: (classified incoming rows, per-ref summary, winning rows).
 
-    ``incoming`` needs ref_id, batch_ord, modified_at (plus any payload).
+    ``incoming`` needs ref_id, batch_ord, modified_at (plus any payload).  Its keys are read
+    once and written; its payload is read where the classified rows or the winners are used.
     """
     inc = incoming.where(F.coalesce(F.col("ref_id"), F.lit("")) != "")
-    keys = inc.select("ref_id", F.col("batch_ord").cast("long").alias("ord"),
-                      F.nullif(F.col("modified_at"), F.lit("")).alias("stamp"),
-                      F.lit(False).alias("is_store"))
-    batch_refs = keys.select("ref_id").distinct()
-    stored = (store.select("ref_id", F.lit(-1).cast("long").alias("ord"),
-                           F.nullif(F.col("modified_at"), F.lit("")).alias("stamp"),
-                           F.lit(True).alias("is_store"))
-              .join(batch_refs, "ref_id", "left_semi"))
-    seq = prior_stamps(keys.unionByName(stored), chunk_size)
-    status = status_of(F.col("stamp"), F.col("prior_stamp"), F.col("seen_before"))
-    seq = seq.withColumn("status", F.when(~F.col("is_store"), status))
-    # the narrow classified sequence feeds two consumers: materialise it once in
-    # the shared checkpoint folder (also cuts lineage for retries)
-    seq = materialize(seq, "merge-seq")
+    stamp = F.nullif(F.col("modified_at"), F.lit("")).alias("stamp")
+    keys = materialize(inc.select("ref_id", F.col("batch_ord").cast("long").alias("ord"), stamp,
+                                  F.lit(False).alias("is_store")), "merge-keys")
+    stored = store.select("ref_id", F.lit(-1).cast("long").alias("ord"), stamp, F.lit(True).alias("is_store")).join(
+        keys.select("ref_id").distinct(), "ref_id", "left_semi")
+    seq = prior_stamps(keys.unionByName(stored), parts, only_newer)
+    status = status_of(F.col("stamp"), F.col("prior_stamp"), F.col("seen_before"), only_newer)
+    # narrow, read by the statuses and by the summary
+    seq = materialize(seq.withColumn("status", F.when(~F.col("is_store"), status)), "merge-seq")
     per_ref = seq.groupBy("ref_id").agg(
         F.max(F.when(F.col("status").isin(NEW, UPDATED), F.col("ord"))).alias("eff_ord"),
         F.max(F.col("is_store").cast("int")).cast("boolean").alias("in_store"),
+        *[F.coalesce(F.max((F.col("status") == s).cast("int")), F.lit(0)).cast("boolean").alias(f"has_{s}")
+          for s in (NEW, UPDATED, UNCHANGED)],
     )
     statuses = seq.where(~F.col("is_store")).select(
         "ref_id", F.col("ord").alias("batch_ord"), "status", "prior_stamp")
     classified = inc.join(statuses, ["ref_id", "batch_ord"])
-    return classified, per_ref
+    payload = inc.select("ref_id", F.col("batch_ord").alias("eff_ord"), *S.PAYLOAD_FIELDS)
+    touched = per_ref.select("ref_id", "eff_ord", "in_store").join(payload, ["ref_id", "eff_ord"], "left")
+    return classified, per_ref, touched
 
 
 def to_process(classified: DataFrame) -> DataFrame:
@@ -166,34 +164,16 @@ def append_search(found_in: Column, query: str | None, place: str | None, as_of:
     return F.when(present, current).otherwise(F.concat(current, entry))
 
 
-def drop_older(incoming: DataFrame, store: DataFrame) -> DataFrame:
-    """[ours] late data: drop incoming rows whose stamp is older than the stored one.
-
-    By default a late older version counts as a change (only inequality is
-    tested); with this filter it is ignored instead.  Stamps compare as text.
-    """
-    stored = store.select("ref_id", F.col("modified_at").alias("_stored_stamp"))
-    j = incoming.join(stored, "ref_id", "left")
-    keep = (F.col("_stored_stamp").isNull() | F.col("modified_at").isNull()
-            | (F.col("modified_at") >= F.col("_stored_stamp")))
-    return j.where(keep).drop("_stored_stamp")
-
-
 def merge_listings(store: DataFrame, incoming: DataFrame, query: str | None, place: str | None,
-                   as_of: str, chunk_size: int = DEFAULT_CHUNK,
-                   only_newer: bool = False) -> MergeResult:
+                   as_of: str, parts: int | None = None, only_newer: bool = False) -> MergeResult:
     """Classify ``incoming`` against ``store`` and build the next store snapshot.
 
-    ``incoming`` should be a table scan or a written table: its key columns are
-    read by both levels of the ordered step.
+    With ``only_newer`` [ours] a stamp that is not larger (as text) than the largest one
+    before it, stored or in the batch, leaves its row unchanged; by default a late older
+    version counts as a change, because only inequality is tested.
     """
-    if only_newer:
-        incoming = drop_older(incoming, store)
     ts = F.to_timestamp(F.lit(as_of))
-    classified, per_ref = classify_batch(store, incoming, chunk_size)
-    payload_cols = ["ref_id", "batch_ord"] + S.PAYLOAD_FIELDS
-    winners = incoming.select(*payload_cols).withColumnRenamed("batch_ord", "eff_ord")
-    touched = per_ref.join(winners, ["ref_id", "eff_ord"], "left")
+    classified, per_ref, touched = classify_batch(store, incoming, parts, only_newer)
     t = {c: F.col("t." + c) for c in touched.columns}
     s = {c: F.col("s." + c) for c in store.columns}
     has_eff = t["eff_ord"].isNotNull()
@@ -223,52 +203,50 @@ def merge_listings(store: DataFrame, incoming: DataFrame, query: str | None, pla
     return MergeResult(classified=classified, store=new_store, per_ref=per_ref)
 
 
-def delta_summary(classified: DataFrame, store: DataFrame) -> DataFrame:
-    """Distinct refs per status and the store total (one row)."""
-    none = F.lit(None).cast("long")
-    counts = classified.agg(
-        F.count_distinct(F.when(F.col("status") == NEW, F.col("ref_id"))).alias("new"),
-        F.count_distinct(F.when(F.col("status") == UPDATED, F.col("ref_id"))).alias("updated"),
-        F.count_distinct(F.when(F.col("status") == UNCHANGED, F.col("ref_id"))).alias("unchanged"),
-    ).withColumn("total_in_store", none)
-    total = store.agg(F.count(F.lit(1)).alias("total_in_store")).select(
-        none.alias("new"), none.alias("updated"), none.alias("unchanged"), "total_in_store")
-    both = counts.unionByName(total)
-    return both.agg(*[F.max(c).alias(c) for c in ("new", "updated", "unchanged", "total_in_store")])
+def delta_summary(per_ref: DataFrame, store: DataFrame) -> DataFrame:
+    """Refs per status (a ref may count in two) and the store total (one row).
+
+    ``per_ref`` is a merge's one row per incoming ref, so flags are counted, not refs.
+    """
+    total = store.agg(F.count(F.lit(1))).scalar()
+    return per_ref.agg(*[F.count_if(F.col(f"has_{s}")).alias(s) for s in (NEW, UPDATED, UNCHANGED)]).withColumn(
+        "total_in_store", total)
 
 
 def attach_details(store: DataFrame, details: DataFrame) -> DataFrame:
     """Set DETAILS of stored refs that were just extracted; unknown refs ignored.
 
-    ``details`` has ref_id and a DETAILS struct; rows with an empty ref or null
-    details are ignored; when a ref has several rows, the last by ``batch_ord``
-    (if present) wins.
+    ``details`` has ref_id and a DETAILS struct; rows with an empty ref or null details are
+    ignored.  Of several rows of a ref the last by ``batch_ord`` wins (ties, and tables
+    without that column: the largest row hash); the winner is found on narrow keys before
+    any text is shuffled.
     """
     d = details.where((F.coalesce(F.col("ref_id"), F.lit("")) != "") & F.col("details").isNotNull())
-    if "batch_ord" in d.columns:
-        d = d.groupBy("ref_id").agg(F.max_by("details", "batch_ord").alias("_new_details"))
-    else:
-        d = d.groupBy("ref_id").agg(F.last("details").alias("_new_details"))
-    joined = store.join(d, "ref_id", "left")
+    order = F.struct(F.col("batch_ord") if "batch_ord" in d.columns else F.lit(0), F.xxhash64("details"))
+    d = d.select("ref_id", order.alias("_order"), F.col("details").alias("_new_details"))
+    last = d.groupBy("ref_id").agg(F.max("_order").alias("_order"))
+    d = d.join(last, ["ref_id", "_order"]).dropDuplicates(["ref_id"])  # equal rows only
+    joined = store.join(d.drop("_order"), "ref_id", "left")
     return joined.withColumn("details", F.coalesce(F.col("_new_details"), F.col("details"))) \
         .drop("_new_details").select(*store.columns)
 
 
-def search_history_flag(store: DataFrame, query: str | None, place: str | None) -> DataFrame:
-    """C6 as a one-row DataFrame: was (query, place) recorded on any listing?"""
+def recorded(query: str | None, place: str | None) -> Column:
+    """Whether a stored listing was found by (query, place); null equals null."""
     q, p = F.lit(query).cast("string"), F.lit(place).cast("string")
-    hit = F.exists(F.coalesce(F.col("found_in"), F.array().cast(S.FOUND_IN)),
-                   lambda s: s["query"].eqNullSafe(q) & s["place"].eqNullSafe(p))
-    return store.agg(F.coalesce(F.max(hit.cast("int")), F.lit(0)).cast("boolean")
-                     .alias("has_history"))
+    return F.exists(F.coalesce(F.col("found_in"), F.array().cast(S.FOUND_IN)),
+                    lambda s: s["query"].eqNullSafe(q) & s["place"].eqNullSafe(p))
+
+
+def search_history_flags(store: DataFrame, searches: dict) -> DataFrame:
+    """C6 as one row with a boolean per name of ``searches`` (name -> (query, place)), in one pass."""
+    return store.agg(*[F.coalesce(F.max(recorded(*s).cast("int")), F.lit(0)).cast("boolean").alias(name)
+                       for name, s in searches.items()])
 
 
 def has_search_history(store: DataFrame, query: str | None, place: str | None) -> bool:
     """C6 for the driver: stops at the first hit (``limit(1)``)."""
-    q, p = F.lit(query).cast("string"), F.lit(place).cast("string")
-    hit = F.exists(F.coalesce(F.col("found_in"), F.array().cast(S.FOUND_IN)),
-                   lambda s: s["query"].eqNullSafe(q) & s["place"].eqNullSafe(p))
-    return bool(store.where(hit).limit(1).count())
+    return bool(store.where(recorded(query, place)).limit(1).count())
 
 
 def store_metadata(store: DataFrame, previous: dict | None, as_of: str, place: str | None,

@@ -35,7 +35,7 @@ class GatherResult:
 
 
 def gather_summary(found: DataFrame, processed: DataFrame | None, ok: DataFrame | None,
-                   failed: DataFrame | None, classified: DataFrame | None,
+                   failed: DataFrame | None, per_ref: DataFrame | None,
                    store: DataFrame | None) -> DataFrame:
     """total_found, total_scraped, extracted, failed and the delta counts (one row)."""
     from listforge.operators.report import fold_rows
@@ -49,15 +49,15 @@ def gather_summary(found: DataFrame, processed: DataFrame | None, ok: DataFrame
                  else zero("extracted"))
     parts.append(failed.agg(F.count(F.lit(1)).alias("failed")) if failed is not None
                  else zero("failed"))
-    if classified is not None and store is not None:
-        parts.append(ST.delta_summary(classified, store).withColumnRenamed(
+    if per_ref is not None and store is not None:
+        parts.append(ST.delta_summary(per_ref, store).withColumnRenamed(
             "total_in_store", "database_total"))
     return fold_rows(*parts)
 
 
 def gather(spark: SparkSession, landing: str, store_root: str, pages: DataFrame | None,
            query: str | None, place: str | None, radius_km: int | None, as_of: str,
-           internal_base_url: str, max_pages: int = 5, keywords: list[str] | None = None,
+           internal_base_url: str, max_pages: int | None = None, keywords: list[str] | None = None,
            days: int | None = None, enable_extraction: bool = True,
            use_store: bool = True) -> GatherResult:
     """J11 over landed search pages and landed HTML (``pages``: url, html[, http_status])."""
@@ -88,12 +88,13 @@ def gather(spark: SparkSession, landing: str, store_root: str, pages: DataFrame
 
     if not use_store:
         processed = found
-        classified = None
+        per_ref = None
         new_store = None
     else:
         merged = ST.merge_listings(store, found, query, place, as_of)
-        processed = merged.to_process().drop("status", "prior_stamp", "process_ord")
-        classified, new_store = merged.classified, merged.store
+        # H1: new rows first, then updated ones, each in arrival order
+        processed = merged.to_process().drop("status", "prior_stamp")
+        per_ref, new_store = merged.per_ref, merged.store
 
     if processed.isEmpty() or not enable_extraction:
         snap = None
@@ -103,7 +104,7 @@ def gather(spark: SparkSession, landing: str, store_root: str, pages: DataFrame
             new_store = IO.load_store(spark, store_root)
         flat = FL.flatten_listing(processed) if enable_extraction is False else None
         summary = gather_summary(found, processed, processed if not enable_extraction else None,
-                                 None, classified, new_store)
+                                 None, per_ref, new_store)
         return GatherResult(flat, None, summary, processed, snap, found, window)
 
     # the Python extraction is the costly step: run it once, persist its output (A10's
@@ -117,7 +118,7 @@ def gather(spark: SparkSession, landing: str, store_root: str, pages: DataFrame
         snap = IO.save_store(spark, store_root, with_details,
                              lambda w: ST.store_metadata(w, meta, as_of, place, radius_km))
         new_store = IO.load_store(spark, store_root)
-    summary = gather_summary(found, detailed, ok, failed, classified, new_store)
+    summary = gather_summary(found, detailed, ok, failed, per_ref, new_store)
     return GatherResult(ok, failed, summary, processed, snap, found, window)
 
 
@@ -135,7 +136,7 @@ def full_run(spark: SparkSession, landing: str, store_root: str, run_root: str,
         empty = spark.createDataFrame([], R.PARTIAL_SCHEMA)
         return empty, g.summary
     labelled = R.resume_classify(g.ok, scorer, profile, run_id, run_root,
-                                 order_cols=["batch_ord"] if "batch_ord" in g.ok.columns else None,
+                                 order_cols=[c for c in ("process_ord", "batch_ord") if c in g.ok.columns] or None,
                                  return_only_matches=False)
     returned = labelled.where(F.lit(True))
     if return_only_matches:

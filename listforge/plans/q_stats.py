@@ -119,21 +119,24 @@ def q_good_domains(spark, sf):
 
 
 @register("extraction_report", _DOMAIN_CORE + """,
-src AS (SELECT source, count(*) AS total, count_if(success) AS successful FROM dv GROUP BY source),
+src AS (SELECT source, count(*) AS total, count_if(success) AS successful,
+               CAST(floor(sum(length_or_text) / count(*)) AS BIGINT) AS avg_len FROM dv GROUP BY source),
 meth AS (SELECT method, count(*) AS n FROM dv
          WHERE method IS NOT NULL AND method <> '' AND method <> 'unknown' GROUP BY method),
 warn AS (SELECT warning, count(*) AS n FROM dv WHERE coalesce(warning, '') <> '' GROUP BY warning),
-prob AS (SELECT domain, total, round(rate_raw, 1) AS success_rate FROM core
+prob AS (SELECT domain, total, round(rate_raw, 1) AS success_rate, primary_warning FROM core
          WHERE rate_raw < 50 AND total >= 3 ORDER BY total DESC, first_ord LIMIT 5)
-SELECT 'source' AS section, source AS item, CAST(successful AS BIGINT) AS n,
-       CASE WHEN total > 0 THEN CAST(successful AS DOUBLE) / total * 100.0 ELSE 0.0 END AS pct
+SELECT 'source' AS section, source AS item, CAST(successful AS BIGINT) AS n, CAST(total AS BIGINT) AS total,
+       CASE WHEN total > 0 THEN CAST(successful AS DOUBLE) / total * 100.0 ELSE 0.0 END AS pct,
+       avg_len AS avg_text_length, CAST(NULL AS VARCHAR) AS primary_warning
 FROM src
 UNION ALL
-SELECT 'method', method, CAST(n AS BIGINT), CAST(n AS DOUBLE) / sum(n) OVER () * 100.0 FROM meth
+SELECT 'method', method, CAST(n AS BIGINT), CAST(sum(n) OVER () AS BIGINT),
+       CAST(n AS DOUBLE) / sum(n) OVER () * 100.0, NULL, NULL FROM meth
 UNION ALL
-SELECT 'warning', warning, CAST(n AS BIGINT), CAST(NULL AS DOUBLE) FROM warn
+SELECT 'warning', warning, CAST(n AS BIGINT), NULL, CAST(NULL AS DOUBLE), NULL, NULL FROM warn
 UNION ALL
-SELECT 'problem_domain', domain, total, success_rate FROM prob""")
+SELECT 'problem_domain', domain, total, total, success_rate, NULL, primary_warning FROM prob""")
 def q_extraction_report(spark, sf):
     return ST.extraction_report(B.doc_listings(spark, sf))
 

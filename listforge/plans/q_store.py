@@ -192,7 +192,7 @@ SELECT CAST(count(DISTINCT ref_id) FILTER (WHERE status = 'new') AS BIGINT) AS n
 FROM c2""")
 def q_delta_summary(spark, sf):
     _m1, m2, _late = two_merges(spark, sf)
-    return ST.delta_summary(m2.classified, m2.store)
+    return ST.delta_summary(m2.per_ref, m2.store)
 
 
 @register("to_process", _MERGE_SQL + """
@@ -203,54 +203,36 @@ def q_to_process(spark, sf):
     return m2.to_process().select("ref_id", "batch_ord", "status", "process_ord")
 
 
+def _seen_sql(query: str, place: str) -> str:
+    return (f"coalesce(bool_or(list_contains(list_transform(searches, lambda x: split_part(x, '@', 1) || '@' || "
+            f"split_part(x, '@', 2)), '{query}@{place}')), false)")
+
+
 @register("has_search_history", _MERGE_SQL + f"""
-SELECT coalesce(bool_or(list_contains(list_transform(searches,
-         lambda x: split_part(x, '@', 1) || '@' || split_part(x, '@', 2)), '{Q1}@{PLACE}')), false)
-         AS early_seen,
-       coalesce(bool_or(list_contains(list_transform(searches,
-         lambda x: split_part(x, '@', 1) || '@' || split_part(x, '@', 2)), '{Q2}@{PLACE}')), false)
-         AS late_seen,
-       coalesce(bool_or(list_contains(list_transform(searches,
-         lambda x: split_part(x, '@', 1) || '@' || split_part(x, '@', 2)), '{Q1}@Hamburg')), false)
-         AS other_place_seen
-FROM store1""")
+SELECT {_seen_sql(Q1, PLACE)} AS early_seen, {_seen_sql(Q2, PLACE)} AS late_seen,
+       {_seen_sql(Q1, 'Hamburg')} AS other_place_seen
+FROM store2""")
 def q_has_search_history(spark, sf):
-    m1, _m2, _late = two_merges(spark, sf)
-    a = ST.search_history_flag(m1.store, Q1, PLACE).withColumnRenamed("has_history", "early_seen")
-    b = ST.search_history_flag(m1.store, Q2, PLACE).withColumnRenamed("has_history", "late_seen")
-    c = ST.search_history_flag(m1.store, Q1, "Hamburg").withColumnRenamed("has_history",
-                                                                          "other_place_seen")
-    none = F.lit(None).cast("boolean")
-    rows = (a.select("early_seen", none.alias("late_seen"), none.alias("other_place_seen"))
-            .unionByName(b.select(none.alias("early_seen"), "late_seen", none.alias("other_place_seen")))
-            .unionByName(c.select(none.alias("early_seen"), none.alias("late_seen"), "other_place_seen")))
-    return rows.agg(*[F.max(x).alias(x) for x in ("early_seen", "late_seen", "other_place_seen")])
+    """C6 on the store after both merges."""
+    _m1, m2, _late = two_merges(spark, sf)
+    return ST.search_history_flags(m2.store, {
+        "early_seen": (Q1, PLACE), "late_seen": (Q2, PLACE), "other_place_seen": (Q1, "Hamburg")})
 
 
 @register("incremental_window", _MERGE_SQL + f"""
-SELECT CASE WHEN bool_or(list_contains(list_transform(searches,
-              lambda x: split_part(x, '@', 1) || '@' || split_part(x, '@', 2)), '{Q1}@{PLACE}'))
-            THEN {S.DEFAULT_INCREMENTAL_DAYS} END AS days_repeat_search,
-       CASE WHEN bool_or(list_contains(list_transform(searches,
-              lambda x: split_part(x, '@', 1) || '@' || split_part(x, '@', 2)), '{Q2}@{PLACE}'))
-            THEN {S.DEFAULT_INCREMENTAL_DAYS} END AS days_new_search,
+SELECT CASE WHEN {_seen_sql(Q1, PLACE)} THEN {S.DEFAULT_INCREMENTAL_DAYS} END AS days_repeat_search,
+       CASE WHEN {_seen_sql('q-never', PLACE)} THEN {S.DEFAULT_INCREMENTAL_DAYS} END AS days_new_search,
        3 AS days_explicit
-FROM store1""")
+FROM store2""")
 def q_incremental_window(spark, sf):
-    """B4 on the first store: a repeated search gets the default window, a new one none."""
-    m1, _m2, _late = two_merges(spark, sf)
-    exists = F.lit(True)
-    rep = ST.search_history_flag(m1.store, Q1, PLACE)
-    new = ST.search_history_flag(m1.store, Q2, PLACE)
-    none_i = F.lit(None).cast("int")
-    rows = (rep.select(FL.incremental_window_col(none_i, exists, F.col("has_history"))
-                       .alias("days_repeat_search"), none_i.alias("days_new_search"))
-            .unionByName(new.select(none_i.alias("days_repeat_search"),
-                                    FL.incremental_window_col(none_i, exists, F.col("has_history"))
-                                    .alias("days_new_search"))))
-    out = rows.agg(F.max("days_repeat_search").alias("days_repeat_search"),
-                   F.max("days_new_search").alias("days_new_search"))
-    return out.withColumn("days_explicit", F.lit(FL.incremental_window(3, True, True)))
+    """B4 on the store after both merges: a repeated search gets the default window, a new one none."""
+    _m1, m2, _late = two_merges(spark, sf)
+    none, exists = F.lit(None).cast("int"), F.lit(True)
+    seen = ST.search_history_flags(m2.store, {"again": (Q1, PLACE), "new": ("q-never", PLACE)})
+    return seen.select(
+        FL.incremental_window_col(none, exists, F.col("again")).alias("days_repeat_search"),
+        FL.incremental_window_col(none, exists, F.col("new")).alias("days_new_search"),
+        F.lit(FL.incremental_window(3, True, True)).alias("days_explicit"))
 
 
 @register("store_metadata", _MERGE_SQL + f"""

@@ -6,11 +6,10 @@ micro-batch, merged with the same queries and dates as the two batch merges,
 so the final store must equal ``merge_listings``.
 """
 
-import time
-
 from pyspark.sql import functions as F
 
 from listforge.plans import bindings as B
+from listforge.plans import q_extract as QX
 from listforge.plans import q_store as QS
 from listforge.plans.registry import ORACLE, register
 from listforge.session import scratch_path
@@ -18,41 +17,28 @@ from listforge.sources import store_io as IO
 from listforge.streaming.extract_stream import stream_extract
 from listforge.streaming.merge_stream import stream_merge
 
-FILES_PER_GROUP = 4
 _LISTING_COLS = ["ref_id", "title", "employer", "location", "external_url", "modified_at",
                  "published_on", "batch_ord"]
 
 
-def _data_files(spark, path):
-    fs, jpath, _ = IO._fs(spark, path)
-    return sum(1 for st in fs.listStatus(jpath) if st.getPath().getName().endswith(".parquet"))
-
-
 @register("stream_merge", ORACLE["merge_listings"])
 def q_stream_merge(spark, sf):
+    """Two runs of one stream, each merging the group of files that has landed by then."""
     ev = QS.event_listings(spark, sf)
     cut = F.lit(QS.CUT).cast("timestamp")
-    landing = scratch_path(spark, "stream-in")
-    ev.where(F.col("ts") < cut).select(*_LISTING_COLS).repartition(FILES_PER_GROUP) \
-        .write.mode("append").parquet(landing)
-    n_first = _data_files(spark, landing)
-    time.sleep(1.1)  # the later group gets strictly later file times
-    ev.where(F.col("ts") >= cut).select(*_LISTING_COLS).repartition(n_first) \
-        .write.mode("append").parquet(landing)
-    if _data_files(spark, landing) != 2 * n_first:
-        raise RuntimeError("each landed group must be one micro-batch of equal file count")
-    store_root = scratch_path(spark, "stream-store")
-    queries = {0: QS.Q1, 1: QS.Q2}
-    dates = {0: QS.AS_OF_1, 1: QS.AS_OF_2}
-    stream_merge(spark, landing, store_root, scratch_path(spark, "stream-ckpt"),
-                 lambda b: queries[b], B.PLACE, B.RADIUS_KM, lambda b: dates[b],
-                 max_files_per_trigger=n_first)
+    landing, store_root = scratch_path(spark, "stream-in"), scratch_path(spark, "stream-store")
+    checkpoint = scratch_path(spark, "stream-ckpt")
+    groups = [(F.col("ts") < cut, QS.Q1, QS.AS_OF_1), (F.col("ts") >= cut, QS.Q2, QS.AS_OF_2)]
+    for landed, query, as_of in groups:
+        ev.where(landed).select(*_LISTING_COLS).write.mode("append").parquet(landing)
+        stream_merge(spark, landing, store_root, checkpoint, query, B.PLACE, B.RADIUS_KM, as_of)
     return QS.store_view(IO.load_store(spark, store_root))
 
 
-@register("stream_extract")
+@register("stream_extract", f"""
+WITH {QX._DETAILS} SELECT page_id, success, method, warning, text_length FROM page_details""")
 def q_stream_extract(spark, sf):
-    """The `pages` table landed as files, extracted by a stream (rows-only check)."""
+    """The `pages` table landed as files, extracted by a stream."""
     landing = scratch_path(spark, "pages-in")
     B.table(spark, sf, "pages").write.mode("overwrite").parquet(landing)
     out = scratch_path(spark, "pages-out")

@@ -27,11 +27,5 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from listforge.plans import q_extract, q_stats  # noqa: F401
-    for mod in ("q_filters", "q_store", "q_labels", "q_runs", "q_pages", "q_reasoning",
-                "q_report", "q_gather", "q_stream"):
-        try:
-            __import__(f"listforge.plans.{mod}")
-        except ModuleNotFoundError as exc:
-            if exc.name != f"listforge.plans.{mod}":
-                raise
+    from listforge.plans import (  # noqa: F401
+        q_extract, q_filters, q_gather, q_labels, q_pages, q_reasoning, q_report, q_runs, q_stats, q_store, q_stream)

@@ -28,12 +28,6 @@ def read_search_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(S.SEARCH_PAGE).json(path)
 
 
-def parse_search_pages(raw: DataFrame, col: str = "raw_json") -> DataFrame:
-    """A1 from a column of raw response JSON."""
-    parsed = raw.select(F.from_json(F.col(col), S.SEARCH_PAGE).alias("p"))
-    return parsed.select("p.*")
-
-
 def page_listings(pages: DataFrame, search_col: str | None = None) -> DataFrame:
     """A1: one row per listing with ``page``, ``pos`` and ``batch_ord`` = (page, pos)."""
     keys = [search_col] if search_col else []
@@ -54,55 +48,50 @@ def page_totals(pages: DataFrame, keywords: list[str] | None = None,
     very many pages is still spread over many tasks.
     """
     kws = S.DEFAULT_EXCLUDE_KEYWORDS if keywords is None else keywords
-    single = search_col is None
-    if single:
-        pages = pages.withColumn("_search", F.lit(0))
-        search_col = "_search"
+    keys = [search_col] if search_col else []
     lst = F.coalesce(F.col("listings"), F.array().cast(S.SEARCH_PAGE["listings"].dataType))
     if kws:
         kept = F.size(F.filter(lst, lambda x: ~keyword_hit(x[title_col], kws)))
     else:
         kept = F.size(lst)
     per_page = pages.select(
-        search_col, "page", F.coalesce(F.col("status"), F.lit(200)).alias("status"),
+        *keys, "page", F.coalesce(F.col("status"), F.lit(200)).alias("status"),
         F.size(lst).alias("n_listings"), kept.cast("long").alias("kept"),
         F.coalesce(F.col("total").cast("long"), F.lit(0)).alias("total"))
-    out = running_sum(per_page, [search_col], "page", "kept")
+    out = running_sum(per_page, keys, "page", "kept")
     # first missing page: 1 when page 1 is absent, else the smallest p + 1 not landed
-    present = per_page.select(search_col, "page")
-    succ = present.select(search_col, (F.col("page") - 1).alias("page"))
-    last_run = present.join(succ, [search_col, "page"], "left_anti")
-    first_gap = last_run.groupBy(search_col).agg((F.min("page") + 1).alias("_gap"))
-    has_first = present.where(F.col("page") == 1).select(search_col, F.lit(True).alias("_has1"))
-    out = (out.join(first_gap, search_col, "left").join(has_first, search_col, "left")
-           .withColumn("first_missing",
-                       F.when(F.col("_has1").isNull(), F.lit(1)).otherwise(F.col("_gap")))
-           .drop("_gap", "_has1"))
-    return out.drop("_search") if single else out
-
-
-def page_prefix(pages: DataFrame, max_pages: int, keywords: list[str] | None = None,
+    present = per_page.select(*keys, "page")
+    succ = present.select(*keys, (F.col("page") - 1).alias("page"))
+    last_run = present.join(succ, [*keys, "page"], "left_anti")
+    gap, has_first = F.min("page") + 1, F.count_if(F.col("page") == 1) > 0
+    if not keys:  # one value each: scalar subqueries
+        first_missing = F.when(present.agg(has_first).scalar(), last_run.agg(gap).scalar()).otherwise(1)
+        return out.withColumn("first_missing", first_missing)
+    gaps = present.groupBy(*keys).agg(has_first.alias("_has1")).join(
+        last_run.groupBy(*keys).agg(gap.alias("_gap")), keys, "left")
+    return (out.join(gaps, keys, "left").withColumn("first_missing", F.when("_has1", F.col("_gap")).otherwise(1))
+            .drop("_gap", "_has1"))
+
+
+def page_prefix(pages: DataFrame, max_pages: int | None = None, keywords: list[str] | None = None,
                 search_col: str | None = None, title_col: str = "title") -> DataFrame:
-    """A2 + B2: the listings a paged search would have returned, in order."""
-    single = search_col is None
-    if single:
-        pages = pages.withColumn("_search", F.lit(0))
-        search_col = "_search"
-    t = page_totals(pages, keywords, search_col, title_col).where(F.col("page") <= max_pages)
+    """A2 + B2: the listings a paged search would have returned, in order (no page limit by default)."""
+    keys = [search_col] if search_col else []
+    t = page_totals(pages, keywords, search_col, title_col)
+    if max_pages is not None:
+        t = t.where(F.col("page") <= max_pages)
     stop_before = F.when((F.col("status") != 200) | (F.col("n_listings") == 0)
                          | (F.col("page") > F.col("first_missing")), F.col("page"))
     stop_after = F.when(F.col("running") >= F.col("total"), F.col("page"))
-    limits = t.groupBy(search_col).agg(
-        F.least(F.min(stop_before), F.min("first_missing")).alias("_before"),
-        F.min(stop_after).alias("_after"))
-    last = F.least(F.coalesce(F.col("_before") - 1, F.lit(max_pages)),
-                   F.coalesce(F.col("_after"), F.lit(max_pages)), F.lit(max_pages))
-    # one row per search
-    limits = limits.select(search_col, last.alias("last_page"))
+    end = F.lit(max_pages if max_pages is not None else (1 << 31) - 1)
+    last = F.least(F.coalesce(F.least(F.min(stop_before), F.min("first_missing")) - 1, end),
+                   F.coalesce(F.min(stop_after), end), end).alias("last_page")
     kws = S.DEFAULT_EXCLUDE_KEYWORDS if keywords is None else keywords
     rows = page_listings(pages, search_col)
     if kws:
         rows = rows.where(~keyword_hit(F.col(title_col), kws))
-    rows = rows.join(limits, search_col).where(F.col("page") <= F.col("last_page"))
-    rows = rows.drop("last_page")
-    return rows.drop("_search") if single else rows
+    if not keys:
+        return rows.where(F.col("page") <= t.agg(last).scalar())
+    # one row per search
+    limits = t.groupBy(*keys).agg(last)
+    return rows.join(limits, keys).where(F.col("page") <= F.col("last_page")).drop("last_page")

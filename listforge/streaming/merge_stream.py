@@ -1,7 +1,8 @@
 """Merge listing files landing in a directory into the keyed store.
 
-Each micro-batch is one C1 merge.  The snapshot written by micro-batch ``b``
-is named ``snap-<b>``; a replayed batch whose snapshot is already published is
+Each micro-batch is one C1 merge.  The snapshot written by micro-batch ``b`` is named
+``snap-<query>-<b>`` with the id of the streaming query (it is kept in the checkpoint, so a
+restart has it again and a new checkpoint has another); a replayed batch whose snapshot is already published is
 skipped, and a batch that died before publishing rewrites its own snapshot
 folder, so the store advances exactly once per batch.  ``maxFilesPerTrigger``
 decides how many landed files form one batch.
@@ -9,6 +10,7 @@ decides how many landed files form one batch.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,10 +24,15 @@ def _as_fn(value):
     return value if callable(value) else (lambda _batch_id: value)
 
 
+def _query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The streaming query's id, from the metadata file Spark writes before the first batch."""
+    return json.loads(IO._read_text(spark, f"{checkpoint.rstrip('/')}/metadata"))["id"].replace("-", "")
+
+
 def merge_batch(spark: SparkSession, batch: DataFrame, batch_id: int, store_root: str,
                 query: str | None, place: str | None, radius_km: int | None, as_of: str,
-                only_newer: bool = False) -> None:
-    snap_id = f"snap-{batch_id:012d}"
+                only_newer: bool = False, query_id: str = "") -> None:
+    snap_id = f"snap-{query_id}-{batch_id:012d}" if query_id else f"snap-{batch_id:012d}"
     if IO.current_snapshot(spark, store_root) == snap_id:
         return  # replay of a batch that was already published
     store = IO.load_store(spark, store_root)
@@ -52,7 +59,7 @@ def stream_merge(spark: SparkSession, in_dir: str, store_root: str, checkpoint:
 
     def per_batch(df: DataFrame, batch_id: int) -> None:
         merge_batch(spark, df, batch_id, store_root, query_fn(batch_id), place, radius_km,
-                    as_of_fn(batch_id), only_newer)
+                    as_of_fn(batch_id), only_newer, _query_id(spark, checkpoint))
 
     writer = src.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer

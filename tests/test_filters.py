@@ -42,4 +42,4 @@ def test_search_history_null_safe(spark):
                                   S.STORE)
     assert STO.has_search_history(store, "q", None)
     assert not STO.has_search_history(store, "q", "Berlin")
-    assert STO.search_history_flag(store.where(F.lit(False)), "q", None).collect()[0][0] is False
+    assert STO.search_history_flags(store.where(F.lit(False)), {"x": ("q", None)}).collect()[0][0] is False

@@ -55,7 +55,9 @@ def test_last_line_wins_and_out_of_range_valid_is_ignored(spark):
 def test_oversize_text_fails_before_scoring(spark):
     df = spark.createDataFrame([("big", "x" * (S.MAX_TEXT_CHARS + 1))], "ref_id string, text string")
     with pytest.raises(FL.OversizeTextError):
-        L.classify(df, L.ReplayScorer({}), PROFILE, "t")
+        L.classify(df, L.ReplayScorer({}), PROFILE, "t", max_chars=S.MAX_TEXT_CHARS)
+    long_ok = L.classify(df, L.ReplayScorer({1: "[001] - Good Match"}), PROFILE, "t")
+    assert long_ok.labelled.count() == 1  # no limit unless one is given
     ok = spark.createDataFrame([("fits", "x" * S.MAX_TEXT_CHARS)], "ref_id string, text string")
     assert FL.size_guard(ok).count() == 0
 
@@ -82,13 +84,34 @@ def test_prompt_layout(spark):
     plan = L.assign_batches(listings(spark, 3, "hello"), 2)
     prompts = {r["batch_no"]: r["prompt"] for r in L.build_batch_prompts(plan, PROFILE).collect()}
     assert "\n[001]\nhello\n\n[002]\nhello\n" in prompts[1]
-    assert prompts[1].startswith(L.prompt_header(S.CATEGORIES, PROFILE))
+    assert prompts[1].startswith(L.prompt_head(S.CATEGORIES, PROFILE))
+    seen = L.run_scorer(plan, lambda batches: [b.prompt for b in batches], "r", L.prompt_head(S.CATEGORIES, PROFILE))
+    assert {r["batch_no"]: r["content"] for r in seen.collect()} == prompts
 
 
-def test_scorer_is_deterministic():
+def test_row_positions_number_repeated_keys(spark):
+    df = spark.createDataFrame([(k, v) for k, v in [("b", 1), ("a", 1), ("b", 2), (None, 1), ("c", 1), ("b", 3)]],
+                               "k string, v int")
+    got = sorted((r["idx"], r["k"]) for r in IX.row_positions(df, ["k"], "idx").collect())
+    assert got == [(0, None), (1, "a"), (2, "b"), (3, "b"), (4, "b"), (5, "c")]
+
+
+def test_violations_name_their_true_count(spark):
+    res = L.classify(listings(spark, 40), L.ReplayScorer({}), PROFILE, "t", batch_size=4)
+    with pytest.raises(L.LabelIntegrityError, match="40 violations, all in "):
+        L.raise_on_violations(res)
+
+
+def test_last_resort():
+    assert L.last_resort(S.CATEGORIES) == "Poor Match"
+    assert L.last_resort(["Poor Match", "x"]) == "Poor Match" and L.last_resort(["x", "y"]) == "y"
+
+
+def test_scorer_is_deterministic(spark):
     sc = L.TermOverlapScorer("alpha beta gamma delta")
-    assert sc.label("Alpha beta and more") == "Excellent Match"
-    assert sc.label("nothing") == "Poor Match"
+    rows = spark.createDataFrame([("Alpha beta and more",), ("nothing",), (None,)], "t string")
+    got = [r[0] for r in rows.select(sc.row_label(F.col("t"), F.lit(1))).collect()]
+    assert got == ["Excellent Match", "Poor Match", "Poor Match"]
 
 
 def test_resume_equals_uninterrupted(spark, scratch):

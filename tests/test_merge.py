@@ -67,12 +67,12 @@ def to_frames(spark, store, batch):
     return sdf, spark.createDataFrame(brows, S.LISTING)
 
 
-@pytest.mark.parametrize("seed,chunk", [(1, 4), (2, 4), (3, 1 << 20), (4, 7)])
-def test_merge_equals_sequential_fold(spark, seed, chunk):
+@pytest.mark.parametrize("seed,parts", [(1, 4), (2, 4), (3, 1), (4, 7)])
+def test_merge_equals_sequential_fold(spark, seed, parts):
     store, batch = random_case(seed)
     want_store, want_status = naive_fold(store, batch, "q", "p", AS_OF)
     sdf, bdf = to_frames(spark, store, batch)
-    res = ST.merge_listings(sdf, bdf, "q", "p", AS_OF, chunk_size=chunk)
+    res = ST.merge_listings(sdf, bdf, "q", "p", AS_OF, parts=parts)
     got_status = {r["batch_ord"]: r["status"] for r in res.classified.collect()}
     assert got_status == want_status
     got = {r["ref_id"]: r for r in res.store.collect()}
@@ -91,8 +91,8 @@ def test_delta_summary_counts_distinct_refs(spark):
     store, batch = random_case(5)
     _, statuses = naive_fold(store, batch, "q", "p", AS_OF)
     sdf, bdf = to_frames(spark, store, batch)
-    res = ST.merge_listings(sdf, bdf, "q", "p", AS_OF, chunk_size=4)
-    row = ST.delta_summary(res.classified, res.store).collect()[0]
+    res = ST.merge_listings(sdf, bdf, "q", "p", AS_OF, parts=4)
+    row = ST.delta_summary(res.per_ref, res.store).collect()[0]
     by_ord = {r["batch_ord"]: r["ref_id"] for r in batch}
     for st in ("new", "updated", "unchanged"):
         assert row[st] == len({by_ord[o] for o, s in statuses.items() if s == st})
@@ -175,3 +175,43 @@ def test_only_newer_option_in_batch_merge(spark):
              ST.merge_listings(sdf, bdf, "q", "p", AS_OF, only_newer=True).store.collect()}
     assert default == {"a": "late", "b": "new"}
     assert newer == {"a": "kept", "b": "new"}
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_page_packed_orders_and_a_hot_ref(spark, parts):
+    """Orders numbered page << 32 | position, one ref with most rows: same as the plain fold."""
+    rnd = random.Random(11)
+    batch = [{"ref_id": "hot" if rnd.random() < 0.8 else f"r{i % 5}", "modified_at": rnd.choice(["", "1", "2", "3"]),
+              "title": f"t{i}", "batch_ord": (i // 7 << 32) + i % 7} for i in range(150)]
+    want_store, want_status = naive_fold({}, batch, "q", "p", AS_OF)
+    _, bdf = to_frames(spark, {}, batch)
+    res = ST.merge_listings(ST.empty_store(spark), bdf, "q", "p", AS_OF, parts=parts)
+    assert {r["batch_ord"]: r["status"] for r in res.classified.collect()} == want_status
+    assert {r["ref_id"]: r["title"] for r in res.store.collect()} == {k: v["title"] for k, v in want_store.items()}
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_only_newer_inside_one_batch(spark, parts):
+    """An older row later in the batch never wins; it still counts as seen."""
+    store = {"a": {"stamp": "2024-01-05", "title": "old", "first": AS_OF, "last": "2023-12-01 00:00:00",
+                   "found": [("other", "p")], "details": False}}
+    batch = [{"ref_id": r, "modified_at": m, "title": t, "batch_ord": i} for i, (r, m, t) in enumerate([
+        ("a", "2024-01-09", "newest"), ("a", "2024-01-07", "late"), ("a", "", "blank"),
+        ("b", "2024-01-02", "b2"), ("b", "2024-01-01", "b1"), ("b", "2024-01-02", "same")])]
+    sdf, bdf = to_frames(spark, store, batch)
+    res = ST.merge_listings(sdf, bdf, "q", "p", AS_OF, parts=parts, only_newer=True)
+    assert {r["batch_ord"]: r["status"] for r in res.classified.collect()} == {
+        0: "updated", 1: "unchanged", 2: "unchanged", 3: "new", 4: "unchanged", 5: "unchanged"}
+    got = {r["ref_id"]: r for r in res.store.collect()}
+    assert (got["a"]["title"], got["b"]["title"]) == ("newest", "b2")
+    assert len(got["a"]["found_in"]) == 2 and got["a"]["last_seen"].isoformat(sep=" ") == AS_OF
+
+
+def test_details_of_the_last_row_win(spark):
+    store = ST.empty_store(spark)
+    sdf, bdf = to_frames(spark, {}, [{"ref_id": "a", "modified_at": "1", "title": "t", "batch_ord": 1}])
+    store = ST.merge_listings(store, bdf, "q", "p", AS_OF).store
+    rows = [("a", o, (True, f"text{o}", None, None, None, 1, None, None, None)) for o in (3, 9, 5)] + [("x", 1, None)]
+    det = spark.createDataFrame(rows, "ref_id string, batch_ord long, details " + S.DETAILS.simpleString())
+    assert [r["details"]["text"] for r in ST.attach_details(store, det).collect()] == ["text9"]
+    assert ST.attach_details(store, det.drop("batch_ord").where("ref_id = 'a'")).count() == 1

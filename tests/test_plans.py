@@ -43,7 +43,7 @@ def test_batch_plan_uses_range_partitioning(spark):
     # (one row per partition) meets a global window
     # numbered from the materialised, range-partitioned rows; offsets are broadcast,
     # so no step gathers rows into a single partition
-    assert "ranged-index" in text
+    assert "ranged-keys" in text
     assert "SinglePartition" not in text
     assert plan.select("batch_no").distinct().count() == -(-docs.count() // 70)
 

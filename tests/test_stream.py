@@ -67,3 +67,11 @@ def test_only_newer_drops_late_older_versions(spark, scratch):
                  only_newer=True)
     got = {r["ref_id"]: r["title"] for r in IO.load_store(spark, root).collect()}
     assert got == {"a": "t1", "b": "t2"}
+
+
+def test_new_checkpoint_on_an_old_store_loses_nothing(spark, scratch):
+    root = scratch + "/store"
+    for n, ref in enumerate(("a", "b")):
+        group(spark, [(ref, "t", None, None, None, "1", None, n)]).coalesce(1).write.parquet(f"{scratch}/in{n}")
+        stream_merge(spark, f"{scratch}/in{n}", root, f"{scratch}/ckpt{n}", "q", "p", 25, "2024-02-01 00:00:00")
+    assert sorted(r["ref_id"] for r in IO.load_store(spark, root).collect()) == ["a", "b"]
