@@ -10,15 +10,20 @@ hash): the first signature that both sets have is then within the first k+1 of e
 similar sets of a band share a signature, and no pair is lost.  Sets with too few non-empty
 ranges for that (k or fewer) add single-element signatures among themselves.
 
-Signatures only propose: sets that share one form families (components of stars, never all
-pairs of a group), and the families' texts are compared exactly, in blocks of bounded size.
+Signatures only propose.  The sets of a signature are first held against each other by odd
+sketches: 512 parities of the elements.  The bits in which two sketches differ never exceed
+the symmetric difference, so nothing similar is lost.  Sets of 400 elements and more are
+sketched on a sample by hash (one in 4, 16, ...); there the limit has room for chance, and
+a pair that links is missed with a probability below 1e-14 (Chernoff), as likely as equal
+64-bit hashes.  What may link forms families by spanning trees, never all pairs of a group.  The families' texts are then compared exactly,
+in blocks of bounded size.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from listforge.llm.common import batches
@@ -27,8 +32,9 @@ from listforge.session import materialize, ship_package
 
 WORDS = 5
 PERCENT = 75              # least similarity, in hundredths
-HOT_BITS = 20             # size of the table that says how frequent a shingle is
-HOT_PER_TASK = 8192       # frequent shingles a task reports
+HOT_BITS = 22             # size of the table that says how frequent a shingle is
+HOT_PER_TASK = 1 << 16    # frequent shingles a task reports
+SKETCH_SETS = 2000        # sets of a signature that are held against each other; of more, all go on
 BLOCK_SETS = 512          # sets of a block
 BLOCK_SHINGLES = 400_000  # and their shingles
 
@@ -84,11 +90,10 @@ def word_hashes(text: str) -> np.ndarray:
             cut = max(piece.rfind(c) for c in b" \t\n\v\f\r")
             if cut < 0:  # one word longer than a piece: folded piece by piece
                 stop = min((x for x in (raw.find(c, lo) for c in b" \t\n\v\f\r") if x >= 0), default=len(raw))
-                word = np.uint64(0)
+                word = np.zeros(1, dtype=np.uint64)
                 for at in range(lo, stop, _TEXT_PIECE):
-                    word = _mix(np.array([word * np.uint64(_ODD[1]) + _hash_words(
-                        raw[at:min(stop, at + _TEXT_PIECE)])[0]], dtype=np.uint64))[0]
-                out.append(np.array([word], dtype=np.uint64))
+                    word = _mix(word * np.uint64(_ODD[1]) + _hash_words(raw[at:min(stop, at + _TEXT_PIECE)]))
+                out.append(word)
                 lo = stop
                 continue
             piece = piece[:cut + 1]
@@ -119,6 +124,28 @@ def set_key(s: np.ndarray) -> bytes:
     return one.astype(">u8").tobytes() + two.astype(">u8").tobytes()
 
 
+def sketch_level(n: int) -> int:
+    """Sets of n elements are sketched on one in 4**level of them: fewer than 400 expected."""
+    level = 0
+    while n >= 400 << (2 * level):
+        level += 1
+    return level
+
+
+def odd_sketch(s: np.ndarray, level: int) -> bytes:
+    """For each of 512 ranges whether it holds an odd number of (sampled) elements."""
+    own = s[(s & np.uint64((1 << (2 * level)) - 1)) == 0] if level else s
+    odd = np.bincount((own >> np.uint64(55)).astype(np.int64), minlength=512) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def odd_sketches(s: np.ndarray, percent: int = PERCENT) -> bytes:
+    """The sketch of the set's level, and the next if a larger partner may be there."""
+    level = sketch_level(len(s))
+    up = sketch_level(len(s) * 100 // percent)
+    return odd_sketch(s, level) + (odd_sketch(s, up) if up != level else b"")
+
+
 def _short(key: bytes) -> int:
     return int.from_bytes(key[:8], "big", signed=True)
 
@@ -155,43 +182,46 @@ def signatures(s: np.ndarray, hot: np.ndarray, percent: int = PERCENT) -> np.nda
     return np.concatenate(out)
 
 
-def _frequent(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    every = np.sort(np.concatenate(found))
-    first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
-    n = np.diff(np.append(first, len(every)))
-    return every[first[n > 2]], n[n > 2]
+def _sums(values: np.ndarray, times: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values with their summed times, of at least ``least``; the ``most`` most frequent."""
+    order = np.argsort(values, kind="stable")
+    values, times = values[order], times[order]
+    first = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.empty(0, np.int64)
+    n = np.add.reduceat(times, first) if len(first) else times
+    keep = np.flatnonzero(n >= least)
+    keep = keep[np.argsort(-n[keep], kind="stable")[:most]]
+    return values[first[keep]], n[keep]
 
 
-def _describe(words: int):
+def _describe(words: int, percent: int):
     """Per document its set's key and size; per task the shingles most of its documents share."""
     def run(parts):
-        make = batches({"doc_id": pa.int64(), "n": pa.int64(), "key": pa.binary(), "hot": pa.int64(), "times": pa.int64()})
-        seen, size, counts = [], 0, {}
+        make = batches({"doc_id": pa.int64(), "n": pa.int64(), "key": pa.binary(), "odd": pa.binary(),
+                        "hot": pa.int64(), "times": pa.int64()})
+        seen, size, values, times = [], 0, np.empty(0, np.uint64), np.empty(0, np.int64)
 
         def count():
-            values, n = _frequent(seen)
-            for v, c in zip(values.tolist(), n.tolist(), strict=True):
-                counts[v] = counts.get(v, 0) + c
-            if len(counts) > 8 * HOT_PER_TASK:
-                for v in sorted(counts, key=counts.get)[:-4 * HOT_PER_TASK]:
-                    del counts[v]
+            own = np.concatenate(seen)
+            v, n = _sums(own, np.ones(len(own), dtype=np.int64), 2, len(own))
+            return _sums(np.concatenate((values, v)), np.concatenate((times, n)), 2, 8 * HOT_PER_TASK)
 
         for batch in parts:
             out = []
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 s = shingle_set(text.as_py(), words)
-                out.append((name, len(s), set_key(s) if len(s) else None, None, None))
+                out.append((name, len(s), set_key(s) if len(s) else None, odd_sketches(s, percent) if len(s) else None, None, None))
                 if len(s):
                     seen.append(s)
                     size += len(s)
                 if size > 1_500_000:
-                    count()
+                    values, times = count()
                     seen, size = [], 0
             yield make(out)
         if seen:
-            count()
-        top = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:HOT_PER_TASK]
-        yield make([(None, None, None, v - (1 << 64) if v >> 63 else v, c) for v, c in top])
+            values, times = count()
+        top = slice(0, HOT_PER_TASK)
+        cells, n = (values[top] >> np.uint64(64 - HOT_BITS)).tolist(), times[top].tolist()
+        yield make([(None, None, None, None, v, c) for v, c in zip(cells, n, strict=True)])
 
     return run
 
@@ -220,6 +250,150 @@ def _sign(hot, words: int, percent: int):
     return run
 
 
+def _shared(parts):
+    """(sig, short) in order -> (gid, short): the sets of each signature that several have.
+
+    Signatures of the same sets are one group (a task names it once); a group too large to
+    hold is passed on as it comes, under its signature.
+    """
+    schema = pa.schema([("gid", pa.int64()), ("short", pa.int64())])
+    done: set[int] = set()
+
+    def groups(sig, short):
+        new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (short[1:] != short[:-1])))
+        sig, short = sig[new], short[new]
+        first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+        size = np.diff(np.append(first, len(sig)))
+        gid = _mix(np.add.reduceat(_mix(short.view(np.uint64)), first) + size.astype(np.uint64)).view(np.int64)
+        several = np.flatnonzero(size > 1)
+        _, at = np.unique(gid[several], return_index=True)
+        if len(done) > 1_000_000:
+            done.clear()
+        fresh = [g for g in several[np.sort(at)].tolist() if int(gid[g]) not in done]
+        done.update(gid[fresh].tolist())
+        keep = np.zeros(len(first), dtype=bool)
+        keep[fresh] = True
+        rows = np.repeat(keep, size)
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(gid, size)[rows]), pa.array(short[rows])], schema=schema)
+
+    sigs, shorts, held, large = [], [], 0, None
+    for batch in parts:
+        sigs.append(batch.column(0).to_numpy())
+        shorts.append(batch.column(1).to_numpy())
+        held += batch.num_rows
+        if held < 400_000:
+            continue
+        sig, short = np.concatenate(sigs), np.concatenate(shorts)
+        if large is not None:  # the rest of a group that is passed on
+            n = int(np.searchsorted(sig, large, side="right"))
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array(sig[:n]), pa.array(short[:n])], schema=schema)
+            sig, short = sig[n:], short[n:]
+            large = large if not len(sig) else None
+        cut = int(np.searchsorted(sig, sig[-1], side="left")) if len(sig) else 0
+        if cut:
+            yield groups(sig[:cut], short[:cut])
+        elif len(sig):
+            large = int(sig[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(short)], schema=schema)
+            cut = len(sig)
+        sigs, shorts, held = [sig[cut:]], [short[cut:]], len(sig) - cut
+    if held:
+        sig, short = np.concatenate(sigs), np.concatenate(shorts)
+        n = int(np.searchsorted(sig, large, side="right")) if large is not None else 0
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(sig[:n]), pa.array(short[:n])], schema=schema)
+        if len(sig) > n:
+            yield groups(sig[n:], short[n:])
+
+
+def _trees(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """The smallest index of each node's component, from edges (i, j)."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[i], root[j])
+        new = root.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def may_link(n: np.ndarray, odd: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j), i < j, whose sizes and odd sketches allow a link."""
+    level = np.array([sketch_level(int(x)) for x in n])
+    ok_i, ok_j = [], []
+    for at in np.unique(level):
+        # those of this level, and those below that have a sketch for it
+        who = np.flatnonzero((level == at) | ((level == at - 1) & np.array([len(o) == 128 for o in odd])))
+        if len(who) < 2:
+            continue
+        bits = np.frombuffer(b"".join(odd[x][:64] if level[x] == at else odd[x][64:] for x in who.tolist()),
+                             dtype=np.uint64).reshape(-1, 8)
+        size, own = n[who], level[who] == at
+        for lo in range(0, len(who), 128):
+            a = slice(lo, lo + 128)
+            most = (size[a, None] + size[None, :]) * (100 - percent) // (100 + percent)
+            fits = (np.abs(size[a, None] - size[None, :]) <= most) & (own[a, None] | own[None, :])
+            if at:
+                mean = most / 4.0 ** at
+                most = mean + 8 * np.sqrt(mean) + 15
+            fits &= np.bitwise_count(bits[a, None, :] ^ bits[None, :, :]).sum(axis=2, dtype=np.int64) <= most
+            i, j = np.nonzero(fits)
+            i += lo
+            ok_i.append(who[i[i < j]])
+            ok_j.append(who[j[i < j]])
+    if not ok_i:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.concatenate(ok_i), np.concatenate(ok_j)
+
+
+def _may_link(percent: int):
+    """(gid, short, n, odd) in order -> (hub, short): trees over the sets of a group that may link."""
+    def run(parts):
+        make = batches({"hub": pa.int64(), "short": pa.int64()})
+        now, rows, hub = None, [], None
+        done: set[tuple[int, int]] = set()
+
+        def close():
+            short = np.array([r[0] for r in rows], dtype=np.int64)
+            i, j = may_link(np.array([r[1] for r in rows], dtype=np.int64), [r[2] for r in rows], percent)
+            root = _trees(i, j, len(rows)) if len(i) else np.arange(len(rows))
+            at = np.flatnonzero(root != np.arange(len(rows)))
+            return [(a, b) for a, b in zip(short[root[at]].tolist(), short[at].tolist(), strict=True) if a != b]
+
+        def fresh(edges):
+            edges = [e for e in edges if e not in done]
+            if len(done) > 500_000:
+                done.clear()
+            done.update(edges)
+            return edges
+
+        for batch in parts:
+            out = []
+            for gid, short, n, odd in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if gid != now:
+                    if len(rows) > 1:
+                        out += fresh(close())
+                    now, rows, hub = gid, [], None
+                if hub is None:
+                    rows.append((short, n, odd))
+                    if len(rows) > SKETCH_SETS:
+                        hub = rows[0][0]
+                        out += [(hub, r[0]) for r in rows[1:] if r[0] != hub]
+                        rows = []
+                elif short != hub:
+                    out.append((hub, short))
+            if out:
+                yield make(out)
+        if len(rows) > 1:
+            yield make(fresh(close()))
+
+    return run
+
+
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
     """Matrix of intersection sizes (upper triangle), by runs of equal elements."""
     g = len(sets)
@@ -271,16 +445,7 @@ def _compare(words: int, percent: int):
                 i, j = i[across], j[across]
             if not len(i):
                 return None
-            root, n = np.arange(len(sets)), np.array(copies, dtype=np.int64)
-            while True:
-                low = np.minimum(root[i], root[j])
-                new = root.copy()
-                np.minimum.at(new, i, low)
-                np.minimum.at(new, j, low)
-                new = new[new]
-                if (new == root).all():
-                    break
-                root = new
+            root, n = _trees(i, j, len(sets)), np.array(copies, dtype=np.int64)
             degree = np.bincount(i, n[j], len(sets)) + np.bincount(j, n[i], len(sets))
             return make([(keys[x], keys[root[x]], int(degree[x])) for x in np.flatnonzero(degree).tolist()])
 
@@ -319,29 +484,30 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ship_package(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     described = materialize(rows.mapInArrow(
-        _describe(words), "doc_id long, n long, key binary, hot long, times long"), "partenum-sets")
-    own = described.where("n is not null").select("doc_id", "n", "key")
+        _describe(words, percent), "doc_id long, n long, key binary, odd binary, hot long, times long"), "partenum-sets")
+    own = described.where("n is not null").select("doc_id", "n", "key", "odd")
     classes = own.where("n > 0").groupBy("key").agg(
-        F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.count(F.lit(1)).alias("copies"))
+        F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("odd").alias("odd"),
+        F.count(F.lit(1)).alias("copies"))
+    short = F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long")
+    classes = classes.withColumn("short", short)
     classes = materialize(classes, "partenum-classes")
 
     # a table of fixed size: how frequent the shingles are that tasks reported; it orders
     # signatures and decides nothing else
-    cell = F.shiftrightunsigned(F.col("hot"), 64 - HOT_BITS).cast("int")
-    cells = described.where("hot is not null").groupBy("hot").agg(F.sum("times").alias("t")).groupBy(
-        cell.alias("cell")).agg(F.max("t").alias("t"))
-    table = np.zeros(1 << HOT_BITS, dtype=np.uint8)
-    for r in cells.collect():  # at most 2**HOT_BITS rows
-        table[r["cell"]] = min(60, int(r["t"]).bit_length())
+    cells = described.where("hot is not null").groupBy("hot").agg(F.sum("times").alias("t")).toArrow()
+    table = np.zeros(1 << HOT_BITS, dtype=np.uint8)  # at most as many rows
+    table[cells["hot"].to_numpy()] = np.minimum(60, np.log2(cells["t"].to_numpy() + 1)).astype(np.uint8)
     hot = spark.sparkContext.broadcast(table)
 
     signed = rows.select("text").mapInArrow(_sign(hot, words, percent), "sig long, short long")
-    hub = F.first("short").over(Window.partitionBy("sig").orderBy("short").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow))
-    stars = signed.select("short", hub.alias("hub")).where("short <> hub").distinct()
+    groups = signed.repartition("sig").sortWithinPartitions("sig", "short").mapInArrow(
+        _shared, "gid long, short long")
+    proposed = groups.join(classes.select("short", "n", "odd"), "short").select("gid", "short", "n", "odd")
+    stars = proposed.repartition("gid").sortWithinPartitions("gid", "short").mapInArrow(
+        _may_link(percent), "hub long, short long")
     families = connected_components(stars, "hub", "short")
-    short = F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long")
-    members = families.join(classes.withColumn("node", short), "node").select(
+    members = families.join(classes, families["node"] == classes["short"]).select(
         F.col("root").alias("family"), "key", "rep", "n", "copies")
     members = materialize(members, "partenum-members")
 
