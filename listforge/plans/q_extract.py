@@ -8,6 +8,8 @@ from listforge.operators import extract as X
 from listforge.plans import bindings as B
 from listforge.plans import sql_text as Q
 from listforge.plans.registry import register
+from listforge.session import scratch_path
+from listforge.sources.pages import load_html_corpus
 
 WS = S.PY_WHITESPACE_CLASS
 
@@ -181,52 +183,54 @@ def q_extract_listings(spark, sf):
                       "details.method", "details.warning", "details.text_length")
 
 
-_LD_BLOCK = ("regexp_extract(html, '(?s)<script[^>]*type=\"application/ld\\+json\"[^>]*>(.*?)</script>', 1)")
-_LD_DESC = f"json_extract_string({_LD_BLOCK}, '$.description')"
+_STRIPPED = f"regexp_replace(coalesce(text, ''), '^{WS}+|{WS}+$', '', 'g')"
+
+
+def _escaped(col):
+    return F.replace(F.replace(col, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
 
 
 @register("extract_json_ld", f"""
-SELECT page_id,
-       CASE WHEN ok THEN {Q.clean('d')} END AS tier_text,
-       CASE WHEN ok THEN CAST(length({Q.clean('d')}) AS BIGINT) END AS tier_length,
-       coalesce(ok, false) AS tier_ok
-FROM (SELECT page_id, d,
-             CASE WHEN b = '' OR NOT json_valid(b) THEN false
-                  ELSE json_extract_string(b, '$."@type"') = 'JobPosting'
-                       AND length(d) >= {S.MIN_VALID_TEXT_LENGTH} END AS ok
-      FROM (SELECT page_id, {_LD_BLOCK} AS b,
-                   CASE WHEN json_valid({_LD_BLOCK}) THEN {_LD_DESC} END AS d
-            FROM pages))""")
+SELECT doc_id AS page_id, CASE WHEN ok THEN {Q.clean('text')} END AS tier_text,
+       CASE WHEN ok THEN CAST(length({Q.clean('text')}) AS BIGINT) END AS tier_length,
+       ok AND length({Q.clean('text')}) >= {S.MIN_VALID_TEXT_LENGTH} AS tier_ok
+FROM (SELECT *, doc_id % 4 <> 2 AND coalesce(length(text), 0) >= {S.MIN_VALID_TEXT_LENGTH} AS ok FROM documents)""")
 def q_extract_json_ld(spark, sf):
-    """X4 for every page.  The oracle covers one block holding one object (the corpus
-    has none, so every row fails the tier); arrays and later blocks are unit-tested."""
-    return X.tier_text(B.table(spark, sf, "pages"), "json_ld")
+    """X4 on pages built from whole documents: an object, a list with another type before it,
+    a broken block before it (the tier ends), a second block after one of another type."""
+    d = B.table(spark, sf, "documents")
+    posting = F.struct(F.lit("JobPosting").alias("@type"), F.col("text").alias("description"))
+    other = F.struct(F.lit("Organization").alias("@type"), F.lit("x").alias("description"))
 
+    def block(body):
+        return F.concat(F.lit('<script type="application/ld+json">'), body, F.lit("</script>"))
 
-def _heavy_div_sql() -> str:
-    body = "html"
-    b = f"regexp_replace({body}, '(?s)<!--.*?-->', ' ', 'g')"
-    for tag in S.REMOVE_TAGS:
-        b = Q.drop_element(b, tag)
-    divs = f"regexp_extract_all({b}, '(?s)<div[^>]*>(.*?)</div>', 1)"
-    return f"""
-SELECT page_id,
-       CASE WHEN len_max >= {S.MIN_VALID_TEXT_LENGTH} THEN {Q.clean('best')} END AS tier_text,
-       CASE WHEN len_max >= {S.MIN_VALID_TEXT_LENGTH} THEN CAST(length({Q.clean('best')}) AS BIGINT)
-            END AS tier_length,
-       coalesce(len_max >= {S.MIN_VALID_TEXT_LENGTH}, false) AS tier_ok
-FROM (SELECT page_id, list_max(lens) AS len_max,
-             {Q.decode_entities("list_extract(ds, list_position(lens, list_max(lens)))")} AS best
-      FROM (SELECT page_id, ds,
-                   list_transform(ds, lambda x: length(trim({Q.decode_entities('x')}))) AS lens
-            FROM (SELECT page_id, {divs} AS ds FROM pages)))"""
-
-
-@register("heaviest_div", _heavy_div_sql())
+    one = block(F.to_json(posting))
+    kind = F.col("doc_id") % 4
+    head = (F.when(kind == 0, one).when(kind == 1, block(F.to_json(F.array(other, posting))))
+            .when(kind == 2, F.concat(block(F.lit("{bad")), one)).otherwise(F.concat(block(F.to_json(other)), one)))
+    html = F.concat(F.lit("<html><head>"), head, F.lit("</head><body><main>short</main></body></html>"))
+    return X.tier_text(d.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), html.alias("html")), "json_ld")
+
+
+_DIV_SQL = "CASE WHEN doc_id % 2 = 0 THEN coalesce(text, '') || chr(10) || 'tail' ELSE coalesce(text, '') END"
+
+
+@register("heaviest_div", f"""
+SELECT doc_id AS page_id, CASE WHEN ok THEN {Q.clean(_DIV_SQL)} END AS tier_text,
+       CASE WHEN ok THEN CAST(length({Q.clean(_DIV_SQL)}) AS BIGINT) END AS tier_length,
+       ok AND length({Q.clean(_DIV_SQL)}) >= {S.MIN_VALID_TEXT_LENGTH} AS tier_ok
+FROM (SELECT *, length({_STRIPPED}) + CASE WHEN doc_id % 2 = 1 THEN 0 WHEN length({_STRIPPED}) > 0 THEN 5 ELSE 4 END
+              >= {S.MIN_VALID_TEXT_LENGTH} AS ok FROM documents)""")
 def q_heaviest_div(spark, sf):
-    """X7 for every page.  The oracle covers flat divs (the corpus has only short
-    advertisement divs); nested markup and ties are unit-tested."""
-    return X.tier_text(B.table(spark, sf, "pages"), "heavy_div")
+    """X7 on pages built from whole documents: even ids in a nested div with a tail (the outer
+    one is longer), odd ids in the first of two divs of equal length."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    nested = F.concat(F.lit('<div class="x"><div>'), _escaped(text), F.lit("</div><p>tail</p></div><div>small</div>"))
+    equal = F.concat(F.lit("<div>"), _escaped(text), F.lit("</div><div>"), _escaped(F.reverse(text)), F.lit("</div>"))
+    html = F.concat(F.lit("<html><body>"), F.when(F.col("doc_id") % 2 == 0, nested).otherwise(equal), F.lit("</body></html>"))
+    d = B.table(spark, sf, "documents")
+    return X.tier_text(d.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), html.alias("html")), "heavy_div")
 
 
 @register("paragraphs", f"""
@@ -242,23 +246,34 @@ _INTERNAL_TEXT = Q.clean(Q.decode_entities(Q.tags_to_space(_ARTICLE)))
 
 
 @register("extract_internal", f"""
-SELECT page_id,
-       CASE WHEN strpos(html, '<article') > 0 THEN true ELSE false END AS success,
-       CASE WHEN strpos(html, '<article') > 0 THEN {_INTERNAL_TEXT} END AS text,
-       CASE WHEN strpos(html, '<article') > 0 THEN NULL ELSE 'NO_CONTENT' END AS warning
+SELECT page_id, page_id % 2 = 0 AND strpos(html, '<article') > 0 AS success,
+       CASE WHEN page_id % 2 = 0 AND strpos(html, '<article') > 0 THEN {_INTERNAL_TEXT} END AS text,
+       CASE WHEN page_id % 2 = 0 AND strpos(html, '<article') > 0 THEN NULL ELSE 'NO_CONTENT' END AS warning
 FROM pages""")
 def q_extract_internal(spark, sf):
-    """X10 with the content element as a parameter ('article'): no length threshold."""
-    from listforge.functions.page_text import ExtractOptions
-
-    pages = B.table(spark, sf, "pages").withColumn("route", F.lit(S.SOURCE_INTERNAL))
-    out = X.extract_corpus(pages, ExtractOptions(internal_selector="article"))
-    return out.select("page_id", "details.success", "details.text", "details.warning")
-
-
-@register("load_html_corpus", """
-SELECT page_id, url, CAST(length(html) AS BIGINT) AS html_length FROM pages""")
+    """X10 with the default content element: every other page has its article under that name,
+    the rest have no such element; no length threshold."""
+    own = S.INTERNAL_CONTENT_SELECTOR
+    renamed = F.replace(F.replace(F.col("html"), F.lit("<article>"), F.lit(f"<{own}>")),
+                        F.lit("</article>"), F.lit(f"</{own}>"))
+    pages = B.table(spark, sf, "pages").withColumn(
+        "html", F.when(F.col("page_id") % 2 == 0, renamed).otherwise(F.col("html"))).withColumn(
+        "route", F.lit(S.SOURCE_INTERNAL))
+    return X.extract_corpus(pages).select("page_id", "details.success", "details.text", "details.warning")
+
+
+@register("load_html_corpus", f"""
+WITH {_DETAILS}
+SELECT page_id, CAST(CASE WHEN page_id % 10 = 3 THEN 404 ELSE 200 END AS INTEGER) AS http_status,
+       page_id % 10 <> 3 AND success AS success,
+       CASE WHEN page_id % 10 = 3 THEN 'HTTP 404' ELSE error END AS error,
+       CASE WHEN page_id % 10 <> 3 THEN warning END AS warning FROM page_details""")
 def q_load_html_corpus(spark, sf):
-    """A5: the landed HTML corpus as the extraction input."""
-    p = B.table(spark, sf, "pages")
-    return p.select("page_id", "url", F.length("html").cast("long").alias("html_length"))
+    """A5: the corpus landed with a fetch status (every tenth fetch failed), read and extracted."""
+    path = scratch_path(spark, "landed-pages")
+    failed = F.col("page_id") % 10 == 3
+    B.table(spark, sf, "pages").withColumn("html", F.when(~failed, F.col("html"))).withColumn(
+        "http_status", F.when(failed, 404).otherwise(200)).write.parquet(path)
+    pages = load_html_corpus(spark, path)
+    out = X.extract_corpus(pages).join(pages.select("page_id", "http_status"), "page_id")
+    return out.select("page_id", "http_status", "details.success", "details.error", "details.warning")

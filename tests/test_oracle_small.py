@@ -24,8 +24,11 @@ def con():
 
 
 @pytest.mark.parametrize("name", sorted(E.queries()))
-def test_query_against_oracle(spark, con, name):
+def test_query_against_oracle(spark, con, name, scratch):
     df = E.queries()[name](spark, SF)
+    # written and read back: names that clash fail here
+    df.write.parquet(scratch + "/out")
+    df = spark.read.parquet(scratch + "/out")
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     sql = E.oracle_sql().get(name)
     if sql is None:
