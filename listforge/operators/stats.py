@@ -266,5 +266,5 @@ def failures_by_error_type(failed: DataFrame) -> DataFrame:
     """Failed rows per error type (missing -> UNKNOWN) with the group size."""
     et = F.coalesce(F.col("error_type"), F.lit("UNKNOWN"))
     groups = failed.groupBy(et.alias("error_type")).agg(F.count(F.lit(1)).alias("group_size"))
-    # one row per error type: the type set is fixed (schemas.ERROR_TYPE_BY_WARNING + UNKNOWN)
-    return failed.withColumn("error_type", et).join(F.broadcast(groups), "error_type")
+    # one row per error type; AQE decides how to join it
+    return failed.withColumn("error_type", et).join(groups, "error_type")
