@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listforge.llm.common import batches
+from listforge.llm.common import batches, column_of
 from listforge.session import ship_package
 
 SAMPLE_PAGES = 300        # expected labelled pages the weights are fitted on
@@ -47,11 +47,12 @@ NOISE = ("nav", "menu", "ad", "ads", "advert", "advertisement", "banner", "spons
          "sharing", "social", "related", "recommended", "breadcrumb", "breadcrumbs", "pagination", "pager", "comment",
          "comments", "reply", "replies", "discussion", "disqus", "copyright", "legal", "toolbar", "tags", "skip")
 GOOD = ("article", "content", "main", "post", "entry", "body", "story", "text", "prose", "page")
-_BASE = 9
+_BASE = 8
 N_FEATURES = _BASE + len(TAGS) + len(NOISE) + len(GOOD)
 _TAG = {t: _BASE + i for i, t in enumerate(TAGS)}
 _WORD = {w: _BASE + len(TAGS) + i for i, w in enumerate(NOISE + GOOD)}
-_KINDS = ("frame", "content frame", "off content", "other")   # of a child, for the pair potentials
+#: of a child, for the pair potentials; what stands right under html or body is free of it
+_KINDS = ("frame", "content frame", "off content", "other", "top")
 _OFF = frozenset(("nav", "aside", "footer", "form", "dialog", "menu", "search", "header", "head"))
 
 
@@ -152,15 +153,17 @@ def parse(source: str | None) -> Page:
     total = max(1, below[0])
     for i in range(n):
         share = min(1.0, below_links[i] / below[i]) if below[i] else 0.0
-        x[i, :_BASE] = (1, min(3.0, np.log10(1 + text_len[i])), min(4.0, np.log10(1 + below[i])), share,
-                        share > 0.5, below[i] / total, text_len[i] == 0, min(depth[i], 10) / 10, min(children[i], 10) / 10)
+        if text_len[i]:  # a node without own text says nothing by its size and place
+            x[i, :_BASE] = (1, min(3.0, np.log10(1 + text_len[i])), min(4.0, np.log10(1 + below[i])), share, share > 0.5,
+                            below[i] / total, min(depth[i], 10) / 10, min(children[i], 10) / 10)
         x[i, _TAG.get(tags[i], _TAG["other"])] = 1
         for w in words[i]:
             if w in _WORD:
                 x[i, _WORD[w]] = 1
         noisy = tags[i] in _OFF or any(w in NOISE for w in words[i])
         good = tags[i] in ("article", "main") or any(w in GOOD for w in words[i])
-        kind[i] = 2 if noisy else 1 if good else 0 if tags[i] in ("html", "body") else 3
+        top = parent[i] >= 0 and tags[parent[i]] in ("html", "body")
+        kind[i] = 2 if noisy else 1 if good else 0 if tags[i] in ("html", "body") else 4 if top else 3
     return Page(np.array(parent), x, kind, runs)
 
 
@@ -192,6 +195,7 @@ def prior() -> tuple[np.ndarray, np.ndarray]:
     pair[1] = [[0.0, 1.0], [-0.5, 1.5]]
     pair[2] = [[2.0, -3.0], [2.0, -3.0]]
     pair[3] = [[2.0, -1.5], [-1.5, 2.0]]
+    pair[4] = [[0.2, -0.2], [0, 0]]
     return w, pair
 
 
@@ -233,7 +237,7 @@ def fit(pages: list[Page], epochs: int = 4, rate: float = 0.05, pull: float = 0.
             x, kind = page.x.copy(), page.kind
             if rng.random() < 0.5:
                 x[:, _BASE:] = 0
-                kind = np.where(kind == 1, 3, kind)
+                kind = np.where(kind == 1, 4, kind)
             seen = Page(page.parent, x, kind, [])
             p, both = marginals(seen, w, pair)
             y = page.label
@@ -298,13 +302,7 @@ def main_text(pages: DataFrame, model, html_col: str = "html") -> DataFrame:
     ship_package(pages.sparkSession)
     w, pair = model
 
-    from collections.abc import Iterator
+    def extract(source):
+        return content_text(parse(source), w, pair)
 
-    import pandas as pd
-
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for sources in parts:
-            yield pd.Series([content_text(parse(s), w, pair) for s in sources], dtype="object")
-
-    run.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return pages.withColumn("_text", F.pandas_udf(run, "string")(F.col(html_col).cast("string")))
+    return pages.withColumn("_text", column_of(pages, html_col, lambda: extract, "string"))
