@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -23,6 +29,29 @@ def fold_of(col: Column, n: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on between tasks, the executor's
+    memory is shared, and a batch of long texts leaves large holes."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def column_of(df: DataFrame, col: str, row_value, kind: str):
+    """A column by ``row_value(text)`` in Arrow batches, one text at a time in Python's memory."""
+    from pyspark.sql.functions import arrow_udf
+
+    arrow = to_arrow_type(_parse_datatype_string(kind))
+
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        value = row_value()
+        for texts in parts:
+            yield pa.array([value(t.as_py()) for t in texts], type=arrow)
+            give_back()
+
+    return arrow_udf(run, kind)(F.col(col).cast("string"))
+
+
 def batches(columns: dict[str, pa.DataType]):
     """A function that turns row tuples into one record batch of these columns."""
     schema = pa.schema(list(columns.items()))

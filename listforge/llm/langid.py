@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from listforge.llm.common import batches
+from listforge.llm.common import batches, column_of, give_back
 from listforge.session import ship_package
 
 BUCKET_BITS = 14
@@ -154,14 +154,16 @@ def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
         make = batches({"id": pa.string(), "lang": pa.string(), "buckets": pa.binary(), "counts": pa.binary()})
         for batch in parts:
             out = []
-            for name, lang, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for name, lang, value in zip(*(batch.column(i) for i in range(3)), strict=True):
+                text = value.as_py()
                 if has_letter(text):
                     total = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
                     for idx in gram_buckets(text):
                         total += np.bincount(idx, minlength=1 << BUCKET_BITS)
                     hit = np.flatnonzero(total)
-                    out.append((name, lang, hit.astype("<u2").tobytes(), total[hit].astype("<u4").tobytes()))
+                    out.append((name.as_py(), lang.as_py(), hit.astype("<u2").tobytes(), total[hit].astype("<u4").tobytes()))
             yield make(out)
+        give_back()
 
     got = rows.select(F.col(id_col).cast("string"), F.col(lang_col).cast("string"),
                       F.col(text_col).cast("string")).mapInArrow(
@@ -182,19 +184,14 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**14 buckets x classes: a parameter
 
-    def predict(parts):
-        import pandas as pd
-
+    def predictor():
         m = shared.value
-        for texts in parts:
-            got = [m.predict(t) for t in texts]
-            yield pd.DataFrame({"lang_pred": [g[0] for g in got], "score": [g[1] for g in got],
-                                "rejected": [g[0] == UNDETERMINED or g[1] < m.reject_below for g in got]})
 
-    from collections.abc import Iterator
+        def predict(text):
+            lang, score = m.predict(text)
+            return {"lang_pred": lang, "score": score, "rejected": lang == UNDETERMINED or score < m.reject_below}
 
-    import pandas as pd
+        return predict
 
-    predict.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    udf = F.pandas_udf(predict, "lang_pred string, score double, rejected boolean")
-    return docs.withColumn("_lang", udf(F.col(text_col).cast("string")))
+    return docs.withColumn("_lang", column_of(docs, text_col, predictor,
+                                              "struct<lang_pred: string, score: double, rejected: boolean>"))

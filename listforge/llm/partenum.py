@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listforge.llm.common import batches
+from listforge.llm.common import batches, give_back
 from listforge.llm.components import connected_components
 from listforge.session import materialize, ship_package
 
@@ -41,7 +41,7 @@ BLOCK_SHINGLES = 400_000  # and their shingles
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _ODD = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0xABC98388FB8FAC03, 0x8CB92BA72F3D8DD7, 0xA0761D6478BD642F)
 _BASE = 0x2545F4914F6CDD1D
-_TEXT_PIECE = 1 << 21
+_TEXT_PIECE = 1 << 18
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -217,6 +217,7 @@ def _describe(words: int, percent: int):
                     values, times = count()
                     seen, size = [], 0
             yield make(out)
+            give_back()
         if seen:
             values, times = count()
         top = slice(0, HOT_PER_TASK)
@@ -246,6 +247,8 @@ def _sign(hot, words: int, percent: int):
                     sigs, owners, size = [], [], 0
             if sigs:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(owners))], schema=schema)
+            del batch, sigs, owners
+            give_back()
 
     return run
 
@@ -465,6 +468,8 @@ def _compare(words: int, percent: int):
                 sides.append(side.as_py())
         if (got := close()) is not None:
             yield got
+        sets.clear()
+        give_back()
 
     return run
 

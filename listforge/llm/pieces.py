@@ -12,7 +12,7 @@ import re
 _TIGHT = re.compile(r"\s \s")
 _SAFE = re.compile(r"(?<=\S)(?= )")
 MAX_CACHED = 48           # longer pieces are encoded each time
-MAX_ENTRIES = 400_000     # the cache is emptied when full: memory stays bounded
+MAX_ENTRIES = 250_000     # the cache is emptied when full: memory stays bounded
 
 
 class PieceEncoder:

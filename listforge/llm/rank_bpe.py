@@ -20,11 +20,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listforge.llm.common import batches
+from listforge.llm.common import batches, give_back
 from listforge.llm.pieces import PieceEncoder
 from listforge.session import ship_package
 
-_MEMO_ENTRIES = 1_000_000
+_MEMO_ENTRIES = 250_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -151,6 +151,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
                     yield make(out)
                     out, size = [], 0
             yield make(out)
+            del batch, out
+            give_back()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(encode, "doc_id long, ids binary")
@@ -172,6 +174,7 @@ def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str) -> DataF
                 out.append((name, len(got), hashlib.sha256(raw).hexdigest(),
                             hashlib.sha256(bpe.decode(got)).hexdigest()))
             yield make(out)
+            give_back()
 
     return encoded.mapInArrow(
         decode, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

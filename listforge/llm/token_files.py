@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listforge.llm.common import batches
+from listforge.llm.common import batches, give_back
 from listforge.llm.pieces import PieceEncoder
 from listforge.session import scratch_path, ship_package
 
@@ -184,6 +184,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, id_col: s
                 chunks.append(ids)
                 if size >= shard_ids:
                     yield close()
+            del batch
+            give_back()
         if names:
             yield close()
 

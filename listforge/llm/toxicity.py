@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from listforge.llm.common import batches
+from listforge.llm.common import batches, column_of
 from listforge.session import ship_package
 
 WORD = re.compile(r"[^\W_]+(?:[*@$!][^\W_]+)*")  # st*pid, 1diot
@@ -30,7 +30,7 @@ MAX_TERMS = 400
 LEAST_G = 25.0
 STEM = (3, 8)             # characters of a stem
 WINDOW = 12               # words on either side of a match
-MAX_CACHED = 400_000
+MAX_CACHED = 200_000
 _QUOTES = "\"'«»„“”‟‘’‹›「」"
 _REPORTS = frozenset("said says wrote called quoted quote term word sagte schrieb nannte zitat wort "
                      "dit écrit appelé mot dijo escribió llamó palabra".split())
@@ -211,8 +211,8 @@ def _word_counts(parts):
     """Per task: in how many toxic and other rows a word occurs (the input is a bounded sample)."""
     make, seen = batches({"word": pa.string(), "toxic": pa.int64(), "other": pa.int64()}), {}
     for batch in parts:
-        for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for w in set(WORD.findall((text or "").lower())):
+        for text, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            for w in set(WORD.findall((text.as_py() or "").lower())):
                 if len(w) <= 40:
                     seen.setdefault(w, [0, 0])[1 - y] += 1
     out = []
@@ -341,14 +341,4 @@ def score_documents(docs: DataFrame, model: ToxicityModel, text_col: str = "text
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2 x MAX_TERMS terms
 
-    from collections.abc import Iterator
-
-    import pandas as pd
-
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = shared.value
-        for texts in parts:
-            yield pd.Series([own.score(t) for t in texts], dtype="float64")
-
-    run.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return docs.withColumn("_toxicity", F.pandas_udf(run, "double")(F.col(text_col).cast("string")))
+    return docs.withColumn("_toxicity", column_of(docs, text_col, lambda: shared.value.score, "double"))
