@@ -24,6 +24,7 @@ from listforge.session import ship_package
 BUCKET_BITS = 14
 DIM = 16
 SAMPLE_DOCS = 4000       # expected size of the training sample
+LEAST_CALIBRATED = 50    # right answers that a rejection threshold needs
 UNDETERMINED = "und"
 _PIECE = 1 << 20         # bytes hashed at a time
 _LETTER = re.compile(r"[^\W\d_]")
@@ -128,9 +129,10 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], dim: int = DIM, bits: in
         model.temperature = float(heat[int(np.argmin(loss))])
         p = _softmax(raw / model.temperature)
         right = p.max(axis=1)[p.argmax(axis=1) == y]
-        # rejected: half the confidence, over chance, of the least sure right answer
+        # rejected: half the confidence, over chance, of the least sure right answer; too few
+        # answers to calibrate on reject nothing
         chance = 1 / len(classes)
-        model.reject_below = float(chance + 0.5 * max(0.0, right.min() - chance)) if len(right) else 0.0
+        model.reject_below = float(chance + 0.5 * max(0.0, right.min() - chance)) if len(right) >= LEAST_CALIBRATED else 0.0
     return model
 
 

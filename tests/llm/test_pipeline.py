@@ -32,11 +32,11 @@ def _check(spark, docs, sf_dir):
             assert all(any(c.isalpha() for c in t) for t in kept_texts)
             assert sum(1 for r in rows if any(c.isalpha() for c in r["text"] or "")) <= len(new) + 0.01 * len(rows), gone
         elif name == "exact_dedup":
-            best = {}
+            best = {}  # text -> largest id, -1 for none
             for r in rows:
-                best[_plain(r["text"])] = max(best.get(_plain(r["text"]), (-1, None)), (-1 if r["doc_id"] is None else r["doc_id"], 0))
+                best[_plain(r["text"])] = max(best.get(_plain(r["text"]), -1), -1 if r["doc_id"] is None else r["doc_id"])
             assert sorted(_plain(r["text"]) for r in new) == sorted(best)
-            assert all((-1 if r["doc_id"] is None else r["doc_id"]) == best[_plain(r["text"])][0] for r in new)
+            assert all((-1 if r["doc_id"] is None else r["doc_id"]) == best[_plain(r["text"])] for r in new)
         elif name == "jaccard_join":
             own = jaccard_rows([(r["doc_id"], r["text"]) for r in rows])
             want = {d for d, _, c, _ in own if d == c}
