@@ -100,7 +100,8 @@ def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: st
     """
     spark = df.sparkSession
     ship_package(spark)
-    rows = materialize(usable_vectors(df, id_col, vec_col), "imi-vectors")
+    # equal rows are one entry, so copies take neither a place among the k nor a share of the walk
+    rows = materialize(usable_vectors(df, id_col, vec_col).dropDuplicates(["vec_id", "v"]), "imi-vectors")
     total = rows.count()
     out_schema = "query_id long, vec_id long, score double"
     if not total:
@@ -126,7 +127,9 @@ def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: st
     counts = np.zeros((len(books[0]), len(books[1])), dtype=np.int64)
     for r in entries.groupBy("c1", "c2").count().collect():  # at most codes x codes rows
         counts[r["c1"], r["c2"]] = r["count"]
-    enough = max(k + 1, int(np.ceil(share * total)))
+    # more rows than the k commonest ids have hold k + 1 ids: the query's own and k others
+    commonest = rows.groupBy("vec_id").count().orderBy(F.desc("count")).limit(k).collect()
+    enough = max(1 + sum(r["count"] for r in commonest), int(np.ceil(share * total)))
     queries = entries.where(is_query)
     cuts = np.maximum(1, -(-counts.sum(axis=1) // BLOCK_ENTRIES)).tolist()
     query_cuts = max(1, -(-queries.count() // BLOCK_QUERIES))
@@ -160,7 +163,9 @@ def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: st
     def rerank(own: pa.Table, asked: pa.Table) -> pa.Table:
         found = []
         if own.num_rows and asked.num_rows:
+            own = own.sort_by("vec_id")
             c2, ids = np.array(own["c2"]), np.array(own["vec_id"])
+            first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])  # of each id
             x, q, qid = _matrix(own["v"]), _matrix(asked["v"]), np.array(asked["query_id"])
             norm, qnorm = np.sqrt((x * x).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
             wanted = np.zeros((len(q), counts.shape[1]), dtype=bool)
@@ -170,12 +175,14 @@ def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: st
                 part = slice(lo, lo + 256)
                 s = (q[part] @ x.T) / qnorm[part, None] / norm
                 s[~wanted[part][:, c2] | (qid[part, None] == ids)] = -np.inf
-                kth = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
+                by_id = np.maximum.reduceat(s, first, axis=1) if len(first) < s.shape[1] else s
+                kth = np.partition(by_id, -k, axis=1)[:, -k] if len(first) > k else np.full(len(s), -np.inf)
                 # all that could tie with the k-th, then the same sum for every row
                 for a, row in enumerate(s):
                     at = np.flatnonzero((row >= kth[a] - 1e-12) & (row > -np.inf))
                     exact = (x[at] * q[lo + a]).sum(axis=1) / (norm[at] * qnorm[lo + a])
-                    best = np.lexsort((ids[at], -exact))[:k]
+                    best = np.lexsort((ids[at], -exact))
+                    best = best[np.sort(np.unique(ids[at][best], return_index=True)[1])[:k]]  # an id once
                     found.append((np.full(len(best), qid[lo + a]), ids[at][best], exact[best]))
         cols = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [[], [], []]
         return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()),

@@ -56,6 +56,20 @@ def test_fewer_candidates_and_empty_tables(spark):
     assert multi_index.nearest(spark.createDataFrame([], kind), F.lit(True)).count() == 0
 
 
+def test_more_copies_of_a_row_than_places(spark):
+    kind = "vec_id long, embedding array<double>"
+    others = [(10 + i, [1.0, 0.1 * (i + 2)]) for i in range(7)]
+    copies = [(1, [1.0, 0.1])] * 40
+    versions = [(2, [1.0, 0.15 + 1e-4 * i]) for i in range(20)]  # one id, near vectors of its own
+    df = spark.createDataFrame([(0, [1.0, 0.0]), *copies, *versions, *others], kind)
+    for share in (1.0, 0.01):
+        got = multi_index.nearest(df, F.col("vec_id") == 0, codes=1, share=share).collect()
+        assert [(r["rank"], r["vec_id"]) for r in got] == [(1, 1), (2, 2), (3, 10), (4, 11), (5, 12)]
+    # far copies that hold most rows do not end the walk before k ids are found
+    got = multi_index.nearest(df, F.col("vec_id") == 0, codes=8, share=0.01).collect()
+    assert [r["rank"] for r in got] == [1, 2, 3, 4, 5] and len({r["vec_id"] for r in got}) == 5
+
+
 def test_cells_come_in_ascending_order():
     rng = np.random.default_rng(4)
     for _ in range(20):
