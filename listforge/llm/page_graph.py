@@ -30,7 +30,12 @@ SAMPLE_PAGES = 300        # expected labelled pages the weights are fitted on
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _MARKED = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[a-z]+")
-RAW = frozenset("script style noscript template textarea title svg math iframe object select option button xmp".split())
+RAW = frozenset("script style noscript textarea title iframe xmp".split())
+#: off content, but ordinary nodes: their end tags may be missing
+CONTROLS = frozenset("button select datalist optgroup option svg math object".split())
+_PAIRED = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)(button|select|datalist|object|svg|math|template)(?=[\s/>])"
+                     r"((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("html body main article section nav aside header footer form div p h1 h2 h3 h4 h5 h6 ul ol li dl dt "
                   "dd table thead tbody tfoot tr td th blockquote pre figure figcaption fieldset legend details "
@@ -40,7 +45,8 @@ _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "t
            "th": {"td", "th"}}
 _SCOPE = frozenset("ul ol dl table body article main section div td th nav aside header footer form".split())
 TAGS = ("html", "body", "main", "article", "section", "nav", "aside", "header", "footer", "form", "div", "p", "h1",
-        "h2", "h3", "ul", "ol", "li", "table", "td", "blockquote", "pre", "figure", "details", "dialog", "head", "other")
+        "h2", "h3", "ul", "ol", "li", "table", "td", "blockquote", "pre", "figure", "details", "dialog", "head", "other",
+        "control")
 NOISE = ("nav", "menu", "ad", "ads", "advert", "advertisement", "banner", "sponsor", "sponsored", "promo", "footer",
          "header", "masthead", "sidebar", "aside", "widget", "notice", "cookie", "cookies", "consent", "gdpr", "popup",
          "modal", "overlay", "alert", "newsletter", "subscribe", "signup", "login", "form", "search", "share",
@@ -50,10 +56,11 @@ GOOD = ("article", "content", "main", "post", "entry", "body", "story", "text",
 _BASE = 8
 N_FEATURES = _BASE + len(TAGS) + len(NOISE) + len(GOOD)
 _TAG = {t: _BASE + i for i, t in enumerate(TAGS)}
+_TAG.update(dict.fromkeys(CONTROLS, _TAG["control"]))
 _WORD = {w: _BASE + len(TAGS) + i for i, w in enumerate(NOISE + GOOD)}
 #: of a child, for the pair potentials; what stands right under html or body is free of it
 _KINDS = ("frame", "content frame", "off content", "other", "top")
-_OFF = frozenset(("nav", "aside", "footer", "form", "dialog", "menu", "search", "header", "head"))
+_OFF = CONTROLS | {"nav", "aside", "footer", "form", "dialog", "menu", "search", "header", "head"}
 
 
 @dataclass
@@ -65,29 +72,73 @@ class Page:
     label: np.ndarray | None = None
 
 
+def _ends(source: str) -> dict[int, int]:
+    """Where the element ends whose start tag ends here, of the paired tags that have their end tag."""
+    out, open_ = {}, {}
+    for m in _PAIRED.finditer(source):
+        if m[2] is None:
+            continue
+        starts = open_.setdefault(m[2].lower(), [])
+        if not m[1]:
+            if not _self_closed(m[2].lower(), m[3]):
+                starts.append(m.end())
+        elif starts:
+            out[starts.pop()] = m.end()
+    return out
+
+
+def _self_closed(tag: str, attributes: str) -> bool:
+    return tag in ("svg", "math") and attributes.rstrip().endswith("/")
+
+
 def parse(source: str | None) -> Page:
-    """A tolerant tree: raw-text elements are skipped whole, what is left open closes with its parent."""
+    """A tolerant tree: raw-text elements are skipped whole, what is left open closes with its parent.
+
+    Buttons, selects, options, pictures and formulas are nodes inside the text around them,
+    which goes on after them; one without its end tag closes where the next block starts.
+    """
     source = source or ""
     tags, words, parent, depth = ["html"], [frozenset()], [-1], [0]
     text_len, link_len = [0], [0]
     runs: list[tuple[int, str]] = []
     stack, links = [0], 0
     parts: list[str] = []
+    held: list[list] = []      # (place of a control in the stack, the text before it, its links)
+    ends: dict[int, int] | None = None
+    unended: set[int] = set()  # controls without their end tag
+
+    def put(node: int, pieces: list[str]):
+        t = " ".join(html.unescape("".join(pieces)).split())
+        if t:
+            runs.append((node, t))
+            text_len[node] += len(t)
 
     def flush():
         nonlocal parts
-        if parts:
-            t = " ".join(html.unescape("".join(parts)).split())
-            if t:
-                runs.append((stack[-1], t))
-                text_len[stack[-1]] += len(t)
-            parts = []
+        for h in held:
+            put(stack[h[0] - 1], h[1])
+            h[1] = []
+        put(stack[-1], parts)
+        parts = []
 
     def close_to(n: int):
-        nonlocal links
-        flush()
-        del stack[n:]
-        links = 0
+        """Close what stands from n; after a control the text around it goes on."""
+        nonlocal parts, links
+        while len(stack) > n:
+            put(stack.pop(), parts)
+            parts, links = [], 0
+            if held and held[-1][0] == len(stack):
+                _, parts, links = held.pop()
+
+    def add(tag: str, attributes: str):
+        marks = {w for _, a, b, c in _MARKED.findall(attributes) for w in _PART.findall((a or b or c).lower())}
+        tags.append(tag)
+        words.append(frozenset(marks))
+        parent.append(stack[-1])
+        depth.append(depth[stack[-1]] + 1)
+        text_len.append(0)
+        link_len.append(0)
+        stack.append(len(tags) - 1)
 
     at = 0
     while at < len(source):
@@ -104,7 +155,7 @@ def parse(source: str | None) -> Page:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag in BLOCK:
+            if tag in BLOCK or tag in CONTROLS:
                 for n in range(len(stack) - 1, 0, -1):
                     if tags[stack[n]] == tag:
                         close_to(n)
@@ -113,34 +164,52 @@ def parse(source: str | None) -> Page:
                 links = max(0, links - 1)
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
+            if m[3].rstrip().endswith("/") and tags[stack[-1]] in ("svg", "math"):
+                continue
+            end = _RAW_END[tag].search(source, at)
             at = end.end() if end else (at if m[3].rstrip().endswith("/") else len(source))
             continue
+        if tag == "template" or tag in CONTROLS:
+            if _self_closed(tag, m[3]):
+                continue
+            ends = _ends(source) if ends is None else ends
+            if tag == "template":
+                at = ends.get(at, at)
+                continue
+            n = len(stack)
+            while tag in ("option", "optgroup") and tags[stack[n - 1]] in ("option", tag):
+                n -= 1
+            if tag in ("button", "select") and tags[stack[n - 1]] == tag and stack[n - 1] in unended:
+                n -= 1
+            close_to(n)
+            held.append([len(stack), parts, links])
+            parts, links = [], 0
+            add(tag, m[3])
+            if at not in ends:
+                unended.add(stack[-1])
+            continue
         if tag == "br" or tag == "hr":
             parts.append(" ")
         elif tag == "a":
             links += 1
         elif tag in BLOCK:
-            if tag in ("html", "body") and len(stack) == 1:
-                flush()
             n = len(stack)
+            while stack[n - 1] in unended:
+                n -= 1
+            close_to(n)
+            flush()
             if tags[stack[-1]] == "p" or tags[stack[-1]] in ("h1", "h2", "h3", "h4", "h5", "h6"):
                 n -= 1
             for k in range(n - 1, 0, -1):
                 if tags[stack[k]] in _CLOSES.get(tag, ()):
                     n = k
                     break
-                if tags[stack[k]] in _SCOPE:
+                if tags[stack[k]] in _SCOPE or tags[stack[k]] in CONTROLS:
                     break
             close_to(n)
-            marks = {w for _, a, b, c in _MARKED.findall(m[3]) for w in _PART.findall((a or b or c).lower())}
-            tags.append(tag)
-            words.append(frozenset(marks))
-            parent.append(stack[-1])
-            depth.append(depth[stack[-1]] + 1)
-            text_len.append(0)
-            link_len.append(0)
-            stack.append(len(tags) - 1)
+            links = 0
+            add(tag, m[3])
+    close_to(1)
     flush()
     n = len(tags)
     below, below_links, children = list(text_len), list(link_len), [0] * n
@@ -184,7 +253,7 @@ def prior() -> tuple[np.ndarray, np.ndarray]:
     w = np.zeros(N_FEATURES)
     w[[0, 1, 3, 4]] = (-0.5, 0.4, -1.0, -1.0)
     for t, v in (("nav", -4), ("aside", -4), ("footer", -4), ("header", -3), ("form", -4), ("dialog", -4),
-                 ("head", -5), ("article", 2), ("main", 2), ("p", 0.5), ("html", -1), ("body", -1)):
+                 ("head", -5), ("control", -4), ("article", 2), ("main", 2), ("p", 0.5), ("html", -1), ("body", -1)):
         w[_TAG[t]] = v
     for v in NOISE:
         w[_WORD[v]] = -3.5

@@ -53,6 +53,26 @@ def test_extraction_leaves_out_what_is_no_article(model):
     assert page_graph.content_text(page_graph.parse(plain), *model) == ("Some long text here. " * 12).strip()
 
 
+@pytest.mark.parametrize("before", [
+    "<div role=search><input list=q><datalist id=q><option value=a><option value=b></datalist></div>",
+    "<header><select><option>One<option>Two</header>", "<header><button>Menu</header>", "<button>Menu",
+    "<div><svg width='1'/></div>", "<math/>", "<svg viewBox='0 0 1 1'><path d='M0'>", "<object data=x>", "<template>",
+    "<select><option>One<optgroup><option>Two", "<svg><title/><style/><path/></svg>"])
+def test_extraction_goes_on_after_unclosed_controls(model, before):
+    article = ("<article><h1>Head</h1><p>First sentence<svg><text>icon</text></svg>, of the <a href=/>text<svg/></a>."
+               "<button><div>Share</div></button></p><p>Second<select><option>x</select> one.</p></article>")
+    page = f"<html><body>{before}{article}<svg><path></svg><math></math><footer>Foot</footer></body></html>"
+    text = page_graph.content_text(page_graph.parse(page), *model)
+    assert text == "Head First sentence, of the text. Second one."
+
+
+def test_controls_stay_out_of_the_text_around_them():
+    page = page_graph.parse("<p>a <a href=/><svg><g/></svg>li<b>nk</b></a> b<button>But<p>in</p>ton</button>c<p>d")
+    assert page.runs == [(1, "a link b"), (3, "But"), (4, "in"), (3, "ton"), (1, "c"), (5, "d")]
+    page = page_graph.parse("<template><template>x</template>y</template>z<script>a</script foo>b<option>c<option>d<p>e")
+    assert [t for _, t in page.runs] == ["c", "d", "z" + "b", "e"]
+
+
 def test_extraction_of_marked_pages(spark, model):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     for r in page_graph.main_text(pages, model).collect():
