@@ -26,7 +26,6 @@ from listforge.session import ship_package
 
 WORD = re.compile(r"[^\W_]+(?:[*@$!][^\W_]+)*")  # st*pid, 1diot
 SAMPLE_TOXIC, SAMPLE_OTHER = 3000, 6000   # expected rows the lexicon and the layer are fitted on
-MAX_TERMS = 400
 LEAST_G = 25.0
 STEM = (3, 8)             # characters of a stem
 WINDOW = 12               # words on either side of a match
@@ -213,8 +212,7 @@ def _word_counts(parts):
     for batch in parts:
         for text, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
             for w in set(WORD.findall((text.as_py() or "").lower())):
-                if len(w) <= 40:
-                    seen.setdefault(w, [0, 0])[1 - y] += 1
+                seen.setdefault(w, [0, 0])[1 - y] += 1
     out = []
     for w, (t, o) in seen.items():
         out.append((w, t, o))
@@ -231,6 +229,7 @@ def learn_lexicon(sample: DataFrame, toxic_rows: int, other_rows: int) -> tuple[
     the two differ by a G statistic of LEAST_G; a stem also needs five different words in
     toxic rows.  The weight is the log of the ratio.  Terms are taken by falling G: a stem
     stands for the words and stems it covers, and counts without the words taken before.
+    Every term that passes is taken; their number is bounded by the sample alone.
     """
     words = sample.mapInArrow(_word_counts, "word string, toxic long, other long").groupBy(
         F.col("word").alias("term")).agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
@@ -240,29 +239,39 @@ def learn_lexicon(sample: DataFrame, toxic_rows: int, other_rows: int) -> tuple[
         F.col("stem").alias("term")).agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"),
                                          F.count_if(F.col("toxic") > 0).alias("words"))
     weight = F.log((F.col("toxic") / toxic_rows) / ((F.col("other") + 0.5) / (other_rows + 1)))
-    telling = (F.col("toxic") >= 3) & (F.col("weight") >= float(np.log(4)))
+    t, o = F.least("toxic", F.lit(toxic_rows)).cast("double"), F.least("other", F.lit(other_rows)).cast("double")
+    rows_, with_ = float(toxic_rows + other_rows), t + o
+    g = F.lit(0.0)
+    for seen, of, side in ((t, with_, toxic_rows), (o, with_, other_rows),
+                           (toxic_rows - t, rows_ - with_, toxic_rows), (other_rows - o, rows_ - with_, other_rows)):
+        g = g + F.when(seen > 0, 2 * seen * F.log(seen * rows_ / (of * side))).otherwise(0.0)
 
-    def top(df):
-        rows = df.withColumn("weight", weight).where(telling).withColumn("gain", F.col("toxic") * F.col("weight"))
-        return rows.orderBy(F.desc("gain"), "term").limit(20 * MAX_TERMS).collect()
+    def telling(df):
+        # a little below the bounds, which _g and _ratio draw below
+        return df.where((F.col("toxic") > 0) & (weight >= float(np.log(4)) - 1e-9) & (g >= LEAST_G - 1e-6)).collect()
 
     sums = (toxic_rows, other_rows)
     candidates = [(_g(r["toxic"], r["other"], *sums), len(r["term"]), r["term"], r["toxic"], r["other"], is_stem)
-                  for is_stem, rows in ((False, top(words)), (True, top(stems.where("words >= 5")))) for r in rows]
-    plain, kept = {}, {}
+                  for is_stem, rows in ((False, telling(words)), (True, telling(stems.where("words >= 5")))) for r in rows]
+    lengths = range(STEM[0], STEM[1] + 1)
+    plain, kept, inside = {}, {}, set()    # inside: the starts of the stems kept
+    below: dict[str, list] = {}            # start -> counts of the words taken
     for g, _, term, t, o, is_stem in sorted(candidates, key=lambda c: (-c[0], -c[1], c[2], c[5])):
-        if g < LEAST_G or len(plain) + len(kept) >= MAX_TERMS or any(term.startswith(k) for k in kept):
+        if g < LEAST_G or _ratio(t, o, *sums) < 4 or any(term[:n] in kept for n in lengths):
             continue
         if is_stem:
-            if any(k.startswith(term) for k in kept):
+            if term in inside:
                 continue
-            own = [plain[w][1:] for w in plain if w.startswith(term)]
+            own = below.get(term, [])
             t, o = t - sum(x[0] for x in own), o - sum(x[1] for x in own)
             if t <= 0 or _g(t, o, *sums) < LEAST_G or _ratio(t, o, *sums) < 4:
                 continue
             kept[term] = min(6.0, float(np.log(_ratio(t, o, *sums))))
-        elif len(term) >= 3:
+            inside.update(term[:n] for n in lengths)
+        else:
             plain[term] = (min(6.0, float(np.log(_ratio(t, o, *sums)))), t, o)
+            for start in {term[:n] for n in lengths if n <= len(term)}:
+                below.setdefault(start, []).append((t, o))
     return {w: x[0] for w, x in plain.items()}, kept
 
 
@@ -339,6 +348,6 @@ def score_documents(docs: DataFrame, model: ToxicityModel, text_col: str = "text
     Null and empty texts have the score of a text without matches.
     """
     ship_package(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2 x MAX_TERMS terms
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # terms of a bounded sample
 
     return docs.withColumn("_toxicity", column_of(docs, text_col, lambda: shared.value.score, "double"))

@@ -141,6 +141,21 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(r["_toxicity"] == none for r in scored if not (r["text"] or "").strip())
 
 
+def test_every_telling_term_is_learned(spark):
+    """600 terms, each in 15 toxic rows, one of 60 characters and one of two; others tell nothing."""
+    rng = np.random.default_rng(1)
+    terms = sorted({"".join(rng.choice(list("bcdfghklmnpqrstvwz"), 12)) for _ in range(598)} | {"y" * 60, "qz"})
+    texts = [[] for _ in range(300)]
+    for t in terms:
+        for i in rng.choice(300, 15, replace=False):
+            texts[i].append(t)
+    rows = [(" ".join([*x, "the", "day"]), 1) for x in texts] + [(f"the day u{i}", 0) for i in range(600)]
+    words, stems = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, y int"), 300, 600)
+    assert sorted(words) == terms and stems == {}
+    model = toxicity.ToxicityModel(words, stems, np.ones(toxicity.FEATURES), -2.0)
+    assert all(model.score(f"so {t} it is") > model.score("so it is") for t in terms)
+
+
 def test_quotation_is_told_from_abuse():
     model = toxicity.ToxicityModel({"idiot": 5.0}, {}, np.array([3.0, 0, 0.1, 0, 0, 0, 0, 0]), -2.0)
     assert model.score("you are an idiot") > 0.5 > model.score('the word "idiot" is rude')
