@@ -10,6 +10,7 @@ all ids before it.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 
@@ -104,10 +105,42 @@ def unpack_shard(blob: bytes) -> tuple[list, EliasFano, np.ndarray]:
     return [None if x else int(d) for d, x in zip(names, null, strict=True)], ef, ids
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
+#: what every tokenizer takes for white (Python alone adds U+001C to U+001F)
+_WHITE_END = re.compile(r"(?<![^\S\x1c-\x1f])[^\S\x1c-\x1f]+\Z")
 
 
-def _library_encoder(path: str) -> PieceEncoder:
+class TextEncoder:
+    """text -> ids as uint32 little-endian bytes, as the library encodes it with no tokens added.
+
+    The library takes the added tokens of its file out of a text first and encodes what
+    stands between them by itself: so the text is cut there before it is cut into pieces,
+    and white space before such a token, or at the end, is one match.
+    """
+
+    def __init__(self, pieces: PieceEncoder, whole, added: dict[str, int], simple: bool):
+        self._pieces, self._whole, self._simple = pieces, whole, simple
+        self._ids = {word: struct.pack("<I", i) for word, i in added.items()}
+        longest = sorted(filter(None, added), key=len, reverse=True)
+        self._added = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
+
+    def encode(self, text: str) -> bytes:
+        if self._added is None or not self._added.search(text):
+            return self._between(text)
+        if not self._simple:
+            return self._whole(text)
+        return b"".join([self._ids[x] if i % 2 else self._between(x) for i, x in enumerate(self._added.split(text))])
+
+    def _between(self, text: str) -> bytes:
+        end = _WHITE_END.search(text) if text[-1:].isspace() else None
+        if end is None:
+            return self._pieces.encode(text)
+        return self._pieces.encode(text[:end.start()]) + self._whole(end[0])
+
+
+_ENCODERS: dict[str, TextEncoder] = {}
+
+
+def _library_encoder(path: str) -> TextEncoder:
     """The tokenizers library behind a piece cache; one per worker and file."""
     if path not in _ENCODERS:
         import os
@@ -116,7 +149,10 @@ def _library_encoder(path: str) -> PieceEncoder:
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
+        added = list(tok.get_added_tokens_decoder().items())
+        # tokens that take white space along, stand for whole words only or hold white space: the library's business
+        simple = tok.normalizer is None and not any(
+            t.lstrip or t.rstrip or t.single_word or any(map(str.isspace, t.content)) for _, t in added)
         blank = "Ġ"  # how byte-level vocabularies write a blank
         starts = np.zeros(tok.get_vocab_size() + 1, dtype=bool)
         for word, i in tok.get_vocab().items():
@@ -129,7 +165,7 @@ def _library_encoder(path: str) -> PieceEncoder:
         def encode_many(pieces: list[str]) -> list[bytes]:
             out: list[bytes | None] = [None] * len(pieces)
             # pieces of the form " x..." with x not white are one call, cut at their blanks
-            plain = [i for i, p in enumerate(pieces) if len(p) > 1 and p[0] == " " and not p[1].isspace()]
+            plain = [i for i, p in enumerate(pieces) if simple and len(p) > 1 and p[0] == " " and not p[1].isspace()]
             for lo in range(0, len(plain), 2000):
                 part = plain[lo:lo + 2000]
                 ids = ids_of("".join([pieces[i] for i in part]))
@@ -142,7 +178,8 @@ def _library_encoder(path: str) -> PieceEncoder:
                     out[i] = raw[a:b]
             return [ids_of(p).tobytes() if x is None else x for p, x in zip(pieces, out, strict=True)]
 
-        _ENCODERS[path] = PieceEncoder(encode_many)
+        _ENCODERS[path] = TextEncoder(PieceEncoder(encode_many), lambda text: ids_of(text).tobytes(),
+                                      {t.content: i for i, t in added}, simple)
     return _ENCODERS[path]
 
 
@@ -155,6 +192,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, id_col: s
                       shard_ids: int = SHARD_IDS) -> None:
     """Encode every text (null: empty), append ``end_id``, write shards in ascending id order.
 
+    The string of an added token, special or not, gives that token's id, as in the library.
     Null ids come first; rows that repeat an id follow the hash of their text.  A text of
     any length stays whole in one shard.  Other columns of the input are not looked at.
     ``id_bytes`` 2 needs a vocabulary of at most 65,536 ids.

@@ -41,6 +41,33 @@ def test_pieces_give_the_library_ids(library, text):
     assert np.frombuffer(got, "<u4").tolist() == library(text)
 
 
+@pytest.fixture(scope="module")
+def unmodified():
+    t = Tokenizer.from_file(JSON)
+    return lambda text: t.encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=300, deadline=None)
+@given(parts=st.lists(st.one_of(TEXT, st.sampled_from(
+    ["<|endoftext|>", " ", "  ", "   ", "\n", " \n ", "\u00a0", "\x1c", "\x1f ", "a", "!", "<|endof", "text|>"])), max_size=12))
+def test_ids_are_those_of_the_unmodified_library(unmodified, parts):
+    text = "".join(parts)
+    got = token_files._library_encoder(JSON).encode(text)
+    assert np.frombuffer(got, "<u4").tolist() == unmodified(text)
+
+
+def test_token_files_hold_added_tokens(spark, unmodified):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "one  <|endoftext|>two<|endoftext|><|endoftext|>  \n three  ", "plain"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want, start = [], 0
+    for i, t in enumerate(texts):
+        ids = unmodified(t) + [token_files.END_ID]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert 50256 in unmodified(texts[0])
+    assert sorted(map(tuple, token_files.token_files(docs, JSON).collect())) == want
+
+
 @settings(max_examples=300, deadline=None)
 @given(text=TEXT)
 def test_backtracking_gives_the_merges(tik, text):
