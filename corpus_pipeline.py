@@ -1,13 +1,14 @@
 """A corpus pipeline of the training-data operators over ``documents``.
 
 Each stage gets all that the one before kept and is written as Parquet before the next
-reads it.  All stages but the last return the columns of their input.
+reads it.  All stages but the last return the columns of their input.  A table that is read
+again has no row order, so the last stage says by slot and pos where mixing puts a document.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from listforge.llm import exact_dedup, langid, mixing, partenum, rank_bpe
@@ -42,9 +43,25 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the encoded and decoded documents."""
+    """Token counts and digests of the encoded and decoded documents, with their place in the mix.
+
+    The place is ``mixing.interleave``'s, derived again without the texts: (slot, pos) ascending
+    is the order of the mixing stage.  It is joined by id and digest of the text; rows equal in
+    both are numbered, since it does not matter which of them takes which place.
+    """
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    return rank_bpe.decode_documents(rank_bpe.encode_documents(docs, ranks, pattern), ranks, pattern)
+    tokens = rank_bpe.decode_documents(rank_bpe.encode_documents(docs, ranks, pattern), ranks, pattern)
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    short = docs.select("doc_id", "source", digest.alias("digest"), F.xxhash64(F.struct(*docs.columns)).alias("hash"))
+    places = mixing.interleave(short, tie=F.col("hash")).select(
+        F.col("_row.doc_id").alias("id"), F.col("_row.digest").alias("digest"), "_mix.slot", "_mix.pos")
+    places = places.withColumn("copy", F.row_number().over(Window.partitionBy("id", "digest").orderBy("slot", "pos")))
+    tokens = tokens.withColumn("copy", F.row_number().over(
+        Window.partitionBy("doc_id", "decoded_sha256").orderBy("ids_sha256")))
+    same = tokens["doc_id"].eqNullSafe(places["id"]) & (tokens["decoded_sha256"] == places["digest"]) & (
+        tokens["copy"] == places["copy"])
+    return tokens.join(places, same, "left").select(
+        "doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "slot", "pos")
 
 
 STAGES = [

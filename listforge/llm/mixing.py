@@ -68,11 +68,11 @@ def period_schedule(parts: DataFrame) -> DataFrame:
 
 def interleave(docs: DataFrame, parts: DataFrame | None = None, id_col: str = "doc_id",
                source_col: str = "source", block_docs: int = BLOCK_DOCS,
-               buckets: int = BUCKETS) -> DataFrame:
+               buckets: int = BUCKETS, tie: Column | None = None) -> DataFrame:
     """The input with block, release, deadline, slot and pos (place inside the block) as ``_mix``.
 
     Inside a source documents follow the md5 of their id (ties: the id, then the row's
-    hash).  The position is found in two levels, bucket totals and row numbers inside a
+    hash, or ``tie``).  The position is found in two levels, bucket totals and row numbers inside a
     bucket, so a source with a third of all rows is spread over ``buckets`` tasks.  A null
     source is a source of its own; null ids and repeated rows are numbered like others.
     ``parts`` must name every source of the input; without it ``target_parts`` decides.  An
@@ -84,14 +84,15 @@ def interleave(docs: DataFrame, parts: DataFrame | None = None, id_col: str = "d
     order = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
     keyed = docs.select(
         F.struct(*[F.col(c) for c in cols]).alias("_row"),
-        _source_key(source_col).alias("_src"), order.alias("_o"))
+        _source_key(source_col).alias("_src"), order.alias("_o"),
+        (F.xxhash64(F.struct(*cols)) if tie is None else tie).alias("_tie"))
     keyed = keyed.withColumn("_b", (F.conv(F.substring("_o", 1, 6), 16, 10).cast("long")
                                     * buckets / (1 << 24)).cast("int"))
     totals = keyed.groupBy("_src", "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("_src").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("_src", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     inside = Window.partitionBy("_src", "_b").orderBy(
-        "_o", F.col(f"_row.{id_col}"), F.xxhash64("_row"))
+        "_o", F.col(f"_row.{id_col}"), "_tie")
     placed = keyed.withColumn("_rn", F.row_number().over(inside) - 1).join(totals, ["_src", "_b"])
     placed = placed.withColumn("_at", F.col("_rn") + F.col("_off")).withColumn(
         "_j", F.floor(F.col("_at") / block_docs)).withColumn("_pos", F.col("_at") % block_docs)

@@ -59,6 +59,18 @@ def test_stages_on_documents(spark):
     assert len(last) == corpus_pipeline.run(spark, sf).count()
 
 
+def test_the_mix_reaches_the_result_over_several_files(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").unionByName(
+        edge_documents(spark).select("doc_id", "text", "lang", "source", "n_chars")).repartition(7)
+    path = f"{spark.conf.get('spark.checkpoint.dir')}/test-mix-{os.urandom(4).hex()}"
+    corpus_pipeline.mixed(spark, docs, "unused").repartition(5).write.parquet(path)
+    got = corpus_pipeline.encoded(spark, spark.read.parquet(path), "unused").collect()
+    want = [(r["doc_id"], hashlib.sha256((r["text"] or "").encode()).hexdigest())
+            for r in corpus_pipeline.mixed(spark, docs, "unused").collect()]
+    got.sort(key=lambda r: (r["slot"], r["pos"]))
+    assert [(r["doc_id"], r["decoded_sha256"]) for r in got] == want
+
+
 def test_stages_on_edge_rows_and_empty_table(spark):
     _check(spark, edge_documents(spark), "unused")
     none = spark.createDataFrame([], DOCS)
