@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,3 +63,32 @@ def batches(columns: dict[str, pa.DataType]):
             [pa.array(list(c), type=f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
     return make
+
+
+def matrix_of(col: pa.Array, dims: int, kind=np.int64) -> np.ndarray:
+    """A list column whose lists all have ``dims`` entries."""
+    return col.flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False).reshape(-1, dims)
+
+
+def summed(rows: DataFrame, value, size: int) -> list:
+    """Element sums of ``value(batch) -> array of ``size`` `` over all batches: one short list a task,
+    added by position.  Long results are added exactly."""
+    def task(parts):
+        total = None
+        for batch in parts:
+            if batch.num_rows:
+                v = value(batch)
+                total = v if total is None else total + v
+        if total is not None:
+            exact = np.issubdtype(total.dtype, np.integer)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(size, dtype=np.int32)),
+                 pa.array(total if exact else np.zeros(size, dtype=np.int64)),
+                 pa.array(np.zeros(size) if exact else total)], names=["i", "whole", "real"])
+
+    added = rows.mapInArrow(task, "i int, whole long, real double").groupBy("i").agg(
+        F.sum(F.col("whole").cast("decimal(38,0)")).alias("whole"), F.sum("real").alias("real"))
+    out = [(0, 0.0)] * size
+    for r in added.collect():  # one row a position, whatever the data
+        out[r["i"]] = (int(r["whole"]), r["real"])
+    return out
