@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listforge.llm import exact_dedup, langid, mixing, partenum, rank_bpe, token_files, toxicity
+from listforge.llm import exact_dedup, langid, mixing, partenum, positional_index, rank_bpe, token_files, toxicity
 from listforge.llm.common import fold_of, table
 
 
@@ -52,8 +52,13 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return positional_index.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op3_language_id, op5_toxicity, op6_partenum_join, op7_token_files, op8_mixing, op9_rank_bpe, op10_exact_dedup)}
+    op3_language_id, op5_toxicity, op6_partenum_join, op7_token_files, op8_mixing, op9_rank_bpe, op10_exact_dedup,
+    op12_positional_index)}
 
 ORACLE = {
     "op8_mixing": """
@@ -93,5 +98,28 @@ WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVW
 g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(d.t) AS text_sha256
 FROM d JOIN g ON d.t = g.t
+""",
+    "op12_positional_index": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (
+  SELECT item_id, w, least(10, len(w)) AS n FROM (SELECT item_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark) WHERE len(w) > 0),
+win AS (
+  SELECT DISTINCT coalesce(CAST(item_id AS VARCHAR), '') AS item_id, n, array_to_string(w[s:s + n - 1], ' ') AS g
+  FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS s FROM i)),
+grams AS (
+  SELECT r, n, s, array_to_string(w[s:s + n - 1], ' ') AS g
+  FROM (SELECT r, n, w, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM win))),
+hit AS (SELECT r, item_id, s, n FROM grams JOIN win USING (n, g)),
+pos AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS p FROM hit) GROUP BY r),
+its AS (SELECT r, count(*) AS n_items, sha256(string_agg(item_id, ',' ORDER BY item_id)) AS items_sha256
+        FROM (SELECT DISTINCT r, item_id FROM hit) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       coalesce(items_sha256, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN pos USING (r) LEFT JOIN its USING (r)
 """,
 }
