@@ -2,43 +2,97 @@
 
 Both tokenizers of this subpackage split a text by the same pattern before merging.  A
 blank that has a non-white character on either side always starts a new match there, so
-the text between two such blanks can be encoded on its own and its ids reused.
+the text between two such blanks can be encoded on its own and its ids reused.  What many
+texts miss in the cache is gathered and encoded in one call.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterable, Iterator
 
 _TIGHT = re.compile(r"\s \s")
 _SAFE = re.compile(r"(?<=\S)(?= )")
 MAX_CACHED = 48           # longer pieces are encoded each time
-MAX_ENTRIES = 250_000     # the cache is emptied when full: memory stays bounded
+MAX_ENTRIES = 300_000     # of one generation of a cache
+GATHER_CHARS = 2_000_000  # texts whose misses are gathered; a longer text is alone
+
+
+class Generations:
+    """A bounded map that forgets what was not asked for lately.
+
+    Entries go to the young generation, and old ones that are asked for again move there; a
+    full young generation becomes the old one.
+    """
+
+    def __init__(self):
+        self.young, self._old = {}, {}
+
+    def get(self, key):
+        got = self.young.get(key)
+        if got is None:
+            got = self._old.get(key)
+            if got is not None:
+                self.put(key, got)
+        return got
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= MAX_ENTRIES:
+            self.young, self._old = {}, self.young
+        self.young[key] = value
 
 
 class PieceEncoder:
-    """text -> ids as uint32 little-endian bytes, by ``encode_many`` over distinct pieces."""
+    """texts -> ids as uint32 little-endian bytes, by ``encode_many`` over distinct pieces."""
 
-    def __init__(self, encode_many):
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]]):
         self._encode_many = encode_many
-        self._cache: dict[str, bytes] = {}
+        self._heads, self._rest = Generations(), Generations()
 
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
+    @staticmethod
+    def _cut(text: str) -> tuple[str, list[str]]:
+        """The first piece, and the others without their blank."""
         if _TIGHT.search(text):
             first, *rest = _SAFE.split(text)
-            rest = [x[1:] for x in rest]
-        else:
-            first, *rest = text.split(" ")
-        head = self._encode_many([first])[0] if first else b""
-        if not rest:
-            return head
-        found = list(map(self._cache.get, rest))
-        if None in found:
-            missing = list({x for x, y in zip(rest, found, strict=True) if y is None})
-            new = dict(zip(missing, self._encode_many([" " + x for x in missing]), strict=True))
-            if len(self._cache) + len(new) > MAX_ENTRIES:
-                self._cache.clear()
-            self._cache.update((k, v) for k, v in new.items() if len(k) <= MAX_CACHED)
-            found = [new[x] if y is None else y for x, y in zip(rest, found, strict=True)]
-        return head + b"".join(found)
+            return first, [x[1:] for x in rest]
+        first, *rest = text.split(" ")
+        return first, rest
+
+    def encode_all(self, texts: Iterable[str]) -> list[bytes]:
+        cut = [self._cut(t) for t in texts]
+        heads, new_heads = self._known(self._heads, {h for h, _ in cut if h})
+        known = self._rest.young
+        found = [list(map(known.get, rest)) for _, rest in cut]
+        missing = {x for (_, rest), got in zip(cut, found, strict=True) if None in got
+                   for x, y in zip(rest, got, strict=True) if y is None}
+        rest, new_rest = self._known(self._rest, missing)
+        asked = new_heads + new_rest
+        ids = self._encode_many([*new_heads, *(" " + x for x in new_rest)])
+        for i, x in enumerate(asked):
+            of, cache = (heads, self._heads) if i < len(new_heads) else (rest, self._rest)
+            of[x] = ids[i]
+            if len(x) <= MAX_CACHED:
+                cache.put(x, ids[i])
+        return [heads.get(h, b"") + b"".join(
+            [rest[x] if y is None else y for x, y in zip(words, got, strict=True)] if None in got else got)
+            for (h, words), got in zip(cut, found, strict=True)]
+
+    @staticmethod
+    def _known(cache: Generations, keys: set[str]) -> tuple[dict[str, bytes], list[str]]:
+        """What the cache has of the keys, and the other keys."""
+        got = {k: cache.get(k) for k in keys}
+        new = [k for k, v in got.items() if v is None]
+        return {k: v for k, v in got.items() if v is not None}, new
+
+
+def in_groups(rows: Iterable[tuple[object, str]]) -> Iterator[list[tuple[object, str]]]:
+    """(key, text) rows in groups of about ``GATHER_CHARS`` characters."""
+    group, size = [], 0
+    for row in rows:
+        group.append(row)
+        size += len(row[1])
+        if size >= GATHER_CHARS:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group

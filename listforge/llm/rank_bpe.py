@@ -21,11 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from listforge.llm.common import batches, give_back
-from listforge.llm.pieces import PieceEncoder
+from listforge.llm.pieces import Generations, PieceEncoder, in_groups
 from listforge.session import ship_package
 
-_MEMO_ENTRIES = 250_000
-
 
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -36,7 +34,7 @@ class RankBpe:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
-        self._memo: dict[tuple[int, int], bool] = {}
+        self._memo = Generations()
         # a token that its own merges do not give back never stands in a result
         sound = {b: i for b, i in ranks.items() if len(b) == 1 or self._merge(b, whole=False) == [i]}
         self._automaton = ahocorasick.Automaton()
@@ -70,9 +68,8 @@ class RankBpe:
         key = (a, b)
         got = self._memo.get(key)
         if got is None:
-            if len(self._memo) >= _MEMO_ENTRIES:
-                self._memo.clear()
-            got = self._memo[key] = self._merge(self.bytes_of[a] + self.bytes_of[b], whole=False) == [a, b]
+            got = self._merge(self.bytes_of[a] + self.bytes_of[b], whole=False) == [a, b]
+            self._memo.put(key, got)
         return got
 
     def encode_piece(self, raw: bytes) -> list[int]:
@@ -142,16 +139,11 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
         make = batches({"doc_id": pa.int64(), "ids": pa.binary()})
         _, encoder = codec(ranks_path, pattern)
         for batch in rows:
-            out, size = [], 0
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encoder.encode(text.as_py() or "")
-                out.append((name, ids))
-                size += len(ids)
-                if size > 8_000_000:
-                    yield make(out)
-                    out, size = [], 0
-            yield make(out)
-            del batch, out
+            texts = zip(batch.column(0).to_pylist(), (t.as_py() or "" for t in batch.column(1)), strict=True)
+            for group in in_groups(texts):
+                names, texts_of = zip(*group, strict=True)
+                yield make(list(zip(names, encoder.encode_all(texts_of), strict=True)))
+            del batch
             give_back()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

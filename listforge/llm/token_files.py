@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from listforge.llm.common import batches, give_back
-from listforge.llm.pieces import PieceEncoder
+from listforge.llm.pieces import PieceEncoder, in_groups
 from listforge.session import scratch_path, ship_package
 
 END_ID = 2
@@ -110,7 +110,7 @@ _WHITE_END = re.compile(r"(?<![^\S\x1c-\x1f])[^\S\x1c-\x1f]+\Z")
 
 
 class TextEncoder:
-    """text -> ids as uint32 little-endian bytes, as the library encodes it with no tokens added.
+    """texts -> ids as uint32 little-endian bytes, as the library encodes them with no tokens added.
 
     The library takes the added tokens of its file out of a text first and encodes what
     stands between them by itself: so the text is cut there before it is cut into pieces,
@@ -123,18 +123,25 @@ class TextEncoder:
         longest = sorted(filter(None, added), key=len, reverse=True)
         self._added = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
 
-    def encode(self, text: str) -> bytes:
+    def encode_all(self, texts) -> list[bytes]:
+        runs: list[str] = []  # what the piece encoder is asked, in order
+        out = [self._parts(text, runs) for text in texts]
+        ids = iter(self._pieces.encode_all(runs))
+        return [b"".join([next(ids) if part is None else part for part in parts]) for parts in out]
+
+    def _parts(self, text: str, runs: list[str]) -> list[bytes | None]:
+        """The text's ids in parts; None stands for the next of ``runs``."""
         if self._added is None or not self._added.search(text):
-            return self._between(text)
+            return self._between(text, runs)
         if not self._simple:
-            return self._whole(text)
-        return b"".join([self._ids[x] if i % 2 else self._between(x) for i, x in enumerate(self._added.split(text))])
+            return [self._whole(text)]
+        return [part for i, x in enumerate(self._added.split(text))
+                for part in ([self._ids[x]] if i % 2 else self._between(x, runs))]
 
-    def _between(self, text: str) -> bytes:
+    def _between(self, text: str, runs: list[str]) -> list[bytes | None]:
         end = _WHITE_END.search(text) if text[-1:].isspace() else None
-        if end is None:
-            return self._pieces.encode(text)
-        return self._pieces.encode(text[:end.start()]) + self._whole(end[0])
+        runs.append(text[:end.start()] if end else text)
+        return [None, self._whole(end[0])] if end else [None]
 
 
 _ENCODERS: dict[str, TextEncoder] = {}
@@ -176,28 +183,44 @@ def _library_encoder(path: str) -> TextEncoder:
                 raw = ids.tobytes()
                 for i, a, b in zip(part, (cuts * 4).tolist(), ends, strict=True):
                     out[i] = raw[a:b]
-            return [ids_of(p).tobytes() if x is None else x for p, x in zip(pieces, out, strict=True)]
+            single = [i for i, x in enumerate(out) if x is None]
+            for lo in range(0, len(single), 2000):
+                part = single[lo:lo + 2000]
+                for i, e in zip(part, tok.encode_batch([pieces[i] for i in part], add_special_tokens=False), strict=True):
+                    out[i] = np.array(e.ids, dtype="<u4").tobytes()
+            return out
 
         _ENCODERS[path] = TextEncoder(PieceEncoder(encode_many), lambda text: ids_of(text).tobytes(),
                                       {t.content: i for i, t in added}, simple)
     return _ENCODERS[path]
 
 
+def largest_id(path: str, *others: int) -> int:
+    from tokenizers import Tokenizer
+
+    return max([*Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values(), *others])
+
+
 _SHARD_COLUMNS = {"part": pa.int32(), "shard": pa.int32(), "n_docs": pa.int64(), "n_ids": pa.int64(),
                   "blob": pa.binary()}
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, id_col: str = "doc_id",
-                      text_col: str = "text", end_id: int = END_ID, id_bytes: int = 2,
+                      text_col: str = "text", end_id: int = END_ID, id_bytes: int | None = None,
                       shard_ids: int = SHARD_IDS) -> None:
     """Encode every text (null: empty), append ``end_id``, write shards in ascending id order.
 
     The string of an added token, special or not, gives that token's id, as in the library.
     Null ids come first; rows that repeat an id follow the hash of their text.  A text of
     any length stays whole in one shard.  Other columns of the input are not looked at.
-    ``id_bytes`` 2 needs a vocabulary of at most 65,536 ids.
+    ``id_bytes`` is 2 where every id of the vocabulary and ``end_id`` fit, else 4; a given 2 that
+    does not hold them is refused with ValueError.
     """
     ship_package(docs.sparkSession)
+    needed = 2 if largest_id(tokenizer_path, end_id) < 1 << 16 else 4
+    if id_bytes is not None and id_bytes < needed:
+        raise ValueError(f"ids of {tokenizer_path} do not fit {id_bytes} bytes")
+    id_bytes = id_bytes or needed
 
     def shards(part_rows):
         make, encoder, end = batches(_SHARD_COLUMNS), _library_encoder(tokenizer_path), struct.pack("<I", end_id)
@@ -212,16 +235,18 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, id_col: s
             return row
 
         for batch in part_rows:
-            for p, name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
-                                     batch.column(2), strict=True):
-                part = p
-                ids = encoder.encode(text.as_py() or "") + end
-                size += len(ids) // 4
-                names.append(name)
-                ends.append(size)
-                chunks.append(ids)
-                if size >= shard_ids:
-                    yield close()
+            if batch.num_rows:
+                part = batch.column(0)[0].as_py()
+            texts = zip(batch.column(1).to_pylist(), (t.as_py() or "" for t in batch.column(2)), strict=True)
+            for group in in_groups(texts):
+                own, texts_of = zip(*group, strict=True)
+                for name, ids in zip(own, encoder.encode_all(texts_of), strict=True):
+                    size += len(ids) // 4 + 1
+                    names.append(name)
+                    ends.append(size)
+                    chunks.append(ids + end)
+                    if size >= shard_ids:
+                        yield close()
             del batch
             give_back()
         if names:
@@ -254,9 +279,10 @@ def read_token_files(spark, path: str, digest=None) -> DataFrame:
         for batch in rows:
             for part, inside, blob in zip(*(batch.column(i) for i in range(3)), strict=True):
                 names, ef, ids = unpack_shard(blob.as_py())
-                ends, base, out, last = ef.values().tolist(), offsets[part.as_py()] + inside.as_py(), [], 0
+                base, out, last = offsets[part.as_py()] + inside.as_py(), [], 0
                 ids = ids.astype("<u4")
-                for name, end in zip(names, ends, strict=True):
+                for i, name in enumerate(names):
+                    end = ef.select(i)
                     out.append((name, base + last, end - last, zlib.crc32(ids[last:end].tobytes())))
                     last = end
                 yield make(out)

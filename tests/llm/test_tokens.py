@@ -37,7 +37,7 @@ def tik():
 @settings(max_examples=300, deadline=None)
 @given(text=TEXT)
 def test_pieces_give_the_library_ids(library, text):
-    got = token_files._library_encoder(JSON).encode(text)
+    got = token_files._library_encoder(JSON).encode_all([text])[0]
     assert np.frombuffer(got, "<u4").tolist() == library(text)
 
 
@@ -52,7 +52,7 @@ def unmodified():
     ["<|endoftext|>", " ", "  ", "   ", "\n", " \n ", "\u00a0", "\x1c", "\x1f ", "a", "!", "<|endof", "text|>"])), max_size=12))
 def test_ids_are_those_of_the_unmodified_library(unmodified, parts):
     text = "".join(parts)
-    got = token_files._library_encoder(JSON).encode(text)
+    got = token_files._library_encoder(JSON).encode_all([text])[0]
     assert np.frombuffer(got, "<u4").tolist() == unmodified(text)
 
 
@@ -72,7 +72,7 @@ def test_token_files_hold_added_tokens(spark, unmodified):
 @given(text=TEXT)
 def test_backtracking_gives_the_merges(tik, text):
     bpe, encoder = rank_bpe.codec(RANKS, P.PATTERN)
-    ids = np.frombuffer(encoder.encode(text), "<u4").tolist()
+    ids = np.frombuffer(encoder.encode_all([text])[0], "<u4").tolist()
     assert ids == tik.encode_ordinary(text)
     assert bpe.decode(ids) == text.encode()
 
@@ -80,16 +80,70 @@ def test_backtracking_gives_the_merges(tik, text):
 def test_long_runs_without_blanks(tik, library):
     for text in ("a" * 3000, "abc" * 1500, "漢字" * 700, "x" * 700 + " " * 500 + "y", "=" * 1001):
         _, encoder = rank_bpe.codec(RANKS, P.PATTERN)
-        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == tik.encode_ordinary(text)
-        assert np.frombuffer(token_files._library_encoder(JSON).encode(text), "<u4").tolist() == library(text)
+        assert np.frombuffer(encoder.encode_all([text])[0], "<u4").tolist() == tik.encode_ordinary(text)
+        assert np.frombuffer(token_files._library_encoder(JSON).encode_all([text])[0], "<u4").tolist() == library(text)
 
 
-def test_full_caches_are_emptied_without_changing_ids(monkeypatch, library):
+def test_more_pieces_than_the_cache_holds(monkeypatch, library, tik):
+    from listforge.llm import pieces
+
+    monkeypatch.setattr(pieces, "MAX_ENTRIES", 3)
+    texts = [" ".join(f"word{(i + j) % 7} other{i}{j}" for i in range(50)) for j in range(6)] + ["", " ", "word1"]
+    for encode, want in ((token_files._library_encoder(JSON).encode_all, library),
+                         (rank_bpe.codec(RANKS, P.PATTERN)[1].encode_all, tik.encode_ordinary)):
+        assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == list(map(want, texts))
+
+
+def test_a_full_cache_keeps_what_is_asked_for(monkeypatch):
+    from listforge.llm import pieces
+
+    monkeypatch.setattr(pieces, "MAX_ENTRIES", 10)
+    asked = []
+
+    def encode_many(found):
+        asked.extend(found)
+        return [x.encode() for x in found]
+
+    encoder = pieces.PieceEncoder(encode_many)
+    for i in range(100):
+        assert encoder.encode_all([f"head hot once{i}"]) == [f"head hot once{i}".encode()]
+    assert asked.count(" hot") == asked.count("head") == 1 and len(asked) == 102
+    assert len(encoder._rest.young) <= 10 and len(encoder._rest._old) <= 10
+
+
+def test_ids_that_need_more_than_two_bytes(spark, tmp_path):
+    import json
+
+    from tokenizers import Tokenizer as T
+
+    small = json.load(open(JSON))
+    small["added_tokens"].append({"id": 70_000, "content": "<far>", "single_word": False, "lstrip": False,
+                                  "rstrip": False, "normalized": False, "special": True})
+    path = str(tmp_path / "far.json")
+    json.dump(small, open(path, "w"))
+    far = T.from_file(path)
+    docs = spark.createDataFrame([(1, "a <far> b"), (2, "x")], "doc_id long, text string")
+    top = token_files.largest_id(path)
+    if top >= 1 << 16:
+        with pytest.raises(ValueError):
+            token_files.write_token_files(docs, path, str(tmp_path / "no"), id_bytes=2)
+    got = sorted(map(tuple, token_files.token_files(docs, path, end_id=70_000).collect()))
+    want, start = [], 0
+    for i, t in ((1, "a <far> b"), (2, "x")):
+        ids = far.encode(t, add_special_tokens=False).ids + [70_000]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert got == want
+    with pytest.raises(ValueError):
+        token_files.write_token_files(docs, JSON, str(tmp_path / "no2"), end_id=70_000, id_bytes=2)
+
+
+def test_caches_in_full_do_not_change_ids(monkeypatch, library):
     from listforge.llm import pieces
 
     monkeypatch.setattr(pieces, "MAX_ENTRIES", 3)
     text = " ".join(f"word{i % 7} other{i}" for i in range(50))
-    assert np.frombuffer(token_files._library_encoder(JSON).encode(text), "<u4").tolist() == library(text)
+    assert np.frombuffer(token_files._library_encoder(JSON).encode_all([text])[0], "<u4").tolist() == library(text)
 
 
 @settings(max_examples=200, deadline=None)
