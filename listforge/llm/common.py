@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
 
+BROADCAST_ROWS = 200_000  # narrow tables of more rows are joined by a shuffle
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -30,6 +31,11 @@ def fold_of(col: Column, n: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The same with a broadcast hint if it has at most ``rows`` rows (counted)."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def give_back() -> None:
     """Return freed memory to the system: a worker lives on between tasks, the executor's
     memory is shared, and a batch of long texts leaves large holes."""

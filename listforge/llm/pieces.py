@@ -26,20 +26,23 @@ class Generations:
     """
 
     def __init__(self):
-        self.young, self._old = {}, {}
+        self.young, self.old = {}, {}
 
     def get(self, key):
         got = self.young.get(key)
         if got is None:
-            got = self._old.get(key)
+            got = self.old.get(key)
             if got is not None:
                 self.put(key, got)
         return got
 
     def put(self, key, value) -> None:
-        if len(self.young) >= MAX_ENTRIES:
-            self.young, self._old = {}, self.young
         self.young[key] = value
+        self.age()
+
+    def age(self) -> None:
+        if len(self.young) >= MAX_ENTRIES:
+            self.young, self.old = {}, self.young
 
 
 class PieceEncoder:
@@ -60,29 +63,24 @@ class PieceEncoder:
 
     def encode_all(self, texts: Iterable[str]) -> list[bytes]:
         cut = [self._cut(t) for t in texts]
-        heads, new_heads = self._known(self._heads, {h for h, _ in cut if h})
-        known = self._rest.young
-        found = [list(map(known.get, rest)) for _, rest in cut]
-        missing = {x for (_, rest), got in zip(cut, found, strict=True) if None in got
-                   for x, y in zip(rest, got, strict=True) if y is None}
-        rest, new_rest = self._known(self._rest, missing)
-        asked = new_heads + new_rest
-        ids = self._encode_many([*new_heads, *(" " + x for x in new_rest)])
-        for i, x in enumerate(asked):
-            of, cache = (heads, self._heads) if i < len(new_heads) else (rest, self._rest)
-            of[x] = ids[i]
-            if len(x) <= MAX_CACHED:
-                cache.put(x, ids[i])
-        return [heads.get(h, b"") + b"".join(
-            [rest[x] if y is None else y for x, y in zip(words, got, strict=True)] if None in got else got)
-            for (h, words), got in zip(cut, found, strict=True)]
-
-    @staticmethod
-    def _known(cache: Generations, keys: set[str]) -> tuple[dict[str, bytes], list[str]]:
-        """What the cache has of the keys, and the other keys."""
-        got = {k: cache.get(k) for k in keys}
-        new = [k for k, v in got.items() if v is None]
-        return {k: v for k, v in got.items() if v is not None}, new
+        long_heads = self._learn(self._heads, {h for h, _ in cut}, "")
+        long_rest = self._learn(self._rest, set().union(*[rest for _, rest in cut]), " ")
+        of_head, of_piece = self._heads.young.__getitem__, self._rest.young.__getitem__
+        out = [of_head(head) + b"".join(map(of_piece, rest)) for head, rest in cut]
+        for cache, long in ((self._heads, long_heads), (self._rest, long_rest)):
+            for x in long:
+                del cache.young[x]
+            cache.age()
+        return out
+
+    def _learn(self, cache: Generations, keys: set[str], blank: str) -> list[str]:
+        """Put all keys into the young generation; returns those too long to stay there."""
+        keys -= cache.young.keys()
+        again = keys & cache.old.keys()
+        cache.young.update({k: cache.old[k] for k in again})
+        new = list(keys - again)
+        cache.young.update(zip(new, self._encode_many([blank + x for x in new]), strict=True))
+        return [x for x in new if len(x) > MAX_CACHED]
 
 
 def in_groups(rows: Iterable[tuple[object, str]]) -> Iterator[list[tuple[object, str]]]:

@@ -16,26 +16,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from listforge.llm.common import lower_ascii
+from listforge.llm.common import BROADCAST_ROWS, lower_ascii, small
 from listforge.session import materialize
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
-BROADCAST_ROWS = 200_000     # tables of more rows are joined by a shuffle
-BROADCAST_CHARS = 8_000_000  # and so is a vocabulary of more characters
-SALTS = 64                   # of a vocabulary that is too large to broadcast
-_HEAD = ""                   # no word is empty: the posting at 0 stands for the document
+BROADCAST_CHARS = 8_000_000  # a vocabulary of more is joined by a shuffle
+SALTS = 64  # of a vocabulary that is too large to broadcast
+_HEAD = ""  # no word is empty: the posting at 0 stands for the document
 
 
 def words_of(text: Column) -> Column:
     return F.regexp_extract_all(lower_ascii(text), F.lit(WORD), F.lit(0))
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The same with a broadcast hint if it has at most ``rows`` rows (counted)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def benchmark_items(items: DataFrame, id_col: str = "item_id", text_col: str = "text",
                     window: int = WINDOW) -> DataFrame:
     """(item, item_id, words, n: the words of its windows); items without words are left out."""

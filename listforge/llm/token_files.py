@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listforge.llm.common import batches, give_back
+from listforge.llm.common import batches, give_back, small
 from listforge.llm.pieces import PieceEncoder, in_groups
 from listforge.session import scratch_path, ship_package
 
@@ -166,16 +166,15 @@ def _library_encoder(path: str) -> TextEncoder:
             if word.startswith(blank):
                 starts[i] = True
 
-        def ids_of(text: str) -> np.ndarray:
-            return np.array(tok.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        def ids_of(texts: list[str]) -> list[np.ndarray]:
+            return [np.array(e.ids, dtype="<u4") for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
 
         def encode_many(pieces: list[str]) -> list[bytes]:
             out: list[bytes | None] = [None] * len(pieces)
-            # pieces of the form " x..." with x not white are one call, cut at their blanks
+            # pieces of the form " x..." with x not white are one text, cut at their blanks
             plain = [i for i, p in enumerate(pieces) if simple and len(p) > 1 and p[0] == " " and not p[1].isspace()]
-            for lo in range(0, len(plain), 2000):
-                part = plain[lo:lo + 2000]
-                ids = ids_of("".join([pieces[i] for i in part]))
+            parts = [plain[lo:lo + 100] for lo in range(0, len(plain), 100)]
+            for part, ids in zip(parts, ids_of(["".join([pieces[i] for i in part]) for part in parts]), strict=True):
                 cuts = np.flatnonzero(starts[ids])
                 if len(cuts) != len(part):
                     continue  # a vocabulary that writes blanks otherwise: one by one below
@@ -184,13 +183,11 @@ def _library_encoder(path: str) -> TextEncoder:
                 for i, a, b in zip(part, (cuts * 4).tolist(), ends, strict=True):
                     out[i] = raw[a:b]
             single = [i for i, x in enumerate(out) if x is None]
-            for lo in range(0, len(single), 2000):
-                part = single[lo:lo + 2000]
-                for i, e in zip(part, tok.encode_batch([pieces[i] for i in part], add_special_tokens=False), strict=True):
-                    out[i] = np.array(e.ids, dtype="<u4").tobytes()
+            for i, ids in zip(single, ids_of([pieces[i] for i in single]), strict=True):
+                out[i] = ids.tobytes()
             return out
 
-        _ENCODERS[path] = TextEncoder(PieceEncoder(encode_many), lambda text: ids_of(text).tobytes(),
+        _ENCODERS[path] = TextEncoder(PieceEncoder(encode_many), lambda text: ids_of([text])[0].tobytes(),
                                       {t.content: i for i, t in added}, simple)
     return _ENCODERS[path]
 
@@ -287,7 +284,7 @@ def read_token_files(spark, path: str, digest=None) -> DataFrame:
                     last = end
                 yield make(out)
 
-    rows = files.join(by_shard, ["part", "shard"]).select("part", "inside", "blob")
+    rows = files.join(small(by_shard), ["part", "shard"]).select("part", "inside", "blob")
     return rows.mapInArrow(documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -108,7 +108,7 @@ def test_a_full_cache_keeps_what_is_asked_for(monkeypatch):
     for i in range(100):
         assert encoder.encode_all([f"head hot once{i}"]) == [f"head hot once{i}".encode()]
     assert asked.count(" hot") == asked.count("head") == 1 and len(asked) == 102
-    assert len(encoder._rest.young) <= 10 and len(encoder._rest._old) <= 10
+    assert len(encoder._rest.young) <= 10 and len(encoder._rest.old) <= 10
 
 
 def test_ids_that_need_more_than_two_bytes(spark, tmp_path):
