@@ -15,9 +15,8 @@ Scale plan: only (ref, ord, stamp) take part in the ordered step, written once a
 ranges of (ref, ord) of about equal size.  The stamp in force is computed in two levels:
 windows per (ref, range), and each range's last stamp carried forward over a table with one
 row per (ref, range), so a ref with a third of all rows is spread over many ranges however
-its orders are numbered.  Winning payloads join back on the unique (ref, ord) key, and the
-stored rows are not shuffled when the batch side is small (AQE turns the left join into a
-broadcast after measuring it).
+its orders are numbered.  Winning payloads join back on the unique (ref, ord) key.  On the
+stored table, ``merge_saved`` reads only the hash buckets that the batch's refs fall into.
 """
 
 from __future__ import annotations
@@ -29,6 +28,7 @@ from pyspark.sql import functions as F
 
 from listforge import schemas as S
 from listforge.session import materialize
+from listforge.sources import store_io as IO
 
 NEW, UPDATED, UNCHANGED = "new", "updated", "unchanged"
 
@@ -40,7 +40,7 @@ class ContextMismatchError(ValueError):
 @dataclass
 class MergeResult:
     classified: DataFrame  # incoming rows with a ref, plus ``status`` and ``prior_stamp``
-    store: DataFrame       # the new store snapshot (STORE columns)
+    store: DataFrame       # the next store rows (STORE columns)
     per_ref: DataFrame     # one row per incoming ref: eff_ord, in_store, has_new/updated/unchanged
 
     def rows(self, status: str) -> DataFrame:
@@ -166,41 +166,42 @@ def append_search(found_in: Column, query: str | None, place: str | None, as_of:
 
 def merge_listings(store: DataFrame, incoming: DataFrame, query: str | None, place: str | None,
                    as_of: str, parts: int | None = None, only_newer: bool = False) -> MergeResult:
-    """Classify ``incoming`` against ``store`` and build the next store snapshot.
+    """Classify ``incoming`` against ``store`` and build the next store rows.
 
     With ``only_newer`` [ours] a stamp that is not larger (as text) than the largest one
     before it, stored or in the batch, leaves its row unchanged; by default a late older
     version counts as a change, because only inequality is tested.
     """
-    ts = F.to_timestamp(F.lit(as_of))
     classified, per_ref, touched = classify_batch(store, incoming, parts, only_newer)
-    t = {c: F.col("t." + c) for c in touched.columns}
-    s = {c: F.col("s." + c) for c in store.columns}
-    has_eff = t["eff_ord"].isNotNull()
-
-    def pick(name):
-        return F.when(has_eff, t[name]).otherwise(s[name]).alias(name)
-
-    existing = store.alias("s").join(touched.alias("t"), F.col("s.ref_id") == F.col("t.ref_id"),
-                                     "left")
-    seen = t["ref_id"].isNotNull()
-    updated_store = existing.select(
-        s["ref_id"],
-        *[pick(c) for c in S.PAYLOAD_FIELDS],
-        s["first_seen"],
+    return MergeResult(classified=classified, per_ref=per_ref,
+                       store=apply_touched(store, touched, query, place, F.to_timestamp(F.lit(as_of))))
+
+
+def apply_touched(store: DataFrame, touched: DataFrame, query: str | None, place: str | None,
+                  ts: Column) -> DataFrame:
+    """The next rows of ``store``: ``touched`` has a row per ref seen, with the payload that wins.
+
+    A row without ``eff_ord`` was seen unchanged.  A ref that is not stored yet is added.
+    """
+    s, t = {c: F.col("s." + c) for c in store.columns}, {c: F.col("t." + c) for c in touched.columns}
+    has_eff, seen = t["eff_ord"].isNotNull(), t["ref_id"].isNotNull()
+    both = store.alias("s").join(touched.alias("t"), F.col("s.ref_id") == F.col("t.ref_id"), "full")
+    return both.select(
+        F.coalesce(s["ref_id"], t["ref_id"]).alias("ref_id"),
+        *[F.when(has_eff, t[c]).otherwise(s[c]).alias(c) for c in S.PAYLOAD_FIELDS],
+        F.when(s["ref_id"].isNull(), ts).otherwise(s["first_seen"]).alias("first_seen"),
         F.when(seen, ts).otherwise(s["last_seen"]).alias("last_seen"),
-        F.when(seen, append_search(s["found_in"], query, place, ts)).otherwise(s["found_in"])
-        .alias("found_in"),
+        F.when(seen, append_search(s["found_in"], query, place, ts)).otherwise(s["found_in"]).alias("found_in"),
         F.when(has_eff, F.lit(None).cast(S.DETAILS)).otherwise(s["details"]).alias("details"),
     )
-    fresh = touched.where(~F.col("in_store")).select(
-        "ref_id", *S.PAYLOAD_FIELDS,
-        ts.alias("first_seen"), ts.alias("last_seen"),
-        append_search(F.lit(None).cast(S.FOUND_IN), query, place, ts).alias("found_in"),
-        F.lit(None).cast(S.DETAILS).alias("details"),
-    )
-    new_store = updated_store.unionByName(fresh)
-    return MergeResult(classified=classified, store=new_store, per_ref=per_ref)
+
+
+def merge_saved(spark, root: str, incoming: DataFrame, query: str | None, place: str | None, as_of: str,
+                only_newer: bool = False) -> MergeResult:
+    """C1 against the store saved at ``root``: reads the touched buckets, whose next rows
+    ``.store`` holds, to be written by ``store_io.save_touched``."""
+    stored = IO.load_store(spark, root, IO.touched_buckets(spark, root, incoming))
+    return merge_listings(stored, incoming, query, place, as_of, only_newer=only_newer)
 
 
 def delta_summary(per_ref: DataFrame, store: DataFrame) -> DataFrame:

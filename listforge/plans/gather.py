@@ -2,8 +2,8 @@
 
 gather: load store -> context guard -> choose the recency window (B4) -> read
 landed pages -> paging + keyword rules (A2/B2) -> recency filter (B3) -> merge
-(C1) -> new + updated (H1) -> extract (X12) -> split (B7) -> attach details
-(C2) -> save a new store snapshot (A4/E15) -> summary (E14).
+(C1, touched buckets only) -> new + updated (H1) -> extract (X12) -> split (B7) ->
+attach details (C2) -> save the touched buckets (A4/E15) -> summary (E14).
 Driver-side decisions use one bounded action each (``isEmpty``, one-row reads).
 """
 
@@ -29,7 +29,7 @@ class GatherResult:
     failed: DataFrame | None
     summary: DataFrame
     to_process: DataFrame | None = None
-    snapshot: str | None = None
+    save: int | None = None
     found: DataFrame | None = None
     window_days: int | None = None
 
@@ -63,10 +63,9 @@ def gather(spark: SparkSession, landing: str, store_root: str, pages: DataFrame
     """J11 over landed search pages and landed HTML (``pages``: url, html[, http_status])."""
     store_exists = use_store and IO.store_exists(spark, store_root)
     meta = IO.load_metadata(spark, store_root) if store_exists else None
-    store = IO.load_store(spark, store_root) if use_store else ST.empty_store(spark)
     if store_exists:
         ST.check_context(meta, place, radius_km)
-    history = store_exists and ST.has_search_history(store, query, place)
+    history = store_exists and ST.has_search_history(IO.load_store(spark, store_root), query, place)
     window = FL.incremental_window(days, store_exists, history)
     if use_store and not store_exists:
         meta = {"created": None, "place": place, "radius_km": radius_km}
@@ -81,7 +80,7 @@ def gather(spark: SparkSession, landing: str, store_root: str, pages: DataFrame
             from listforge.operators.report import fold_rows
 
             zero = F.lit(0).cast("long")
-            summary = fold_rows(summary, store.agg(
+            summary = fold_rows(summary, IO.load_store(spark, store_root).agg(
                 zero.alias("new"), zero.alias("updated"), zero.alias("unchanged"),
                 F.count(F.lit(1)).alias("database_total")))
         return GatherResult(None, None, summary, found=found, window_days=window)
@@ -91,7 +90,7 @@ def gather(spark: SparkSession, landing: str, store_root: str, pages: DataFrame
         per_ref = None
         new_store = None
     else:
-        merged = ST.merge_listings(store, found, query, place, as_of)
+        merged = ST.merge_saved(spark, store_root, found, query, place, as_of)
         # H1: new rows first, then updated ones, each in arrival order
         processed = merged.to_process().drop("status", "prior_stamp")
         per_ref, new_store = merged.per_ref, merged.store
@@ -99,8 +98,8 @@ def gather(spark: SparkSession, landing: str, store_root: str, pages: DataFrame
     if processed.isEmpty() or not enable_extraction:
         snap = None
         if use_store:
-            snap = IO.save_store(spark, store_root, new_store,
-                                 lambda w: ST.store_metadata(w, meta, as_of, place, radius_km))
+            snap = IO.save_touched(spark, store_root, new_store,
+                                   lambda w: ST.store_metadata(w, meta, as_of, place, radius_km))
             new_store = IO.load_store(spark, store_root)
         flat = FL.flatten_listing(processed) if enable_extraction is False else None
         summary = gather_summary(found, processed, processed if not enable_extraction else None,
@@ -115,8 +114,8 @@ def gather(spark: SparkSession, landing: str, store_root: str, pages: DataFrame
     if use_store:
         with_details = ST.attach_details(new_store, detailed.select("ref_id", "batch_ord",
                                                                      "details"))
-        snap = IO.save_store(spark, store_root, with_details,
-                             lambda w: ST.store_metadata(w, meta, as_of, place, radius_km))
+        snap = IO.save_touched(spark, store_root, with_details,
+                               lambda w: ST.store_metadata(w, meta, as_of, place, radius_km))
         new_store = IO.load_store(spark, store_root)
     summary = gather_summary(found, detailed, ok, failed, per_ref, new_store)
     return GatherResult(ok, failed, summary, processed, snap, found, window)

@@ -44,8 +44,8 @@ def event_listings(spark, sf):
 def two_merges(spark, sf):
     """Merge the early events into an empty store, save it, merge the late events.
 
-    As in a real run, the second merge reads the first store from its Parquet
-    snapshot, so the plans stay one merge deep.
+    As in a real run, the second merge reads the saved store (the buckets it touches), so the
+    plans stay one merge deep.  Returns the merges, the late events and the store's folder.
     """
     ev = event_listings(spark, sf)
     early = ev.where(F.col("ts") < F.lit(CUT).cast("timestamp"))
@@ -55,10 +55,17 @@ def two_merges(spark, sf):
     meta1 = {"created": None, "place": PLACE, "radius_km": B.RADIUS_KM}
     IO.save_store(spark, root, m1.store,
                   lambda written: ST.store_metadata(written, meta1, AS_OF_1, PLACE, B.RADIUS_KM))
-    store1 = IO.load_store(spark, root)
-    m1.store = store1
-    m2 = ST.merge_listings(store1, late, Q2, PLACE, AS_OF_2)
-    return m1, m2, late
+    m2 = ST.merge_saved(spark, root, late, Q2, PLACE, AS_OF_2)
+    return m2, late, root
+
+
+def saved_twice(spark, sf):
+    """The store after both merges, the second of which wrote its buckets only."""
+    m2, _late, root = two_merges(spark, sf)
+    previous = IO.load_metadata(spark, root)
+    IO.save_touched(spark, root, m2.store,
+                    lambda written: ST.store_metadata(written, previous, AS_OF_2, PLACE, B.RADIUS_KM))
+    return m2, IO.load_store(spark, root), root
 
 
 def searches_col(found_in):
@@ -157,21 +164,21 @@ SELECT ref_id, title, employer, city, modified_at, published_on, first_seen, las
        array_to_string(searches, '|') AS searches, has_details
 FROM store2""")
 def q_merge_listings(spark, sf):
-    _m1, m2, _late = two_merges(spark, sf)
-    return store_view(m2.store)
+    _m2, store, _root = saved_twice(spark, sf)
+    return store_view(store)
 
 
 @register("prior_stamp", _MERGE_SQL + """
 SELECT ref_id, batch_ord, prior AS prior_stamp, status FROM c2""")
 def q_prior_stamp(spark, sf):
-    _m1, m2, _late = two_merges(spark, sf)
+    m2, _late, _root = two_merges(spark, sf)
     return m2.classified.select("ref_id", "batch_ord", "prior_stamp", "status")
 
 
 @register("effective_payload", _MERGE_SQL + """
 SELECT ref_id, eff_ord, in_store FROM per2""")
 def q_effective_payload(spark, sf):
-    _m1, m2, _late = two_merges(spark, sf)
+    m2, _late, _root = two_merges(spark, sf)
     return m2.per_ref.select("ref_id", "eff_ord", "in_store")
 
 
@@ -179,8 +186,8 @@ def q_effective_payload(spark, sf):
 SELECT ref_id, array_to_string(searches, '|') AS searches, CAST(len(searches) AS BIGINT) AS n_searches
 FROM store2""")
 def q_append_search(spark, sf):
-    _m1, m2, _late = two_merges(spark, sf)
-    return m2.store.select("ref_id", searches_col(F.col("found_in")).alias("searches"),
+    _m2, store, _root = saved_twice(spark, sf)
+    return store.select("ref_id", searches_col(F.col("found_in")).alias("searches"),
                            F.size("found_in").cast("long").alias("n_searches"))
 
 
@@ -191,15 +198,15 @@ SELECT CAST(count(DISTINCT ref_id) FILTER (WHERE status = 'new') AS BIGINT) AS n
        (SELECT CAST(count(*) AS BIGINT) FROM store2) AS total_in_store
 FROM c2""")
 def q_delta_summary(spark, sf):
-    _m1, m2, _late = two_merges(spark, sf)
-    return ST.delta_summary(m2.per_ref, m2.store)
+    m2, store, _root = saved_twice(spark, sf)
+    return ST.delta_summary(m2.per_ref, store)
 
 
 @register("to_process", _MERGE_SQL + """
 SELECT ref_id, batch_ord, status, CASE WHEN status = 'new' THEN 0 ELSE 1 END AS process_ord
 FROM c2 WHERE status IN ('new', 'updated')""")
 def q_to_process(spark, sf):
-    _m1, m2, _late = two_merges(spark, sf)
+    m2, _late, _root = two_merges(spark, sf)
     return m2.to_process().select("ref_id", "batch_ord", "status", "process_ord")
 
 
@@ -214,8 +221,8 @@ SELECT {_seen_sql(Q1, PLACE)} AS early_seen, {_seen_sql(Q2, PLACE)} AS late_seen
 FROM store2""")
 def q_has_search_history(spark, sf):
     """C6 on the store after both merges."""
-    _m1, m2, _late = two_merges(spark, sf)
-    return ST.search_history_flags(m2.store, {
+    _m2, store, _root = saved_twice(spark, sf)
+    return ST.search_history_flags(store, {
         "early_seen": (Q1, PLACE), "late_seen": (Q2, PLACE), "other_place_seen": (Q1, "Hamburg")})
 
 
@@ -226,9 +233,9 @@ SELECT CASE WHEN {_seen_sql(Q1, PLACE)} THEN {S.DEFAULT_INCREMENTAL_DAYS} END AS
 FROM store2""")
 def q_incremental_window(spark, sf):
     """B4 on the store after both merges: a repeated search gets the default window, a new one none."""
-    _m1, m2, _late = two_merges(spark, sf)
+    _m2, store, _root = saved_twice(spark, sf)
     none, exists = F.lit(None).cast("int"), F.lit(True)
-    seen = ST.search_history_flags(m2.store, {"again": (Q1, PLACE), "new": ("q-never", PLACE)})
+    seen = ST.search_history_flags(store, {"again": (Q1, PLACE), "new": ("q-never", PLACE)})
     return seen.select(
         FL.incremental_window_col(none, exists, F.col("again")).alias("days_repeat_search"),
         FL.incremental_window_col(none, exists, F.col("new")).alias("days_new_search"),
@@ -241,10 +248,10 @@ SELECT '{AS_OF_1}' AS created, '{AS_OF_2}' AS last_updated,
        '{PLACE}' AS place, {B.RADIUS_KM} AS radius_km
 FROM store2""")
 def q_store_metadata(spark, sf):
-    m1, m2, _late = two_merges(spark, sf)
-    meta1 = {"created": AS_OF_1, "place": PLACE, "radius_km": B.RADIUS_KM}
-    ST.check_context(meta1, PLACE, B.RADIUS_KM)
-    meta = ST.store_metadata(m2.store, meta1, AS_OF_2, PLACE, B.RADIUS_KM)
+    """E15 as the second save recorded it."""
+    _m2, _store, root = saved_twice(spark, sf)
+    ST.check_context(IO.load_metadata(spark, root), PLACE, B.RADIUS_KM)
+    meta = spark.read.parquet(f"{root}/meta").where("save = 2")
     return meta.select(F.date_format("created", TS_FMT).alias("created"),
                        F.date_format("last_updated", TS_FMT).alias("last_updated"),
                        "total", "active", "place", "radius_km")
@@ -259,14 +266,15 @@ SELECT s.ref_id, (d.ref_id IS NOT NULL) OR s.has_details AS has_details,
 FROM store2 s LEFT JOIN det d USING (ref_id)""")
 def q_attach_details(spark, sf):
     """Details for the processed rows (success when value >= 10, text = props)."""
-    _m1, m2, late = two_merges(spark, sf)
+    m2, _late, root = two_merges(spark, sf)
     proc = m2.to_process().select("ref_id", "batch_ord", "value", "props")
     det = proc.select("ref_id", "batch_ord", F.struct(
         (F.col("value") >= 10).alias("success"), F.col("props").alias("text"),
         *[F.lit(None).cast(f.dataType).alias(f.name) for f in S.DETAILS.fields[2:]]
     ).alias("details"))
-    out = ST.attach_details(m2.store, det)
-    return out.select("ref_id", F.col("details").isNotNull().alias("has_details"),
+    IO.save_touched(spark, root, ST.attach_details(m2.store, det), lambda written: ST.store_metadata(
+        written, {"created": AS_OF_1, "place": PLACE, "radius_km": B.RADIUS_KM}, AS_OF_2, PLACE, B.RADIUS_KM))
+    return IO.load_store(spark, root).select("ref_id", F.col("details").isNotNull().alias("has_details"),
                       F.col("details.success").alias("d_success"),
                       F.col("details.text").alias("d_text"))
 
@@ -311,7 +319,11 @@ def q_disable_listing(spark, sf):
 SELECT ref_id, title, employer, d_text_length AS text_length
 FROM doc_listings WHERE ref_id = '42'""")
 def q_get_listing(spark, sf):
-    got = FL.get_listing(doc_store(spark, sf), "42")
+    """B15 on the saved store: one bucket is read."""
+    root = scratch_path(spark, "store")
+    IO.save_store(spark, root, doc_store(spark, sf),
+                  lambda written: ST.store_metadata(written, None, AS_OF_1, PLACE, B.RADIUS_KM))
+    got = IO.find_listing(spark, root, "42")
     return got.select("ref_id", "title", "employer", F.col("details.text_length").alias("text_length"))
 
 
@@ -327,12 +339,12 @@ SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(*) AS BIGINT) AS active,
        '{PLACE}' AS place, {B.RADIUS_KM} AS radius_km, '{AS_OF_1}' AS created
 FROM doc_listings""")
 def q_save_store(spark, sf):
-    """A4: the document store written as a snapshot; its metadata row read back."""
+    """A4: the document store written in buckets; its metadata row read back."""
     store = doc_store(spark, sf)
     root = scratch_path(spark, "store")
     IO.save_store(spark, root, store,
                   lambda written: ST.store_metadata(written, None, AS_OF_1, PLACE, B.RADIUS_KM))
-    meta = spark.read.parquet(f"{root}/{IO.current_snapshot(spark, root)}/meta")
+    meta = spark.read.parquet(f"{root}/meta")
     return meta.select("total", "active", "place", "radius_km",
                        F.date_format("created", TS_FMT).alias("created"))
 

@@ -1,24 +1,29 @@
-"""Keyed store on Parquet snapshots.
-
-Parquet has no in-place update, and a job must not overwrite the path it
-reads.  Each save writes a new snapshot folder ``snap-<id>`` under the store
-root and then publishes it by adding pointer file ``_CURRENT-<seq>`` with the next
-sequence number (written to a temporary name, renamed to a name that did not
-exist); readers take the highest pointer.  No step removes the previous pointer
-before the new one exists.  The newest ``keep`` pointers and their snapshots stay.  The one-row metadata table is
-written next to each snapshot.
+"""Keyed store as a Parquet table partitioned by a hash of the ref.
+
+``<root>/listings`` holds the rows in ``bucket=<n>`` folders, ``<root>/meta`` one row a save
+(the newest one counts).  A merge reads the buckets its refs fall into and ``save_touched``
+overwrites just those (``partitionOverwriteMode=dynamic``), so a save costs what it touches;
+``save_store`` replaces the whole table.  The number of buckets is set by the first save.
+
+Spark puts the new folders of a dynamic overwrite in place when its job commits, one after
+the other: readers should not run at that moment, and a driver lost in the middle leaves some
+buckets new and some old.  Merging the same batch again gives the same store, so the run is
+simply repeated; a folder lost between Spark's delete and rename is still in its staging folder.
 """
 
 from __future__ import annotations
 
-import uuid
-from datetime import datetime, timezone
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from listforge import schemas as S
+from listforge.session import materialize
 
-POINTER = "_CURRENT-"  # pointer files _CURRENT-<seq>, the highest sequence wins
+BUCKETS = 64
+_META = T.StructType([*S.STORE_META.fields, T.StructField("buckets", T.IntegerType()),
+                      T.StructField("save", T.LongType()), T.StructField("tag", T.StringType())])
+_ROWS = T.StructType([*S.STORE.fields, T.StructField("bucket", T.IntegerType())])
 
 
 def _fs(spark: SparkSession, path: str):
@@ -28,108 +33,109 @@ def _fs(spark: SparkSession, path: str):
     return fs, jpath, jvm
 
 
-def _read_text(spark: SparkSession, path: str) -> str | None:
-    fs, jpath, jvm = _fs(spark, path)
+def _path(root: str, part: str) -> str:
+    return f"{root.rstrip('/')}/{part}"
+
+
+def bucket_of(ref: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(ref), F.lit(buckets)).cast("int")
+
+
+def load_metadata(spark: SparkSession, root: str) -> dict | None:
+    """The row of the newest save (with its number, ``save``, from 1), or None without a store."""
+    fs, jpath, _ = _fs(spark, _path(root, "meta"))
     if not fs.exists(jpath):
         return None
-    stream = fs.open(jpath)
-    try:
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-        line = reader.readLine()
-        return line.strip() if line else None
-    finally:
-        stream.close()
-
-
-def _pointers(spark: SparkSession, root: str) -> list[tuple[int, str]]:
-    fs, jroot, _ = _fs(spark, root)
-    if not fs.exists(jroot):
-        return []
-    out = []
-    for st in fs.listStatus(jroot):
-        name = st.getPath().getName()
-        if name.startswith(POINTER) and name[len(POINTER):].isdigit():
-            out.append((int(name[len(POINTER):]), name))
-    return sorted(out)
-
-
-def _publish(spark: SparkSession, root: str, snap: str) -> None:
-    """Add pointer seq+1 (written under a temporary name, renamed to a fresh name).
-
-    The earlier pointer stays until pruning, so a crash at any point leaves a
-    readable store.
-    """
-    seq = (_pointers(spark, root) or [(0, "")])[-1][0] + 1
-    fs, jpath, jvm = _fs(spark, f"{root}/{POINTER}{seq:012d}")
-    tmp = jvm.org.apache.hadoop.fs.Path(f"{root}/.{POINTER}{seq:012d}.{uuid.uuid4().hex[:8]}.tmp")
-    out = fs.create(tmp, True)
-    try:
-        out.write(bytearray(snap.encode("utf-8")))
-    finally:
-        out.close()
-    if not fs.rename(tmp, jpath):
-        raise RuntimeError(f"could not publish snapshot {snap} (pointer {seq} exists)")
-
-
-def current_snapshot(spark: SparkSession, root: str) -> str | None:
-    ptrs = _pointers(spark, root.rstrip("/"))
-    if not ptrs:
-        return None
-    return _read_text(spark, f"{root.rstrip('/')}/{ptrs[-1][1]}")
+    rows = spark.read.schema(_META).parquet(_path(root, "meta")).orderBy(F.desc("save")).limit(1).collect()
+    return rows[0].asDict() if rows else None
+
+
+def save_number(spark: SparkSession, root: str) -> int:
+    """How often the store was saved; 0 without a store."""
+    return (load_metadata(spark, root) or {"save": 0})["save"]
 
 
 def store_exists(spark: SparkSession, root: str) -> bool:
-    return current_snapshot(spark, root) is not None
+    return load_metadata(spark, root) is not None
 
 
-def load_store(spark: SparkSession, root: str) -> DataFrame:
-    """A3: the published snapshot, or an empty store when none exists."""
-    snap = current_snapshot(spark, root)
-    if snap is None:
+def load_store(spark: SparkSession, root: str, buckets: list[int] | None = None) -> DataFrame:
+    """A3: the stored listings (of the given buckets only), or an empty store when none exists."""
+    if not store_exists(spark, root):
         return spark.createDataFrame([], S.STORE)
-    return spark.read.schema(S.STORE).parquet(f"{root.rstrip('/')}/{snap}/data")
+    rows = spark.read.schema(_ROWS).parquet(_path(root, "listings"))
+    if buckets is not None:
+        rows = rows.where(F.col("bucket").isin(buckets))
+    return rows.select(*S.STORE.fieldNames())
 
 
-def load_metadata(spark: SparkSession, root: str) -> dict | None:
-    """The one-row metadata of the published snapshot (bounded: a single row)."""
-    snap = current_snapshot(spark, root)
-    if snap is None:
-        return None
-    rows = spark.read.schema(S.STORE_META).parquet(f"{root.rstrip('/')}/{snap}/meta").take(1)
-    return rows[0].asDict() if rows else None
+def touched_buckets(spark: SparkSession, root: str, refs: DataFrame, ref_col: str = "ref_id") -> list[int]:
+    """The buckets that the refs fall into (at most as many numbers as the store has buckets)."""
+    n = (load_metadata(spark, root) or {"buckets": BUCKETS})["buckets"]
+    rows = refs.where(F.coalesce(F.col(ref_col), F.lit("")) != "").select(bucket_of(F.col(ref_col), n).alias("b"))
+    return sorted(r["b"] for r in rows.distinct().collect())
+
 
+def find_listing(spark: SparkSession, root: str, ref_id: str) -> DataFrame:
+    """B15 on the stored table: one bucket is listed, and its row groups are skipped by the ref."""
+    meta = load_metadata(spark, root)
+    if meta is None:
+        return spark.createDataFrame([], S.STORE)
+    rows = spark.read.schema(_ROWS).parquet(_path(root, "listings"))
+    ref = F.lit(ref_id)
+    bucket = spark.range(1).select(bucket_of(ref, meta["buckets"])).first()[0]
+    return rows.where((F.col("bucket") == bucket) & (F.col("ref_id") == ref)).select(*S.STORE.fieldNames())
 
-def save_store(spark: SparkSession, root: str, store: DataFrame, metadata,
-               snapshot_id: str | None = None, keep: int = 2) -> str:
-    """A4: write a new snapshot, then publish it.  Idempotent for a given snapshot id.
 
-    ``metadata`` is the one-row STORE_META frame, or a function that builds it
-    from the written store.
-    """
-    root = root.rstrip("/")
-    snap = snapshot_id or "snap-" + datetime.now(timezone.utc).strftime("%Y%m%d%H%M%S") + \
-        "-" + uuid.uuid4().hex[:6]
-    store.select(*[f.name for f in S.STORE.fields]).write.mode("overwrite").parquet(
-        f"{root}/{snap}/data")
+def _bucketed(store: DataFrame, buckets: int) -> DataFrame:
+    """Rows of a bucket together in files of about the advisory size."""
+    rows = store.select(*S.STORE.fieldNames()).withColumn("bucket", bucket_of(F.col("ref_id"), buckets))
+    return rows.hint("rebalance", F.col("bucket"))
+
+
+def _record(spark: SparkSession, root: str, metadata, previous: dict | None, buckets: int, tag: str | None) -> int:
     if callable(metadata):
-        # metadata from the written snapshot: the store plan is not run a second time
-        metadata = metadata(spark.read.schema(S.STORE).parquet(f"{root}/{snap}/data"))
-    metadata.select(*[f.name for f in S.STORE_META.fields]).coalesce(1).write.mode(
-        "overwrite").parquet(f"{root}/{snap}/meta")
-    _publish(spark, root, snap)
-    _prune(spark, root, keep)
-    return snap
-
-
-def _prune(spark: SparkSession, root: str, keep: int) -> None:
-    """Keep the newest ``keep`` pointers and the snapshots they name."""
-    ptrs = _pointers(spark, root)
-    kept = ptrs[-keep:] if keep > 0 else ptrs[-1:]
-    live = {_read_text(spark, f"{root}/{name}") for _, name in kept}
-    fs, jroot, _ = _fs(spark, root)
-    for _, name in ptrs[: len(ptrs) - len(kept)]:
-        fs.delete(_fs(spark, f"{root}/{name}")[1], False)
-    for st in fs.listStatus(jroot):
-        name = st.getPath().getName()
-        if st.isDirectory() and name.startswith("snap-") and name not in live:
-            fs.delete(st.getPath(), True)
+        written = spark.read.schema(_ROWS).parquet(_path(root, "listings"))
+        metadata = metadata(written)
+    save = (previous or {"save": 0})["save"] + 1
+    metadata.select(*S.STORE_META.fieldNames(), F.lit(buckets).cast("int").alias("buckets"),
+                    F.lit(save).cast("long").alias("save"), F.lit(tag).cast("string").alias("tag")
+                    ).coalesce(1).write.mode("append").parquet(_path(root, "meta"))
+    return save
+
+
+def save_store(spark: SparkSession, root: str, store: DataFrame, metadata, buckets: int = BUCKETS,
+               tag: str | None = None) -> int:
+    """A4: replace the whole store; returns the number of the save.
+
+    ``metadata`` is the one-row STORE_META frame, or a function that makes it from the written
+    rows.  The rows are written aside first, since ``store`` may read the table it replaces.
+    """
+    known = load_metadata(spark, root)
+    buckets = known["buckets"] if known else buckets
+    rows = _bucketed(store, buckets)
+    if known:
+        rows = _bucketed(materialize(store.select(*S.STORE.fieldNames()), "store-next"), buckets)
+    # the table is replaced whatever the session's overwrite mode is
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(
+        _path(root, "listings"))
+    return _record(spark, root, metadata, known, buckets, tag)
+
+
+def save_touched(spark: SparkSession, root: str, rows: DataFrame, metadata, tag: str | None = None) -> int:
+    """A4 for a merge: overwrite only the buckets that ``rows`` fall into.
+
+    ``rows`` must hold all next rows of those buckets.  The first save makes the store.
+    """
+    known = load_metadata(spark, root)
+    if known is None:
+        return save_store(spark, root, rows, metadata, tag=tag)
+    _bucketed(rows, known["buckets"]).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(_path(root, "listings"))
+    return _record(spark, root, metadata, known, known["buckets"], tag)
+
+
+def was_saved(spark: SparkSession, root: str, tag: str) -> bool:
+    """Whether a save with this tag is recorded (a replayed micro-batch asks)."""
+    return store_exists(spark, root) and not spark.read.schema(_META).parquet(
+        _path(root, "meta")).where(F.col("tag") == tag).isEmpty()

@@ -1,24 +1,75 @@
 """Merge listing files landing in a directory into the keyed store.
 
-Each micro-batch is one C1 merge.  The snapshot written by micro-batch ``b`` is named
-``snap-<query>-<b>`` with the id of the streaming query (it is kept in the checkpoint, so a
-restart has it again and a new checkpoint has another); a replayed batch whose snapshot is already published is
-skipped, and a batch that died before publishing rewrites its own snapshot
-folder, so the store advances exactly once per batch.  ``maxFilesPerTrigger``
-decides how many landed files form one batch.
+The stamp in force of every ref is keyed state (``transformWithState``, RocksDB, in the
+checkpoint).  A micro-batch sends only (ref, order, stamp, file) to it; per ref it answers
+with the order and file of the row whose payload wins.  Those payloads are read back from
+the landed files, and the buckets of the store that hold the batch's refs are rewritten:
+neither the state nor the store is gone through as a whole.
+
+The state starts from the store's stamps, so a new checkpoint on an old store continues it.
+A replayed micro-batch whose save is recorded under its tag (query id and batch number) is
+skipped; one that died before that is merged again, which gives the same store.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from listforge import schemas as S
 from listforge.operators import store as ST
+from listforge.session import materialize, ship_package
 from listforge.sources import store_io as IO
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_WINNER = "ref_id string, eff_ord long, eff_file string"
+
+
+class StampInForce(StatefulProcessor):
+    """State per ref: the last non-empty stamp (the largest one with ``only_newer``), null if none.
+
+    Answers with one row per ref and micro-batch; ``eff_ord`` is null where no row changes it.
+    """
+
+    def __init__(self, only_newer: bool):
+        self._only_newer = only_newer
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._stamp = handle.getValueState("stamp", "stamp string")
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        self._stamp.update((initialState["stamp"].iloc[0],))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        codes: dict = {}  # stamps and files as small numbers: a ref may have very many rows
+        parts = []
+        for chunk in rows:
+            code = [[codes.setdefault(v, len(codes)) for v in chunk[c].tolist()] for c in ("stamp", "file")]
+            parts.append(np.array([chunk["ord"].to_numpy(), *code], dtype=np.int64))
+        ords, stamps, files = np.concatenate(parts, axis=1)
+        known, names, eff = self._stamp.exists(), list(codes), None
+        held = self._stamp.get()[0] if known else None
+        for i in np.lexsort((stamps, ords)).tolist():
+            stamp = names[stamps[i]]
+            changed = bool(stamp) and (held is None or (stamp > held if self._only_newer else stamp != held))
+            if changed or not known:
+                eff = i
+            if changed:
+                held = stamp
+            known = True
+        self._stamp.update((held,))
+        yield pd.DataFrame({"ref_id": [key[0]], "eff_ord": pd.array([None if eff is None else ords[eff]], dtype="Int64"),
+                            "eff_file": [None if eff is None else names[files[eff]]]})
+
+    def close(self) -> None:
+        pass
+
 
 def _as_fn(value):
     return value if callable(value) else (lambda _batch_id: value)
@@ -26,42 +77,62 @@ def _as_fn(value):
 
 def _query_id(spark: SparkSession, checkpoint: str) -> str:
     """The streaming query's id, from the metadata file Spark writes before the first batch."""
-    return json.loads(IO._read_text(spark, f"{checkpoint.rstrip('/')}/metadata"))["id"].replace("-", "")
+    meta = spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0]
+    return json.loads(meta)["id"].replace("-", "")
 
 
-def merge_batch(spark: SparkSession, batch: DataFrame, batch_id: int, store_root: str,
-                query: str | None, place: str | None, radius_km: int | None, as_of: str,
-                only_newer: bool = False, query_id: str = "") -> None:
-    snap_id = f"snap-{query_id}-{batch_id:012d}" if query_id else f"snap-{batch_id:012d}"
-    if IO.current_snapshot(spark, store_root) == snap_id:
-        return  # replay of a batch that was already published
-    store = IO.load_store(spark, store_root)
+def save_winners(spark: SparkSession, winners: DataFrame, tag: str, store_root: str, query: str | None,
+                 place: str | None, radius_km: int | None, as_of: str) -> None:
+    """Write one micro-batch's winners into the buckets of their refs."""
+    if IO.was_saved(spark, store_root, tag):
+        return  # replay of a batch that was already saved
     meta = IO.load_metadata(spark, store_root)
     ST.check_context(meta, place, radius_km)
     if meta is None:
         meta = {"created": None, "place": place, "radius_km": radius_km}
-    merged = ST.merge_listings(store, batch, query, place, as_of, only_newer=only_newer)
-    IO.save_store(spark, store_root, merged.store,
-                  lambda written: ST.store_metadata(written, meta, as_of, place, radius_km),
-                  snapshot_id=snap_id)
+    winners = materialize(winners, "stream-winners")  # the stateful step runs once
+    if winners.isEmpty():
+        return
+    files = [r["eff_file"] for r in winners.select("eff_file").distinct().collect() if r["eff_file"]]  # of this batch
+    landed = spark.read.schema(S.LISTING).parquet(*files) if files else spark.createDataFrame([], S.LISTING)
+    payload = landed.select("ref_id", F.col("batch_ord").alias("eff_ord"), *S.PAYLOAD_FIELDS).join(
+        winners.select("ref_id", "eff_ord"), ["ref_id", "eff_ord"], "left_semi").dropDuplicates(["ref_id"])
+    touched = winners.select("ref_id", "eff_ord").join(payload.drop("eff_ord"), "ref_id", "left")
+    stored = IO.load_store(spark, store_root, IO.touched_buckets(spark, store_root, winners))
+    rows = ST.apply_touched(stored, touched, query, place, F.to_timestamp(F.lit(as_of)))
+    IO.save_touched(spark, store_root, rows,
+                    lambda written: ST.store_metadata(written, meta, as_of, place, radius_km), tag=tag)
 
 
 def stream_merge(spark: SparkSession, in_dir: str, store_root: str, checkpoint: str,
                  query: str | None | Callable, place: str | None, radius_km: int | None,
                  as_of: str | Callable, max_files_per_trigger: int | None = None,
                  available_now: bool = True, only_newer: bool = False):
-    """Start (and, with ``available_now``, finish) the merge stream."""
+    """Start (and, with ``available_now``, finish) the merge stream.
+
+    ``maxFilesPerTrigger`` bounds a micro-batch.  Of rows that repeat ref and order one wins.
+    With ``only_newer`` a stamp that is not larger than the largest one before it changes
+    nothing, as in ``merge_listings``.
+    """
+    ship_package(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     query_fn, as_of_fn = _as_fn(query), _as_fn(as_of)
     reader = spark.readStream.schema(S.LISTING)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
-    src = reader.parquet(in_dir)
+    rows = reader.parquet(in_dir).where(F.coalesce(F.col("ref_id"), F.lit("")) != "").select(
+        "ref_id", F.col("batch_ord").alias("ord"), F.nullif(F.col("modified_at"), F.lit("")).alias("stamp"),
+        F.col("_metadata.file_path").alias("file"))
+    stamps = IO.load_store(spark, store_root).select("ref_id", F.nullif(F.col("modified_at"), F.lit("")).alias("stamp"))
+    winners = rows.groupBy("ref_id").transformWithStateInPandas(
+        statefulProcessor=StampInForce(only_newer), outputStructType=_WINNER, outputMode="append",
+        timeMode="none", initialState=stamps.groupBy("ref_id"))
 
     def per_batch(df: DataFrame, batch_id: int) -> None:
-        merge_batch(spark, df, batch_id, store_root, query_fn(batch_id), place, radius_km,
-                    as_of_fn(batch_id), only_newer, _query_id(spark, checkpoint))
+        save_winners(spark, df, f"{_query_id(spark, checkpoint)}-{batch_id:012d}", store_root, query_fn(batch_id), place,
+                     radius_km, as_of_fn(batch_id))
 
-    writer = src.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
+    writer = winners.writeStream.outputMode("append").foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer
     handle = writer.start()
     if available_now:

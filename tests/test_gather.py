@@ -50,7 +50,7 @@ def test_gather_cycle(spark, scratch, corpus):
     store = IO.load_store(spark, root)
     assert store.count() == 3
     assert store.where(F.col("details").isNotNull()).count() == 3
-    first = IO.current_snapshot(spark, root)
+    first = IO.save_number(spark, root)
 
     # the same search again: history -> 7-day window; nothing changed -> saved anyway
     g2 = G.gather(spark, landing, root, corpus, "data", "Berlin", 25, "2024-03-11 00:00:00",
@@ -58,7 +58,7 @@ def test_gather_cycle(spark, scratch, corpus):
     s2 = g2.summary.collect()[0]
     assert g2.window_days == 7
     assert (s2["total_found"], s2["total_scraped"], s2["unchanged"]) == (3, 0, 3)
-    assert IO.current_snapshot(spark, root) != first
+    assert IO.save_number(spark, root) != first
     last_seen = {r["ref_id"]: r["last_seen"] for r in IO.load_store(spark, root).collect()}
     assert last_seen["r1"] == dt.datetime(2024, 3, 11)
     assert IO.load_store(spark, root).where(F.col("details").isNotNull()).count() == 3
@@ -66,12 +66,12 @@ def test_gather_cycle(spark, scratch, corpus):
     # nothing landed for a repeat search: store untouched, totals reported
     empty = scratch + "/empty"
     land(spark, empty, [{"page": 1, "status": 200, "total": "0", "listings": []}])
-    before = IO.current_snapshot(spark, root)
+    before = IO.save_number(spark, root)
     g3 = G.gather(spark, empty, root, corpus, "data", "Berlin", 25, AS_OF,
                   "https://jobs.example.org/detail")
     s3 = g3.summary.collect()[0]
     assert (s3["total_found"], s3["new"], s3["database_total"]) == (0, 0, 3)
-    assert IO.current_snapshot(spark, root) == before
+    assert IO.save_number(spark, root) == before
 
     # another place: refused
     with pytest.raises(ST.ContextMismatchError):

@@ -1,7 +1,9 @@
 """Merge = a plain sequential fold over the batch (repeated refs, null, empty and older
 stamps), for small and large ord chunks."""
 
+import os
 import random
+import re
 from datetime import datetime
 
 import pytest
@@ -108,28 +110,96 @@ def test_context_guard():
         ST.check_context({"place": None, "radius_km": 25}, "Berlin", 25)
 
 
-def test_snapshot_store_roundtrip_and_lookup_pushdown(spark, scratch):
-    from listforge.operators.filters import get_listing
+def test_store_roundtrip_and_lookup_pushdown(spark, scratch):
     from listforge.sources import store_io as IO
 
     store, batch = random_case(6)
     sdf, bdf = to_frames(spark, store, batch)
     res = ST.merge_listings(sdf, bdf, "q", "p", AS_OF)
     root = scratch + "/store"
-    assert not IO.store_exists(spark, root)
-    assert IO.load_store(spark, root).count() == 0
-    meta = ST.store_metadata(res.store, None, AS_OF, "p", 25)
-    snap1 = IO.save_store(spark, root, res.store, meta)
+    assert not IO.store_exists(spark, root) and IO.save_number(spark, root) == 0
+    assert IO.load_store(spark, root).count() == 0 and IO.find_listing(spark, root, "r1").count() == 0
+    assert IO.save_store(spark, root, res.store, ST.store_metadata(res.store, None, AS_OF, "p", 25)) == 1
     loaded = IO.load_store(spark, root)
-    assert loaded.count() == res.store.count()
-    assert IO.load_metadata(spark, root)["total"] == loaded.count()
-    res2 = ST.merge_listings(loaded, bdf, "q", "p", "2024-04-01 00:00:00")
-    snap2 = IO.save_store(spark, root, res2.store, ST.store_metadata(
-        res2.store, IO.load_metadata(spark, root), "2024-04-01 00:00:00", "p", 25))
-    assert snap1 != snap2 and IO.current_snapshot(spark, root) == snap2
+    assert loaded.count() == res.store.count() == IO.load_metadata(spark, root)["total"]
+    later = "2024-04-01 00:00:00"
+    res2 = ST.merge_saved(spark, root, bdf, "q", "p", later)
+    meta = IO.load_metadata(spark, root)
+    assert IO.save_touched(spark, root, res2.store, lambda w: ST.store_metadata(w, meta, later, "p", 25)) == 2
     assert str(IO.load_metadata(spark, root)["created"]).startswith("2024-03-01")
-    plan = get_listing(IO.load_store(spark, root), "r1")._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [IsNotNull(ref_id), EqualTo(ref_id,r1)]" in plan
+    found = IO.find_listing(spark, root, "r1")
+    assert [r["ref_id"] for r in found.collect()] == ["r1"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(ref_id,r1)" in plan and re.search(r"PartitionFilters: \[[^]]*bucket#\d+ = \d+", plan)
+
+
+def bucket_files(root):
+    out = {}
+    for folder, _, names in os.walk(root + "/listings"):
+        for n in names:
+            if n.endswith(".parquet"):
+                at = os.path.join(folder, n)
+                out.setdefault(os.path.basename(folder), set()).add((n, os.stat(at).st_mtime_ns))
+    return out
+
+
+def test_a_merge_reads_and_writes_touched_buckets_only(spark, scratch):
+    from listforge.sources import store_io as IO
+
+    root = scratch + "/store"
+    rows = [{"ref_id": f"r{i}", "modified_at": "1", "title": f"t{i}", "batch_ord": i} for i in range(300)]
+    _, first = to_frames(spark, {}, rows)
+    res = ST.merge_listings(ST.empty_store(spark), first, "q", "p", AS_OF)
+    IO.save_store(spark, root, res.store, lambda w: ST.store_metadata(w, None, AS_OF, "p", 25), buckets=16)
+    before = bucket_files(root)
+    assert len(before) == 16
+    batch = [{"ref_id": "r7", "modified_at": "2", "title": "new7", "batch_ord": 1},
+             {"ref_id": "r8", "modified_at": "1", "title": "same8", "batch_ord": 2},
+             {"ref_id": "added", "modified_at": "", "title": "n", "batch_ord": 3},
+             {"ref_id": None, "modified_at": "9", "title": "no ref", "batch_ord": 4}]
+    _, second = to_frames(spark, {}, batch)
+    touched = IO.touched_buckets(spark, root, second)
+    merged = ST.merge_saved(spark, root, second, "q2", "p", "2024-04-01 00:00:00")
+    plan = merged.store._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^]]*bucket#\d+", plan)
+    want = {r["ref_id"]: r["title"] for r in ST.merge_listings(
+        IO.load_store(spark, root), second, "q2", "p", "2024-04-01 00:00:00").store.collect()}
+    meta = IO.load_metadata(spark, root)
+    IO.save_touched(spark, root, merged.store, lambda w: ST.store_metadata(w, meta, "2024-04-01 00:00:00", "p", 25))
+    after = bucket_files(root)
+    changed = {b for b in before if before[b] != after[b]}
+    assert changed == {f"bucket={b}" for b in touched} and 1 <= len(touched) <= 3
+    assert {r["ref_id"]: r["title"] for r in IO.load_store(spark, root).collect()} == want
+    assert (want["r7"], want["r8"], len(want), IO.load_metadata(spark, root)["total"]) == ("new7", "t8", 301, 301)
+
+
+def test_merging_a_batch_again_gives_the_same_store(spark, scratch):
+    """What makes a repeated run after a lost driver harmless."""
+    from listforge.sources import store_io as IO
+
+    root, seen = scratch + "/store", []
+    store, batch = random_case(9)
+    sdf, bdf = to_frames(spark, store, batch)
+    IO.save_store(spark, root, sdf.drop("details").withColumn("details", F.lit(None).cast(S.DETAILS)),
+                  lambda w: ST.store_metadata(w, None, AS_OF, "p", 25), buckets=4)
+    for _ in range(2):
+        res = ST.merge_saved(spark, root, bdf, "q", "p", AS_OF)
+        IO.save_touched(spark, root, res.store, lambda w: ST.store_metadata(w, None, AS_OF, "p", 25))
+        seen.append(sorted(map(str, IO.load_store(spark, root).collect())))
+    assert seen[0] == seen[1]
+
+
+def test_replacing_the_store_drops_old_buckets(spark, scratch):
+    from listforge.sources import store_io as IO
+
+    root = scratch + "/store"
+    _, rows = to_frames(spark, {}, [{"ref_id": f"r{i}", "modified_at": "1", "title": "t", "batch_ord": i} for i in range(20)])
+    all_rows = ST.merge_listings(ST.empty_store(spark), rows, "q", "p", AS_OF).store
+    meta = lambda w: ST.store_metadata(w, None, AS_OF, "p", 25)
+    IO.save_store(spark, root, all_rows, meta, buckets=8)
+    IO.save_store(spark, root, IO.load_store(spark, root).where("ref_id = 'r3'"), meta, buckets=99)
+    assert [r["ref_id"] for r in IO.load_store(spark, root).collect()] == ["r3"]
+    assert IO.load_metadata(spark, root)["buckets"] == 8 and IO.load_metadata(spark, root)["total"] == 1
 
 
 def test_attach_details_and_history(spark):
@@ -147,22 +217,6 @@ def test_attach_details_and_history(spark):
         res.store.where(F.col("ref_id") == "r0").count()
 
 
-def test_snapshot_publish_and_prune(spark, scratch):
-    import os
-
-    from listforge.sources import store_io as IO
-
-    root = scratch + "/s"
-    store = ST.empty_store(spark)
-    snaps = [IO.save_store(spark, root, store,
-                           lambda w: ST.store_metadata(w, None, AS_OF, "p", 25)) for _ in range(3)]
-    assert IO.current_snapshot(spark, root) == snaps[-1]
-    names = sorted(os.listdir(root))
-    assert [n for n in names if n.startswith("_CURRENT-")] == ["_CURRENT-000000000002",
-                                                              "_CURRENT-000000000003"]
-    assert sorted(n for n in names if n.startswith("snap-")) == sorted(snaps[1:])
-
-
 def test_only_newer_option_in_batch_merge(spark):
     store = {"a": {"stamp": "2024-01-05", "title": "kept", "first": "2023-12-01 00:00:00",
                    "last": "2023-12-01 00:00:00", "found": [("q", "p")], "details": True}}
