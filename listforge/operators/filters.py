@@ -43,15 +43,23 @@ def exclude_keywords(df: DataFrame, keywords: list[str] | None = None,
     return df.where(~keyword_hit(F.col(title_col), kws))
 
 
-def published_within(df: DataFrame, as_of: str, days: int | None,
-                     date_col: str = "published_on") -> DataFrame:
+def date_part(date: Column, unit: str) -> Column:
+    """The partition a date falls into: its day, or the first day of its month."""
+    return date.cast("date") if unit == "DAY" else F.trunc(date, unit).cast("date")
+
+
+def published_within(df: DataFrame, as_of: str, days: int | None, date_col: str = "published_on",
+                     part_col: str | None = None, unit: str = "DAY") -> DataFrame:
     """Published in the last ``days`` days before ``as_of``; None keeps everything.
 
-    A plain comparison with a literal, so it reaches the Parquet scan as a pushed filter.
+    Plain comparisons with literals: on a table in folders by ``part_col`` (``date_part`` of
+    the date) older partitions are not listed, and inside files the date is a pushed filter.
     """
     if days is None:
         return df
     cutoff = F.date_sub(F.to_date(F.lit(as_of)), int(days))
+    if part_col:
+        df = df.where(F.col(part_col) >= date_part(cutoff, unit))
     if isinstance(df.schema[date_col].dataType, (T.TimestampType, T.TimestampNTZType)):
         # date(ts) >= d  <=>  ts >= d 00:00, and the column stays bare (pushable)
         return df.where(F.col(date_col) >= cutoff.cast(df.schema[date_col].dataType))

@@ -1,7 +1,7 @@
 """Compositions: gather (J11), its summary (E14) and the full run.
 
-gather: load store -> context guard -> choose the recency window (B4) -> read
-landed pages -> paging + keyword rules (A2/B2) -> recency filter (B3) -> merge
+gather: load store -> context guard -> choose the recency window (B4) -> land the
+pages (paging + keyword rules, A2/B2, once) -> recency filter on their date partitions (B3) -> merge
 (C1, touched buckets only) -> new + updated (H1) -> extract (X12) -> split (B7) ->
 attach details (C2) -> save the touched buckets (A4/E15) -> summary (E14).
 Driver-side decisions use one bounded action each (``isEmpty``, one-row reads).
@@ -19,7 +19,7 @@ from listforge.operators import extract as X
 from listforge.operators import filters as FL
 from listforge.operators import store as ST
 from listforge.sources import search_pages as SP
-from listforge.session import materialize
+from listforge.session import materialize, scratch_path
 from listforge.sources import store_io as IO
 
 
@@ -32,6 +32,7 @@ class GatherResult:
     save: int | None = None
     found: DataFrame | None = None
     window_days: int | None = None
+    bad_pages: DataFrame | None = None
 
 
 def gather_summary(found: DataFrame, processed: DataFrame | None, ok: DataFrame | None,
@@ -55,12 +56,22 @@ def gather_summary(found: DataFrame, processed: DataFrame | None, ok: DataFrame
     return fold_rows(*parts)
 
 
-def gather(spark: SparkSession, landing: str, store_root: str, pages: DataFrame | None,
+def recent_listings(spark: SparkSession, landed_root: str, landing_id: str, as_of: str, days: int | None) -> DataFrame:
+    """The landed listings of the window; older date partitions are not read."""
+    rows = FL.published_within(SP.read_landed(spark, landed_root, landing_id), as_of, days, part_col=SP.PART)
+    return rows.drop(SP.PART)
+
+
+def gather(spark: SparkSession, landing: str | None, store_root: str, pages: DataFrame | None,
            query: str | None, place: str | None, radius_km: int | None, as_of: str,
            internal_base_url: str, max_pages: int | None = None, keywords: list[str] | None = None,
            days: int | None = None, enable_extraction: bool = True,
-           use_store: bool = True) -> GatherResult:
-    """J11 over landed search pages and landed HTML (``pages``: url, html[, http_status])."""
+           use_store: bool = True, landed_root: str | None = None, landing_id: str = "search") -> GatherResult:
+    """J11 over landed search pages and landed HTML (``pages``: url, html[, http_status]).
+
+    The pages under ``landing`` are landed in ``landed_root`` (a scratch folder by default);
+    without ``landing`` the listings landed there before under ``landing_id`` are taken.
+    """
     store_exists = use_store and IO.store_exists(spark, store_root)
     meta = IO.load_metadata(spark, store_root) if store_exists else None
     if store_exists:
@@ -70,10 +81,12 @@ def gather(spark: SparkSession, landing: str, store_root: str, pages: DataFrame
     if use_store and not store_exists:
         meta = {"created": None, "place": place, "radius_km": radius_km}
 
-    listings = SP.page_prefix(SP.read_search_pages(spark, landing), max_pages, keywords)
-    listings = FL.published_within(listings, as_of, window)
-    # the paged listings feed the emptiness check, the merge and the summary: write once
-    found = materialize(listings, "found")
+    landed_root = landed_root or scratch_path(spark, "landed")
+    if landing is not None:
+        SP.land_search_pages(spark, landing, landed_root, landing_id, max_pages, keywords)
+    bad = spark.read.parquet(f"{landed_root.rstrip('/')}/bad_pages/landing={landing_id}")
+    # the recent listings feed the emptiness check, the merge and the summary: write once
+    found = materialize(recent_listings(spark, landed_root, landing_id, as_of, window), "found")
     if found.isEmpty():  # K19: nothing found, store untouched
         summary = gather_summary(found, None, None, None, None, None)
         if store_exists:
@@ -83,7 +96,7 @@ def gather(spark: SparkSession, landing: str, store_root: str, pages: DataFrame
             summary = fold_rows(summary, IO.load_store(spark, store_root).agg(
                 zero.alias("new"), zero.alias("updated"), zero.alias("unchanged"),
                 F.count(F.lit(1)).alias("database_total")))
-        return GatherResult(None, None, summary, found=found, window_days=window)
+        return GatherResult(None, None, summary, found=found, window_days=window, bad_pages=bad)
 
     if not use_store:
         processed = found
@@ -104,7 +117,7 @@ def gather(spark: SparkSession, landing: str, store_root: str, pages: DataFrame
         flat = FL.flatten_listing(processed) if enable_extraction is False else None
         summary = gather_summary(found, processed, processed if not enable_extraction else None,
                                  None, per_ref, new_store)
-        return GatherResult(flat, None, summary, processed, snap, found, window)
+        return GatherResult(flat, None, summary, processed, snap, found, window, bad)
 
     # the Python extraction is the costly step: run it once, persist its output (A10's
     # scraped table) and derive the split, the store update and the summary from it
@@ -118,7 +131,7 @@ def gather(spark: SparkSession, landing: str, store_root: str, pages: DataFrame
                                lambda w: ST.store_metadata(w, meta, as_of, place, radius_km))
         new_store = IO.load_store(spark, store_root)
     summary = gather_summary(found, detailed, ok, failed, per_ref, new_store)
-    return GatherResult(ok, failed, summary, processed, snap, found, window)
+    return GatherResult(ok, failed, summary, processed, snap, found, window, bad)
 
 
 def full_run(spark: SparkSession, landing: str, store_root: str, run_root: str,

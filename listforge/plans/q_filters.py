@@ -10,6 +10,8 @@ from listforge.operators import stats as STS
 from listforge.plans import bindings as B
 from listforge.plans.oracle import DOC_LISTINGS, LABELLED, with_ctes
 from listforge.plans.registry import register
+from listforge.session import scratch_path
+from listforge.sources import search_pages as SP
 
 _DOC = with_ctes(DOC_LISTINGS)
 _LAB = with_ctes(DOC_LISTINGS, LABELLED)
@@ -40,8 +42,11 @@ def q_exclude_keywords(spark, sf):
 SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS published_on FROM orders
 WHERE CAST(o_orderdate AS DATE) >= DATE '2001-08-01' - INTERVAL 100 DAY""")
 def q_published_within(spark, sf):
+    """Orders landed in folders by month; the filter prunes folders, then rows."""
     o = B.table(spark, sf, "orders").select("o_orderkey", F.col("o_orderdate").alias("published_on"))
-    kept = FL.published_within(o, "2001-08-01", 100)
+    path = scratch_path(spark, "by-date")
+    SP.write_by_date(o, path, unit="MONTH")
+    kept = FL.published_within(spark.read.parquet(path), "2001-08-01", 100, part_col=SP.PART, unit="MONTH")
     return kept.select("o_orderkey", F.date_format("published_on", "yyyy-MM-dd").alias("published_on"))
 
 

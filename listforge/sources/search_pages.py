@@ -9,23 +9,98 @@ when ``search_col`` is given): pages are taken from 1 upward; reading stops
 *before* the first missing, failed or empty page, *after* ``max_pages``, and
 *after* the first page where the running count of kept (keyword-filtered)
 listings reaches that page's total (a missing total counts as 0).
+
+A line that is no whole JSON object is a bad page: it is reported with its file and counts as
+a failed page under the number that can still be read from it, so paging stops before it.
+
+``land_search_pages`` parses pages once, applies those rules and writes the kept listings in
+folders by landing and publication date, where ``published_within`` prunes partitions.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from listforge import schemas as S
-from listforge.operators.filters import keyword_hit
+from listforge.operators.filters import date_part, keyword_hit
 from listforge.operators.indexing import running_sum
+from listforge.session import materialize
 
 POS_BITS = 32
+BAD_STATUS = 0           # of a page whose line is broken: no HTTP status, so never a good one
+PART = "published_part"  # the partition column of landed listings
+_BROKEN = "_corrupt_record"
+_LANDED = T.StructType([
+    T.StructField("page", T.IntegerType()), T.StructField("pos", T.IntegerType()),
+    T.StructField("batch_ord", T.LongType()), *S.SEARCH_PAGE["listings"].dataType.elementType.fields,
+    T.StructField("landing", T.StringType()), T.StructField(PART, T.DateType())])
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """A row per line: file, line, the parsed page ``p`` and whether it is ``bad``; folder columns stay."""
+    lines = spark.read.text(path)
+    schema = T.StructType([*S.SEARCH_PAGE.fields, T.StructField(_BROKEN, T.StringType())])
+    page = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN})
+    rows = lines.where(F.trim("value") != "").select(
+        *[c for c in lines.columns if c != "value"], F.col("_metadata.file_path").alias("file"),
+        F.col("value").alias("line"), page.alias("p"))
+    # a single odd field gives a corrupt record too, but its listings are there
+    return rows.withColumn("bad", F.col(f"p.{_BROKEN}").isNotNull() & F.col("p.listings").isNull())
+
+
+def _number():
+    """The page number as far as a broken line shows it, or the empty text."""
+    return F.regexp_extract("line", r'"page"\s*:\s*"?(\d{1,9})\b', 1)
 
 
 def read_search_pages(spark: SparkSession, path: str) -> DataFrame:
-    """A1 reader: landed JSON pages with an explicit schema (no inference)."""
-    return spark.read.schema(S.SEARCH_PAGE).json(path)
+    """A1 reader: landed JSON pages with an explicit schema (no inference); bad pages as failed ones."""
+    rows = _lines(spark, path)
+    keys = [c for c in rows.columns if c not in ("file", "line", "p", "bad")]
+    number = F.nullif(_number(), F.lit("")).cast("int")
+    return rows.where(~F.col("bad") | number.isNotNull()).select(
+        *keys, F.when(F.col("bad"), number).otherwise(F.col("p.page")).alias("page"),
+        F.when(F.col("bad"), F.lit(BAD_STATUS)).otherwise(F.col("p.status")).alias("status"),
+        F.when(~F.col("bad"), F.col("p.total")).alias("total"),
+        F.when(~F.col("bad"), F.col("p.listings")).alias("listings"))
+
+
+def bad_pages(spark: SparkSession, path: str) -> DataFrame:
+    """The lines that are no whole page: file, page (null if unreadable), length, head (200 characters)."""
+    rows = _lines(spark, path).where("bad")
+    keys = [c for c in rows.columns if c not in ("file", "line", "p", "bad")]
+    return rows.select(*keys, "file", F.nullif(_number(), F.lit("")).cast("int").alias("page"),
+                       F.length("line").cast("long").alias("length"), F.left("line", F.lit(200)).alias("head"))
+
+
+def write_by_date(rows: DataFrame, path: str, date_col: str = "published_on", unit: str = "DAY",
+                  landing_id: str | None = None) -> None:
+    """Write rows in folders by the day or month of ``date_col`` (inside the landing's own folder).
+
+    The same landing written again replaces its folders; others are left alone.
+    """
+    out = rows.withColumn(PART, date_part(F.col(date_col), unit)).hint("rebalance", F.col(PART))
+    keys = [PART]
+    if landing_id is not None:
+        out, keys = out.withColumn("landing", F.lit(landing_id)), ["landing", PART]
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+
+
+def land_search_pages(spark: SparkSession, path: str, landed_root: str, landing_id: str,
+                      max_pages: int | None = None, keywords: list[str] | None = None, unit: str = "DAY") -> None:
+    """A1 + A2 + B2 once: ``<root>/listings`` by landing and date, ``<root>/bad_pages`` by landing."""
+    root = landed_root.rstrip("/")
+    pages = materialize(read_search_pages(spark, path), "parsed-pages")  # paging reads them several times
+    write_by_date(page_prefix(pages, max_pages, keywords), f"{root}/listings", unit=unit, landing_id=landing_id)
+    bad_pages(spark, path).write.mode("overwrite").parquet(f"{root}/bad_pages/landing={landing_id}")
+
+
+def read_landed(spark: SparkSession, landed_root: str, landing_id: str) -> DataFrame:
+    """The kept listings of one landing, with the partition column for ``published_within``."""
+    rows = spark.read.schema(_LANDED).parquet(f"{landed_root.rstrip('/')}/listings")
+    return rows.where(F.col("landing") == landing_id).drop("landing")
 
 
 def page_listings(pages: DataFrame, search_col: str | None = None) -> DataFrame:
@@ -69,7 +144,7 @@ def page_totals(pages: DataFrame, keywords: list[str] | None = None,
         return out.withColumn("first_missing", first_missing)
     gaps = present.groupBy(*keys).agg(has_first.alias("_has1")).join(
         last_run.groupBy(*keys).agg(gap.alias("_gap")), keys, "left")
-    return (out.join(gaps, keys, "left").withColumn("first_missing", F.when("_has1", F.col("_gap")).otherwise(1))
+    return (out.join(gaps, keys, "left").withColumn("first_missing", F.when(F.col("_has1"), F.col("_gap")).otherwise(1))
             .drop("_gap", "_has1"))
 
 
