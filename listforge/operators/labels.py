@@ -63,20 +63,45 @@ def batch_plan_summary(plan: DataFrame) -> DataFrame:
 # prompts
 # ---------------------------------------------------------------------------
 def last_resort(categories: list[str]) -> str:
-    """The label for a listing that fits none better: Poor if it is offered, else the last one."""
-    return max(categories or [S.CATEGORY_POOR], key=lambda c: (c == S.CATEGORY_POOR, categories.index(c) if categories else 0))
+    """The label for a listing that fits none better.  Fixed rule: Poor if it is offered (or no
+    labels are given), else the last one."""
+    if not categories or S.CATEGORY_POOR in categories:
+        return S.CATEGORY_POOR
+    return categories[-1]
 
 
-def prompt_head(categories: list[str], profile: str, guidance: dict | None = None) -> str:
-    """What stands before the listings: the profile, then the label list with its hints."""
-    hints = guidance or {}
-    labels = "".join(f"- {c}{': ' + hints[c] if c in hints else ''}\n" for c in categories)
-    return (f"# Profile\n{profile.strip()}\n\n# Labels, best first\n{labels}"
-            f"If none fits: {last_resort(categories)}\n\n# Listings\n")
+@dataclass(frozen=True)
+class PromptTemplate:
+    """How a batch is put to the scorer: a head, every listing in an ``item`` frame, a tail.
+
+    ``head`` may hold {profile}, {labels} (a line per label with its hint) and {last_resort};
+    ``item`` holds {id} and then {text}, once each.  The answer format is not part of it: one
+    line ``[id] - label`` per listing, which ``tail`` has to ask for.
+    """
+
+    head: str = "# Profile\n{profile}\n\n# Labels, best first\n{labels}If none fits: {last_resort}\n\n# Listings\n"
+    item: str = "\n== {id} ==\n{text}\n"
+    tail: str = ("\n# Task\nLabel every listing above against the profile. "
+                 "One line each, nothing else: [id] - label\n")
+
+    def __post_init__(self):
+        if self.item.count("{id}") != 1 or self.item.count("{text}") != 1 or \
+                self.item.index("{id}") > self.item.index("{text}"):
+            raise ValueError("the item frame needs {id} and then {text}, once each")
+
+    def head_for(self, categories: list[str], profile: str, guidance: dict | None = None) -> str:
+        hints = guidance or {}
+        labels = "".join(f"- {c}{': ' + hints[c] if c in hints else ''}\n" for c in categories)
+        given = {"{profile}": profile.strip(), "{labels}": labels, "{last_resort}": last_resort(categories)}
+        return re.sub("|".join(map(re.escape, given)), lambda m: given[m[0]], self.head)
+
+    def frame(self) -> tuple[str, str, str]:
+        """What stands before the id, between id and text, and after the text."""
+        before, rest = self.item.split("{id}")
+        return (before, *rest.split("{text}"))
 
 
-PROMPT_TAIL = ("\n# Task\nLabel every listing above against the profile. "
-               "One line each, nothing else: [id] - label\n")
+DEFAULT_TEMPLATE = PromptTemplate()
 
 
 def _items(plan: DataFrame, text) -> DataFrame:
@@ -87,14 +112,14 @@ def _items(plan: DataFrame, text) -> DataFrame:
 
 
 def build_batch_prompts(plan: DataFrame, profile: str, categories: list[str] | None = None,
-                        guidance: dict | None = None) -> DataFrame:
-    """One prompt per batch: head, then ``[id]`` and text of each row in order, then tail."""
-    head = prompt_head(categories or S.CATEGORIES, profile, guidance)
-    body = F.array_join(F.transform("items", lambda x: F.concat(
-        F.lit("\n["), x["short_id"], F.lit("]\n"), x["text"], F.lit("\n"))), "")
+                        guidance: dict | None = None, template: PromptTemplate = DEFAULT_TEMPLATE) -> DataFrame:
+    """One prompt per batch: head, then each row's id and text in order, then tail."""
+    before, between, after = map(F.lit, template.frame())
+    body = F.array_join(F.transform("items", lambda x: F.concat(before, x["short_id"], between, x["text"], after)), "")
     return _items(plan, F.coalesce(F.col("text"), F.lit(""))).select(
         "batch_no", F.size("items").alias("n_items"),
-        F.concat(F.lit(head), body, F.lit(PROMPT_TAIL)).alias("prompt"))
+        F.concat(F.lit(template.head_for(categories or S.CATEGORIES, profile, guidance)), body,
+                 F.lit(template.tail)).alias("prompt"))
 
 
 # ---------------------------------------------------------------------------
@@ -154,7 +179,8 @@ class ReplayScorer:
         return [self.answers.get(b.batch_no, self.default) for b in batches]
 
 
-def run_scorer(plan: DataFrame, scorer: Scorer, run_id: str, head: str) -> DataFrame:
+def run_scorer(plan: DataFrame, scorer: Scorer, run_id: str, head: str,
+               template: PromptTemplate = DEFAULT_TEMPLATE) -> DataFrame:
     """One answer per batch -> RESPONSE rows.
 
     A scorer with ``row_label(text, batch_no)`` is applied as columns.  Any other is called
@@ -169,14 +195,15 @@ def run_scorer(plan: DataFrame, scorer: Scorer, run_id: str, head: str) -> DataF
                             F.to_json(F.struct(F.array(F.struct(F.struct(answer.alias("content")).alias(
                                 "message"))).alias("choices"))).alias("raw_json"))
     ship_package(plan.sparkSession)
+    before, between, after = template.frame()
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             batch = []
             for b, items in zip(pdf["batch_no"], pdf["items"], strict=True):
                 own = [(x["short_id"], x["text"]) for x in items]
-                body = "".join(f"\n[{sid}]\n{text}\n" for sid, text in own)
-                batch.append(BatchPrompt(int(b), head + body + PROMPT_TAIL, own))
+                body = "".join(before + sid + between + text + after for sid, text in own)
+                batch.append(BatchPrompt(int(b), head + body + template.tail, own))
             answers = scorer(batch) if batch else []
             if len(answers) != len(batch):
                 raise RuntimeError("the scorer must return one answer per batch")
@@ -270,17 +297,9 @@ class ClassifyResult:
     plan: DataFrame
 
 
-def classify(df: DataFrame, scorer: Scorer, profile: str, run_id: str,
-             batch_size: int = S.DEFAULT_BATCH_SIZE, order_cols: list | None = None,
-             categories: list[str] | None = None, guidance: dict | None = None,
-             max_chars: int | None = None, response_dir: str | None = None) -> ClassifyResult:
-    """Label ``df`` (ref_id, text, ...) in batches; nothing is cut or dropped.
-
-    With ``max_chars`` given, ``OversizeTextError`` is raised before any scoring when a text
-    is longer (B13).  Answers are written to ``response_dir`` (a folder for this
-    attempt only) or checkpointed before they are validated, so a retried task never re-asks the scorer for a
-    batch that already has an answer in this run.
-    """
+def checked_plan(df: DataFrame, profile: str, batch_size: int = S.DEFAULT_BATCH_SIZE,
+                 order_cols: list | None = None, max_chars: int | None = None) -> DataFrame:
+    """The batch plan of rows that can be labelled; ``OversizeTextError`` over a given limit."""
     if not profile or not profile.strip():
         raise ValueError("a profile text is required")
     if "text" not in df.columns or "ref_id" not in df.columns:
@@ -294,7 +313,24 @@ def classify(df: DataFrame, scorer: Scorer, profile: str, run_id: str,
             raise OversizeTextError(
                 f"listing {r['ref_id']} has {r['length']} characters, over {max_chars} "
                 f"({r['loss']} would be lost)")
-    responses = run_scorer(plan, scorer, run_id, prompt_head(categories or S.CATEGORIES, profile, guidance))
+    return plan
+
+
+def classify(df: DataFrame, scorer: Scorer, profile: str, run_id: str,
+             batch_size: int = S.DEFAULT_BATCH_SIZE, order_cols: list | None = None,
+             categories: list[str] | None = None, guidance: dict | None = None,
+             max_chars: int | None = None, response_dir: str | None = None,
+             template: PromptTemplate = DEFAULT_TEMPLATE) -> ClassifyResult:
+    """Label ``df`` (ref_id, text, ...) in batches; nothing is cut or dropped.
+
+    With ``max_chars`` given, ``OversizeTextError`` is raised before any scoring when a text
+    is longer (B13).  Answers are written to ``response_dir`` (a folder for this
+    attempt only) or checkpointed before they are validated.  ``runs.resume_classify`` asks in
+    rounds and keeps every answer in the run's log.
+    """
+    plan = checked_plan(df, profile, batch_size, order_cols, max_chars)
+    head = template.head_for(categories or S.CATEGORIES, profile, guidance)
+    responses = run_scorer(plan, scorer, run_id, head, template)
     spark = df.sparkSession
     if response_dir:
         # one folder per attempt: answers of an earlier attempt never mix in

@@ -1,8 +1,10 @@
 """Run state: partial results, progress, resume.
 
 Layout under a run root (a folder in the shared file system):
+    plans/run_id=<id>/part=<n>/          batches as they were cut, by round; kept for the whole run
+    answers/run_id=<id>/attempt=<t>/     the answer log: raw answers, a folder per round
+    rejected/run_id=<id>/attempt=<t>/    batches whose logged answer failed its checks
     partials/run_id=<id>/attempt=<t>/    labelled rows of finished batches, a folder per append
-    responses/run_id=<id>/attempt=<t>/   raw answers of one attempt, written before validation
     runs/                                one row per run event (started / complete)
 Every finished batch is recorded (K11: also for single-batch runs) and the run
 is marked complete at the end instead of deleting its state.
@@ -10,6 +12,7 @@ is marked complete at the end instead of deleting its state.
 
 from __future__ import annotations
 
+import time
 import uuid
 from datetime import datetime, timezone
 
@@ -20,6 +23,7 @@ from pyspark.sql import types as T
 from listforge import schemas as S
 from listforge.functions import columns as C
 from listforge.operators import labels as L
+from listforge.session import materialize
 from listforge.sources.store_io import _fs
 
 PARTIAL_SCHEMA = T.StructType([
@@ -66,7 +70,7 @@ def read_partial(spark: SparkSession, root: str, run_id: str) -> DataFrame:
 
 def clear_run(spark: SparkSession, root: str, run_id: str) -> None:
     """Drop a run's partial results and answers (fresh start)."""
-    for part in ("partials", "responses"):
+    for part in ("partials", "plans", "answers", "rejected"):
         fs, jpath, _ = _fs(spark, f"{_path(root, part)}/run_id={run_id}")
         if fs.exists(jpath):
             fs.delete(jpath, True)
@@ -112,38 +116,95 @@ def resumed_result(partials: DataFrame, fresh: DataFrame) -> DataFrame:
             .unionByName(fresh.select(*cols, F.lit("new").alias("part"))))
 
 
+_PLAN = T.StructType([*[f for f in PARTIAL_SCHEMA.fields if f.name not in ("run_id", "categories")],
+                      T.StructField("batch_pos", T.IntegerType()), T.StructField("short_id", T.StringType()),
+                      T.StructField("part", T.IntegerType()), T.StructField("round", T.IntegerType())])
+_ANSWERS = T.StructType([*S.RESPONSE.fields, T.StructField("attempt", T.LongType())])
+_REJECTED = T.StructType([T.StructField("batch_no", T.IntegerType()), T.StructField("attempt", T.LongType())])
+ROUND_BATCHES = 2000   # batches that are asked for, logged and checked in one round
+
+
+def _logged(spark: SparkSession, root: str, table: str, run_id: str, schema: T.StructType) -> DataFrame:
+    """A table of the run, empty before its first write."""
+    fs, jpath, _ = _fs(spark, f"{_path(root, table)}/run_id={run_id}")
+    if not fs.exists(jpath):
+        return spark.createDataFrame([], schema)
+    reader = spark.read.schema(schema)
+    if table != "plans":  # plans are pruned by their folders
+        reader = reader.option("recursiveFileLookup", "true")
+    return reader.parquet(jpath.toString())
+
+
+def plan_run(df: DataFrame, profile: str, run_id: str, root: str, batch_size: int, order_cols: list | None,
+             max_chars: int | None, round_batches: int) -> int:
+    """Cut rows that the run does not know yet into batches and write them; the run's number of batches.
+
+    Batches keep their numbers for the whole run; later rows go on after them.
+    """
+    spark = df.sparkSession
+    known = _logged(spark, root, "plans", run_id, _PLAN)
+    last = known.agg(F.coalesce(F.max("batch_no"), F.lit(0)).alias("b"), F.coalesce(F.max("part"), F.lit(0)).alias("p")).first()
+    new = L.checked_plan(remaining(df, known.select("ref_id")), profile, batch_size, order_cols, max_chars)
+    batch = (F.col("batch_no") + F.lit(last["b"])).cast("int")
+    rows = new.withColumn("batch_no", batch).withColumn("round", F.floor((batch - 1) / round_batches).cast("int"))
+    rows = rows.select(*[F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name)
+                         for f in _PLAN.fields if f.name != "part"])
+    part = f"{_path(root, 'plans')}/run_id={run_id}/part={last['p'] + 1}"
+    rows.hint("rebalance", F.col("round")).write.mode("overwrite").partitionBy("round").parquet(part)
+    return _logged(spark, root, "plans", run_id, _PLAN).agg(F.coalesce(F.max("batch_no"), F.lit(0)).alias("b")).first()["b"]
+
+
 def resume_classify(df: DataFrame, scorer: L.Scorer, profile: str, run_id: str, root: str,
                     resume: bool = True, batch_size: int = S.DEFAULT_BATCH_SIZE,
                     order_cols: list | None = None, return_only_matches: bool = False,
-                    raise_on_error: bool = True, **kwargs) -> DataFrame:
+                    raise_on_error: bool = True, categories: list[str] | None = None,
+                    guidance: dict | None = None, max_chars: int | None = None,
+                    template: L.PromptTemplate = L.DEFAULT_TEMPLATE, round_batches: int = ROUND_BATCHES) -> DataFrame:
     """Label what is not yet labelled in ``run_id`` and return all labels of the run.
 
-    Valid batches are appended as partial results; if any batch fails its
-    checks the run stops with ``LabelIntegrityError`` after saving the others,
-    and a later call resumes with the remaining rows.
+    Batches are cut once per run and asked for in rounds.  A round asks only for batches
+    without a usable answer in the run's log, logs the new answers in one commit, checks what
+    the log has and saves the valid batches.  So a run that ends anywhere loses at most the
+    answers of its last round, and an answer in the log is never asked for again.  If a batch
+    fails its checks, its answer is marked as rejected, the run goes on, and
+    ``LabelIntegrityError`` is raised after the last round; a later call asks for those again.
     """
     spark = df.sparkSession
     if not resume:
         clear_run(spark, root, run_id)
-    done = read_partial(spark, root, run_id)
-    todo = remaining(df, done.select("ref_id"))
-    attempt = datetime.now(timezone.utc).strftime("%Y%m%d%H%M%S%f")
-    answers_dir = f"{_path(root, 'responses')}/run_id={run_id}/attempt={attempt}"
-    result = L.classify(todo, scorer, profile, run_id, batch_size=batch_size,
-                        order_cols=order_cols, response_dir=answers_dir, **kwargs)
-    keep = [c for c in PARTIAL_SCHEMA.fieldNames() if c in result.labelled.columns]
-    labelled = result.labelled.select(*keep)
-    # a run id is re-used on resume, so batches get fresh numbers after the finished ones
-    offset = done.agg(F.coalesce(F.max("batch_no"), F.lit(0)).alias("m")).collect()[0]["m"]
-    labelled = labelled.withColumn("batch_no", (F.col("batch_no") + F.lit(offset)).cast("int"))
-    append_partial(root, run_id, labelled)
-    n_bad = result.violations.select("batch_no").distinct().count()
-    if n_bad:
-        record_event(spark, root, run_id, "failed", 0)
-        if raise_on_error:
-            L.raise_on_violations(result)
-    else:
-        record_event(spark, root, run_id, "complete", 0)
+    batches = plan_run(df, profile, run_id, root, batch_size, order_cols, max_chars, round_batches)
+    head = template.head_for(categories or S.CATEGORIES, profile, guidance)
+    # numbers grow with every call: an answer is named by batch and attempt
+    attempt = time.time_ns() // 1000
+    bad = []
+    plans = _logged(spark, root, "plans", run_id, _PLAN)
+    for r in [x["round"] for x in plans.select("round").distinct().orderBy("round").collect()]:  # batches / round_batches
+        plan = plans.where(F.col("round") == r)
+        done = read_partial(spark, root, run_id).select("batch_no").distinct()
+        todo = plan.join(done, "batch_no", "left_anti")
+        if todo.select("batch_no").isEmpty():
+            continue
+        usable = _logged(spark, root, "answers", run_id, _ANSWERS).join(
+            _logged(spark, root, "rejected", run_id, _REJECTED), ["batch_no", "attempt"], "left_anti")
+        asked = todo.join(usable.select("batch_no").distinct(), "batch_no", "left_anti")
+        new = L.run_scorer(asked, scorer, run_id, head, template).withColumn("attempt", F.lit(attempt))
+        new.write.mode("overwrite").parquet(f"{_path(root, 'answers')}/run_id={run_id}/attempt={attempt}/round={r}")
+        answers = _logged(spark, root, "answers", run_id, _ANSWERS).join(
+            _logged(spark, root, "rejected", run_id, _REJECTED), ["batch_no", "attempt"], "left_anti").join(
+            todo.select("batch_no").distinct(), "batch_no", "left_semi")
+        labelled, violations = L.check_batches(todo, answers.drop("attempt"), categories)
+        violations = materialize(violations, "violations")
+        append_partial(root, run_id, labelled.drop("run_id"))
+        answers.select("batch_no", "attempt").join(violations.select("batch_no").distinct(), "batch_no", "left_semi").write.mode(
+            "overwrite").parquet(f"{_path(root, 'rejected')}/run_id={run_id}/attempt={attempt}/round={r}")
+        bad.append(violations)
+    bad = [v for v in bad if not v.isEmpty()]
+    record_event(spark, root, run_id, "failed" if bad else "complete", batches)
+    if bad and raise_on_error:
+        violations = bad[0]
+        for v in bad[1:]:
+            violations = violations.unionByName(v)
+        L.raise_on_violations(L.ClassifyResult(labelled=None, violations=violations, responses=None, plan=None))
     out = read_partial(spark, root, run_id)
     if return_only_matches:
         out = out.where(C.is_match("categories"))

@@ -81,14 +81,15 @@ def q_batch_plan_summary(spark, sf):
 
 
 def _prompt_sql() -> str:
-    header = L.prompt_head(S.CATEGORIES, "\x00").replace("'", "''")
+    header = L.DEFAULT_TEMPLATE.head_for(S.CATEGORIES, "\x00").replace("'", "''")
+    opening, between, closing = L.DEFAULT_TEMPLATE.frame()
     before, after = header.split("\x00")
     profile = f"regexp_replace((SELECT text FROM benchmark WHERE item_id = 0), '^{WS}+|{WS}+$', '', 'g')"
-    footer = L.PROMPT_TAIL.replace("'", "''")
+    footer = L.DEFAULT_TEMPLATE.tail.replace("'", "''")
     return _PLAN_SQL + f"""
 SELECT batch_no, CAST(count(*) AS INTEGER) AS n_items,
        '{before}' || {profile} || '{after}'
-       || string_agg(chr(10) || '[' || short_id || ']' || chr(10) || coalesce(text, '') || chr(10), ''
+       || string_agg('{opening}' || short_id || '{between}' || coalesce(text, '') || '{closing}', ''
                      ORDER BY batch_pos)
        || '{footer}' AS prompt
 FROM plan2 GROUP BY batch_no"""

@@ -14,7 +14,7 @@ from listforge.operators import labels as L
 from listforge.operators import runs as R
 from listforge.plans import q_labels as QL
 from listforge.plans.registry import register
-from listforge.session import scratch_path
+from listforge.session import materialize, scratch_path
 
 RUN = "run-resume-q"
 
@@ -34,11 +34,9 @@ def interrupted(spark, sf):
     profile = QL.profile_text(spark, sf)
     root = scratch_path(spark, "runs")
     ok = QL.ok_listings(spark, sf)
-    first = R.resume_classify(ok, BrokenEveryThird(L.TermOverlapScorer(profile)), profile, RUN,
-                              root, batch_size=QL.BATCH, order_cols=["ref_id"],
-                              raise_on_error=False)
-    first_max = first.agg(F.max("batch_no")).collect()[0][0]
-    return ok, profile, root, first_max
+    R.resume_classify(ok, BrokenEveryThird(L.TermOverlapScorer(profile)), profile, RUN, root, batch_size=QL.BATCH,
+                      order_cols=["ref_id"], raise_on_error=False)
+    return ok, profile, root
 
 
 def _plan(spark, sf, ok):
@@ -53,7 +51,7 @@ _CLS = QL._classify_sql(0)
 ) + ") WHERE batch_no % 3 <> 0")
 def q_read_partial(spark, sf):
     """What the interrupted run saved (every batch except 3, 6, 9 ...)."""
-    _ok, _p, root, _m = interrupted(spark, sf)
+    _ok, _p, root = interrupted(spark, sf)
     part = R.read_partial(spark, root, RUN)
     return part.select("ref_id", "batch_no", F.array_join("categories", ", ").alias("category"))
 
@@ -62,7 +60,7 @@ def q_read_partial(spark, sf):
 SELECT ref_id FROM plan2 WHERE batch_no % 3 = 0""")
 def q_remaining(spark, sf):
     """Rows of the interrupted run still to label."""
-    ok, _p, root, _m = interrupted(spark, sf)
+    ok, _p, root = interrupted(spark, sf)
     return R.remaining(ok, R.read_partial(spark, root, RUN).select("ref_id")).select("ref_id")
 
 
@@ -70,7 +68,7 @@ def q_remaining(spark, sf):
 SELECT ref_id, batch_no FROM plan2 WHERE batch_no % 3 = 0""")
 def q_pending(spark, sf):
     """H4: plan positions minus completed refs."""
-    ok, _p, root, _m = interrupted(spark, sf)
+    ok, _p, root = interrupted(spark, sf)
     return R.pending(_plan(spark, sf, ok), R.read_partial(spark, root, RUN)).select(
         "ref_id", "batch_no")
 
@@ -82,14 +80,14 @@ SELECT CAST(sum(d) AS BIGINT) AS completed, CAST(sum(n) - sum(d) AS BIGINT) AS p
 FROM pb""")
 def q_progress(spark, sf):
     """progress of the interrupted run."""
-    ok, _p, root, _m = interrupted(spark, sf)
+    ok, _p, root = interrupted(spark, sf)
     return R.progress(_plan(spark, sf, ok), R.read_partial(spark, root, RUN))
 
 
 @register("resume_classify", _CLS.replace("SELECT ref_id, batch_no, short_id,", "SELECT ref_id,", 1))
 def q_resume_classify(spark, sf):
     """Resume the interrupted run; the result equals an uninterrupted run."""
-    ok, profile, root, _m = interrupted(spark, sf)
+    ok, profile, root = interrupted(spark, sf)
     out = R.resume_classify(ok, L.TermOverlapScorer(profile), profile, RUN, root,
                             batch_size=QL.BATCH, order_cols=["ref_id"])
     return out.select("ref_id", F.array_join("categories", ", ").alias("category"))
@@ -100,12 +98,11 @@ def q_resume_classify(spark, sf):
     "SELECT ref_id, CASE WHEN batch_no % 3 = 0 THEN 'new' ELSE 'resumed' END AS part,", 1))
 def q_resumed_result(spark, sf):
     """H2: resumed partial rows plus the newly labelled ones, each marked."""
-    ok, profile, root, first_max = interrupted(spark, sf)
+    ok, profile, root = interrupted(spark, sf)
+    before = materialize(R.read_partial(spark, root, RUN), "before")
     R.resume_classify(ok, L.TermOverlapScorer(profile), profile, RUN, root,
                       batch_size=QL.BATCH, order_cols=["ref_id"])
-    everything = R.read_partial(spark, root, RUN)
-    before = everything.where(F.col("batch_no") <= first_max)
-    fresh = everything.where(F.col("batch_no") > first_max)
+    fresh = R.read_partial(spark, root, RUN).join(before.select("batch_no").distinct(), "batch_no", "left_anti")
     out = R.resumed_result(before, fresh)
     return out.select("ref_id", "part", F.array_join("categories", ", ").alias("category"))
 

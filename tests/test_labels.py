@@ -1,5 +1,8 @@
 """Labelling integrity: every violation fails its batch and nothing of it is kept."""
 
+import os
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,12 +86,27 @@ def test_global_index_equals_row_number(spark):
 def test_prompt_layout(spark):
     plan = L.assign_batches(listings(spark, 3, "hello"), 2)
     prompts = {r["batch_no"]: r["prompt"] for r in L.build_batch_prompts(plan, PROFILE).collect()}
-    assert "\n[001]\nhello\n\n[002]\nhello\n" in prompts[1]
-    assert prompts[1].startswith(L.prompt_head(S.CATEGORIES, PROFILE))
-    seen = L.run_scorer(plan, lambda batches: [b.prompt for b in batches], "r", L.prompt_head(S.CATEGORIES, PROFILE))
+    head = L.DEFAULT_TEMPLATE.head_for(S.CATEGORIES, PROFILE)
+    assert prompts[1] == head + "\n== 001 ==\nhello\n\n== 002 ==\nhello\n" + L.DEFAULT_TEMPLATE.tail
+    seen = L.run_scorer(plan, lambda batches: [b.prompt for b in batches], "r", head)
     assert {r["batch_no"]: r["content"] for r in seen.collect()} == prompts
 
 
+def test_own_prompt_template(spark):
+    own = L.PromptTemplate(head="{last_resort}|{labels}|{profile}|{text}", item="<{id}:{text}>", tail="!")
+    plan = L.assign_batches(listings(spark, 3, "{id} {profile}"), 2)
+    want = {1: "B|- A: best\n- B\n|me {labels}|{text}<001:{id} {profile}><002:{id} {profile}>!",
+            2: "B|- A: best\n- B\n|me {labels}|{text}<001:{id} {profile}>!"}
+    args = (["A", "B"], " me {labels} ", {"A": "best"})
+    prompts = L.build_batch_prompts(plan, args[1], args[0], args[2], own)
+    assert {r["batch_no"]: r["prompt"] for r in prompts.collect()} == want
+    seen = L.run_scorer(plan, lambda batches: [b.prompt for b in batches], "r", own.head_for(*args), own)
+    assert {r["batch_no"]: r["content"] for r in seen.collect()} == want
+    for bad in ("{text}", "{id}", "{text} {id}", "{id} {text} {text}"):
+        with pytest.raises(ValueError):
+            L.PromptTemplate(item=bad)
+
+
 def test_row_positions_number_repeated_keys(spark):
     df = spark.createDataFrame([(k, v) for k, v in [("b", 1), ("a", 1), ("b", 2), (None, 1), ("c", 1), ("b", 3)]],
                                "k string, v int")
@@ -139,3 +157,67 @@ def test_labelling_refuses_rows_without_text(spark):
         L.classify(raw, L.ReplayScorer({}), PROFILE, "t")
     with pytest.raises(ValueError, match="profile"):
         L.classify(listings(spark), L.ReplayScorer({}), "  ", "t")
+
+
+def counted(folder, stop_at=10 ** 9, bad=()):
+    """A scorer that answers with one label and leaves a file per call; batches in ``bad`` get no
+    label, and a batch from ``stop_at`` on ends the run.  (A local function: workers get its code.)"""
+    def score(batches):
+        import uuid
+
+        out = []
+        for b in batches:
+            if b.batch_no >= stop_at:
+                raise RuntimeError("the provider is gone")
+            with open(f"{folder}/{b.batch_no}-{uuid.uuid4().hex}", "w"):
+                pass
+            out.append("" if b.batch_no in bad else "\n".join(f"[{i}] - Good Match" for i, _ in b.items))
+        return out
+
+    return score
+
+
+def calls(folder):
+    return Counter(int(n.split("-")[0]) for n in os.listdir(folder))
+
+
+def test_a_run_that_ends_is_never_asked_again_for_an_answer_it_has(spark, scratch):
+    folder = scratch + "/calls"
+    os.mkdir(folder)
+    df = listings(spark, 20, "x")  # batches 1..10 in rounds of 3
+    with pytest.raises(Exception, match="provider is gone"):
+        R.resume_classify(df, counted(folder, stop_at=7), PROFILE, "r", scratch, batch_size=2, round_batches=3)
+    assert calls(folder) == {b: 1 for b in range(1, 7)}
+    assert R.read_partial(spark, scratch, "r").count() == 12  # saved round by round
+    out = R.resume_classify(df, counted(folder), PROFILE, "r", scratch, batch_size=2, round_batches=3)
+    assert calls(folder) == {b: 1 for b in range(1, 11)}
+    assert sorted(r["ref_id"] for r in out.collect()) == sorted(r["ref_id"] for r in df.collect())
+    again = R.resume_classify(df, counted(folder), PROFILE, "r", scratch, batch_size=2, round_batches=3)
+    assert again.count() == 20 and sum(calls(folder).values()) == 10
+
+
+def test_logged_answers_are_checked_without_asking_again(spark, scratch):
+    """The driver goes between the answers and their check: the next call reads them from the log."""
+    folder = scratch + "/calls"
+    os.mkdir(folder)
+    df = listings(spark, 8, "x")
+    kept, R.append_partial = R.append_partial, lambda *a: (_ for _ in ()).throw(RuntimeError("driver lost"))
+    try:
+        with pytest.raises(RuntimeError, match="driver lost"):
+            R.resume_classify(df, counted(folder, bad=[2]), PROFILE, "r", scratch, batch_size=2)
+    finally:
+        R.append_partial = kept
+    with pytest.raises(L.LabelIntegrityError):  # the log's batch 2 is still wrong
+        R.resume_classify(df, counted(folder), PROFILE, "r", scratch, batch_size=2)
+    assert calls(folder) == {1: 1, 2: 1, 3: 1, 4: 1}
+    out = R.resume_classify(df, counted(folder), PROFILE, "r", scratch, batch_size=2)
+    assert calls(folder) == {1: 1, 2: 2, 3: 1, 4: 1} and out.count() == 8
+
+
+def test_new_rows_join_a_run_in_new_batches(spark, scratch):
+    folder = scratch + "/calls"
+    os.mkdir(folder)
+    R.resume_classify(listings(spark, 5, "x"), counted(folder), PROFILE, "r", scratch, batch_size=2)
+    out = R.resume_classify(listings(spark, 9, "x"), counted(folder), PROFILE, "r", scratch, batch_size=2)
+    assert out.groupBy("ref_id").count().where("count > 1").isEmpty() and out.count() == 9
+    assert calls(folder) == {b: 1 for b in range(1, 6)}
