@@ -2,7 +2,8 @@
 
 Inputs:
 - extraction statistics take rows with ``ord`` (arrival order, LONG) and a
-  ``details`` struct (DETAILS; a null struct counts as an unknown failure);
+  ``details`` struct (DETAILS; a null struct counts as an unknown failure), or, but for E11,
+  ``stat_partials`` of such rows;
 - category statistics take rows with ``ord`` and ``categories`` ARRAY<STRING>.
 
 Every aggregation is a plain ``groupBy`` (partial aggregation before the
@@ -24,30 +25,53 @@ from listforge.functions import columns as C
 # ---------------------------------------------------------------------------
 # extraction statistics
 # ---------------------------------------------------------------------------
-def details_view(df: DataFrame) -> DataFrame:
-    """Narrow projection used by all extraction statistics (no text, no html)."""
+def details_view(df: DataFrame, *keep: str) -> DataFrame:
+    """Narrow rows used by all extraction statistics (no text, no html), with their weight ``n``.
+
+    Listings weigh 1 each; ``stat_partials`` rows pass as they are, so every statistic below
+    can be taken from either.  Columns named in ``keep`` go along.
+    """
+    if "stat_n" in df.columns:
+        return df.withColumnRenamed("stat_n", "n")
     d = F.col("details")
-    length_or_text = F.coalesce(d["text_length"], F.length(F.coalesce(d["text"], F.lit(""))))
+    length_or_text = F.coalesce(d["text_length"], F.length(F.coalesce(d["text"], F.lit("")))).cast("long")
+    length_or_zero = F.coalesce(d["text_length"], F.lit(0)).cast("long")
     return df.select(
-        F.col("ord").cast("long").alias("ord"),
-        F.coalesce(d["source"], F.lit("unknown")).alias("source"),
+        *keep, F.coalesce(d["source"], F.lit("unknown")).alias("source"),
         F.coalesce(d["success"], F.lit(False)).alias("success"),
         F.coalesce(d["domain"], F.lit("unknown")).alias("domain"),
-        d["method"].alias("method"),
-        d["warning"].alias("warning"),
-        length_or_text.cast("long").alias("length_or_text"),
-        F.coalesce(d["text_length"], F.lit(0)).cast("long").alias("length_or_zero"),
-    )
+        d["method"].alias("method"), d["warning"].alias("warning"),
+        F.lit(1).cast("long").alias("n"), F.col("ord").cast("long").alias("first_ord"),
+        length_or_text.alias("chars"), length_or_zero.alias("chars_zero"),
+        length_or_zero.alias("chars_min"), length_or_zero.alias("chars_max"))
+
+
+FACETS = ["source", "success", "domain", "method", "warning"]
+
+
+def stat_partials(df: DataFrame, *by: str) -> DataFrame:
+    """Mergeable partial statistics: one row per combination of the facets that E5-E12 and E22 use.
+
+    Partials of disjoint sets of listings, stacked and put through this again, are those of all.
+    ``by`` names further columns of partials to keep apart.
+    """
+    return details_view(df).groupBy(*by, *FACETS).agg(
+        F.sum("n").alias("stat_n"), F.min("first_ord").alias("first_ord"), F.sum("chars").alias("chars"),
+        F.sum("chars_zero").alias("chars_zero"), F.min("chars_min").alias("chars_min"),
+        F.max("chars_max").alias("chars_max"))
+
+
+def _successful():
+    return F.sum(F.when(F.col("success"), F.col("n")).otherwise(F.lit(0))).cast("long")
 
 
 def stats_by_source(df: DataFrame) -> DataFrame:
     """E5: per source total, successful, failed, floor-average text length."""
     v = details_view(df)
     return v.groupBy("source").agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if("success").alias("successful"),
-        F.count_if(~F.col("success")).alias("failed"),
-        F.floor(F.sum("length_or_text") / F.count(F.lit(1))).cast("long").alias("avg_text_length"),
+        F.sum("n").alias("total"), _successful().alias("successful"),
+        (F.sum("n") - _successful()).alias("failed"),
+        F.floor(F.sum("chars") / F.sum("n")).cast("long").alias("avg_text_length"),
     )
 
 
@@ -60,14 +84,14 @@ def _domain_core(df: DataFrame) -> DataFrame:
     exactly one (domain, method) group, so domain totals come from that set.
     """
     v = details_view(df).where(F.col("source") == S.SOURCE_EXTERNAL).select(
-        "domain", "ord", "success", "length_or_zero",
+        "domain", "first_ord", "success", "n", "chars_zero", "chars_min", "chars_max",
         F.when(F.coalesce(F.col("warning"), F.lit("")) != "", F.col("warning")).alias("w_key"),
         F.coalesce(F.col("method"), F.lit("unknown")).alias("m_key"))
     sets = v.groupingSets([["domain", "w_key"], ["domain", "m_key"]], "domain", "w_key", "m_key") \
-        .agg(F.grouping_id().alias("_gid"), F.count(F.lit(1)).alias("_n"),
-             F.min("ord").alias("_first"), F.count_if("success").alias("_ok"),
-             F.sum("length_or_zero").alias("_len"), F.min("length_or_zero").alias("_min"),
-             F.max("length_or_zero").alias("_max"))
+        .agg(F.grouping_id().alias("_gid"), F.sum("n").alias("_n"),
+             F.min("first_ord").alias("_first"), _successful().alias("_ok"),
+             F.sum("chars_zero").alias("_len"), F.min("chars_min").alias("_min"),
+             F.max("chars_max").alias("_max"))
     by_method = F.col("m_key").isNotNull() & F.col("w_key").isNull() & (F.col("_gid") == 2)
     by_warning = (F.col("_gid") == 1) & F.col("w_key").isNotNull()
     rank = F.struct(F.col("_n"), -F.col("_first"))
@@ -106,28 +130,27 @@ def stats_by_method(df: DataFrame) -> DataFrame:
     v = details_view(df)
     return (v.where(F.col("method").isNotNull() & (F.col("method") != "")
                     & (F.col("method") != "unknown"))
-            .groupBy("method").agg(F.count(F.lit(1)).alias("n")))
+            .groupBy("method").agg(F.sum("n").alias("n")))
 
 
 def stats_by_warning(df: DataFrame) -> DataFrame:
     """Count per non-empty warning."""
     v = details_view(df)
     return (v.where(F.coalesce(F.col("warning"), F.lit("")) != "")
-            .groupBy("warning").agg(F.count(F.lit(1)).alias("n")))
+            .groupBy("warning").agg(F.sum("n").alias("n")))
 
 
 def failures_by_warning(df: DataFrame) -> DataFrame:
     """Failed rows per warning; missing -> UNKNOWN."""
     v = details_view(df).where(~F.col("success"))
     return v.groupBy(F.coalesce(F.col("warning"), F.lit("UNKNOWN")).alias("warning")).agg(
-        F.count(F.lit(1)).alias("failures"))
+        F.sum("n").alias("failures"))
 
 
 def failures_by_domain_top(df: DataFrame, k: int = 10) -> DataFrame:
     """The k domains with most failures (first failing first on ties)."""
     v = details_view(df).where(~F.col("success"))
-    agg = v.groupBy("domain").agg(F.count(F.lit(1)).alias("failures"),
-                                  F.min("ord").alias("first_ord"))
+    agg = v.groupBy("domain").agg(F.sum("n").alias("failures"), F.min("first_ord").alias("first_ord"))
     return agg.orderBy(F.desc("failures"), F.asc("first_ord")).limit(k).select("domain", "failures")
 
 
@@ -184,13 +207,13 @@ def extraction_report(df: DataFrame, top_problems: int = 5) -> DataFrame:
     a single projection; problem domains come from the domain pass.
     """
     v = details_view(df).select(
-        "source", "success", "length_or_text",
+        "source", "success", "n", "chars",
         F.when(F.col("method").isNotNull() & (F.col("method") != "")
                & (F.col("method") != "unknown"), F.col("method")).alias("m_key"),
         F.when(F.coalesce(F.col("warning"), F.lit("")) != "", F.col("warning")).alias("w_key"))
     facets = v.groupingSets([["source"], ["m_key"], ["w_key"]], "source", "m_key", "w_key").agg(
-        F.grouping_id().alias("_gid"), F.count(F.lit(1)).alias("_n"),
-        F.count_if("success").alias("_ok"), F.sum("length_or_text").alias("_chars"))
+        F.grouping_id().alias("_gid"), F.sum("n").alias("_n"),
+        _successful().alias("_ok"), F.sum("chars").alias("_chars"))
     # grouping ids: (source) -> 3, (m_key) -> 5, (w_key) -> 6
     section = (F.when(F.col("_gid") == 3, F.lit("source"))
                .when((F.col("_gid") == 5) & F.col("m_key").isNotNull(), F.lit("method"))

@@ -3,7 +3,7 @@
 gather: load store -> context guard -> choose the recency window (B4) -> land the
 pages (paging + keyword rules, A2/B2, once) -> recency filter on their date partitions (B3) -> merge
 (C1, touched buckets only) -> new + updated (H1) -> extract (X12) -> split (B7) ->
-attach details (C2) -> save the touched buckets (A4/E15) -> summary (E14).
+attach details (C2) -> save the touched buckets (A4/E15) and their statistics -> summary (E14).
 Driver-side decisions use one bounded action each (``isEmpty``, one-row reads).
 """
 
@@ -18,6 +18,7 @@ from listforge import schemas as S
 from listforge.operators import extract as X
 from listforge.operators import filters as FL
 from listforge.operators import store as ST
+from listforge.operators import store_stats as SS
 from listforge.sources import search_pages as SP
 from listforge.session import materialize, scratch_path
 from listforge.sources import store_io as IO
@@ -104,6 +105,7 @@ def gather(spark: SparkSession, landing: str | None, store_root: str, pages: Dat
         new_store = None
     else:
         merged = ST.merge_saved(spark, store_root, found, query, place, as_of)
+        touched = IO.touched_buckets(spark, store_root, found) if store_exists else None
         # H1: new rows first, then updated ones, each in arrival order
         processed = merged.to_process().drop("status", "prior_stamp")
         per_ref, new_store = merged.per_ref, merged.store
@@ -113,6 +115,7 @@ def gather(spark: SparkSession, landing: str | None, store_root: str, pages: Dat
         if use_store:
             snap = IO.save_touched(spark, store_root, new_store,
                                    lambda w: ST.store_metadata(w, meta, as_of, place, radius_km))
+            SS.refresh_stats(spark, store_root, touched)
             new_store = IO.load_store(spark, store_root)
         flat = FL.flatten_listing(processed) if enable_extraction is False else None
         summary = gather_summary(found, processed, processed if not enable_extraction else None,
@@ -129,6 +132,7 @@ def gather(spark: SparkSession, landing: str | None, store_root: str, pages: Dat
                                                                      "details"))
         snap = IO.save_touched(spark, store_root, with_details,
                                lambda w: ST.store_metadata(w, meta, as_of, place, radius_km))
+        SS.refresh_stats(spark, store_root, touched)
         new_store = IO.load_store(spark, store_root)
     summary = gather_summary(found, detailed, ok, failed, per_ref, new_store)
     return GatherResult(ok, failed, summary, processed, snap, found, window, bad)

@@ -8,6 +8,7 @@ labels); returned = the matches among them (filtered run).
 
 from pyspark.sql import functions as F
 
+from listforge.functions import columns as C
 from listforge.operators import extract as X
 from listforge.operators import filters as FL
 from listforge.operators import report as RP
@@ -73,8 +74,8 @@ SELECT CAST(t AS BIGINT) AS total_found, CAST(e AS BIGINT) AS extracted,
        (SELECT count(*) FROM matches WHERE category = 'Poor Match') AS n_poor_match
 FROM c""")
 def q_run_dashboard(spark, sf):
-    docs, extracted, labelled, returned = _frames(spark, sf)
-    return RP.run_dashboard(docs, extracted, labelled, returned)
+    docs, _e, labelled, _r = _frames(spark, sf)
+    return RP.run_dashboard(docs, F.col("details.success"), labelled, C.is_match("categories"))
 
 
 @register("run_summary", _LAB + """,
@@ -93,8 +94,8 @@ SELECT CAST(t AS BIGINT) AS total, CAST(e AS BIGINT) AS extracted,
        CASE WHEN r > 0 THEN CAST(po AS DOUBLE) / r * 100.0 ELSE 0.0 END AS poor_match_pct
 FROM c""")
 def q_run_summary(spark, sf):
-    docs, extracted, _l, returned = _frames(spark, sf)
-    return RP.run_summary(docs, extracted, returned)
+    docs, _e, _l, returned = _frames(spark, sf)
+    return RP.run_summary(docs, F.col("details.success"), returned)
 
 
 @register("display_groups", _LAB + """
@@ -212,5 +213,5 @@ FROM ex WHERE example_no <= 3"""
 @register("market_report", _market_sql())
 def q_market_report(spark, sf):
     """Report rows (totals, extraction, categories, examples)."""
-    docs, _e, labelled, returned = _frames(spark, sf)
-    return RP.market_report(docs, docs, labelled, returned)
+    docs, _e, labelled, _r = _frames(spark, sf)
+    return RP.market_report(docs, labelled, C.is_match("categories"))

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from listforge import schemas as S
 from listforge.operators import filters as FL
+from listforge.operators import stats as STS
 from listforge.operators import store as ST
+from listforge.operators import store_stats as SS
 from listforge.plans import bindings as B
 from listforge.plans.oracle import DOC_LISTINGS, with_ctes
 from listforge.plans.registry import register
-from listforge.session import scratch_path
+from listforge.session import materialize, scratch_path
 from listforge.sources import store_io as IO
 
 CUT = B.STORE_CUTOFF
@@ -361,3 +363,33 @@ def q_load_store(spark, sf):
     loaded = empty.unionByName(IO.load_store(spark, root))
     return loaded.select("ref_id", "title", "employer", F.col("location.city").alias("city"),
                          F.col("details.text_length").alias("text_length"))
+
+
+@register("stored_stats", _DOC + f"""
+, dv AS (
+  SELECT coalesce(d_source, 'unknown') AS source, coalesce(city = 'de', false) AS off, d_success, d_warning, d_text_length
+  FROM doc_listings),
+v AS (SELECT source, CASE WHEN off THEN false ELSE coalesce(d_success, false) END AS success,
+             CASE WHEN off THEN '{S.WARN_EXCESSIVE_CONTENT}' ELSE d_warning END AS warning,
+             CASE WHEN off THEN {len(S.DEFAULT_DISABLE_REASON)} ELSE d_text_length END AS chars FROM dv)
+SELECT 'source:' || source AS item, CAST(count(*) AS BIGINT) AS n, CAST(count_if(success) AS BIGINT) AS successful,
+       CAST(floor(sum(chars) / count(*)) AS BIGINT) AS avg_text_length FROM v GROUP BY source
+UNION ALL
+SELECT 'warning:' || warning, count(*), NULL, NULL FROM v WHERE coalesce(warning, '') <> '' GROUP BY warning""")
+def q_stored_stats(spark, sf):
+    """E5 and E8 from the store's partials, after German listings were disabled in their buckets."""
+    root = scratch_path(spark, "store")
+    meta = lambda written: ST.store_metadata(written, None, AS_OF_1, PLACE, B.RADIUS_KM)
+    IO.save_store(spark, root, doc_store(spark, sf), meta)
+    SS.refresh_stats(spark, root)
+    off = IO.load_store(spark, root).where(F.col("location.city") == "de").select("ref_id")
+    touched = IO.touched_buckets(spark, root, off)
+    rows, _report = FL.disable_listing(IO.load_store(spark, root, touched), materialize(off, "disable"))
+    IO.save_touched(spark, root, rows, meta)
+    SS.refresh_stats(spark, root, touched)
+    stats = SS.store_partials(spark, root)
+    by_source = STS.stats_by_source(stats).select(F.concat(F.lit("source:"), "source").alias("item"), F.col("total").alias("n"),
+                                                  "successful", "avg_text_length")
+    by_warning = STS.stats_by_warning(stats).select(F.concat(F.lit("warning:"), "warning").alias("item"), "n",
+                                                    F.lit(None).cast("long"), F.lit(None).cast("long"))
+    return by_source.union(by_warning)

@@ -61,12 +61,15 @@ def store_exists(spark: SparkSession, root: str) -> bool:
 
 def load_store(spark: SparkSession, root: str, buckets: list[int] | None = None) -> DataFrame:
     """A3: the stored listings (of the given buckets only), or an empty store when none exists."""
+    return stored_rows(spark, root, buckets).select(*S.STORE.fieldNames())
+
+
+def stored_rows(spark: SparkSession, root: str, buckets: list[int] | None = None) -> DataFrame:
+    """``load_store`` with the bucket column."""
     if not store_exists(spark, root):
-        return spark.createDataFrame([], S.STORE)
+        return spark.createDataFrame([], _ROWS)
     rows = spark.read.schema(_ROWS).parquet(_path(root, "listings"))
-    if buckets is not None:
-        rows = rows.where(F.col("bucket").isin(buckets))
-    return rows.select(*S.STORE.fieldNames())
+    return rows if buckets is None else rows.where(F.col("bucket").isin(buckets))
 
 
 def touched_buckets(spark: SparkSession, root: str, refs: DataFrame, ref_col: str = "ref_id") -> list[int]:

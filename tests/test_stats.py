@@ -2,8 +2,13 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from listforge import schemas as S
 from listforge.operators import stats as ST
+from listforge.plans import bindings as B
+
+SF = "/root/testdata/sf0.001"
 
 
 def python_domain_stats(rows):
@@ -62,3 +67,53 @@ def test_extraction_report_scans_twice(spark):
     docs = B.doc_listings(spark, "/root/testdata/sf0.001")
     plan = ST.extraction_report(docs)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Scan parquet") == 2
+
+
+def test_partials_give_the_same_statistics(spark):
+    docs = B.doc_listings(spark, SF)
+    halves = ST.stat_partials(docs.where("ord % 2 = 0")).unionByName(ST.stat_partials(docs.where("ord % 2 = 1")))
+    partials = ST.stat_partials(halves)
+    for fn in (ST.stats_by_source, ST.stats_by_domain, ST.stats_by_method, ST.stats_by_warning, ST.failures_by_warning,
+               ST.failures_by_domain_top, ST.good_domains, ST.problem_domains, ST.extraction_report):
+        assert sorted(map(str, fn(partials).collect())) == sorted(map(str, fn(docs).collect())), fn.__name__
+
+
+def test_stored_statistics_follow_two_merges_by_touched_buckets(spark, scratch):
+    """Equal to counting all listings again; only the touched buckets are read and rewritten."""
+    import os
+    import re
+
+    from test_plans import formatted
+
+    from listforge.operators import store as STORE
+    from listforge.operators import store_stats as SS
+    from listforge.sources import store_io as IO
+
+    root = scratch + "/store"
+
+    def details(ok, i):
+        return (ok, "x" * i, None, "external", "css", i, f"d{i % 3}", None if ok else "SHORT_CONTENT", None)
+
+    def merge(refs, stamp, as_of):
+        rows = spark.createDataFrame([(r, "t", None, None, None, stamp, None, i) for i, r in enumerate(refs)], S.LISTING)
+        touched = IO.touched_buckets(spark, root, rows) if IO.store_exists(spark, root) else None
+        res = STORE.merge_saved(spark, root, rows, "q", "p", as_of)
+        det = spark.createDataFrame([(r, i, details(i % 2 == 0, i)) for i, r in enumerate(refs)],
+                                    "ref_id string, batch_ord long, details " + S.DETAILS.simpleString())
+        IO.save_touched(spark, root, STORE.attach_details(res.store, det), lambda w: STORE.store_metadata(w, None, as_of, "p", 25))
+        SS.refresh_stats(spark, root, touched)
+        return touched
+
+    merge([f"r{i}" for i in range(60)], "1", "2024-01-01 00:00:00")
+    before = {b: os.listdir(f"{root}/stats/{b}") for b in os.listdir(root + "/stats") if b.startswith("bucket")}
+    touched = merge(["r3", "r4", "new"], "2", "2024-01-02 00:00:00")
+    after = {b: os.listdir(f"{root}/stats/{b}") for b in os.listdir(root + "/stats") if b.startswith("bucket")}
+    assert {b for b in after if after[b] != before.get(b)} == {f"bucket={b}" for b in touched}
+    assert re.search(r"PartitionFilters: \[[^]]*bucket#\d+ (IN|INSET|=)", formatted(SS.bucket_partials(spark, root, touched)))
+    everything = IO.load_store(spark, root).select("details", F.unix_micros("first_seen").alias("ord")).where("details is not null")
+    stored = SS.store_partials(spark, root)
+    for fn in (ST.stats_by_source, ST.stats_by_method, ST.stats_by_warning, ST.failures_by_warning):
+        assert sorted(map(str, fn(stored).collect())) == sorted(map(str, fn(everything).collect())), fn.__name__
+    cols = ["domain", "total", "successful", "avg_text_length", "min_text_length", "max_text_length"]
+    assert sorted(map(tuple, ST.stats_by_domain(stored).select(cols).collect())) == sorted(
+        map(tuple, ST.stats_by_domain(everything).select(cols).collect()))
