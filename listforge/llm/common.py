@@ -36,6 +36,14 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name for a new column: the first of name, name_, name__ ... that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def give_back() -> None:
     """Return freed memory to the system: a worker lives on between tasks, the executor's
     memory is shared, and a batch of long texts leaves large holes."""

@@ -71,16 +71,16 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Of rows that repeat the kept document's id with an equal text, the largest row stays.
     """
-    cols = docs.columns
     kept = exact_duplicates(docs, id_col, text_col).where("kept").groupBy(
         F.col(id_col).alias("_k"), F.col("text_sha256").alias("_h")).agg(
         F.count(F.lit(1)).alias("_rows"))
     kept = materialize(kept, "dedup-kept")
-    full = docs.withColumn("_own_h", F.sha2(lower_ascii(F.col(text_col)), 256))
-    rows = full.join(kept, full[id_col].eqNullSafe(kept["_k"]) & (full["_own_h"] == kept["_h"]))
-    single = rows.where("_rows = 1").select(*cols)
+    # the input goes along as one struct, so its column names meet none of these
+    full = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"),
+                       F.sha2(lower_ascii(F.col(text_col)), 256).alias("_own_h"))
+    rows = full.join(kept, F.col("_id").eqNullSafe(F.col("_k")) & (F.col("_own_h") == F.col("_h")))
+    single = rows.where("_rows = 1").select("_row.*")
     if kept.where("_rows > 1").isEmpty():
         return single
-    again = rows.where("_rows > 1").groupBy("_k", "_h").agg(
-        F.max(F.struct(*[F.col(c) for c in cols])).alias("_row")).select("_row.*")
+    again = rows.where("_rows > 1").groupBy("_k", "_h").agg(F.max("_row").alias("_row")).select("_row.*")
     return single.unionByName(again)

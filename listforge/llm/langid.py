@@ -18,13 +18,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from listforge.llm.common import batches, column_of, give_back
+from listforge.llm.common import batches, column_of, free_name, give_back
 from listforge.session import ship_package
 
 BUCKET_BITS = 14
 DIM = 16
 SAMPLE_DOCS = 4000       # expected size of the training sample
-LEAST_CALIBRATED = 50    # right answers that a rejection threshold needs
+PRIOR = 20               # answers that weigh as much as knowing none: the threshold is then halfway to chance
+UNSURE = 0.005           # of the right calibration answers are less sure than the one that sets the threshold
 UNDETERMINED = "und"
 _PIECE = 1 << 20         # bytes hashed at a time
 _LETTER = re.compile(r"[^\W\d_]")
@@ -129,10 +130,11 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], dim: int = DIM, bits: in
         model.temperature = float(heat[int(np.argmin(loss))])
         p = _softmax(raw / model.temperature)
         right = p.max(axis=1)[p.argmax(axis=1) == y]
-        # rejected: half the confidence, over chance, of the least sure right answer; too few
-        # answers to calibrate on reject nothing
+        # rejected: below half the confidence, over chance, of an unsure right answer (by rank, so
+        # one row does not decide), drawn towards chance as far as few answers support it
         chance = 1 / len(classes)
-        model.reject_below = float(chance + 0.5 * max(0.0, right.min() - chance)) if len(right) >= LEAST_CALIBRATED else 0.0
+        unsure = np.quantile(right, UNSURE, method="lower") if len(right) else chance
+        model.reject_below = float(chance + 0.5 * max(0.0, unsure - chance) * len(right) / (len(right) + PRIOR))
     return model
 
 
@@ -140,17 +142,21 @@ def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
           lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> LanguageModel:
     """Fit on labelled rows for which ``usable`` holds.
 
-    The sample is bounded: rows whose id hash falls below a share of the range chosen so
-    that ``sample_docs`` are expected (all rows, if there are fewer).  Whole texts are
-    hashed in the tasks; the driver gets bucket counts, at most 2**14 pairs a row.
+    The sample is bounded: of every language the rows whose id hash falls below a share of the
+    range, chosen so that ``sample_docs`` are expected in all and as many of each language
+    (all rows of a language that has fewer).  Whole texts are hashed in the tasks; the driver
+    gets bucket counts, at most 2**14 pairs a row.
     """
     ship_package(docs.sparkSession)
     rows = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    n = rows.count()
-    if n > sample_docs:
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).cast("string").alias("lang")).agg(
+        F.count(F.lit(1)).alias("n")).collect()}  # a row a language: the classes of the model
+    each = sample_docs / max(1, len(sizes))
+    if any(n > each for n in sizes.values()):
         # the hash's upper 40 bits, as a share of their range
         place = F.shiftrightunsigned(F.xxhash64(F.lit("langid"), F.col(id_col)), 24)
-        rows = rows.where(place < F.lit(int(sample_docs / n * (1 << 40))))
+        share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(min(1.0, each / n) * (1 << 40)))])
+        rows = rows.where(place < F.element_at(share, F.col(lang_col).cast("string")))
 
     def count(parts):
         make = batches({"id": pa.string(), "lang": pa.string(), "buckets": pa.binary(), "counts": pa.binary()})
@@ -177,7 +183,7 @@ def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """The input with a struct ``_lang``: lang_pred, score, rejected.
+    """The input with a struct ``_lang`` (``common.free_name``, if it has one): lang_pred, score, rejected.
 
     The whole text counts.  Null texts and texts without a letter are ``und``, score 0 and
     rejected; so is everything if no row was labelled.  Other texts get a learned language;
@@ -195,5 +201,5 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
 
         return predict
 
-    return docs.withColumn("_lang", column_of(docs, text_col, predictor,
+    return docs.withColumn(free_name(docs, "_lang"), column_of(docs, text_col, predictor,
                                               "struct<lang_pred: string, score: double, rejected: boolean>"))

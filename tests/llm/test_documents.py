@@ -1,5 +1,6 @@
 """Exact dedup, Jaccard join, mixing and language ID against brute force."""
 
+import math
 import random
 from collections import Counter
 
@@ -188,6 +189,67 @@ def test_language_id_on_held_out_rows_and_edges(spark):
         assert got[d]["lang_pred"] in model.classes and 0 <= got[d]["score"] <= 1
 
 
+def softmax_by_hand(model, text):
+    """The score without any of the module's vector code: mean of the grams' logits, softmax."""
+    grams = [int(b) for idx in langid.gram_buckets(text) for b in idx]
+    z = [(sum(float(model.logits[g][k]) for g in grams) / len(grams) + float(model.bias[k])) / model.temperature
+         for k in range(len(model.classes))]
+    e = [math.exp(v - max(z)) for v in z]
+    return max((v / sum(e), c) for v, c in zip(e, model.classes, strict=True))
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_one_rejection_rule_at_every_size(spark, sf):
+    """Prose stays; gibberish goes once there are answers enough to tell it by its score."""
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    model = langid.train(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
+    assert model.reject_below > 1 / len(model.classes)
+    rows = [r for r in docs.collect() if langid.has_letter(r["text"])]
+    scores = [model.predict(r["text"]) for r in rows]
+    assert sum(s < model.reject_below for _, s in scores) <= 0.005 * len(rows)
+    for text in ("zxqv wkjx qqzx vvkw xjqz kkwx " * 5, "bqxjzk vwqkhg zzxkqj wvxkq " * 4) if sf == "sf0.01" else ():
+        assert model.predict(text)[1] < model.reject_below
+    for r, (lang, score) in list(zip(rows, scores, strict=True))[:15]:
+        text = r["text"][:2000]
+        want = softmax_by_hand(model, text)
+        assert abs(model.predict(text)[1] - want[0]) < 1e-4 and model.predict(text)[0] == want[1]
+
+
+def test_one_unsure_answer_does_not_move_the_threshold():
+    rng = np.random.default_rng(0)
+
+    def row(k):
+        idx = np.unique(rng.integers(1000 * k, 1000 * k + 400, 60))
+        return idx.astype(np.int64), np.ones(len(idx), np.float32), "ab"[k]
+
+    rows = [row(i % 2) for i in range(3000)]
+    model = langid.fit(rows)
+    odd = list(rows)
+    odd[4] = (np.array([5, 1005]), np.ones(2, np.float32), rows[4][2])  # a held-out row of both languages
+    assert abs(langid.fit(odd).reject_below - model.reject_below) < 0.02
+
+
+def test_a_rare_language_is_in_the_sample(spark):
+    rows = [(i, f"plain english words number {i} here", "en") for i in range(400)]
+    rows += [(1000 + i, f"ein paar deutsche wörter nummer {i}", "de") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.train(docs, F.lit(True), sample_docs=40).classes == ["de", "en"]
+
+
+def test_clashing_column_names(spark):
+    names = ["_own_h", "_rows", "_k", "_h", "_id", "_row", "_lang", "_lang_", "_LANG__"]
+    rows = [(1, "Same text", *names), (2, "same TEXT", *names), (2, "same TEXT", *names), (None, None, *names), (3, "", *names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    kept = exact_dedup.keep_one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["_rows"], r["_lang"]) for r in kept.collect()), key=str) == [
+        (2, "_rows", "_lang"), (3, "_rows", "_lang")]
+    model = langid.train(spark.createDataFrame([], DOCS), F.lit(True))
+    found = langid.identify(docs, model)
+    assert found.columns == [*docs.columns, "_lang___"] and found.first()["_lang"] == "_lang"
+    assert {r["_lang___"]["lang_pred"] for r in found.collect()} == {"und"}
+
+
 def test_grams_of_pieces_equal_grams_of_the_whole(monkeypatch):
     text = "Straße über alles, né à Paris; " * 40
     whole = np.bincount(np.concatenate(list(langid.gram_buckets(text))), minlength=1 << langid.BUCKET_BITS)

@@ -47,7 +47,7 @@ def _check(spark, docs, sf_dir):
         rows = new
     bpe, encoder = rank_bpe.codec(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
-    want = sorted((str(r["doc_id"]), len(encoder.encode(r["text"] or "")) // 4,
+    want = sorted((str(r["doc_id"]), len(encoder.encode_all([r["text"] or ""])[0]) // 4,
                    hashlib.sha256((r["text"] or "").encode()).hexdigest()) for r in rows)
     assert sorted((str(r["doc_id"]), r["n_tokens"], r["decoded_sha256"]) for r in last) == want
     return last
