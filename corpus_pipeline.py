@@ -12,14 +12,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from listforge.llm import exact_dedup, langid, mixing, partenum, rank_bpe
-from listforge.llm.common import fold_of, table
+from listforge.llm.common import fold_of, free_name, table
 from listforge.session import materialize
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known: no text, no letter or a rejected score go."""
     model = langid.train(docs, fold_of(F.col("doc_id"), 4) != 2)
-    return langid.identify(docs, model).where("not _lang.rejected").select(*docs.columns)
+    found = F.col(free_name(docs, "_lang"))
+    return langid.identify(docs, model).where(~found["rejected"]).select(*docs.columns)
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
