@@ -22,20 +22,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listforge.llm.common import batches, column_of
+from listforge.llm.common import batches, column_of, free_name
 from listforge.session import ship_package
 
 SAMPLE_PAGES = 300        # expected labelled pages the weights are fitted on
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_MARKED = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+SAMPLE_NODES = 5000       # pages of more nodes are not among them (their text is still extracted)
+
+_OPENING = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^ \t\n\r\f/>]*+))")
+#: the end of a tag, or one attribute; a quote counts right after the equals sign only
+_NEXT = re.compile(r"""[ \t\n\r\f/]*+(?:(>)|([^ \t\n\r\f/>][^ \t\n\r\f/>=]*+)"""
+                   r"""(?:[ \t\n\r\f]*+=[ \t\n\r\f]*+(?:"([^"]*+)"|'([^']*+)'|([^ \t\n\r\f>]*+)))?+)""")
+_LONG_NUMBER = re.compile(r"&#(\d{9,})")
 _PART = re.compile(r"[a-z]+")
 RAW = frozenset("script style noscript textarea title iframe xmp".split())
 #: off content, but ordinary nodes: their end tags may be missing
 CONTROLS = frozenset("button select datalist optgroup option svg math object".split())
-_PAIRED = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)(button|select|datalist|object|svg|math|template)(?=[\s/>])"
-                     r"((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
-_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
+_PAIRED = frozenset("button select datalist object svg math template".split())
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+(?:>|\Z)", re.I) for t in RAW}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("html body main article section nav aside header footer form div p h1 h2 h3 h4 h5 h6 ul ol li dl dt "
                   "dd table thead tbody tfoot tr td th blockquote pre figure figcaption fieldset legend details "
@@ -51,8 +55,11 @@ NOISE = ("nav", "menu", "ad", "ads", "advert", "advertisement", "banner", "spons
          "header", "masthead", "sidebar", "aside", "widget", "notice", "cookie", "cookies", "consent", "gdpr", "popup",
          "modal", "overlay", "alert", "newsletter", "subscribe", "signup", "login", "form", "search", "share",
          "sharing", "social", "related", "recommended", "breadcrumb", "breadcrumbs", "pagination", "pager", "comment",
-         "comments", "reply", "replies", "discussion", "disqus", "copyright", "legal", "toolbar", "tags", "skip")
+         "comments", "respond", "responses", "reply", "replies", "discussion", "disqus", "copyright", "legal", "toolbar", "tags", "skip")
+#: these begin the names that templates give to a text's own category, tag or kind
+TAXONOMY = frozenset("category cat tag type status format author".split())
 GOOD = ("article", "content", "main", "post", "entry", "body", "story", "text", "prose", "page")
+_NOISE = frozenset(NOISE)
 _BASE = 8
 N_FEATURES = _BASE + len(TAGS) + len(NOISE) + len(GOOD)
 _TAG = {t: _BASE + i for i, t in enumerate(TAGS)}
@@ -72,23 +79,83 @@ class Page:
     label: np.ndarray | None = None
 
 
+class _Scanner:
+    """The tags of a page, each character looked at a bounded number of times."""
+
+    def __init__(self, source: str):
+        self.source = source
+        self.quotes = True                 # until a tag runs to the page's end inside its quotes
+        self.endless: set[str] = set()     # raw-text elements that no later end tag closes
+
+    def next(self, at: int):
+        """(start, end, closing, tag, attributes) of the next tag; tag is None for comments and the
+        like.  What is begun and never ends is markup up to the page's end, as in a browser."""
+        s = self.source
+        m = _OPENING.search(s, at)
+        if m is None:
+            return None
+        if m[2] is None:
+            end = s.find("-->", m.start() + 2) + 3 if m[0] == "<!--" else s.find(">", m.end()) + 1
+            if end == (2 if m[0] == "<!--" else 0):
+                end = len(s)
+            return m.start(), end, False, None, ()
+        tag, attributes, at = m[2].lower(), [], m.end()
+        while self.quotes:
+            a = _NEXT.match(s, at)
+            if a is None:
+                self.quotes = False
+                break
+            at = a.end()
+            if a[1]:
+                return m.start(), at, bool(m[1]), tag, attributes
+            attributes.append((a[2].lower(), next((v for v in a.groups()[2:] if v is not None), "")))
+        at = s.find(">", m.end()) + 1 or len(s)
+        return m.start(), at, bool(m[1]), tag, [(k.lower(), v.strip("\"'")) for k, v in
+                                                re.findall(r"(?<!\S)([^\s=]++)=(\S++)", s[m.end():at - 1])]
+
+    def after_raw(self, tag: str, at: int) -> int | None:
+        """Where a raw-text element ends, None if nothing ends it."""
+        if tag in self.endless:
+            return None
+        end = _RAW_END[tag].search(self.source, at)
+        if end is None:
+            self.endless.add(tag)
+            return None
+        return end.end()
+
+    def self_closed(self, end: int) -> bool:
+        return self.source[max(0, end - 60):end - 1].rstrip().endswith("/")
+
+
 def _ends(source: str) -> dict[int, int]:
     """Where the element ends whose start tag ends here, of the paired tags that have their end tag."""
-    out, open_ = {}, {}
-    for m in _PAIRED.finditer(source):
-        if m[2] is None:
-            continue
-        starts = open_.setdefault(m[2].lower(), [])
-        if not m[1]:
-            if not _self_closed(m[2].lower(), m[3]):
-                starts.append(m.end())
-        elif starts:
-            out[starts.pop()] = m.end()
+    out, open_, scanner, at = {}, {}, _Scanner(source), 0
+    while (found := scanner.next(at)) is not None:
+        _, at, closing, tag, _ = found
+        if tag in RAW and not closing:
+            at = scanner.after_raw(tag, at) or at
+        elif tag in _PAIRED:
+            starts = open_.setdefault(tag, [])
+            if not closing:
+                if not (tag in ("svg", "math") and scanner.self_closed(at)):
+                    starts.append(at)
+            elif starts:
+                out[starts.pop()] = at
     return out
 
 
-def _self_closed(tag: str, attributes: str) -> bool:
-    return tag in ("svg", "math") and attributes.rstrip().endswith("/")
+def class_words(attributes) -> frozenset:
+    """Words of the class, id and role values: each name whole, and the first and last word of a
+    compound one (``comment-list``, ``site-footer``), unless it names a category or kind of the
+    text (``category-social``)."""
+    out = set()
+    for key, value in attributes:
+        if key in ("class", "id", "role"):
+            for name in value.lower().split():
+                parts = _PART.findall(name)
+                if parts and (len(parts) == 1 or parts[0] not in TAXONOMY):
+                    out.update((name, parts[0], parts[-1]))
+    return frozenset(out)
 
 
 def parse(source: str | None) -> Page:
@@ -98,42 +165,57 @@ def parse(source: str | None) -> Page:
     which goes on after them; one without its end tag closes where the next block starts.
     """
     source = source or ""
+    scanner = _Scanner(source)
     tags, words, parent, depth = ["html"], [frozenset()], [-1], [0]
+    open_at: dict[str, list[int]] = {}   # places in the stack by tag, and of what bounds an implied end
+    bounds: list[int] = []
     text_len, link_len = [0], [0]
     runs: list[tuple[int, str]] = []
     stack, links = [0], 0
     parts: list[str] = []
     held: list[list] = []      # (place of a control in the stack, the text before it, its links)
+    put_out = 0                # so many of them hold no text any more
     ends: dict[int, int] | None = None
     unended: set[int] = set()  # controls without their end tag
 
     def put(node: int, pieces: list[str]):
-        t = " ".join(html.unescape("".join(pieces)).split())
+        t = "".join(pieces)
+        if "&" in t:  # a number of thousands of digits is no code point, but Python refuses to read it
+            t = html.unescape(_LONG_NUMBER.sub(lambda m: "&#" + (m[1].lstrip("0")[:8] or "0"), t))
+        t = " ".join(t.split())
         if t:
             runs.append((node, t))
             text_len[node] += len(t)
 
     def flush():
-        nonlocal parts
-        for h in held:
+        nonlocal parts, put_out
+        for h in held[put_out:]:
             put(stack[h[0] - 1], h[1])
             h[1] = []
+        put_out = len(held)
         put(stack[-1], parts)
         parts = []
 
     def close_to(n: int):
         """Close what stands from n; after a control the text around it goes on."""
-        nonlocal parts, links
+        nonlocal parts, links, put_out
         while len(stack) > n:
-            put(stack.pop(), parts)
+            node = stack.pop()
+            open_at[tags[node]].pop()
+            if bounds and bounds[-1] == len(stack):
+                bounds.pop()
+            put(node, parts)
             parts, links = [], 0
             if held and held[-1][0] == len(stack):
                 _, parts, links = held.pop()
+                put_out = min(put_out, len(held))
 
-    def add(tag: str, attributes: str):
-        marks = {w for _, a, b, c in _MARKED.findall(attributes) for w in _PART.findall((a or b or c).lower())}
+    def add(tag: str, attributes):
         tags.append(tag)
-        words.append(frozenset(marks))
+        words.append(class_words(attributes) if attributes else frozenset())
+        open_at.setdefault(tag, []).append(len(stack))
+        if tag in _SCOPE or tag in CONTROLS:
+            bounds.append(len(stack))
         parent.append(stack[-1])
         depth.append(depth[stack[-1]] + 1)
         text_len.append(0)
@@ -142,35 +224,31 @@ def parse(source: str | None) -> Page:
 
     at = 0
     while at < len(source):
-        m = _TOKEN.search(source, at)
-        text = source[at:m.start() if m else len(source)]
+        found = scanner.next(at)
+        text = source[at:found[0] if found else len(source)]
         if text:
             parts.append(text)
             if links:
                 link_len[stack[-1]] += len(text.strip())
-        if m is None:
+        if found is None:
             break
-        at = m.end()
-        if m[2] is None:
+        _, at, closing, tag, attributes = found
+        if tag is None:
             continue
-        tag = m[2].lower()
-        if m[1]:
-            if tag in BLOCK or tag in CONTROLS:
-                for n in range(len(stack) - 1, 0, -1):
-                    if tags[stack[n]] == tag:
-                        close_to(n)
-                        break
+        if closing:
+            if open_at.get(tag):
+                close_to(open_at[tag][-1])
             elif tag == "a":
                 links = max(0, links - 1)
             continue
         if tag in RAW:
-            if m[3].rstrip().endswith("/") and tags[stack[-1]] in ("svg", "math"):
+            empty = scanner.self_closed(at)
+            if empty and tags[stack[-1]] in ("svg", "math"):
                 continue
-            end = _RAW_END[tag].search(source, at)
-            at = end.end() if end else (at if m[3].rstrip().endswith("/") else len(source))
+            at = scanner.after_raw(tag, at) or (at if empty else len(source))
             continue
         if tag == "template" or tag in CONTROLS:
-            if _self_closed(tag, m[3]):
+            if tag in ("svg", "math") and scanner.self_closed(at):
                 continue
             ends = _ends(source) if ends is None else ends
             if tag == "template":
@@ -184,7 +262,7 @@ def parse(source: str | None) -> Page:
             close_to(n)
             held.append([len(stack), parts, links])
             parts, links = [], 0
-            add(tag, m[3])
+            add(tag, attributes)
             if at not in ends:
                 unended.add(stack[-1])
             continue
@@ -200,15 +278,12 @@ def parse(source: str | None) -> Page:
             flush()
             if tags[stack[-1]] == "p" or tags[stack[-1]] in ("h1", "h2", "h3", "h4", "h5", "h6"):
                 n -= 1
-            for k in range(n - 1, 0, -1):
-                if tags[stack[k]] in _CLOSES.get(tag, ()):
-                    n = k
-                    break
-                if tags[stack[k]] in _SCOPE or tags[stack[k]] in CONTROLS:
-                    break
+            begun = max((open_at[t][-1] for t in _CLOSES.get(tag, ()) if open_at.get(t)), default=0)
+            if begun and begun >= (bounds[-1] if bounds else 0):
+                n = min(n, begun)
             close_to(n)
             links = 0
-            add(tag, m[3])
+            add(tag, attributes)
     close_to(1)
     flush()
     n = len(tags)
@@ -226,11 +301,12 @@ def parse(source: str | None) -> Page:
             x[i, :_BASE] = (1, min(3.0, np.log10(1 + text_len[i])), min(4.0, np.log10(1 + below[i])), share, share > 0.5,
                             below[i] / total, min(depth[i], 10) / 10, min(children[i], 10) / 10)
         x[i, _TAG.get(tags[i], _TAG["other"])] = 1
+        frame = tags[i] in ("article", "main")  # no class makes one of these off content
         for w in words[i]:
-            if w in _WORD:
+            if w in _WORD and not (frame and w in _NOISE):
                 x[i, _WORD[w]] = 1
-        noisy = tags[i] in _OFF or any(w in NOISE for w in words[i])
-        good = tags[i] in ("article", "main") or any(w in GOOD for w in words[i])
+        noisy = tags[i] in _OFF or (not frame and not _NOISE.isdisjoint(words[i]))
+        good = frame or any(w in GOOD for w in words[i])
         top = parent[i] >= 0 and tags[parent[i]] in ("html", "body")
         kind[i] = 2 if noisy else 1 if good else 0 if tags[i] in ("html", "body") else 4 if top else 3
     return Page(np.array(parent), x, kind, runs)
@@ -328,11 +404,13 @@ def content_text(page: Page, w: np.ndarray, pair: np.ndarray) -> str:
     return " ".join(t for i, t in page.runs if p[i] >= 0.5)
 
 
-def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample_pages: int = SAMPLE_PAGES):
+def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample_pages: int = SAMPLE_PAGES,
+          sample_nodes: int = SAMPLE_NODES):
     """Fit on a bounded sample of the pages that ``marked_label`` can label.
 
     The sample is those whose id hash falls below a share of the range chosen so that
-    ``sample_pages`` are expected; the driver gets node features of the sample only.
+    ``sample_pages`` are expected, without those of more than ``sample_nodes`` nodes; the driver
+    gets node features of the sample only.
     """
     ship_package(pages.sparkSession)
     rows = pages.where(F.col(html_col).isNotNull())
@@ -348,7 +426,7 @@ def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sam
             for name, source in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 page = parse(source.as_py())
                 page.label = marked_label(page)
-                if page.label is not None and len(page.label) <= 5000:
+                if page.label is not None and len(page.label) <= sample_nodes:
                     out.append((name, pickle.dumps((page.parent, page.x, page.kind, page.label))))
             yield make(out)
 
@@ -363,10 +441,12 @@ def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sam
 
 
 def main_text(pages: DataFrame, model, html_col: str = "html") -> DataFrame:
-    """The input with a string ``_text``: empty for null, empty or textless pages.
+    """The input with a string ``_text`` (``_text_`` and so on, if the input has that column): empty
+    for null, empty or textless pages.
 
     Character references are decoded; white space inside a block becomes one space; blocks
-    are joined by one space in page order.  Nothing is cut, whatever the length.
+    are joined by one space in page order.  Nothing is cut, whatever the length; the work is linear
+    in the page, also for unclosed tags and quotes and for stray end tags.
     """
     ship_package(pages.sparkSession)
     w, pair = model
@@ -374,4 +454,4 @@ def main_text(pages: DataFrame, model, html_col: str = "html") -> DataFrame:
     def extract(source):
         return content_text(parse(source), w, pair)
 
-    return pages.withColumn("_text", column_of(pages, html_col, lambda: extract, "string"))
+    return pages.withColumn(free_name(pages, "_text"), column_of(pages, html_col, lambda: extract, "string"))

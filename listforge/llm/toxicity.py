@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from listforge.llm.common import batches, column_of
+from listforge.llm.common import batches, column_of, free_name
 from listforge.session import ship_package
 
 WORD = re.compile(r"[^\W_]+(?:[*@$!][^\W_]+)*")  # st*pid, 1diot
@@ -343,11 +343,12 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
-    """The input with a double ``_toxicity`` from 0 to 1, over the whole text.
+    """The input with a double ``_toxicity`` (``_toxicity_`` and so on, if the input has that column)
+    from 0 to 1, over the whole text.
 
     Null and empty texts have the score of a text without matches.
     """
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # terms of a bounded sample
 
-    return docs.withColumn("_toxicity", column_of(docs, text_col, lambda: shared.value.score, "double"))
+    return docs.withColumn(free_name(docs, "_toxicity"), column_of(docs, text_col, lambda: shared.value.score, "double"))

@@ -1,6 +1,8 @@
 """The tree model against enumeration, extraction of marked pages, the automaton against edit distance."""
 
 import itertools
+import re
+import time
 
 import numpy as np
 import pytest
@@ -77,7 +79,7 @@ def test_extraction_of_marked_pages(spark, model):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     for r in page_graph.main_text(pages, model).collect():
         inner = r["html"].split("<article>")[1].split("</article>")[0]
-        words = page_graph._TOKEN.sub(lambda m: "" if m[0] in ("<b>", "</b>") else " ", inner)
+        words = re.sub(r"<[^>]*>", lambda m: "" if m[0] in ("<b>", "</b>") else " ", inner)
         assert r["_text"] == " ".join(page_graph.html.unescape(words).split())
 
 
@@ -93,6 +95,77 @@ def test_extraction_of_edge_rows(spark, model):
     assert page_graph.main_text(df.limit(0), page_graph.train(df.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("tag", ["<p title=it's>", "<p title='it\"s'>", '<p title="a > b">', "<p title = x'y\"z>", "<p a'b>",
+                                 "<p =a>", "<p/>", "<p title=''>", "<P\n>"])
+def test_quotes_count_after_an_equals_sign_only(model, tag):
+    html = f"<article>{tag}Hello world text</p><p>I don't know \"that</p><p>End</p></article>"
+    assert page_graph.content_text(page_graph.parse(html), *model) == "Hello world text I don't know \"that End"
+
+
+def test_a_quote_that_never_closes_ends_with_its_tag():
+    page = page_graph.parse('<div class="a><p>one</p>\n<p class=b>two</p>')
+    assert [t for _, t in page.runs] == ["one", "two"]
+    page = page_graph.parse('<p x="1>" y="2>" one')
+    assert [t for _, t in page.runs] == ['" y="2>" one']
+    for end in ("<p", "<p class='x", "<!-- x", "<!x", "</p", "<p x='>"):
+        assert [t for _, t in page_graph.parse("<p>one</p>" + end).runs] == ["one"]
+    assert [t for _, t in page_graph.parse("<!--><p>one<!--->two<!-- > -->three").runs] == ["onetwothree"]
+
+
+@pytest.mark.parametrize("name", ["post-12 type-post category-social", "legal-notice", "story-alert", "article-tags",
+                                  "content-ad", "related"])
+@pytest.mark.parametrize("paragraphs", [1, 2])
+def test_no_class_takes_an_article_away(model, name, paragraphs):
+    text = ("The river rose through the night and by morning the lower road was closed to traffic. " * 4)[:283].strip()
+    html = (f"<html><body><nav><a href=/>Home</a></nav><article class='{name}'>" + f"<p>{text}</p>" * paragraphs
+            + "<div class='respond-list'><p>I like this a lot, thank you for writing it.</p></div></article></body></html>")
+    assert page_graph.content_text(page_graph.parse(html), *model) == " ".join([text] * paragraphs)
+
+
+def test_class_names_count_whole_and_by_their_ends():
+    def words(value):
+        return page_graph.class_words([("class", value), ("title", "ad")])
+
+    assert "comment" in words("comment-list") and "footer" in words("Site-Footer")
+    assert words("category-social tag-ad type-post status-publish") == frozenset()
+    assert "ad" not in words("gradient shadow") and "menu" not in words("x-menu-y")
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<div>", "<div></p>", "x <y ", "<a x=\"1>\" ", "<li><ul><pre>", "<pre><li></li>",
+                                  "<object><p>a</object>", "<svg><p>a", "<title/>", "</title ", "<!--", "<a b='", "&#1"])
+def test_work_is_linear_in_the_page(unit):
+    def seconds(size):
+        source, best = unit * (size // len(unit)), 9.0
+        for _ in range(2):
+            begun = time.process_time()
+            page_graph.parse(source)
+            best = min(best, time.process_time() - begun)
+        return best
+
+    assert seconds(400_000) < 8 * seconds(100_000) + 0.2  # four times the page; a quadratic scan takes 16
+
+
+def test_numbers_of_any_length_are_read():
+    page = page_graph.parse("<p>a&#" + "1" * 6000 + ";b&#" + "0" * 5000 + "65;&#x" + "0" * 5000 + "41;")
+    assert [t for _, t in page.runs] == ["a\ufffdbAA"]
+
+
+def test_large_pages_leave_the_sample_by_a_parameter(spark):
+    small, large = "<article><p>a</p></article>", "<article>" + "<p>a</p>" * 30 + "</article>"
+    df = spark.createDataFrame([(1, small), (2, large)], "page_id long, html string")
+    only_small = page_graph.train(df.where("page_id = 1"))
+    for got, want in zip(page_graph.train(df, sample_nodes=10), only_small, strict=True):
+        assert np.array_equal(got, want)
+    assert not np.array_equal(page_graph.train(df)[0], only_small[0])
+
+
+def test_results_stand_beside_columns_of_their_names(spark, model):
+    df = spark.createDataFrame([(1, "<article>words</article>", "x", "y")], "page_id long, html string, _text string, _Toxicity string")
+    assert page_graph.main_text(df, model).first()["_text_"] == "words"
+    got = toxicity.score_documents(df, toxicity.ToxicityModel(), "html")
+    assert got.first()["_Toxicity"] == "y" and 0 <= got.first()["_toxicity_"] <= 1
+
+
 def _distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
