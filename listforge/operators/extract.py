@@ -1,30 +1,69 @@
 """Text extraction over an HTML corpus as Spark jobs.
 
-The relational part (routing, de-duplicating fetch URLs, joining details back to
-listings) is DataFrame code.  Only the per-page parse runs in Python, inside
-``mapInPandas`` on Arrow batches; each page is parsed once.
+Routing, de-duplicating fetch URLs, the order of the tiers, their thresholds, texts,
+warnings and domains are DataFrame code.  Only the parse runs in Python, on Arrow batches:
+a task turns each page once into its strings and the ranges of the elements that matter.
 """
 
 from __future__ import annotations
 
-from typing import Iterator
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from listforge import schemas as S
 from listforge.functions import columns as C
 from listforge.functions import page_text as P
 from listforge.session import ship_package
 
-_DETAIL_NAMES = [f.name for f in S.DETAILS.fields]
-_FLAT_DETAILS = [T.StructField("d_" + f.name, f.dataType) for f in S.DETAILS.fields]
+_SPAN = T.StructType().add("first", "integer").add("n", "integer")
+_PARTS = (T.StructType().add("ld", "string").add("ld_error", "string").add("strings", T.ArrayType(T.StringType()))
+          .add("main", _SPAN).add("heavy", _SPAN).add("paragraphs", T.ArrayType(_SPAN)).add("body", _SPAN)
+          .add("error", "string"))
+NO_ELEMENT = "Content selector not found"
 
 
-def _details_struct(prefix: str = "d_"):
-    return F.struct(*[F.col(prefix + n).alias(n) for n in _DETAIL_NAMES])
+def parse_pages(pages: DataFrame, options: P.ExtractOptions = P.DEFAULT_OPTIONS) -> DataFrame:
+    """(k, html, internal) -> (k, parts): strings and ranges of every page, parsed once."""
+    ship_package(pages.sparkSession)
+    parts_type = to_arrow_type(_PARTS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [P.page_parts(h.as_py(), i.as_py(), options)
+                     for h, i in zip(batch.column(1), batch.column(2), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, type=parts_type)], names=["k", "parts"])
+
+    schema = T.StructType([pages.schema["k"], T.StructField("parts", _PARTS)])
+    return pages.select("k", "html", "internal").mapInArrow(run, schema)
+
+
+def _joined(span: Column, separator: str) -> Column:
+    return F.array_join(F.slice(F.col("parts.strings"), span["first"] + 1, span["n"]), separator)
+
+
+def _span_text(name: str) -> Column:
+    """Cleaned text of an element; null without it."""
+    span = F.col(f"parts.{name}")
+    return F.when(span.isNotNull(), C.clean_text(_joined(span, "\n")))
+
+
+def _heavy_text(least: int) -> Column:
+    """Cleaned text of the longest div if its raw text is long enough."""
+    raw = _joined(F.col("parts.heavy"), "\n")
+    return F.when(F.length(raw) >= max(1, least), C.clean_text(raw))
+
+
+def _paragraph_text() -> Column:
+    return C.clean_text(F.array_join(F.transform("parts.paragraphs", lambda p: _joined(p, " ")), " "))
+
+
+def _short_error(text: Column) -> Column:
+    return F.concat(F.lit("Insufficient content ("), F.length(text).cast("string"), F.lit(" chars)"))
 
 
 def extract_corpus(pages: DataFrame, options: P.ExtractOptions = P.DEFAULT_OPTIONS,
@@ -33,69 +72,79 @@ def extract_corpus(pages: DataFrame, options: P.ExtractOptions = P.DEFAULT_OPTIO
 
     ``route`` picks the cascade per row ('external' default, 'internal' for the
     custom-element pages, 'none' for rows without any address).  A non-200
-    ``http_status`` gives a failure row without a warning.  ``html`` is dropped.
+    ``http_status`` gives a failure row without a warning (statistics count it as
+    UNKNOWN).  ``html`` is dropped.
     """
-    cols = set(pages.columns)
+    cols, least = set(pages.columns), options.min_valid_length
     route = F.col("route") if "route" in cols else F.lit(S.SOURCE_EXTERNAL)
     status = F.col("http_status").cast("int") if "http_status" in cols else F.lit(200)
-    ship_package(pages.sparkSession)
-    keys = list(key_cols)
-    inp = pages.select(*keys, "url", "html", route.alias("route"), status.alias("http_status"))
-    key_fields = [inp.schema[k] for k in keys]
-    out_schema = T.StructType(key_fields + [T.StructField("url", T.StringType())] + _FLAT_DETAILS)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for url, html, rt, st in zip(pdf["url"], pdf["html"], pdf["route"], pdf["http_status"]):
-                if rt == S.SOURCE_NONE:
-                    rows.append(P.no_route())
-                elif st is not None and not pd.isna(st) and int(st) != 200:
-                    domain = options.internal_domain if rt == S.SOURCE_INTERNAL else P.url_domain(url)
-                    rows.append(P.http_failure(int(st), url, rt, domain))
-                elif rt == S.SOURCE_INTERNAL:
-                    rows.append(P.extract_internal(html, url, options))
-                else:
-                    rows.append(P.extract_external(html, url, options))
-            out = pdf[keys + ["url"]].copy()
-            for name in _DETAIL_NAMES:
-                values = [r[name] for r in rows]
-                if name == "text_length":
-                    out["d_" + name] = pd.array(values, dtype="Int64")
-                elif name == "success":
-                    out["d_" + name] = pd.array(values, dtype="boolean")
-                else:
-                    out["d_" + name] = pd.Series(values, dtype=object)
-            yield out
-
-    flat = inp.mapInPandas(run, out_schema)
-    return flat.select(*keys, "url", _details_struct().alias("details"))
-
-
-def _text_tier(pages: DataFrame, fn, col_name: str, options: P.ExtractOptions) -> DataFrame:
-    ship_package(pages.sparkSession)
-    inp = pages.select("page_id", "url", "html")
-    out_schema = T.StructType([
-        T.StructField("page_id", T.LongType()),
-        T.StructField("url", T.StringType()),
-        T.StructField(col_name, T.StringType()),
-    ])
-
-    def run(batches):
-        for pdf in batches:
-            out = pdf[["page_id", "url"]].copy()
-            out[col_name] = [fn(h, options) for h in pdf["html"]]
-            yield out
-
-    return inp.mapInPandas(run, out_schema)
+    fetched = ~F.coalesce(route == S.SOURCE_NONE, F.lit(False)) & F.coalesce(status == 200, F.lit(True))
+    parsed = parse_pages(pages.select(
+        F.struct(*key_cols, "url", route.alias("route"), status.alias("http_status")).alias("k"),
+        F.when(fetched, F.col("html")).alias("html"),
+        F.coalesce(route == S.SOURCE_INTERNAL, F.lit(False)).alias("internal")), options)
+    kind, url = F.col("k.route"), F.col("k.url")
+    internal = F.coalesce(kind == S.SOURCE_INTERNAL, F.lit(False))
+    broken = F.coalesce(F.col("parts.error"), F.col("parts.ld_error"))
+
+    # each text is made only where no earlier tier has decided the page
+    t = parsed.withColumns({"ld": C.clean_text("parts.ld"), "main": _span_text("main")})
+    t = t.withColumn("tier", F.when(kind == S.SOURCE_NONE, "none").when(F.col("k.http_status") != 200, "http")
+                     .when(broken.isNotNull(), "broken")
+                     .when(internal, F.when(F.col("main").isNotNull(), "internal").otherwise("no element"))
+                     .when(F.col("ld") != "", "ld").when(F.length("main") >= least, "main")
+                     .when(C.needs_javascript("main"), "script"))
+    for name, text in (("heavy", _heavy_text(least)), ("paragraphs", _paragraph_text()),
+                       ("body", F.coalesce(_span_text("body"), F.lit("")))):
+        t = t.withColumn(name, F.when(F.col("tier").isNull(), text))
+        good = (F.col(name).isNotNull() if name == "heavy"
+                else (F.col(name) != "") & (F.length(name) >= least) if name == "paragraphs" else F.lit(True))
+        t = t.withColumn("tier", F.coalesce("tier", F.when(good, name)))
+    tier = F.col("tier")
+
+    def by_tier(**values) -> Column:
+        """A value by tier, null for the tiers not named."""
+        return F.coalesce(*[F.when(tier == name.replace("_", " "), value) for name, value in values.items()])
+
+    text = by_tier(ld=F.col("ld"), main=F.col("main"), internal=F.col("main"), script=F.col("main"),
+                   heavy=F.col("heavy"), paragraphs=F.col("paragraphs"), body=F.col("body"),
+                   broken=F.when(F.col("parts.error") == P.NO_INTERNAL_PAGE, F.lit("")))
+    t = t.withColumn("text", text)
+    body = F.col("text")
+    details = {
+        "success": tier.isin("ld", "main", "heavy", "paragraphs", "internal"),
+        "text": body,
+        "url": F.when(tier != "none", url),
+        "source": F.when(tier == "none", S.SOURCE_NONE).when(tier == "http", kind)
+        .when(internal, S.SOURCE_INTERNAL).otherwise(S.SOURCE_EXTERNAL),
+        "method": by_tier(ld=S.METHOD_JSON_LD, main=S.METHOD_CSS, internal=S.METHOD_CSS, script=S.METHOD_CSS,
+                          heavy=S.METHOD_HEAVY_DIV, paragraphs=S.METHOD_PARAGRAPHS, body=S.METHOD_FALLBACK),
+        "text_length": F.when(tier != "none", F.coalesce(F.length("text"), F.lit(0))),
+        "domain": F.when(tier == "none", F.lit(None)).when(internal, F.lit(options.internal_domain)).otherwise(
+            C.url_domain(url)),
+        "warning": by_tier(broken=S.WARN_EXCEPTION, no_element=S.WARN_NO_CONTENT, script=S.WARN_JS_REQUIRED,
+                           body=C.fallback_warning(body, least)),
+        "error": by_tier(none=F.lit("No refnr or external URL available"),
+                         http=F.concat(F.lit("HTTP "), F.col("k.http_status").cast("string")), broken=broken,
+                         no_element=F.lit(NO_ELEMENT), script=F.lit("JavaScript required"), body=_short_error(body)),
+    }
+    row = F.struct(*[details[f.name].cast(f.dataType).alias(f.name) for f in S.DETAILS.fields])
+    return t.select(*[F.col("k")[c].alias(c) for c in key_cols], url.alias("url"), row.alias("details"))
+
+
+def _parts_by_id(pages: DataFrame, options: P.ExtractOptions) -> DataFrame:
+    return parse_pages(pages.select(F.struct("page_id", "url").alias("k"), "html", F.lit(False).alias("internal")), options)
 
 
 def tier_text(pages: DataFrame, tier: str,
               options: P.ExtractOptions = P.DEFAULT_OPTIONS) -> DataFrame:
-    """One tier on its own for every page: 'json_ld' (X4), 'heavy_div' (X7), 'paragraphs' (X8)."""
-    fn = {"json_ld": P.json_ld_text, "heavy_div": P.heavy_div_text,
-          "paragraphs": P.paragraphs_text}[tier]
-    t = _text_tier(pages, fn, "tier_text", options)
+    """One tier on its own for every page: 'json_ld' (X4), 'heavy_div' (X7), 'paragraphs' (X8).
+
+    X4 and X7 are null where the tier finds nothing, X8 is empty.
+    """
+    text = {"json_ld": F.when(F.col("parts.ld").isNotNull(), C.clean_text("parts.ld")),
+            "heavy_div": _heavy_text(options.min_valid_length), "paragraphs": _paragraph_text()}[tier]
+    t = _parts_by_id(pages, options).select(F.col("k.page_id").alias("page_id"), text.alias("tier_text"))
     return t.select("page_id", "tier_text",
                     F.length("tier_text").cast("long").alias("tier_length"),
                     (F.coalesce(F.length("tier_text"), F.lit(0)) >= options.min_valid_length)
@@ -104,7 +153,7 @@ def tier_text(pages: DataFrame, tier: str,
 
 def main_content(pages: DataFrame, options: P.ExtractOptions = P.DEFAULT_OPTIONS) -> DataFrame:
     """X5+X6 for every page: text of the main-content element after boilerplate removal."""
-    t = _text_tier(pages, P.main_content_text, "main_text", options)
+    t = _parts_by_id(pages, options).select("k.page_id", "k.url", F.coalesce(_span_text("main"), F.lit("")).alias("main_text"))
     return t.select(
         "page_id",
         C.url_domain("url").alias("domain"),
@@ -117,14 +166,13 @@ def main_content(pages: DataFrame, options: P.ExtractOptions = P.DEFAULT_OPTIONS
 
 def fallback_outcome(pages: DataFrame, options: P.ExtractOptions = P.DEFAULT_OPTIONS) -> DataFrame:
     """X5+X9 for every page: body text after boilerplate removal and the warning rule."""
-    t = _text_tier(pages, P.fallback_text, "body_text", options)
+    t = _parts_by_id(pages, options).select("k.page_id", F.coalesce(_span_text("body"), F.lit("")).alias("body_text"))
     return t.select(
         "page_id",
         "body_text",
         F.length("body_text").cast("long").alias("body_length"),
         C.fallback_warning("body_text", options.min_valid_length).alias("warning"),
-        F.concat(F.lit("Insufficient content ("), F.length("body_text").cast("string"),
-                 F.lit(" chars)")).alias("error"),
+        _short_error(F.col("body_text")).alias("error"),
     )
 
 

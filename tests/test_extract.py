@@ -1,13 +1,21 @@
 """Extraction cascade: every tier, every warning, the length borders and tree quirks."""
 
 import json
+import time
 
+import plain
 import pytest
 
 from listforge import schemas as S
 from listforge.functions import page_text as P
 from listforge.operators import extract as X
 
+
+def extract(spark, html, url="u", options=P.DEFAULT_OPTIONS, route=S.SOURCE_EXTERNAL):
+    df = spark.createDataFrame([(1, url, html, route)], "page_id long, url string, html string, route string")
+    return X.extract_corpus(df, options).select("details.*").first().asDict()
+
+
 LONG = "word " * 300  # 1500 characters
 
 
@@ -53,57 +61,50 @@ CASES = {
 }
 
 
-@pytest.mark.parametrize("name", sorted(CASES))
-def test_cascade_helper(name):
-    html, success, method, warning = CASES[name]
-    d = P.extract_external(html, "https://user@jobs.example.org:8080/x?y#z")
-    assert d["success"] is success
-    assert d["method"] == method
-    assert d["warning"] == warning
-    assert d["domain"] == ("user@jobs.example.org:8080")
-
-
-def test_cascade_on_spark_matches_helper(spark):
-    rows = [(i, f"https://h{i}.example.org/p", CASES[n][0]) for i, n in enumerate(sorted(CASES))]
+def test_cascade(spark):
+    rows = [(i, f"https://user@h{i}.example.org:8080/x?y#z", CASES[n][0]) for i, n in enumerate(sorted(CASES))]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r["page_id"]: r for r in X.extract_corpus(df).select("page_id", "details.*").collect()}
     for i, n in enumerate(sorted(CASES)):
-        want = P.extract_external(CASES[n][0], f"https://h{i}.example.org/p")
-        for k in ("success", "method", "warning", "text_length", "text", "error"):
-            assert got[i][k] == want[k], (n, k)
+        _, success, method, warning = CASES[n]
+        assert (got[i]["success"], got[i]["method"], got[i]["warning"]) == (success, method, warning), n
+        assert got[i]["domain"] == f"user@h{i}.example.org:8080"
+        assert got[i]["text_length"] == len(got[i]["text"] or ""), n
+    null = got[sorted(CASES).index("null_html")]
+    assert null["text"] is None and null["error"] == P.NO_PAGE
 
 
-def test_lenient_json_ld_skips_broken_block():
+def test_lenient_json_ld_skips_broken_block(spark):
     html = CASES["broken_ld_first"][0]
-    d = P.extract_external(html, "u", P.ExtractOptions(lenient_json_ld=True))
+    d = extract(spark, html, options=P.ExtractOptions(lenient_json_ld=True))
     assert d["method"] == S.METHOD_JSON_LD and d["text_length"] == 2000
 
 
-def test_paragraph_tier_counts_nested_text_twice():
+def test_paragraph_tier_counts_nested_text_twice(spark):
     html = CASES["paragraphs_nested"][0]
-    d = P.extract_external(html, "u")
+    d = extract(spark, html)
     assert d["text_length"] == 450 + 1 + 420 + 1 + 420
 
 
-def test_inline_tags_nbsp_comments_entities():
+def test_inline_tags_nbsp_comments_entities(spark):
     html = page("<main>a<b>b</b> c <!-- hidden --> d&amp;e " + exact(1000) + "</main>")
-    d = P.extract_external(html, "u")
+    d = extract(spark, html)
     assert d["text"].startswith("a b c d&e ")
     assert "hidden" not in d["text"]
 
 
-def test_fallback_error_text():
-    d = P.extract_external(CASES["main_999"][0], "u")
+def test_fallback_error_text(spark):
+    d = extract(spark, CASES["main_999"][0])
     assert d["error"] == "Insufficient content (999 chars)"
 
 
-def test_internal_pages():
+def test_internal_pages(spark):
     sel = S.INTERNAL_CONTENT_SELECTOR
-    ok = P.extract_internal(f"<html><body><header>h</header><{sel}>short text</{sel}></body></html>", "u")
+    ok = extract(spark, f"<html><body><header>h</header><{sel}>short text</{sel}></body></html>", route=S.SOURCE_INTERNAL)
     assert ok["success"] and ok["text"] == "short text" and ok["method"] == S.METHOD_CSS
-    missing = P.extract_internal("<html><body><p>x</p></body></html>", "u")
+    missing = extract(spark, "<html><body><p>x</p></body></html>", route=S.SOURCE_INTERNAL)
     assert not missing["success"] and missing["warning"] == S.WARN_NO_CONTENT
-    empty = P.extract_internal(None, "u")
+    empty = extract(spark, None, route=S.SOURCE_INTERNAL)
     assert empty["warning"] == S.WARN_EXCEPTION and empty["text"] == ""
 
 
@@ -128,7 +129,7 @@ def test_url_domain_expression_matches_python(spark):
             "HTTPS://UP.example/?q", "ftp://h#f", ""]
     df = spark.createDataFrame([(u,) for u in urls], "url string")
     got = [r[0] for r in df.select(C.url_domain("url")).collect()]
-    assert got == [P.url_domain(u) for u in urls]
+    assert got == [plain.url_domain(u) for u in urls]
 
 
 def test_clean_text_expression_matches_python(spark):
@@ -137,7 +138,7 @@ def test_clean_text_expression_matches_python(spark):
     texts = ["  a \t b\n\nc  ", "x  y　", "", None, " z\x1c"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r[0] for r in df.select(C.clean_text("t")).collect()]
-    assert got == [P.clean_text(t) for t in texts]
+    assert got == [plain.clean_text(t) for t in texts]
 
 
 def test_extract_listings_routes_and_failures(spark):
@@ -175,26 +176,62 @@ def test_extract_listings_routes_and_failures(spark):
     assert f[5]["url"] == "" and f[5]["error_type"] == "ERROR" and f[5]["title"] == "t5"
 
 
-def test_json_ld_description_that_is_no_string():
+def test_json_ld_description_that_is_no_string(spark):
     long_list = ["x"] * 1500
-    d = P.extract_external(page(f"<main>{LONG}</main>", ld({"@type": "JobPosting", "description": long_list})), "u")
+    d = extract(spark, page(f"<main>{LONG}</main>", ld({"@type": "JobPosting", "description": long_list})))
     assert d["method"] == S.METHOD_CSS  # ends the tier, not the page
-    d = P.extract_external(page(f"<main>{LONG}</main>", ld({"@type": "JobPosting", "description": 7})), "u")
+    d = extract(spark, page(f"<main>{LONG}</main>", ld({"@type": "JobPosting", "description": 7})))
     assert d["warning"] == S.WARN_EXCEPTION
     two = ld([{"@type": "JobPosting", "description": ["x"]}, {"@type": "JobPosting", "description": LONG}])
-    assert P.extract_external(page("", two), "u")["method"] == S.METHOD_JSON_LD
+    assert extract(spark, page("", two))["method"] == S.METHOD_JSON_LD
 
 
-def test_template_and_ruby_text_is_no_page_text():
-    d = P.extract_external(page("<main>a<template>hid<b>den</b></template><ruby>b<rp>(</rp><rt>c</rt></ruby> "
-                                + exact(1000) + "</main>"), "u")
+def test_template_and_ruby_text_is_no_page_text(spark):
+    d = extract(spark, page("<main>a<template>hid<b>den</b></template><ruby>b<rp>(</rp><rt>c</rt></ruby> "
+                                + exact(1000) + "</main>"))
     assert d["text"].startswith("a b abcdefghi")
 
 
-def test_deep_pages_take_linear_time():
-    import time
-
+def test_deep_pages_take_linear_time(spark):
     html = page("<div>" * 20_000 + "x " * 2000 + "</div>" * 20_000)
     t = time.perf_counter()
-    assert P.heavy_div_text(html) == ("x " * 2000).strip()
+    parts = P.page_parts(html, False)
     assert time.perf_counter() - t < 5
+    assert [x.split() for x in parts["strings"]] == [["x"] * 2000] and parts["heavy"] == {"first": 0, "n": 1}
+    assert extract(spark, html)["method"] == S.METHOD_HEAVY_DIV
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<div></p>", "</p>", "x <y ", "<!--", "<p>a</i>", "&#1"])
+def test_unended_and_stray_tags_take_linear_time(unit):
+    def seconds(size):
+        source, best = page("<div>" * 3000) + unit * (size // len(unit)), 9.0
+        for _ in range(2):
+            t = time.process_time()
+            P.page_parts(source, False)
+            best = min(best, time.process_time() - t)
+        return best
+
+    assert seconds(400_000) < 8 * seconds(100_000) + 0.2
+
+
+def test_tags_that_never_end_are_text():
+    for tail in ("x <y &amp; <b", "<p", "</p <!-- x", "<!x"):
+        parts = P.page_parts("<body><p>one</p>" + tail, False)
+        assert " ".join(parts["strings"][1:]) == tail.replace("&amp;", "&")
+    assert P.page_parts("<body>a&#" + "1" * 6000 + ";b", False)["strings"] == ["a\ufffdb"]
+
+
+def test_a_tier_alone_survives_a_broken_other(spark):
+    broken = page(f"<main>{LONG}</main><div>{LONG}</div><p>{LONG}</p>", ld({"@type": "JobPosting", "description": 7}))
+    df = spark.createDataFrame([(1, "u", broken), (2, "u", None)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["main_text"] for r in X.main_content(df).collect()} == {1: LONG.strip(), 2: ""}
+    assert {r["page_id"]: r["body_text"] for r in X.fallback_outcome(df).collect()}[2] == ""
+    for tier, empty in (("json_ld", None), ("heavy_div", None), ("paragraphs", "")):
+        got = {r["page_id"]: r["tier_text"] for r in X.tier_text(df, tier).collect()}
+        assert got == {1: None if tier == "json_ld" else LONG.strip(), 2: empty}
+
+
+def test_keys_of_any_name_come_back(spark):
+    df = spark.createDataFrame([(1, 2, "u", f"<main>{LONG}</main>")], "k long, tier long, url string, html string")
+    got = X.extract_corpus(df, key_cols=("k", "tier")).first()
+    assert (got["k"], got["tier"], got["url"], got["details"]["success"]) == (1, 2, "u", True)
