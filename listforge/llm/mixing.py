@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from listforge.llm.common import small
 from listforge.session import materialize
 
 PERIOD = 1000          # parts to share among the sources
@@ -31,17 +32,16 @@ def target_parts(docs: DataFrame, source_col: str = "source", period: int = PERI
     """(source, parts): weights proportional to documents ** temperature, at least one part."""
     n = docs.groupBy(_source_key(source_col).alias("_src")).agg(F.count(F.lit(1)).alias("_n"))
     share = F.pow("_n", F.lit(temperature))
-    every = n.agg(F.collect_list(F.struct("_src", share.alias("share"))).alias("s"),
-                  F.sum(share).alias("total"))  # one row: the sources
-    each = every.select(F.explode("s").alias("x"), "total")
-    return each.select("x._src", F.greatest(F.lit(1), F.round(
-        F.col("x.share") / F.col("total") * period)).cast("int").alias("parts"))
+    total = n.agg(F.sum(share)).scalar()
+    return n.select("_src", F.greatest(F.lit(1), F.round(share / total * period)).cast("int").alias("parts"))
 
 
 def period_schedule(parts: DataFrame) -> DataFrame:
     """One period of the schedule: _src, parts, period, k (block, from 0), slot, release, deadline.
 
-    ``parts`` has one row per source: a table of weights, bounded by its period.
+    ``parts`` has one row per source.  The slots of a period are dealt one after the other in one
+    row, since each depends on those before: as many steps as the period has slots, over the
+    sources (1,500 sources with one part or more take some seconds).
     """
     one = parts.agg(F.array_sort(F.collect_list(F.struct("_src", "parts"))).alias("s"))
     one = one.withColumn("q", F.aggregate("s", F.lit(0), lambda a, x: a + x["parts"]))
@@ -97,10 +97,10 @@ def interleave(docs: DataFrame, parts: DataFrame | None = None, id_col: str = "d
     placed = placed.withColumn("_at", F.col("_rn") + F.col("_off")).withColumn(
         "_j", F.floor(F.col("_at") / block_docs)).withColumn("_pos", F.col("_at") % block_docs)
     sizes = plan.select("_src", "parts").distinct()
-    placed = placed.join(F.broadcast(sizes), "_src")  # a row per source, below the period
+    placed = placed.join(small(sizes), "_src")  # a row per source
     placed = placed.withColumn("k", F.col("_j") % F.col("parts")).withColumn(
         "_round", F.floor(F.col("_j") / F.col("parts")))
-    placed = placed.drop("parts").join(F.broadcast(plan), ["_src", "k"])  # period rows
+    placed = placed.drop("parts").join(small(plan), ["_src", "k"])
     turn = F.col("_round") * F.col("period")
     return placed.select("_row", F.struct(
         F.col("_j").alias("block"), (F.col("release") + turn).alias("release"),

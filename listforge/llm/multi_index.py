@@ -12,6 +12,7 @@ queries, into blocks of bounded size, so a task sees a bounded part whatever the
 from __future__ import annotations
 
 import heapq
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -149,7 +150,8 @@ def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: st
                     seen: dict[int, list[int]] = {}
                     for i, j in cells_by_distance(d[0][q], d[1][q], counts, enough):
                         seen.setdefault(i, []).append(j)
-                    out += [(i, eb, ids[q] % query_cuts, ids[q], vs[q], js) for i, js in seen.items()
+                    block = crc32(ids[q].to_bytes(8, "little", signed=True)) % query_cuts  # spread, whatever the ids
+                    out += [(i, eb, block, ids[q], vs[q], js) for i, js in seen.items()
                             for eb in range(cuts[i])]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(list(c), type=f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)

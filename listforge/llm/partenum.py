@@ -196,7 +196,7 @@ def _sums(values: np.ndarray, times: np.ndarray, least: int, most: int) -> tuple
 def _describe(words: int, percent: int):
     """Per document its set's key and size; per task the shingles most of its documents share."""
     def run(parts):
-        make = batches({"doc_id": pa.int64(), "n": pa.int64(), "key": pa.binary(), "odd": pa.binary(),
+        make = batches({"doc_id": pa.int64(), "mark": pa.int64(), "n": pa.int64(), "key": pa.binary(), "odd": pa.binary(),
                         "hot": pa.int64(), "times": pa.int64()})
         seen, size, values, times = [], 0, np.empty(0, np.uint64), np.empty(0, np.int64)
 
@@ -207,9 +207,9 @@ def _describe(words: int, percent: int):
 
         for batch in parts:
             out = []
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for name, mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 s = shingle_set(text.as_py(), words)
-                out.append((name, len(s), set_key(s) if len(s) else None, odd_sketches(s, percent) if len(s) else None, None, None))
+                out.append((name, mark, len(s), set_key(s) if len(s) else None, odd_sketches(s, percent) if len(s) else None, None, None))
                 if len(s):
                     seen.append(s)
                     size += len(s)
@@ -222,7 +222,7 @@ def _describe(words: int, percent: int):
             values, times = count()
         top = slice(0, HOT_PER_TASK)
         cells, n = (values[top] >> np.uint64(64 - HOT_BITS)).tolist(), times[top].tolist()
-        yield make([(None, None, None, None, v, c) for v, c in zip(cells, n, strict=True)])
+        yield make([(None, None, None, None, None, v, c) for v, c in zip(cells, n, strict=True)])
 
     return run
 
@@ -487,12 +487,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     ship_package(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text, name = F.col(text_col).cast("string"), F.col(id_col).cast("long")
+    # rows without an id are told apart by their text
+    mark = F.when(name.isNull(), F.xxhash64(text)).otherwise(F.lit(0).cast("long"))
+    rows = docs.select(name.alias("doc_id"), mark.alias("mark"), text.alias("text"))
     described = materialize(rows.mapInArrow(
-        _describe(words, percent), "doc_id long, n long, key binary, odd binary, hot long, times long"), "partenum-sets")
-    own = described.where("n is not null").select("doc_id", "n", "key", "odd")
+        _describe(words, percent), "doc_id long, mark long, n long, key binary, odd binary, hot long, times long"), "partenum-sets")
+    own = described.where("n is not null").select("doc_id", "mark", "n", "key", "odd")
     classes = own.where("n > 0").groupBy("key").agg(
-        F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("odd").alias("odd"),
+        F.min("doc_id").alias("rep"), F.when(F.min("doc_id").isNull(), F.min("mark")).otherwise(0).alias("rep_mark"), F.min("n").alias("n"), F.min("odd").alias("odd"),
         F.count(F.lit(1)).alias("copies"))
     short = F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long")
     classes = classes.withColumn("short", short)
@@ -513,10 +516,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         _may_link(percent), "hub long, short long")
     families = connected_components(stars, "hub", "short")
     members = families.join(classes, families["node"] == classes["short"]).select(
-        F.col("root").alias("family"), "key", "rep", "n", "copies")
+        F.col("root").alias("family"), "key", "rep", "rep_mark", "n", "copies")
     members = materialize(members, "partenum-members")
 
-    links = materialize(_tasks(members).join(rows, F.col("rep").eqNullSafe(F.col("doc_id")))
+    same = F.col("rep").eqNullSafe(F.col("doc_id")) & (F.col("rep_mark") == F.col("mark"))
+    links = materialize(_tasks(members).join(rows, same)
                         .select("task", "side", "key", "copies", "text")
                         .repartition("task").sortWithinPartitions("task", "key")
                         .mapInArrow(_compare(words, percent), "key binary, root binary, links long"),
@@ -536,7 +540,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def _tasks(members: DataFrame) -> DataFrame:
-    """members with the comparisons they take part in: (task, side, key, rep, copies).
+    """members with the comparisons they take part in: (task, side, key, rep, rep_mark, copies).
 
     A family that fits one block is one task.  A larger one is cut by size band (a ratio of
     4/3, so only neighbouring bands can link) and hash into blocks; a task is one block, or
@@ -565,4 +569,4 @@ def _tasks(members: DataFrame) -> DataFrame:
     alone = one.select("family", "band", "block", F.lit(0).alias("side"),
                        F.concat_ws(":", "family", "band", "block").alias("task"))
     todo = first.unionByName(second).unionByName(alone)
-    return m.join(todo, ["family", "band", "block"]).select("task", "side", "key", "rep", "copies")
+    return m.join(todo, ["family", "band", "block"]).select("task", "side", "key", "rep", "rep_mark", "copies")

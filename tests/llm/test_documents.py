@@ -156,6 +156,27 @@ def test_period_schedule_is_earliest_deadline_first(spark):
     assert all(r["release"] <= r["slot"] < r["deadline"] for r in got)
 
 
+def test_thousands_of_sources_keep_the_schedule(spark):
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 1500).alias("source"))
+    docs = docs.unionByName(spark.range(3000).select((F.col("id") + 6000).alias("doc_id"), F.lit("hot").alias("source")))
+    rows = mixing.interleave(docs, block_docs=1).select("_row.*", "_mix.*").collect()
+    assert len({r["doc_id"] for r in rows}) == len(rows) == 9000
+    assert all(r["release"] <= r["slot"] < r["deadline"] for r in rows)
+    assert len({r["slot"] for r in rows}) == len(rows)  # a block a slot
+
+
+def test_rows_without_ids_meet_their_own_text_only(spark):
+    rows = [(None, f"one two three four five six seven eight nine w{i}") for i in range(400)]
+    rows += [(None, "one two three four five six seven eight nine w7")] * 3 + [(5, rows[9][1]), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = partenum.jaccard_components(df, percent=70)
+    # 5 of 7 shingles in common is 71 %
+    assert [(r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in got.where("n_shingles > 0").collect()] == [
+        (d, 6, 5, 403) for d in [r["doc_id"] for r in got.where("n_shingles > 0").select("doc_id").collect()]]
+    plan = got._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
 def test_interleave_keeps_every_row_and_its_source_order(spark):
     docs = edge_documents(spark)
     more = spark.range(500).select((F.col("id") + 1000).alias("doc_id"), F.lit("t").alias("text"), F.lit("en").alias("lang"),
@@ -176,6 +197,36 @@ def test_interleave_keeps_every_row_and_its_source_order(spark):
     assert mixing.mixed_order(docs).columns == docs.columns
 
 
+def test_language_score_is_the_softmax_of_averaged_grams(spark):
+    """Every byte 2- to 4-gram looked up one by one."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.train(docs, F.col("doc_id") % 3 != 0)
+    muls = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)
+
+    def plain(text):
+        if text is None or not any(c.isalpha() for c in text):
+            return "und", 0.0
+        raw = [b if b > 127 or chr(b).isalpha() else 32 for b in f" {text.lower()} ".encode()]
+        total, n = np.zeros(len(model.classes)), 0
+        for size, mul in zip((2, 3, 4), muls, strict=True):
+            for i in range(len(raw) - size + 1):
+                h = raw[i] * 257 + raw[i + 1]
+                for b in raw[i + 2:i + size]:
+                    h = (h * 0x01000193 + b) % 2 ** 32
+                total += model.logits[h * mul % 2 ** 32 >> 32 - model.bits]
+                n += 1
+        z = (total / n + model.bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        return model.classes[int(p.argmax())], p.max()
+
+    more = spark.createDataFrame([(-1, None, None), (-2, "", None), (-3, "12 !", None), (-4, "a", None), (-5, "日本語 é", None),
+                                  (-6, "Ab" * 4000, None)], docs.schema)
+    for r in langid.identify(docs.unionByName(more), model).collect():
+        lang, score = plain(r["text"])
+        assert r["_lang"]["lang_pred"] == lang and abs(r["_lang"]["score"] - score) < 1e-6
+        assert r["_lang"]["rejected"] == (lang == "und" or r["_lang"]["score"] < model.reject_below)
+
+
 def test_language_id_on_held_out_rows_and_edges(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.train(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)

@@ -46,6 +46,17 @@ def test_full_share_is_exact_with_ties_and_bad_vectors(spark, monkeypatch):
     assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got.collect()) == want
 
 
+def test_query_blocks_are_spread_whatever_the_ids(spark, monkeypatch):
+    monkeypatch.setattr(multi_index, "BLOCK_QUERIES", 10)
+    rng = np.random.default_rng(6)
+    rows = [(50 * i, rng.normal(size=4).tolist()) for i in range(100)]  # 10 cuts, all ids divisible by 50
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = multi_index.nearest(df, F.lit(True), codes=4, share=1.0)
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got.collect()) == exact(rows, [i for i, _ in rows])
+    seen = [multi_index.crc32(i.to_bytes(8, "little", signed=True)) % 10 for i, _ in rows]
+    assert max(map(seen.count, range(10))) <= 25
+
+
 def test_fewer_candidates_and_empty_tables(spark):
     kind = "vec_id long, embedding array<float>"
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (1, [1.0, 0.5])], kind)
