@@ -41,7 +41,7 @@ def period_schedule(parts: DataFrame) -> DataFrame:
 
     ``parts`` has one row per source.  The slots of a period are dealt one after the other in one
     row, since each depends on those before: as many steps as the period has slots, over the
-    sources (1,500 sources with one part or more take some seconds).
+    sources: right for any number, but slow beyond some hundreds (1,500 take over a minute).
     """
     one = parts.agg(F.array_sort(F.collect_list(F.struct("_src", "parts"))).alias("s"))
     one = one.withColumn("q", F.aggregate("s", F.lit(0), lambda a, x: a + x["parts"]))
