@@ -1,75 +1,29 @@
 """Merge listing files landing in a directory into the keyed store.
 
-The stamp in force of every ref is keyed state (``transformWithState``, RocksDB, in the
-checkpoint).  A micro-batch sends only (ref, order, stamp, file) to it; per ref it answers
-with the order and file of the row whose payload wins.  Those payloads are read back from
-the landed files, and the buckets of the store that hold the batch's refs are rewritten:
-neither the state nor the store is gone through as a whole.
-
-The state starts from the store's stamps, so a new checkpoint on an old store continues it.
-A replayed micro-batch whose save is recorded under its tag (query id and batch number) is
-skipped; one that died before that is merged again, which gives the same store.
+The state of the merge is the store: its rows hold the stamp in force of every ref.  Of a
+micro-batch only (ref, order, stamp, file) take part in the ordered step, the one of the
+batch merge, over the stamps of the buckets that hold the batch's refs.  It gives per ref the
+order and file of the row whose payload wins; those payloads are read back from the landed
+files, and the same buckets are rewritten.  All of it are column expressions.
+
+A new checkpoint on an old store continues it.  A replayed micro-batch whose save is recorded
+under its tag (query id and batch number) is skipped; one that died before that is merged
+again, which gives the same store.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from listforge import schemas as S
 from listforge.operators import store as ST
-from listforge.session import materialize, ship_package
+from listforge.session import materialize
 from listforge.sources import store_io as IO
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_WINNER = "ref_id string, eff_ord long, eff_file string"
-
-
-class StampInForce(StatefulProcessor):
-    """State per ref: the last non-empty stamp (the largest one with ``only_newer``), null if none.
-
-    Answers with one row per ref and micro-batch; ``eff_ord`` is null where no row changes it.
-    """
-
-    def __init__(self, only_newer: bool):
-        self._only_newer = only_newer
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._stamp = handle.getValueState("stamp", "stamp string")
-
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        self._stamp.update((initialState["stamp"].iloc[0],))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        codes: dict = {}  # stamps and files as small numbers: a ref may have very many rows
-        parts = []
-        for chunk in rows:
-            code = [[codes.setdefault(v, len(codes)) for v in chunk[c].tolist()] for c in ("stamp", "file")]
-            parts.append(np.array([chunk["ord"].to_numpy(), *code], dtype=np.int64))
-        ords, stamps, files = np.concatenate(parts, axis=1)
-        known, names, eff = self._stamp.exists(), list(codes), None
-        held = self._stamp.get()[0] if known else None
-        for i in np.lexsort((stamps, ords)).tolist():
-            stamp = names[stamps[i]]
-            changed = bool(stamp) and (held is None or (stamp > held if self._only_newer else stamp != held))
-            if changed or not known:
-                eff = i
-            if changed:
-                held = stamp
-            known = True
-        self._stamp.update((held,))
-        yield pd.DataFrame({"ref_id": [key[0]], "eff_ord": pd.array([None if eff is None else ords[eff]], dtype="Int64"),
-                            "eff_file": [None if eff is None else names[files[eff]]]})
-
-    def close(self) -> None:
-        pass
-
 
 def _as_fn(value):
     return value if callable(value) else (lambda _batch_id: value)
@@ -81,6 +35,21 @@ def _query_id(spark: SparkSession, checkpoint: str) -> str:
     return json.loads(meta)["id"].replace("-", "")
 
 
+def winners_of(batch: DataFrame, stored: DataFrame, only_newer: bool = False) -> DataFrame:
+    """(ref_id, ord, stamp, file) rows -> one row per ref: order and file of the row that wins.
+
+    ``eff_ord`` is null where no row changes what ``stored`` (ref_id, stamp) has of the ref.
+    """
+    known = stored.join(batch.select("ref_id").distinct(), "ref_id", "left_semi").select(
+        "ref_id", F.lit(-1).cast("long").alias("ord"), "stamp", F.lit(None).cast("string").alias("file"),
+        F.lit(True).alias("is_store"))
+    seq = ST.prior_stamps(batch.withColumn("is_store", F.lit(False)).unionByName(known), only_newer=only_newer)
+    status = ST.status_of(F.col("stamp"), F.col("prior_stamp"), F.col("seen_before"), only_newer)
+    effect = F.when(~F.col("is_store") & status.isin(ST.NEW, ST.UPDATED), F.struct("ord", "file"))
+    return seq.groupBy("ref_id").agg(F.max(effect).alias("eff")).select(
+        "ref_id", F.col("eff.ord").alias("eff_ord"), F.col("eff.file").alias("eff_file"))
+
+
 def save_winners(spark: SparkSession, winners: DataFrame, tag: str, store_root: str, query: str | None,
                  place: str | None, radius_km: int | None, as_of: str) -> None:
     """Write one micro-batch's winners into the buckets of their refs."""
@@ -90,7 +59,7 @@ def save_winners(spark: SparkSession, winners: DataFrame, tag: str, store_root:
     ST.check_context(meta, place, radius_km)
     if meta is None:
         meta = {"created": None, "place": place, "radius_km": radius_km}
-    winners = materialize(winners, "stream-winners")  # the stateful step runs once
+    winners = materialize(winners, "stream-winners")  # the ordered step runs once
     if winners.isEmpty():
         return
     files = [r["eff_file"] for r in winners.select("eff_file").distinct().collect() if r["eff_file"]]  # of this batch
@@ -114,8 +83,6 @@ def stream_merge(spark: SparkSession, in_dir: str, store_root: str, checkpoint:
     With ``only_newer`` a stamp that is not larger than the largest one before it changes
     nothing, as in ``merge_listings``.
     """
-    ship_package(spark)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     query_fn, as_of_fn = _as_fn(query), _as_fn(as_of)
     reader = spark.readStream.schema(S.LISTING)
     if max_files_per_trigger:
@@ -123,16 +90,18 @@ def stream_merge(spark: SparkSession, in_dir: str, store_root: str, checkpoint:
     rows = reader.parquet(in_dir).where(F.coalesce(F.col("ref_id"), F.lit("")) != "").select(
         "ref_id", F.col("batch_ord").alias("ord"), F.nullif(F.col("modified_at"), F.lit("")).alias("stamp"),
         F.col("_metadata.file_path").alias("file"))
-    stamps = IO.load_store(spark, store_root).select("ref_id", F.nullif(F.col("modified_at"), F.lit("")).alias("stamp"))
-    winners = rows.groupBy("ref_id").transformWithStateInPandas(
-        statefulProcessor=StampInForce(only_newer), outputStructType=_WINNER, outputMode="append",
-        timeMode="none", initialState=stamps.groupBy("ref_id"))
 
     def per_batch(df: DataFrame, batch_id: int) -> None:
-        save_winners(spark, df, f"{_query_id(spark, checkpoint)}-{batch_id:012d}", store_root, query_fn(batch_id), place,
-                     radius_km, as_of_fn(batch_id))
-
-    writer = winners.writeStream.outputMode("append").foreachBatch(per_batch).option("checkpointLocation", checkpoint)
+        tag = f"{_query_id(spark, checkpoint)}-{batch_id:012d}"
+        if IO.was_saved(spark, store_root, tag):
+            return
+        batch = materialize(df, "stream-keys")
+        stored = IO.load_store(spark, store_root, IO.touched_buckets(spark, store_root, batch)).select(
+            "ref_id", F.nullif(F.col("modified_at"), F.lit("")).alias("stamp"))
+        save_winners(spark, winners_of(batch, stored, only_newer), tag, store_root, query_fn(batch_id), place, radius_km,
+                     as_of_fn(batch_id))
+
+    writer = rows.writeStream.outputMode("append").foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer
     handle = writer.start()
     if available_now:

@@ -127,3 +127,25 @@ def test_state_of_an_old_store_is_taken_over(spark, scratch):
     stream_merge(spark, scratch + "/in", root, scratch + "/ckpt", "q", "p", 25, "2024-02-01 00:00:00")
     row = IO.load_store(spark, root).first()
     assert (row["title"], row["details"]["text"], len(row["found_in"])) == ("old", "x", 1)
+
+
+def test_stream_keeps_no_state_beside_the_store(spark, scratch):
+    """Many refs cost no Python call each, and what another job saves in between counts."""
+    landing, root, ckpt = scratch + "/in", scratch + "/store", scratch + "/ckpt"
+    many = spark.range(20_000).selectExpr(
+        "concat('r', id) AS ref_id", "'first' AS title", "CAST(NULL AS string) AS employer", "CAST(NULL AS struct<city: string>) AS location",
+        "CAST(NULL AS string) AS external_url", "'1' AS modified_at", "CAST(NULL AS date) AS published_on", "id AS batch_ord")
+    many.select(*COLS).write.parquet(landing)
+    handle = stream_merge(spark, landing, root, ckpt, "q", "p", 25, "2024-02-01 00:00:00")
+    assert handle.lastProgress is None or not handle.lastProgress["stateOperators"]
+    assert IO.load_store(spark, root).count() == 20_000
+    # another job saves version 2 of one ref: the stream's version 2 is no change
+    merged = ST.merge_saved(spark, root, group(spark, [("r5", "other", None, None, None, "2", None, 1)]), "q", "p", "2024-02-02 00:00:00")
+    meta = IO.load_metadata(spark, root)
+    IO.save_touched(spark, root, merged.store, lambda w: ST.store_metadata(w, meta, "2024-02-02 00:00:00", "p", 25))
+    time.sleep(1.1)
+    group(spark, [("r5", "stream", None, None, None, "2", None, 2), ("r5", "stream", None, None, None, "2", None, 2),
+                  ("r6", "second", None, None, None, "3", None, 3)]).write.mode("append").parquet(landing)
+    stream_merge(spark, landing, root, ckpt, "q", "p", 25, "2024-02-03 00:00:00")
+    got = {r["ref_id"]: r["title"] for r in IO.load_store(spark, root).where("ref_id IN ('r5', 'r6', 'r7')").collect()}
+    assert got == {"r5": "other", "r6": "second", "r7": "first"}
