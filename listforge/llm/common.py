@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
 
+from listforge.functions.memory import give_back  # noqa: F401
+
 BROADCAST_ROWS = 200_000  # narrow tables of more rows are joined by a shuffle
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -44,14 +44,6 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def give_back() -> None:
-    """Return freed memory to the system: a worker lives on between tasks, the executor's
-    memory is shared, and a batch of long texts leaves large holes."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 def column_of(df: DataFrame, col: str, row_value, kind: str):
     """A column by ``row_value(text)`` in Arrow batches, one text at a time in Python's memory."""
     from pyspark.sql.functions import arrow_udf

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from listforge import schemas as S
 from listforge.functions import columns as C
 from listforge.functions import page_text as P
+from listforge.functions.memory import give_back
 from listforge.session import ship_package
 
 _SPAN = T.StructType().add("first", "integer").add("n", "integer")
@@ -25,6 +27,19 @@ _PARTS = (T.StructType().add("ld", "string").add("ld_error", "string").add("stri
           .add("main", _SPAN).add("heavy", _SPAN).add("paragraphs", T.ArrayType(_SPAN)).add("body", _SPAN)
           .add("error", "string"))
 NO_ELEMENT = "Content selector not found"
+SLICE_CHARS = 1_000_000   # pages whose parts a task holds as Python objects; a longer page is alone
+
+
+def _slices(batch: pa.RecordBatch, col: int) -> Iterator[pa.RecordBatch]:
+    """The batch cut into runs of rows of about ``SLICE_CHARS`` bytes in a string column."""
+    first = size = 0
+    for i, n in enumerate(pc.binary_length(batch.column(col)).to_pylist()):
+        size += n or 0
+        if size >= SLICE_CHARS:
+            yield batch.slice(first, i + 1 - first)
+            first, size = i + 1, 0
+    if first < batch.num_rows:
+        yield batch.slice(first)
 
 
 def parse_pages(pages: DataFrame, options: P.ExtractOptions = P.DEFAULT_OPTIONS) -> DataFrame:
@@ -34,9 +49,12 @@ def parse_pages(pages: DataFrame, options: P.ExtractOptions = P.DEFAULT_OPTIONS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [P.page_parts(h.as_py(), i.as_py(), options)
-                     for h, i in zip(batch.column(1), batch.column(2), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, type=parts_type)], names=["k", "parts"])
+            for part in _slices(batch, 1):
+                found = pa.array((P.page_parts(h.as_py(), i.as_py(), options)
+                                  for h, i in zip(part.column(1), part.column(2), strict=True)), type=parts_type)
+                yield pa.RecordBatch.from_arrays([part.column(0), found], names=["k", "parts"])
+                del found
+                give_back()
 
     schema = T.StructType([pages.schema["k"], T.StructField("parts", _PARTS)])
     return pages.select("k", "html", "internal").mapInArrow(run, schema)

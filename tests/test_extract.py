@@ -235,3 +235,21 @@ def test_keys_of_any_name_come_back(spark):
     df = spark.createDataFrame([(1, 2, "u", f"<main>{LONG}</main>")], "k long, tier long, url string, html string")
     got = X.extract_corpus(df, key_cols=("k", "tier")).first()
     assert (got["k"], got["tier"], got["url"], got["details"]["success"]) == (1, 2, "u", True)
+
+
+def test_parse_holds_a_bounded_slice_of_a_batch(spark):
+    """A batch is cut by the bytes of its pages, nothing lost: memory does not follow the batch's rows."""
+    import pyarrow as pa
+
+    texts = ["x" * 300_000, None, "ü" * 400_000, "", "y" * 3_000_000, "z", None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["k", "html"])
+    parts = list(X._slices(batch, 1))
+    assert [p.column(0).to_pylist() for p in parts] == [[0, 1, 2], [3, 4], [5, 6]]
+    assert [t for p in parts for t in p.column(1).to_pylist()] == texts
+    assert list(X._slices(batch.slice(0, 0), 1)) == []
+    page = "<body><p>" + "word " * 30_000 + "</p></body>"
+    rows = spark.range(0, 40, 1, 1).select(F.col("id").alias("page_id"), F.lit("u").alias("url"),
+                                           F.when(F.col("id") % 7 != 0, F.lit(page)).alias("html"))
+    out = {r["page_id"]: r["tier_length"] for r in X.tier_text(rows, "paragraphs").collect()}
+    assert out == {i: 149_999 if i % 7 else None for i in range(40)} or \
+        out == {i: 149_999 if i % 7 else 0 for i in range(40)}
