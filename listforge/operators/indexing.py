@@ -52,7 +52,8 @@ def row_positions(df: DataFrame, order_cols: list[str], name: str = "row_idx") -
     """``global_index`` for wide rows: only the order columns are sorted and written.
 
     Distinct keys are numbered with room for their rows, and the rows are joined to their
-    key; rows of equal keys follow a hash of the row.
+    key; rows of equal keys follow a hash of the row.  Join and window go by the same column
+    (a struct, so null keys are equal): the wide rows are shuffled once.
     """
     spark = df.sparkSession
     keys = list(order_cols)
@@ -68,15 +69,10 @@ def row_positions(df: DataFrame, order_cols: list[str], name: str = "row_idx") -
     offsets = spark.createDataFrame(rows, "_pid int, _off long")
     before = Window.partitionBy("_pid").orderBy("_mono").rowsBetween(Window.unboundedPreceding, -1)
     start = ranged.withColumn("_at", F.coalesce(F.sum("_n").over(before), F.lit(0))).join(
-        F.broadcast(offsets), "_pid").select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], (F.col("_at") + F.col("_off")).alias("_at"))
-    same = None
-    for i, k in enumerate(keys):
-        c = df[k].eqNullSafe(start[f"_k{i}"])
-        same = c if same is None else same & c
-    inside = Window.partitionBy(*keys).orderBy(F.xxhash64(*df.columns))
-    return (df.join(start, same).withColumn(name, (F.col("_at") + F.row_number().over(inside) - 1).cast("long"))
-            .drop("_at", *[f"_k{i}" for i in range(len(keys))]))
+        F.broadcast(offsets), "_pid").select(F.struct(*keys).alias("_key"), (F.col("_at") + F.col("_off")).alias("_at"))
+    inside = Window.partitionBy("_key").orderBy(F.xxhash64(*df.columns))
+    return (df.withColumn("_key", F.struct(*keys)).join(start, "_key")
+            .withColumn(name, (F.col("_at") + F.row_number().over(inside) - 1).cast("long")).drop("_key", "_at"))
 
 
 def running_sum(df: DataFrame, part_cols: list[str], order_col: str, value_col: str,

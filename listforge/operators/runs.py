@@ -122,6 +122,7 @@ _PLAN = T.StructType([*[f for f in PARTIAL_SCHEMA.fields if f.name not in ("run_
 _ANSWERS = T.StructType([*S.RESPONSE.fields, T.StructField("attempt", T.LongType())])
 _REJECTED = T.StructType([T.StructField("batch_no", T.IntegerType()), T.StructField("attempt", T.LongType())])
 ROUND_BATCHES = 2000   # batches that are asked for, logged and checked in one round
+BROADCAST_ROWS = 200_000  # labels of a round with more rows are joined by a shuffle
 
 
 def _logged(spark: SparkSession, root: str, table: str, run_id: str, schema: T.StructType) -> DataFrame:
@@ -144,7 +145,14 @@ def plan_run(df: DataFrame, profile: str, run_id: str, root: str, batch_size: in
     spark = df.sparkSession
     known = _logged(spark, root, "plans", run_id, _PLAN)
     last = known.agg(F.coalesce(F.max("batch_no"), F.lit(0)).alias("b"), F.coalesce(F.max("part"), F.lit(0)).alias("p")).first()
-    new = L.checked_plan(remaining(df, known.select("ref_id")), profile, batch_size, order_cols, max_chars)
+    if last["p"]:  # the refs decide, before any text is moved
+        L.check_listings(df, profile)
+        L.check_batch_size(batch_size)
+        fresh = materialize(remaining(df.select("ref_id").distinct(), known.select("ref_id")), "fresh-refs")
+        if fresh.isEmpty():
+            return last["b"]
+        df = df.join(fresh.select(F.col("ref_id").alias("_fresh")), F.col("ref_id").eqNullSafe(F.col("_fresh")), "left_semi")
+    new = L.checked_plan(df, profile, batch_size, order_cols, max_chars)
     batch = (F.col("batch_no") + F.lit(last["b"])).cast("int")
     rows = new.withColumn("batch_no", batch).withColumn("round", F.floor((batch - 1) / round_batches).cast("int"))
     rows = rows.select(*[F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name)
@@ -180,19 +188,21 @@ def resume_classify(df: DataFrame, scorer: L.Scorer, profile: str, run_id: str,
     plans = _logged(spark, root, "plans", run_id, _PLAN)
     for r in [x["round"] for x in plans.select("round").distinct().orderBy("round").collect()]:  # batches / round_batches
         plan = plans.where(F.col("round") == r)
-        done = read_partial(spark, root, run_id).select("batch_no").distinct()
-        todo = plan.join(done, "batch_no", "left_anti")
-        if todo.select("batch_no").isEmpty():
+        done = read_partial(spark, root, run_id).select("batch_no")
+        # numbers of one round's batches: the texts of its plan stay where they are
+        numbers = F.broadcast(materialize(plan.select("batch_no").distinct().join(done, "batch_no", "left_anti"), "round-batches"))
+        todo = plan.join(numbers, "batch_no", "left_semi")
+        n = todo.count()
+        if not n:
             continue
-        usable = _logged(spark, root, "answers", run_id, _ANSWERS).join(
+        usable = _logged(spark, root, "answers", run_id, _ANSWERS).join(numbers, "batch_no", "left_semi").join(
             _logged(spark, root, "rejected", run_id, _REJECTED), ["batch_no", "attempt"], "left_anti")
-        asked = todo.join(usable.select("batch_no").distinct(), "batch_no", "left_anti")
+        asked = todo.join(F.broadcast(usable.select("batch_no").distinct()), "batch_no", "left_anti")
         new = L.run_scorer(asked, scorer, run_id, head, template).withColumn("attempt", F.lit(attempt))
         new.write.mode("overwrite").parquet(f"{_path(root, 'answers')}/run_id={run_id}/attempt={attempt}/round={r}")
-        answers = _logged(spark, root, "answers", run_id, _ANSWERS).join(
-            _logged(spark, root, "rejected", run_id, _REJECTED), ["batch_no", "attempt"], "left_anti").join(
-            todo.select("batch_no").distinct(), "batch_no", "left_semi")
-        labelled, violations = L.check_batches(todo, answers.drop("attempt"), categories)
+        answers = _logged(spark, root, "answers", run_id, _ANSWERS).join(numbers, "batch_no", "left_semi").join(
+            _logged(spark, root, "rejected", run_id, _REJECTED), ["batch_no", "attempt"], "left_anti")
+        labelled, violations = L.check_batches(todo, answers.drop("attempt"), categories, few=n <= BROADCAST_ROWS)
         violations = materialize(violations, "violations")
         append_partial(root, run_id, labelled.drop("run_id"))
         answers.select("batch_no", "attempt").join(violations.select("batch_no").distinct(), "batch_no", "left_semi").write.mode(

@@ -99,7 +99,7 @@ def q_resume_classify(spark, sf):
 def q_resumed_result(spark, sf):
     """H2: resumed partial rows plus the newly labelled ones, each marked."""
     ok, profile, root = interrupted(spark, sf)
-    before = materialize(R.read_partial(spark, root, RUN), "before")
+    before = materialize(R.read_partial(spark, root, RUN).select("ref_id", "batch_no", "categories"), "before")
     R.resume_classify(ok, L.TermOverlapScorer(profile), profile, RUN, root,
                       batch_size=QL.BATCH, order_cols=["ref_id"])
     fresh = R.read_partial(spark, root, RUN).join(before.select("batch_no").distinct(), "batch_no", "left_anti")

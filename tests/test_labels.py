@@ -221,3 +221,34 @@ def test_new_rows_join_a_run_in_new_batches(spark, scratch):
     out = R.resume_classify(listings(spark, 9, "x"), counted(folder), PROFILE, "r", scratch, batch_size=2)
     assert out.groupBy("ref_id").count().where("count > 1").isEmpty() and out.count() == 9
     assert calls(folder) == {b: 1 for b in range(1, 6)}
+
+
+def test_resumed_run_moves_no_text_without_new_rows(spark, scratch):
+    """A call without new refs plans nothing; later refs go on after the known batches; ties and null refs count."""
+    rows = [(f"r{i:02d}", "t", "c", "e", f"text {i}", "u") for i in range(7)] + [(None, "t", "c", "e", "null ref", "u")]
+    df = spark.createDataFrame(rows, "ref_id string, title string, city string, employer string, text string, url string")
+    good = L.TermOverlapScorer("text profile words")
+    R.resume_classify(df, good, "text profile words", "r9", scratch, batch_size=3)
+    again = R.resume_classify(df, good, "text profile words", "r9", scratch, batch_size=3)
+    plans = spark.read.parquet(f"{scratch}/plans/run_id=r9")
+    assert again.count() == 8 and {r["part"] for r in plans.select("part").distinct().collect()} == {1}
+    more = df.unionByName(spark.createDataFrame([("s1", "t", "c", "e", "new", "u"), ("s1", "t", "c", "e", "new", "u")], df.schema))
+    out = R.resume_classify(more, good, "text profile words", "r9", scratch, batch_size=3)
+    got = sorted((r["ref_id"] or "", r["batch_no"]) for r in out.collect())
+    assert len(got) == 10 and [x for x in got if x[0] == "s1"] == [("s1", 4), ("s1", 4)]
+
+
+def test_positions_shuffle_wide_rows_once(spark):
+    """Join and window of the positions go by one column; equal and null keys get positions of their own."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    df = spark.createDataFrame([("b", "1"), (None, "2"), ("a", "3"), ("a", "3"), ("a", "4")], "ref_id string, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = L.assign_batches(df, 2, ["ref_id"])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert sum("Exchange hashpartitioning(_key" in line for line in plan.splitlines()) == 2
+        rows = out.orderBy("plan_idx").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert [r["plan_idx"] for r in rows] == [0, 1, 2, 3, 4]
+    assert [r["ref_id"] for r in rows] == [None, "a", "a", "a", "b"]
