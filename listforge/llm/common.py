@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
 
-from listforge.functions.memory import give_back  # noqa: F401
+from listforge.functions.memory import give_back, keep_only, kept  # noqa: F401
 
 BROADCAST_ROWS = 200_000  # narrow tables of more rows are joined by a shuffle
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -51,6 +51,7 @@ def column_of(df: DataFrame, col: str, row_value, kind: str):
     arrow = to_arrow_type(_parse_datatype_string(kind))
 
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        keep_only()
         value = row_value()
         for texts in parts:
             yield pa.array([value(t.as_py()) for t in texts], type=arrow)

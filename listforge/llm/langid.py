@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from listforge.llm.common import batches, column_of, free_name, give_back
+from listforge.llm.common import batches, column_of, free_name, give_back, keep_only
 from listforge.session import ship_package
 
 BUCKET_BITS = 14
@@ -159,6 +159,7 @@ def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
         rows = rows.where(place < F.element_at(share, F.col(lang_col).cast("string")))
 
     def count(parts):
+        keep_only()
         make = batches({"id": pa.string(), "lang": pa.string(), "buckets": pa.binary(), "counts": pa.binary()})
         for batch in parts:
             out = []

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listforge.llm.common import batches, give_back
+from listforge.llm.common import batches, give_back, keep_only
 from listforge.llm.components import connected_components
 from listforge.session import materialize, ship_package
 
@@ -196,6 +196,7 @@ def _sums(values: np.ndarray, times: np.ndarray, least: int, most: int) -> tuple
 def _describe(words: int, percent: int):
     """Per document its set's key and size; per task the shingles most of its documents share."""
     def run(parts):
+        keep_only()
         make = batches({"doc_id": pa.int64(), "mark": pa.int64(), "n": pa.int64(), "key": pa.binary(), "odd": pa.binary(),
                         "hot": pa.int64(), "times": pa.int64()})
         seen, size, values, times = [], 0, np.empty(0, np.uint64), np.empty(0, np.int64)
@@ -217,9 +218,11 @@ def _describe(words: int, percent: int):
                     values, times = count()
                     seen, size = [], 0
             yield make(out)
+            del batch, out
             give_back()
         if seen:
             values, times = count()
+            seen.clear()
         top = slice(0, HOT_PER_TASK)
         cells, n = (values[top] >> np.uint64(64 - HOT_BITS)).tolist(), times[top].tolist()
         yield make([(None, None, None, None, None, v, c) for v, c in zip(cells, n, strict=True)])
@@ -229,6 +232,7 @@ def _describe(words: int, percent: int):
 
 def _sign(hot, words: int, percent: int):
     def run(parts):
+        keep_only()
         schema = pa.schema([("sig", pa.int64()), ("short", pa.int64())])
         done: set[bytes] = set()  # a set that this task has signed is not signed again
         for batch in parts:
@@ -356,6 +360,7 @@ def may_link(n: np.ndarray, odd: list[bytes], percent: int) -> tuple[np.ndarray,
 def _may_link(percent: int):
     """(gid, short, n, odd) in order -> (hub, short): trees over the sets of a group that may link."""
     def run(parts):
+        keep_only()
         make = batches({"hub": pa.int64(), "short": pa.int64()})
         now, rows, hub = None, [], None
         done: set[tuple[int, int]] = set()
@@ -435,6 +440,7 @@ def linked(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray,
 def _compare(words: int, percent: int):
     """Tasks of texts -> per set with a link in a task: key, a set of its component, links."""
     def run(parts):
+        keep_only()
         make = batches({"key": pa.binary(), "root": pa.binary(), "links": pa.int64()})
         now, sets, keys, copies, sides = None, [], [], [], []
 

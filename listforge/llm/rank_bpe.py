@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listforge.llm.common import batches, give_back
+from listforge.llm.common import batches, give_back, keep_only, kept
 from listforge.llm.pieces import Generations, PieceEncoder, in_groups
 from listforge.session import ship_package
 
@@ -107,11 +107,12 @@ class RankBpe:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-_CODECS: dict[tuple[str, str], tuple[RankBpe, PieceEncoder]] = {}
+_CODECS: dict[tuple[str, str], tuple[RankBpe, PieceEncoder]] = kept()
 
 
 def codec(path: str, pattern: str) -> tuple[RankBpe, PieceEncoder]:
     """One per worker, vocabulary file and pattern."""
+    keep_only(_CODECS)
     if (path, pattern) not in _CODECS:
         bpe, split = RankBpe(load_ranks(path)), regex.compile(pattern).findall
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listforge.llm.common import batches, give_back, small
+from listforge.llm.common import batches, give_back, keep_only, kept, small
 from listforge.llm.pieces import PieceEncoder, in_groups
 from listforge.session import scratch_path, ship_package
 
@@ -144,11 +144,12 @@ class TextEncoder:
         return [None, self._whole(end[0])] if end else [None]
 
 
-_ENCODERS: dict[str, TextEncoder] = {}
+_ENCODERS: dict[str, TextEncoder] = kept()
 
 
 def _library_encoder(path: str) -> TextEncoder:
     """The tokenizers library behind a piece cache; one per worker and file."""
+    keep_only(_ENCODERS)
     if path not in _ENCODERS:
         import os
 

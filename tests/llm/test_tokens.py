@@ -199,3 +199,20 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     assert token_files.token_files(none, JSON).count() == 0
     assert rank_bpe.decode_documents(rank_bpe.encode_documents(none, RANKS, P.PATTERN), RANKS, P.PATTERN).count() == 0
+
+
+def test_a_worker_drops_what_other_operators_kept():
+    """Caches of one tokenizer do not stay beside those of the next, or beside other operators' sets."""
+    import public_tokenizers
+
+    from listforge.functions.memory import keep_only
+    from listforge.llm import rank_bpe, token_files
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    first = token_files._library_encoder(path)
+    assert token_files._library_encoder(path) is first  # the same operator keeps its own
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    codec = rank_bpe.codec(ranks, public_tokenizers.PATTERN)
+    assert not token_files._ENCODERS and rank_bpe.codec(ranks, public_tokenizers.PATTERN) is codec
+    keep_only()
+    assert not rank_bpe._CODECS
