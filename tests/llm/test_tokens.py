@@ -216,3 +216,52 @@ def test_a_worker_drops_what_other_operators_kept():
     assert not token_files._ENCODERS and rank_bpe.codec(ranks, public_tokenizers.PATTERN) is codec
     keep_only()
     assert not rank_bpe._CODECS
+
+
+def _python_peak(call):
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        call()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_words_that_repeat_become_no_python_objects():
+    """The time of the token files went into one string, one look-up and one join a word."""
+    from listforge.llm import pieces
+
+    encoder = pieces.PieceEncoder(lambda found: [x.encode() for x in found])
+    text = " ".join(f"repeated{i % 50}" for i in range(200_000))
+    assert _python_peak(lambda: encoder.encode_all([text])) < 6 * len(text)
+    assert encoder.encode_all([text, "a", "", " ", "a  b c"]) == [text.encode(), b"a", b"", b" ", b"a  b c"]
+
+
+def test_a_cache_of_pieces_is_compact():
+    """Two workers a core keep it beside the JVM of their executor."""
+    import pyarrow as pa
+
+    from listforge.llm import pieces
+
+    n, before = 50_000, pa.total_allocated_bytes()
+    encoder = pieces.PieceEncoder(lambda found: [struct.pack("<3I", *[len(x)] * 3) for x in found])
+
+    def fill():
+        import tracemalloc
+
+        encoder.encode_all([" ".join(f"piece{i}x{i}" for i in range(n))])
+        return tracemalloc.get_traced_memory()[0]
+
+    kept = []
+    _python_peak(lambda: kept.append(fill()))
+    assert len(encoder._rest.young) == n - 1
+    assert kept[0] + pa.total_allocated_bytes() - before < 80 * n
+
+
+@settings(max_examples=100, deadline=None)
+@given(texts=st.lists(TEXT, max_size=8))
+def test_texts_of_one_call_keep_their_ids(texts, library):
+    got = token_files._library_encoder(JSON).encode_all(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == list(map(library, texts))
