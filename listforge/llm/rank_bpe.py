@@ -15,13 +15,14 @@ import hashlib
 import struct
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from listforge.llm.common import batches, give_back, keep_only, kept
-from listforge.llm.pieces import Generations, PieceEncoder, in_groups
+from listforge.llm.pieces import Generations, PieceEncoder, in_groups, joined
 from listforge.session import ship_package
 
 
@@ -65,7 +66,7 @@ class RankBpe:
         return [self.ranks[p] for p in parts]
 
     def _compatible(self, a: int, b: int) -> bool:
-        key = (a, b)
+        key = a << 32 | b
         got = self._memo.get(key)
         if got is None:
             got = self._merge(self.bytes_of[a] + self.bytes_of[b], whole=False) == [a, b]
@@ -107,26 +108,60 @@ class RankBpe:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+class RankDecoder:
+    """Ids as uint32 little-endian bytes -> the bytes they stand for; no more than a table of the tokens."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        of = {i: b for b, i in ranks.items()}
+        self._ids = np.array(sorted(of), dtype=np.int64)
+        self._tokens = pa.array([of[i] for i in self._ids.tolist()], pa.large_binary())
+        self._dense = bool(len(of)) and self._ids[0] == 0 and self._ids[-1] == len(of) - 1
+
+    def decode(self, ids: bytes) -> bytes:
+        at = given = np.frombuffer(ids, "<u4")
+        if not self._dense:
+            at = np.searchsorted(self._ids, given)
+        known = at < len(self._ids)
+        if not known.all() or not np.array_equal(self._ids[at], given):
+            raise KeyError("an id that no token has")
+        offsets, raw = joined(self._tokens.take(pa.array(at)))
+        return raw[:offsets[-1]].tobytes()
+
+
 _CODECS: dict[tuple[str, str], tuple[RankBpe, PieceEncoder]] = kept()
+_DECODERS: dict[str, RankDecoder] = kept()
 
 
 def codec(path: str, pattern: str) -> tuple[RankBpe, PieceEncoder]:
     """One per worker, vocabulary file and pattern."""
-    keep_only(_CODECS)
+    keep_only(_CODECS, _DECODERS)
     if (path, pattern) not in _CODECS:
         bpe, split = RankBpe(load_ranks(path)), regex.compile(pattern).findall
 
         def encode_many(pieces: list[str]) -> list[bytes]:
-            out = []
-            for p in pieces:
-                ids = [i for m in split(p) for i in bpe.encode_piece(m.encode())]
-                out.append(struct.pack(f"<{len(ids)}I", *ids))
-            return out
+            found: dict[str, bytes] = {}  # a match that several of the pieces have is encoded once
+
+            def ids_of(match: str) -> bytes:
+                got = found.get(match)
+                if got is None:
+                    ids = bpe.encode_piece(match.encode())
+                    got = found[match] = struct.pack(f"<{len(ids)}I", *ids)
+                return got
+
+            return [b"".join(map(ids_of, split(p))) for p in pieces]
 
         _CODECS[path, pattern] = bpe, PieceEncoder(encode_many)
     return _CODECS[path, pattern]
 
 
+def decoder(path: str) -> RankDecoder:
+    """One per worker and vocabulary file."""
+    keep_only(_CODECS, _DECODERS)
+    if path not in _DECODERS:
+        _DECODERS[path] = RankDecoder(load_ranks(path))
+    return _DECODERS[path]
+
+
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
                      text_col: str = "text") -> DataFrame:
     """doc_id, ids (binary, uint32 little-endian): one row per input row, null text as empty.
@@ -143,9 +178,11 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
             texts = zip(batch.column(0).to_pylist(), (t.as_py() or "" for t in batch.column(1)), strict=True)
             for group in in_groups(texts):
                 names, texts_of = zip(*group, strict=True)
+                del group
                 yield make(list(zip(names, encoder.encode_all(texts_of), strict=True)))
+                del names, texts_of
+                give_back()
             del batch
-            give_back()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(encode, "doc_id long, ids binary")
@@ -158,14 +195,15 @@ def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str) -> DataF
     def decode(rows):
         make = batches({"doc_id": pa.int64(), "n_tokens": pa.int64(), "ids_sha256": pa.string(),
                         "decoded_sha256": pa.string()})
-        bpe, _ = codec(ranks_path, pattern)
+        ranks = decoder(ranks_path)
         for batch in rows:
             out = []
             for name, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 raw = ids.as_py()
-                got = struct.unpack(f"<{len(raw) // 4}I", raw)
-                out.append((name, len(got), hashlib.sha256(raw).hexdigest(),
-                            hashlib.sha256(bpe.decode(got)).hexdigest()))
+                out.append((name, len(raw) // 4, hashlib.sha256(raw).hexdigest(),
+                            hashlib.sha256(ranks.decode(raw)).hexdigest()))
+                del ids, raw
+            del batch
             yield make(out)
             give_back()
 

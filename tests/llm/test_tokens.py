@@ -265,3 +265,55 @@ def test_a_cache_of_pieces_is_compact():
 def test_texts_of_one_call_keep_their_ids(texts, library):
     got = token_files._library_encoder(JSON).encode_all(texts)
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == list(map(library, texts))
+
+
+def test_decoding_needs_no_more_than_the_tokens():
+    """A worker that decodes holds a table of the tokens, not the automaton and the caches of the encoder."""
+    from listforge.functions.memory import keep_only
+
+    keep_only()
+    decoder = rank_bpe.decoder(RANKS)
+    assert not rank_bpe._CODECS and rank_bpe.decoder(RANKS) is decoder
+    bpe, encoder = rank_bpe.codec(RANKS, P.PATTERN)
+    assert rank_bpe.decoder(RANKS) is decoder and rank_bpe.codec(RANKS, P.PATTERN)[0] is bpe
+    for text in ("", "a", "one two  three\n 漢字 \U0001f600" * 30):
+        ids = encoder.encode_all([text])[0]
+        assert decoder.decode(ids) == text.encode() == bpe.decode(np.frombuffer(ids, "<u4").tolist())
+    for ranks in ({b"a": 0, b"b": 1}, {b"a": 3, b"b": 2**31}, {}):
+        own = rank_bpe.RankDecoder(ranks)
+        known = sorted(ranks.values())
+        assert own.decode(np.array(known, "<u4").tobytes()) == b"".join(sorted(ranks))
+        for bad in (2, 2**32 - 1):
+            with pytest.raises(KeyError):
+                own.decode(np.array([*known, bad], "<u4").tobytes())
+
+
+def test_decoding_lets_go_of_a_batch_before_the_next(spark):
+    import gc
+    import weakref
+
+    import pyarrow as pa
+
+    seen = []
+
+    class Rows:
+        def select(self, *_):
+            return self
+
+        sparkSession = spark
+
+        def mapInArrow(self, run, _schema):
+            return run
+
+    def batches_of():
+        for i in range(3):
+            gc.collect()
+            assert all(ref() is None for ref in seen)
+            ids = pa.array([np.array([i], "<u4").tobytes()], pa.binary())
+            batch = pa.RecordBatch.from_arrays([pa.array([i]), ids], names=["doc_id", "ids"])
+            seen.append(weakref.ref(batch))
+            yield batch
+            del batch
+
+    run = rank_bpe.decode_documents(Rows(), RANKS, P.PATTERN)
+    assert [out.column(1).to_pylist() for out in run(batches_of())] == [[1]] * 3
