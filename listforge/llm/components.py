@@ -11,16 +11,16 @@ from listforge.session import materialize
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of an edge; root is the smallest node of its component.
 
-    Each round points every node at the smallest node known near it (large star, then small
+    Edges go from the larger node, u, to the smaller, v.  Each round points every node at the smallest node known near it (large star, then small
     star); a round's output is a written table of at most the edges it had, and the number
     of rounds grows with the logarithm of the longest chain.  A node with very many edges
     only enters ``min`` aggregations, which combine before the shuffle, and joins that Spark
-    may split.  Null nodes take no part.
+    may split.  There is no round after the one that leaves only stars, and none for edges that
+    are stars as given.  Null nodes take no part.
     """
-    now = materialize(edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
-                      .where("u is not null and v is not null and u <> v").distinct(), "cc")
-    before = None
-    while True:
+    known = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b")
+    now = materialize(known.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
+    while not _all_stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # large star: larger neighbours go to the smallest of the neighbourhood
@@ -31,9 +31,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         now = materialize(small, "cc")
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+
+
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether every u has one edge, to a v that has none: a v is then the smallest of its component."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    ends = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return ends.where("out > 1 or out = 1 and into = 1").isEmpty()

@@ -11,6 +11,7 @@ the score below which a text is rejected.
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -86,6 +87,17 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
+def pack(buckets: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
+    """Ascending buckets as deflated gaps, counts deflated in the fewest bytes that hold them all."""
+    width = np.min_scalar_type(counts.max()).newbyteorder("<")
+    return tuple(zlib.compress(a.tobytes(), 1) for a in (np.diff(buckets, prepend=0).astype("<u2"), counts.astype(width)))
+
+
+def unpack(buckets: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    gaps, raw = np.frombuffer(zlib.decompress(buckets), "<u2"), zlib.decompress(counts)
+    return np.cumsum(gaps, dtype=np.uint16).astype("<u2"), np.frombuffer(raw, f"<u{len(raw) // len(gaps)}")
+
+
 def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], dim: int = DIM, bits: int = BUCKET_BITS,
         epochs: int = 12, batch: int = 32, rate: float = 6.0, seed: int = 7) -> LanguageModel:
     """rows: (buckets, counts, label), in a fixed order."""
@@ -102,6 +114,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], dim: int = DIM, bits: in
     def dense(part):
         x = np.zeros((len(part), size), dtype=np.float32)
         for i, (idx, n, _) in enumerate(part):
+            n = n.astype(np.float32, copy=False)
             x[i, idx] = n / n.sum()
         return x
 
@@ -145,7 +158,7 @@ def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
     The sample is bounded: of every language the rows whose id hash falls below a share of the
     range, chosen so that ``sample_docs`` are expected in all and as many of each language
     (all rows of a language that has fewer).  Whole texts are hashed in the tasks; the driver
-    gets bucket counts, at most 2**14 pairs a row.
+    gets bucket counts, at most 2**14 pairs a row, packed (``pack``).
     """
     ship_package(docs.sparkSession)
     rows = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
@@ -170,17 +183,21 @@ def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
                     for idx in gram_buckets(text):
                         total += np.bincount(idx, minlength=1 << BUCKET_BITS)
                     hit = np.flatnonzero(total)
-                    out.append((name.as_py(), lang.as_py(), hit.astype("<u2").tobytes(), total[hit].astype("<u4").tobytes()))
+                    out.append((name.as_py(), lang.as_py(), *pack(hit, total[hit])))
             yield make(out)
         give_back()
 
     got = rows.select(F.col(id_col).cast("string"), F.col(lang_col).cast("string"),
                       F.col(text_col).cast("string")).mapInArrow(
         count, "id string, lang string, buckets binary, counts binary").collect()
-    got.sort(key=lambda r: (r["id"] or "", r["lang"], bytes(r["buckets"])))
-    mixed = np.random.default_rng(11).permutation(len(got))
-    return fit([(np.frombuffer(got[i]["buckets"], "<u2").astype(np.int64),
-                 np.frombuffer(got[i]["counts"], "<u4").astype(np.float32), got[i]["lang"]) for i in mixed])
+    sample = [(r["id"] or "", r["lang"], *unpack(r["buckets"], r["counts"])) for r in got]
+    del got
+    sample.sort(key=lambda r: (*r[:2], r[2].tobytes()))
+    mixed = np.random.default_rng(11).permutation(len(sample))
+    model = fit([(sample[i][2], sample[i][3], sample[i][1]) for i in mixed])
+    del sample
+    give_back()  # the driver lives on through all that follows
+    return model
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:

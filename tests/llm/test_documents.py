@@ -307,3 +307,42 @@ def test_grams_of_pieces_equal_grams_of_the_whole(monkeypatch):
     monkeypatch.setattr(langid, "_PIECE", 100)
     cut = np.bincount(np.concatenate(list(langid.gram_buckets(text))), minlength=1 << langid.BUCKET_BITS)
     assert (whole == cut).all()
+
+
+def test_component_rounds_end_with_the_first_stars(spark, monkeypatch):
+    from listforge.llm import components
+
+    writes, write = [], components.materialize
+    monkeypatch.setattr(components, "materialize", lambda df, name: writes.append(name) or write(df, name))
+
+    def roots(edges):
+        writes.clear()
+        rows = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+        assert len(rows) == len({r["node"] for r in rows})
+        return {r["node"]: r["root"] for r in rows}
+
+    # stars as given, either way round and repeated: no round
+    assert roots([(1, 2), (3, 1), (1, 3), (2, 1), (7, 8), (None, 4), (5, 5)]) == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7}
+    assert len(writes) == 1
+    # a node with two edges, and a chain: one round each, and no second one to see that nothing moves
+    assert roots([(1, 3), (2, 3)]) == {1: 1, 2: 1, 3: 1}
+    assert len(writes) == 2
+    assert roots([(1, 2), (2, 3)]) == {1: 1, 2: 1, 3: 1}
+    assert len(writes) == 2
+
+
+def test_language_sample_is_small_in_the_driver(spark, monkeypatch):
+    texts = [(i, " ".join(f"{chr(97 + i % 26)}{chr(97 + j % 26)}x{'abcdefgh'[j % 8]}" for j in range(3000)),
+              "de" if i % 2 else "en") for i in range(20)]
+    docs, seen, fit = spark.createDataFrame(texts, "doc_id long, text string, lang string"), [], langid.fit
+    monkeypatch.setattr(langid, "fit", lambda rows: seen.extend(rows) or fit(rows))
+    langid.train(docs, F.lit(True))
+    assert len(seen) == 20
+    assert all(idx.nbytes + n.nbytes <= 4 * len(idx) for idx, n, _ in seen)  # 12 bytes a pair before
+    want = {(i, lang): np.bincount(np.concatenate(list(langid.gram_buckets(t))), minlength=1 << langid.BUCKET_BITS)
+            for i, t, lang in texts}
+    got = sorted((lang, idx.tolist(), n.tolist()) for idx, n, lang in seen)
+    assert got == sorted((lang, np.flatnonzero(c).tolist(), c[c > 0].tolist()) for (_, lang), c in want.items())
+    idx, n = np.array([0, 1, 300, 16383]), np.array([1, 2**32 - 1, 70000, 3])
+    back = langid.unpack(*langid.pack(idx, n))
+    assert back[0].tolist() == idx.tolist() and back[1].tolist() == n.tolist()
